@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .content_sort import mark_copies
+from .simhash import near_groups
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
