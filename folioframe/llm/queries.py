@@ -7,13 +7,49 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .content_sort import mark_copies
+from .langid import fit, predict
+from .packing import pack
 from .simhash import near_groups
+from .substring import kept_words
+from .urlfilter import Rule, judge
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = kept_words(table(spark, sf_dir, "documents"), words=20)
+    return done.select(F.col("_doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Rules of the URL query.
+URL_RULES = (
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([(r.key, r.action) for r in URL_RULES], "key string, action string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, rules, sorted({len(r.path) for r in URL_RULES})).drop("url")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    profiles = fit(docs.where(~held_out))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -21,7 +57,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
 
@@ -39,4 +79,25 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op8_url_filter": r"""
+        WITH rules(h, p, verdict) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                   ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), rest AS (
+            SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
+                                 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r
+            FROM pages
+        ), parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM rest
+        ), fit AS (
+            SELECT page_id, host, path, rules.h || rules.p AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rules.h || rules.p) DESC NULLS LAST, length(rules.h) DESC) AS rn
+            FROM parts LEFT JOIN rules
+              ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.p)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE rn = 1
+    """,
 }
