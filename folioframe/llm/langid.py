@@ -50,7 +50,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(" ".join([*texts, ""]).lower().encode("utf-32-le", "replace"), np.uint32)
     text = np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts])
     letter = _letters()[code]
-    keep = letter | np.concatenate([[True], letter[:-1]])
+    # Of a run of gaps one stays: the first after a letter, or the first of its text.
+    keep = letter | np.concatenate([[True], letter[:-1]]) | np.concatenate([[True], text[1:] != text[:-1]])
     slot = np.where(letter, code % (_SLOTS - 1) + 1, 0)[keep].astype(np.int64)
     text, letter = text[keep], letter[keep]
     n = max(0, len(slot) - GRAM + 1)
@@ -159,16 +160,16 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
 
 
 def keep_known(
-    docs: DataFrame, min_score: float = 0.1, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS
+    docs: DataFrame, min_score: float = 0.0, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS
 ) -> DataFrame:
     """The rows of ``docs`` whose text resembles one of the languages learnt from its labelled rows.
 
     Rejected are texts without letters, null texts, and texts whose cosine with every prototype is
-    under ``min_score``. All columns are kept as they are.
+    ``min_score`` or less (0: nothing in common with any). All columns are kept as they are.
     """
     profiles = fit(docs, text_col, lang_col, max_rows)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(text_col).alias("_text"))
-    kept = predict(rows, profiles, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    kept = predict(rows, profiles, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score))
     return kept.select("_all.*")
 
 

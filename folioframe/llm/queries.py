@@ -5,28 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_path, table
 from .content_sort import mark_copies
+from .html_text import extract
 from .langid import fit, predict
 from .packing import pack
+from .pieces import encode
 from .simhash import near_groups
 from .substring import kept_words
 from .urlfilter import Rule, judge
+from .vafile import scaled, top_k
+from .warc import read_archives, write_archives
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("v"))
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
 
+#: Public model file that the segmentation query uses.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), PIECES_MODEL, n=4, ids=False).drop("ids")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = kept_words(table(spark, sf_dir, "documents"), words=20)
     return done.select(F.col("_doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    records = read_archives(archives, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: Rules of the URL query.
 URL_RULES = (
     Rule("com", "/", "allow"),
@@ -58,8 +85,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_exact_topk": op2_exact_topk,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
+    "op5_html_text": op5_html_text,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_warc": op7_warc,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
@@ -79,6 +110,31 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op2_exact_topk": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score FROM s
+        )
+        SELECT * FROM r WHERE rank <= 20
+    """,
+    "op7_warc": r"""
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
     "op8_url_filter": r"""
         WITH rules(h, p, verdict) AS (
             VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
