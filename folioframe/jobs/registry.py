@@ -1,4 +1,531 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the derived panels, with their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioframe.jobs import oracles as sql
+from folioframe.operators import factors, inference, summary
+from folioframe.operators.filters import add_filtered, expanding_bounds
+from folioframe.operators.grid import long_short_grid
+from folioframe.operators.signals import add_momentum, add_reversal, add_running_sum, add_wealth
+from folioframe.operators.strategy import Strategy
+from folioframe.sources import demo_panel, panel as panels
+from folioframe.sources.files import wide
+from folioframe.spec import FilterSpec, Momentum, Reversal, SortSpec
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if oracle:
+            ORACLES[name] = oracle
+        return query
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to the digits that two engines agree on."""
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), sql.D) + 0.0 for c, t in df.dtypes if t == "double"})
+
+
+def strategy(spark: SparkSession, sf_dir: str, spec: SortSpec, kind: str = "supplier") -> Strategy:
+    return Strategy(demo_panel.load(spark, sf_dir, kind), spec)
+
+
+# ---------------------------------------------------------------- single sorts
+
+ONE = sql.sort("supplier", "disc", 5)
+THREE = sql.sort("supplier", "disc", 5, 3, dynamic=True)
+
+
+@register("single_sort_k1", sql.long_short(ONE, 5))
+def single_sort_k1(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5)).long_short)
+
+
+@register("portfolios_k1", sql.portfolios(ONE))
+def portfolios_k1(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5)).returns)
+
+
+@register("single_sort_k3_dynamic", sql.portfolios(THREE))
+def single_sort_k3_dynamic(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5, 3, dynamic_weights=True)).returns)
+
+
+@register("legs_k3", f"""WITH {sql.sort("supplier", "disc", 5, 3)}
+    SELECT date, regime, CASE WHEN ptf = 5 THEN 'long' ELSE 'short' END AS leg, {sql.r('ew', 'ew')}, {sql.r('vw', 'vw')} FROM res WHERE ptf IN (1, 5)""")
+def legs_k3(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5, 3))._legs)
+
+
+@register("part_sort_rating_nig", sql.portfolios(sql.sort("part", "disc", 4, 2, rating='"RATING_NUM" > 10 AND "RATING_NUM" <= 22')))
+def part_sort_rating_nig(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 4, 2, rating="NIG"), "part").returns)
+
+
+@register("rating_sort_ig", sql.portfolios(sql.sort("supplier", '"RATING_NUM"', 3, rating='"RATING_NUM" BETWEEN 1 AND 10')))
+def rating_sort_ig(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("RATING_NUM", 3, rating="IG")).returns)
+
+
+# ---------------------------------------------------------------- signals
+
+_f = "f AS (SELECT * FROM panel)"
+
+
+def _signal_sql(cte: str, kind: str = "supplier") -> str:
+    return f"""WITH {demo_panel.sql(kind)}, {_f}, {cte} SELECT "ID", date, {sql.r('signal', 'signal')} FROM prep"""
+
+
+@register("momentum_signal", _signal_sql(sql.momentum(6, 1)))
+def momentum_signal(spark, sf_dir):
+    return rounded(add_momentum(demo_panel.load(spark, sf_dir), 6, 1).select("ID", "date", "signal"))
+
+
+@register("momentum_signal_part", _signal_sql(sql.momentum(6, 2), "part"))
+def momentum_signal_part(spark, sf_dir):
+    return rounded(add_momentum(demo_panel.load(spark, sf_dir, "part"), 6, 2).select("ID", "date", "signal"))
+
+
+@register("ltr_signal", _signal_sql(sql.reversal(12, 3)))
+def ltr_signal(spark, sf_dir):
+    return rounded(add_reversal(demo_panel.load(spark, sf_dir), 12, 3).select("ID", "date", "signal"))
+
+
+@register("momentum_sort", sql.long_short(sql.sort("supplier", "signal", 5, 3, prep=sql.momentum(3, 1)), 5))
+def momentum_sort(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec(Momentum(3, 1), 5, 3)).long_short)
+
+
+@register("ltr_sort", sql.long_short(sql.sort("supplier", "signal", 5, 2, prep=sql.reversal(12, 3)), 5))
+def ltr_sort(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec(Reversal(12, 3), 5, 2)).long_short)
+
+
+# ---------------------------------------------------------------- filters
+
+
+def _filter_sort(name: str, spec: SortSpec, kind: str = "supplier") -> None:
+    flt = spec.filter
+    f, match = sql.filtered(flt.adj, flt.level, flt.location, flt.price_threshold)
+    s = spec.signal
+    prep = "prep AS (SELECT * FROM f)"
+    if isinstance(s, Momentum):
+        prep = sql.momentum(s.window, s.skip, "ret_adj")
+    if isinstance(s, Reversal):
+        prep = sql.reversal(s.window, s.skip, "ret_adj")
+    ctes = sql.sort(kind, spec.signal_name, spec.nport, spec.holding, f=f, match=match, prep=prep, ep=True, dynamic=spec.dynamic_weights)
+    register(name, sql.long_short(ctes, spec.nport))(lambda spark, sf_dir: rounded(strategy(spark, sf_dir, spec, kind).long_short))
+
+
+_filter_sort("trim_ea_ep", SortSpec(Momentum(3, 1), 5, filter=FilterSpec("trim", 0.5)))
+_filter_sort("trim_low_ea_ep", SortSpec("disc", 5, 2, filter=FilterSpec("trim", -0.3)))
+_filter_sort("trim_band_ea_ep", SortSpec(Reversal(6, 2), 5, filter=FilterSpec("trim", (-0.4, 0.6))))
+_filter_sort("price_ea_ep", SortSpec("disc", 5, filter=FilterSpec("price", 150)))
+_filter_sort("price_low_ea_ep", SortSpec("disc", 5, 2, filter=FilterSpec("price", 20), dynamic_weights=True))
+_filter_sort("price_band_ea_ep", SortSpec("disc", 4, filter=FilterSpec("price", (60, 180))), "part")
+_filter_sort("bounce_ea_ep", SortSpec("disc", 5, filter=FilterSpec("bounce", 0.05)))
+_filter_sort("bounce_low_ea_ep", SortSpec(Momentum(3, 1), 5, filter=FilterSpec("bounce", -0.05)))
+_filter_sort("wins_both_ea_ep", SortSpec(Momentum(3, 1), 5, filter=FilterSpec("wins", 95, "both")))
+_filter_sort("wins_left_ea_ep", SortSpec(Reversal(6, 2), 5, filter=FilterSpec("wins", 90, "left")))
+
+
+def _wins_sql(kind: str) -> str:
+    f, _ = sql.filtered("wins", 98, "both")
+    return f"""WITH {demo_panel.sql(kind)}, {f}
+        SELECT "ID", date, {sql.r('ret_adj', 'ret_adj')}, {sql.r('ret_adj_ep', 'ret_adj_ep')} FROM f"""
+
+
+@register("wins_returns", _wins_sql("supplier"))
+def wins_returns(spark, sf_dir):
+    out = add_filtered(demo_panel.load(spark, sf_dir), FilterSpec("wins", 98, "both"))
+    return rounded(out.select("ID", "date", "ret_adj", "ret_adj_ep"))
+
+
+@register("wins_from_table", f"""WITH {demo_panel.sql("part", "other")}, {demo_panel.sql()},
+    th AS (SELECT date, quantile_cont(ret, 0.02) AS lo, quantile_cont(ret, 0.98) AS hi FROM other GROUP BY date)
+    SELECT "ID", date, round(CASE WHEN ret > hi THEN hi ELSE ret END, 8) + 0.0 AS ret_adj FROM panel LEFT JOIN th USING (date)""")
+def wins_from_table(spark, sf_dir):
+    part = demo_panel.load(spark, sf_dir, "part")
+    levels = part.groupBy("date").agg(F.percentile("ret", 0.02).alias("2"), F.percentile("ret", 0.98).alias("98"))
+    table = levels.unpivot("date", ["`2`", "`98`"], "level", "value").withColumn("level", F.regexp_replace("level", "`", "").cast("double"))
+    out = add_filtered(demo_panel.load(spark, sf_dir), FilterSpec("wins", 98, "right", thresholds=table))
+    return rounded(out.select("ID", "date", "ret_adj"))
+
+
+@register("expanding_percentiles", f"""WITH {demo_panel.sql("part")}, ds AS (SELECT DISTINCT date FROM panel)
+    SELECT ds.date, {sql.r('quantile_cont(p.ret, 0.01)', 'lo')}, {sql.r('quantile_cont(p.ret, 0.99)', 'hi')}
+    FROM ds JOIN panel p ON p.date < ds.date AND p.ret IS NOT NULL GROUP BY ds.date""")
+def expanding_percentiles(spark, sf_dir):
+    return rounded(expanding_bounds(demo_panel.load(spark, sf_dir, "part"), 1, 99).toDF("date", "lo", "hi"))
+
+
+_out, _ = sql.filtered("trim", (-0.3, 0.4))
+
+
+@register("excluded_stats", f"""WITH {demo_panel.sql("part")}, {_out},
+    o AS (SELECT *, CASE WHEN "RATING_NUM" > 10 THEN 'NIG' ELSE 'IG' END AS category FROM f WHERE out),
+    s AS (SELECT coalesce(category, 'ALL') AS category, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, min(ret) AS min,
+          quantile_cont(ret, 0.25) AS p25, quantile_cont(ret, 0.5) AS p50, quantile_cont(ret, 0.75) AS p75, max(ret) AS max,
+          avg(qty) AS avg_qty FROM o GROUP BY ROLLUP (category))
+    SELECT category, n, {', '.join(sql.r(c, c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max", "avg_qty"))},
+           round(CAST(n AS DOUBLE) / (SELECT n FROM s WHERE category = 'ALL'), 8) + 0.0 AS share FROM s""")
+def excluded_stats(spark, sf_dir):
+    spec = SortSpec("disc", 4, filter=FilterSpec("trim", (-0.3, 0.4)), chars=("qty",))
+    return rounded(strategy(spark, sf_dir, spec, "part").get_excluded())
+
+
+# ---------------------------------------------------------------- double sorts
+
+_UN = sql.sort("part", "disc", 3, 2, signal2="qty", n2=3)
+_CO = sql.sort("part", "disc", 3, 2, signal2="lines", n2=3, how="conditional")
+
+
+@register("double_uncond", sql.portfolios(_UN))
+def double_uncond(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 3, 2, "qty", 3), "part").returns)
+
+
+@register("double_uncond_long_short", sql.long_short(_UN, 3, 3))
+def double_uncond_long_short(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 3, 2, "qty", 3), "part").long_short)
+
+
+@register("double_cond", sql.portfolios(_CO))
+def double_cond(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 3, 2, "lines", 3, "conditional"), "part").returns)
+
+
+# ---------------------------------------------------------------- turnover, weights, characteristics, banding
+
+
+def _turnover(name: str, K: int, flt: FilterSpec | None = None) -> None:
+    f, match = sql.filtered(flt.adj, flt.level) if flt else (_f, "true")
+    ctes = sql.sort("supplier", "disc", 5, K, f=f, match=match, ep=flt is not None, dynamic=True)
+    oracle = f"WITH {ctes}, {sql.turnover(K)} SELECT date, regime, CAST(ptf AS INTEGER) AS ptf, {sql.r('ew', 'ew')}, {sql.r('vw', 'vw')} FROM turn"
+    spec = SortSpec("disc", 5, K, filter=flt, dynamic_weights=True, turnover=True)
+    register(name, oracle)(lambda spark, sf_dir: rounded(strategy(spark, sf_dir, spec).turnover))
+
+
+_turnover("turnover_k1", 1)
+_turnover("turnover_k3", 3)
+_turnover("turnover_trim_ea_ep", 2, FilterSpec("trim", 0.5))
+
+
+@register("weights_k2", f"""WITH {sql.sort("supplier", "disc", 5, 2)}, {sql.turnover(2)}
+    SELECT date, cohort, ptf, "ID", {sql.r('ew', 'ew')}, {sql.r('vw', 'vw')}, {sql.r('drift * ew', 'ew_drift')}, {sql.r('drift * vw', 'vw_drift')}
+    FROM wt JOIN (SELECT date, t AS s FROM cal) USING (s)""")
+def weights_k2(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5, 2)).get_ptf_weights())
+
+
+_CH = ("qty", "lines")
+
+
+@register("chars_k1", f"""WITH {sql.sort("supplier", "disc", 5, chars=_CH)}, {sql.chars(_CH, 1)}
+    SELECT date, regime, CAST(ptf AS INTEGER) AS ptf, char, {sql.r('ew', 'ew')}, {sql.r('vw', 'vw')} FROM ch""")
+def chars_k1(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5, chars=_CH)).characteristics)
+
+
+@register("chars_k3_dynamic", f"""WITH {sql.sort("supplier", "disc", 5, 3, chars=_CH, dynamic=True)}, {sql.chars(_CH, 3)}
+    SELECT date, regime, CAST(ptf AS INTEGER) AS ptf, char, {sql.r('ew', 'ew')}, {sql.r('vw', 'vw')} FROM ch""")
+def chars_k3_dynamic(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec("disc", 5, 3, chars=_CH, dynamic_weights=True)).characteristics)
+
+
+@register("mean_chars", f"""WITH {sql.sort("supplier", "disc", 5, chars=_CH)}, {sql.chars(_CH, 1)}
+    SELECT regime, CAST(ptf AS INTEGER) AS ptf, char, {sql.r('avg(ew)', 'ew')}, {sql.r('avg(vw)', 'vw')} FROM ch GROUP BY ALL""")
+def mean_chars(spark, sf_dir):
+    return rounded(summary.mean_chars(strategy(spark, sf_dir, SortSpec("disc", 5, chars=_CH))))
+
+
+def _banded(name: str, K: int, width: int, kind: str) -> None:
+    ctes = sql.sort(kind, "disc", 5, K).replace(sql.returns(K), sql.banded(5, width, K) + ", " + sql.returns(K, "band"))
+    register(name, sql.portfolios(ctes).replace("WITH ", "WITH RECURSIVE ", 1))(
+        lambda spark, sf_dir: rounded(strategy(spark, sf_dir, SortSpec("disc", 5, K, banding=width), kind).returns)
+    )
+
+
+_banded("banding_b1", 1, 1, "supplier")
+_banded("banding_b2_k3", 3, 2, "supplier")
+_banded("banding_b1_part", 2, 1, "part")
+_banded("banding_b4_fold", 1, 4, "supplier")
+
+
+# ---------------------------------------------------------------- inference
+
+_SERIES = f"""{ONE}, series AS (SELECT 'ptf_' || ptf AS series, date, ew AS value FROM res)"""
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returns = strategy(spark, sf_dir, SortSpec("disc", 5)).returns
+    return returns.select(F.concat(F.lit("ptf_"), F.col("ptf").cast("string")).alias("series"), "date", F.col("ew").alias("value"))
+
+
+@register("hac_mean", f"""WITH {_SERIES}, {sql.hac("series", 3)}
+    SELECT series, n, {sql.r('mean', 'mean')}, {sql.r('se', 'se')}, {sql.r('t', 't')} FROM hac""")
+def hac_mean(spark, sf_dir):
+    return rounded(inference.hac_mean(_series(spark, sf_dir), ["series"], 3))
+
+
+@register("hac_alpha")
+def hac_alpha(spark, sf_dir):
+    panel = demo_panel.load(spark, sf_dir)
+    market = factors.market_ew(panel).withColumnRenamed("value", "mkt").join(factors.market_vw(panel).withColumnRenamed("value", "mktv"), "date")
+    return rounded(inference.hac_alpha(_series(spark, sf_dir), market, ["mkt", "mktv"], ["series"], 2))
+
+
+@register("hac_mean_p_values")
+def hac_mean_p_values(spark, sf_dir):
+    return rounded(inference.with_normal_p(inference.hac_mean(_series(spark, sf_dir), ["series"], 1)))
+
+
+@register("strategy_summary", f"""WITH {sql.sort("supplier", "disc", 5)}, {sql.turnover(1)}, {sql.ls(5)},
+    every AS (SELECT 'long_short' AS series, regime, date, ew, vw FROM ls
+              UNION ALL SELECT CASE WHEN ptf = 5 THEN 'long' ELSE 'short' END, regime, date, ew, vw FROM res WHERE ptf IN (1, 5)
+              UNION ALL SELECT 'ptf_' || ptf, regime, date, ew, vw FROM res),
+    series AS (SELECT series, regime, 'ew' AS weighting, date, ew AS value FROM every UNION ALL SELECT series, regime, 'vw', date, vw FROM every),
+    {sql.hac("series, regime, weighting", 0)},
+    mt AS (SELECT 'ptf_' || ptf AS series, regime, 'ew' AS weighting, avg(ew) * 100 AS turnover FROM turn GROUP BY ALL
+           UNION ALL SELECT 'ptf_' || ptf, regime, 'vw', avg(vw) * 100 FROM turn GROUP BY ALL)
+    SELECT series, regime, weighting, n, {sql.r('mean * 100', 'mean')}, {sql.r('se * 100', 'se')}, {sql.r('t', 't')}, {sql.r('turnover', 'turnover')}
+    FROM hac LEFT JOIN mt USING (series, regime, weighting)""")
+def strategy_summary(spark, sf_dir):
+    return rounded(summary.summary(strategy(spark, sf_dir, SortSpec("disc", 5, turnover=True))))
+
+
+@register("sharpe", f"""WITH {_SERIES}, m AS (SELECT series, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM series GROUP BY series)
+    SELECT series, n, {sql.r('mean', 'mean')}, {sql.r('std', 'std')}, {sql.r('mean / nullif(std, 0) * sqrt(12)', 'sharpe')},
+           {sql.r('mean - 1.96 * std / sqrt(n)', 'low')}, {sql.r('mean + 1.96 * std / sqrt(n)', 'high')} FROM m""")
+def sharpe(spark, sf_dir):
+    return rounded(inference.moments(_series(spark, sf_dir), ["series"], per_year=12))
+
+
+def _sources() -> str:
+    """Long-short series of three versions of the supplier panel, as SQL."""
+    one = []
+    for name, flt in SOURCES.items():
+        f, match = sql.filtered(flt.adj, flt.level) if flt else (_f, "true")
+        for n in (3, 5):
+            ctes = sql.sort("supplier", "disc", n, f=f, match=match)
+            one.append(f"SELECT '{name}' AS source, 'disc_{n}' AS series, date, ew AS value FROM (WITH {ctes}, {sql.ls(n)} SELECT * FROM ls)")
+    return " UNION ALL ".join(one)
+
+
+SOURCES = {"raw": None, "trim": FilterSpec("trim", 0.5), "price": FilterSpec("price", 150)}
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, flt in SOURCES.items():
+        for n in (3, 5):
+            series = strategy(spark, sf_dir, SortSpec("disc", n, filter=flt)).get_long_short()
+            part = series.select(F.lit(name).alias("source"), F.lit(f"disc_{n}").alias("series"), "date", F.col("ew").alias("value"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("corr_sources", f"""WITH s AS ({_sources()})
+    SELECT a.series, count(*) AS n, {sql.r('corr(a.value, b.value)', 'corr')} FROM s a JOIN s b ON a.series = b.series AND a.date = b.date
+    WHERE a.source = 'raw' AND b.source = 'trim' AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.series""")
+def corr_sources(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    of = lambda name: s.where(F.col("source") == name).drop("source")
+    return rounded(inference.correlations(of("raw"), of("trim"), ["series"]))
+
+
+PAIRS = (("raw", "trim"), ("raw", "price"), ("trim", "price"))
+
+
+@register("paired_t", f"""WITH s AS ({_sources()}), pr(a, b) AS (VALUES {', '.join(str(p) for p in PAIRS)}),
+    d AS (SELECT x.series, pr.a || '-' || pr.b AS pair, x.value - y.value AS d FROM pr JOIN s x ON x.source = pr.a
+          JOIN s y ON y.source = pr.b AND y.series = x.series AND y.date = x.date WHERE x.value IS NOT NULL AND y.value IS NOT NULL),
+    g AS (SELECT series, pair, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM d GROUP BY series, pair)
+    SELECT series, pair, n, {sql.r('m', 'mean_diff')}, {sql.r('m * sqrt(n) / nullif(sd, 0)', 't')} FROM g""")
+def paired_t(spark, sf_dir):
+    return rounded(inference.paired_t(sources(spark, sf_dir), PAIRS, ["series"]))
+
+
+@register("paired_t_p_values")
+def paired_t_p_values(spark, sf_dir):
+    return rounded(inference.with_student_p(inference.paired_t(sources(spark, sf_dir), PAIRS, ["series"])))
+
+
+@register("significant_differences")
+def significant_differences(spark, sf_dir):
+    tests = inference.with_student_p(inference.paired_t(sources(spark, sf_dir), PAIRS, ["series"]))
+    return inference.count_significant(tests, ["pair"])
+
+
+_WEALTH = f"""WITH {ONE}, {sql.ls(5)} SELECT date,
+    CASE WHEN ew IS NOT NULL THEN round(product(1 + ew) OVER w, 8) + 0.0 END AS wealth,
+    CASE WHEN ew IS NOT NULL THEN round(sum(ew) OVER w, 8) + 0.0 END AS total
+    FROM ls WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)"""
+
+
+@register("cum_wealth", _WEALTH)
+def cum_wealth(spark, sf_dir):
+    series = strategy(spark, sf_dir, SortSpec("disc", 5)).get_long_short().select("date", F.col("ew").alias("value"))
+    return rounded(add_running_sum(add_wealth(series)).select("date", "wealth", "total"))
+
+
+# ---------------------------------------------------------------- factors
+
+_MVW = """lg AS (SELECT *, lag("VW") OVER (PARTITION BY "ID" ORDER BY date) AS lw FROM panel),
+    mv AS (SELECT date, sum(ret * lw) / nullif(sum(lw), 0) AS value FROM lg WHERE lw IS NOT NULL AND ret IS NOT NULL GROUP BY date)"""
+
+
+@register("market_ew", f"WITH {demo_panel.sql()} SELECT date, {sql.r('avg(ret)', 'value')} FROM panel GROUP BY date")
+def market_ew(spark, sf_dir):
+    return rounded(factors.market_ew(demo_panel.load(spark, sf_dir)))
+
+
+@register("market_vw_lag", f"WITH {demo_panel.sql()}, {_MVW} SELECT date, {sql.r('value', 'value')} FROM mv")
+def market_vw_lag(spark, sf_dir):
+    return rounded(factors.market_vw(demo_panel.load(spark, sf_dir)))
+
+
+@register("market_excess", f"""WITH {demo_panel.sql()}, {_MVW}, {demo_panel.sql("part", "other")},
+    rf AS (SELECT date, min(disc) / 1000 AS rf FROM other GROUP BY date)
+    SELECT date, {sql.r('value - rf', 'value')} FROM mv JOIN rf USING (date)""")
+def market_excess(spark, sf_dir):
+    riskless = demo_panel.load(spark, sf_dir, "part").groupBy("date").agg((F.min("disc") / 1000).alias("rf"))
+    return rounded(factors.excess(factors.market_vw(demo_panel.load(spark, sf_dir)), riskless))
+
+
+_D2 = {"qty": sql.sort("part", '"RATING_NUM"', 3, signal2="qty", n2=3), "disc": sql.sort("part", '"RATING_NUM"', 3, signal2="disc", n2=3)}
+
+
+def _col_sql(ctes: str, n2: int = 3) -> str:
+    return f"""(WITH {ctes}, q AS (SELECT date, (ptf - 1) // {n2} AS i, max(CASE WHEN (ptf - 1) % {n2} = {n2 - 1} THEN vw END)
+        - max(CASE WHEN (ptf - 1) % {n2} = 0 THEN vw END) AS d FROM res GROUP BY 1, 2) SELECT date, avg(d) AS value FROM q GROUP BY date)"""
+
+
+def _row_sql(ctes: str, n1: int = 3, n2: int = 3) -> str:
+    return f"""(WITH {ctes}, q AS (SELECT date, (ptf - 1) % {n2} AS j, max(CASE WHEN (ptf - 1) // {n2} = {n1 - 1} THEN vw END)
+        - max(CASE WHEN (ptf - 1) // {n2} = 0 THEN vw END) AS d FROM res GROUP BY 1, 2) SELECT date, avg(d) AS value FROM q GROUP BY date)"""
+
+
+def _double(spark: SparkSession, sf_dir: str, signal2: str) -> DataFrame:
+    return strategy(spark, sf_dir, SortSpec("RATING_NUM", 3, 1, signal2, 3), "part").returns
+
+
+@register("char_factor", f"SELECT date, {sql.r('value', 'value')} FROM {_col_sql(_D2['qty'])}")
+def char_factor(spark, sf_dir):
+    return rounded(factors.column_factor(_double(spark, sf_dir, "qty"), 3))
+
+
+@register("crf_factor", f"""SELECT date, {sql.r('avg(value)', 'value')} FROM (
+    SELECT * FROM {_row_sql(_D2['qty'])} UNION ALL SELECT * FROM {_row_sql(_D2['disc'])}) GROUP BY date""")
+def crf_factor(spark, sf_dir):
+    return rounded(factors.mean_of(*[factors.row_factor(_double(spark, sf_dir, s), 3, 3) for s in ("qty", "disc")]))
+
+
+@register("composite_factor", f"""WITH a AS (WITH {ONE}, {sql.ls(5)} SELECT date, vw FROM ls),
+    b AS (WITH {sql.sort("supplier", "qty", 5)}, {sql.ls(5)} SELECT date, vw FROM ls)
+    SELECT date, CASE WHEN count(vw) = 2 THEN round(avg(vw), 8) + 0.0 END AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY date""")
+def composite_factor(spark, sf_dir):
+    of = lambda s: strategy(spark, sf_dir, SortSpec(s, 5)).get_long_short().select("date", F.col("vw").alias("value"))
+    return rounded(factors.composite(of("disc"), of("qty")))
+
+
+@register("net_of_cost", f"""WITH {sql.sort("supplier", "disc", 5, dynamic=True)}, {sql.turnover(1)}, {sql.ls(5)},
+    lt AS (SELECT date, CASE WHEN count(vw) = 2 THEN avg(vw) END AS turnover FROM turn WHERE ptf IN (1, 5) GROUP BY date),
+    j AS (SELECT ls.date, ls.vw AS gross, turnover FROM ls LEFT JOIN lt USING (date))
+    SELECT date, {sql.r('gross', 'gross')}, {sql.r('gross - lag(turnover) OVER (ORDER BY date) * (19.0::DOUBLE / 10000) * 2', 'net')} FROM j""")
+def net_of_cost(spark, sf_dir):
+    s = strategy(spark, sf_dir, SortSpec("disc", 5, dynamic_weights=True, turnover=True))
+    gross = s.get_long_short().select("date", F.col("vw").alias("value"))
+    return rounded(factors.net_of_cost(gross, factors.leg_turnover(s.get_ptf_turnover(), 1, 5)))
+
+
+# ---------------------------------------------------------------- panels, joins, grid, files
+
+
+@register("sample_facts", f"""WITH {demo_panel.sql("part")} SELECT count(DISTINCT "ID") AS n_ids, min(date) AS first_date, max(date) AS last_date,
+    count(DISTINCT date) AS n_dates, count(*) AS n_rows FROM panel""")
+def sample_facts(spark, sf_dir):
+    return panels.facts(demo_panel.load(spark, sf_dir, "part"))
+
+
+@register("panel_merge", f"""WITH {demo_panel.sql()}, g AS (SELECT l_suppkey AS "ID", CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+    count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT "ID", date, {sql.r('ret', 'ret')}, returned FROM panel JOIN g USING ("ID", date)""")
+def panel_merge(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'")
+    flags = lines.groupBy(F.col("l_suppkey").alias("ID"), F.trunc("l_shipdate", "month").alias("date")).agg(F.count(F.lit(1)).alias("returned"))
+    return rounded(panels.merge_panels(demo_panel.load(spark, sf_dir), flags).select("ID", "date", "ret", "returned"))
+
+
+@register("interval_join", f"""WITH {demo_panel.sql("part")},
+    ch AS (SELECT "ID", date, "RATING_NUM", lag("RATING_NUM") OVER w AS pr FROM panel WINDOW w AS (PARTITION BY "ID" ORDER BY date)),
+    hist AS (SELECT "ID", date AS valid_from, coalesce(lead(date) OVER (PARTITION BY "ID" ORDER BY date) - 1, DATE '9999-12-31') AS valid_to,
+             "RATING_NUM" AS rated FROM ch WHERE pr IS NULL OR pr <> "RATING_NUM")
+    SELECT p."ID", CAST(o_orderdate AS DATE) AS date, rated, count(*) AS lines_n FROM lineitem l JOIN orders o ON o_orderkey = l_orderkey
+    JOIN (SELECT DISTINCT "ID" FROM panel) p ON p."ID" = l_partkey
+    JOIN hist h ON h."ID" = p."ID" AND CAST(o_orderdate AS DATE) BETWEEN valid_from AND valid_to GROUP BY 1, 2, 3""")
+def interval_join(spark, sf_dir):
+    panel = demo_panel.load(spark, sf_dir, "part")
+    by = Window.partitionBy("ID").orderBy("date")
+    before = F.lag("RATING_NUM").over(by)
+    changes = panel.withColumn("_new", before.isNull() | (before != F.col("RATING_NUM"))).where("_new")
+    end = F.coalesce(F.date_sub(F.lead("date").over(by), 1), F.lit("9999-12-31").cast("date"))
+    history = changes.select("ID", F.col("date").alias("valid_from"), end.alias("valid_to"), F.col("RATING_NUM").alias("rated"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_partkey").alias("ID"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    traded = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("ID", "date")
+    valid = panels.valid_rows(traded, history, "ID", "date", "valid_from", "valid_to")
+    return valid.groupBy("ID", "date", "rated").agg(F.count(F.lit(1)).alias("lines_n"))
+
+
+GRID = tuple(
+    SortSpec(Momentum(3, 1), 5, 1, filter=f)
+    for f in (
+        FilterSpec("trim", 0.3), FilterSpec("trim", 0.6), FilterSpec("trim", (-0.4, 0.4)), FilterSpec("price", 20), FilterSpec("price", 150),
+        FilterSpec("bounce", 0.05), FilterSpec("bounce", -0.05), FilterSpec("wins", 95, "both"), FilterSpec("wins", 90, "right"),
+    )
+)
+
+
+def _grid_sql() -> str:
+    parts = []
+    for s in GRID:
+        f, match = sql.filtered(s.filter.adj, s.filter.level, s.filter.location)
+        ctes = sql.sort("supplier", "signal", 5, f=f, match=match, prep=sql.momentum(3, 1, "ret_adj"), ep=True)
+        parts.append(f"SELECT '{s.name}' AS spec, * FROM ({sql.long_short(ctes, 5)})")
+    return " UNION ALL ".join(parts)
+
+
+@register("grid_long_short", _grid_sql())
+def grid_long_short(spark, sf_dir):
+    return rounded(long_short_grid(demo_panel.load(spark, sf_dir), GRID))
+
+
+@register("grid_wide")
+def grid_wide(spark, sf_dir):
+    long = long_short_grid(demo_panel.load(spark, sf_dir), GRID).where("regime = 'ea'")
+    return rounded(wide(long.withColumnRenamed("ew", "value"), [s.name for s in GRID]))
+
+
+@register("equity_market_cap", f"""WITH {demo_panel.sql()} SELECT "ID", date,
+    round(abs("PRICE") / qty * (lines * 1.3::DOUBLE * 1000.0::DOUBLE) / 1000000.0::DOUBLE, 8) + 0.0 AS me FROM panel""")
+def equity_market_cap(spark, sf_dir):
+    me = panels.equity_market_cap(F.col("PRICE"), F.col("qty"), F.col("lines"), F.lit(1.3))
+    return rounded(demo_panel.load(spark, sf_dir).select("ID", "date", me.alias("me")))
+
+
+@register("active_panel", f"""WITH {demo_panel.sql()} SELECT "ID", date, {sql.r('-qty', 'neg_qty')}, coalesce(round(ret, 8) + 0.0, 0.0) AS ret
+    FROM panel WHERE lines >= 5""")
+def active_panel(spark, sf_dir):
+    rows = panels.fill_equity(panels.active(demo_panel.load(spark, sf_dir), "lines", 5))
+    return rounded(rows.select("ID", "date", (-F.col("qty")).alias("neg_qty"), "ret"))
