@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.operators.signals import BY_ID
+from folioframe.operators.signals import by_id
 
 
 def market_ew(panel: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def market_ew(panel: DataFrame) -> DataFrame:
 
 def market_vw(panel: DataFrame) -> DataFrame:
     """(date, value): returns weighted by the ID's previous row's weight, rows without either dropped."""
-    rows = panel.withColumn("_w", F.lag("VW").over(BY_ID)).dropna(subset=["_w", "ret"])
+    rows = panel.withColumn("_w", F.lag("VW").over(by_id())).dropna(subset=["_w", "ret"])
     return rows.groupBy("date").agg(F.try_divide(F.sum(F.col("ret") * F.col("_w")), F.sum("_w")).alias("value"))
 
 

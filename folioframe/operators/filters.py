@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.operators.quantiles import expanding_percentiles
-from folioframe.operators.signals import BY_ID
+from folioframe.operators.signals import by_id
 from folioframe.spec import RATINGS, FilterSpec
 
 
@@ -40,7 +40,7 @@ def add_filtered(panel: DataFrame, f: FilterSpec, pool: DataFrame | None = None)
     frame of the same returns, if given (one that is cheaper to read again).
     """
     if f.adj == "bounce":
-        panel = panel.withColumn("bounce", F.col("ret") * F.lag("ret").over(BY_ID))
+        panel = panel.withColumn("bounce", F.col("ret") * F.lag("ret").over(by_id()))
     if f.adj != "wins":
         kept = F.when(~_outside(_watched(f), f.level, _high(f)), F.col("ret"))
         out = F.col("ret").isNotNull() & _outside(_watched(f), f.level, _high(f))

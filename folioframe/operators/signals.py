@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from folioframe.spec import Momentum, Reversal, SortSpec
 
-BY_ID = Window.partitionBy("ID").orderBy("date")
+def by_id() -> WindowSpec:
+    """An ID's rows by date."""
+    return Window.partitionBy("ID").orderBy("date")
 
 
-def _full(x: Column, rows: int, over: WindowSpec = BY_ID) -> Column:
+
+def _full(x: Column, rows: int, over: WindowSpec | None = None) -> Column:
     """Sum of the last ``rows`` rows, null unless all of them have a value."""
-    frame = over.rowsBetween(-(rows - 1), 0)
+    frame = (over or by_id()).rowsBetween(-(rows - 1), 0)
     return F.when(F.count(x).over(frame) == rows, F.sum(x).over(frame))
 
 
@@ -20,7 +23,7 @@ def add_momentum(panel: DataFrame, window: int, skip: int = 1, ret: str = "ret",
     """exp(sum of log(1 + ret)) - 1 over the last ``window`` rows, as it was ``skip`` rows before."""
     log = F.when(F.col(ret) > -1, F.log(1 + F.col(ret)))
     out = panel.withColumn(name, F.exp(_full(log, window)) - 1)
-    return out.withColumn(name, F.lag(name, skip).over(BY_ID)) if skip else out
+    return out.withColumn(name, F.lag(name, skip).over(by_id())) if skip else out
 
 
 def add_reversal(panel: DataFrame, window: int, skip: int, ret: str = "ret", name: str = "signal") -> DataFrame:
@@ -30,7 +33,7 @@ def add_reversal(panel: DataFrame, window: int, skip: int, ret: str = "ret", nam
 
 def add_lag(panel: DataFrame, col: str, name: str, rows: int = 1) -> DataFrame:
     """Value of the ID's previous row, whatever its date."""
-    return panel.withColumn(name, F.lag(col, rows).over(BY_ID))
+    return panel.withColumn(name, F.lag(col, rows).over(by_id()))
 
 
 def add_signal(panel: DataFrame, spec: SortSpec, ret: str = "ret") -> DataFrame:
