@@ -5,17 +5,21 @@ distances of two linked fingerprints to any reference differ by at most the radi
 references the bound sharpens to the sum over all blocks, since distance to zero and to a block's
 mask together tell how many bits of the block are set. A fingerprint therefore meets only those
 whose table rows lie within that sum, and every pair that is left is compared in full.
+
+Texts that only resemble each other differ in more bits than such a table can tell apart. For them a
+longer fingerprint is cut into bands, each with a table of its own; see :func:`similar_groups`.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stash, text_or_empty
@@ -26,11 +30,11 @@ SEED = 42
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of a text's word shingles as a signed 64-bit integer; no words give 0."""
+def _digests(text: str | None, words: int) -> Iterator[bytes]:
+    """XXH64 of a text's word shingles, big-endian and joined, some thousand at a time."""
     tokens = (text or "").encode().lower().split()  # bytes: only A-Z and the six ASCII blanks count
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     if len(tokens) <= words:
         starts, ends = [0], [len(joined)]
@@ -38,12 +42,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
         stop = np.cumsum(lens + 1) - 1
         starts, ends = (stop - lens)[: len(tokens) - words + 1].tolist(), stop[words - 1 :].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, len(starts), _CHUNK):
-        part = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])])
+        yield b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of a text's word shingles as a signed 64-bit integer; no words give 0."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for part in _digests(text, words):
         bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big", signed=True)
+        counts += bits.sum(axis=0, dtype=np.uint16)
+        n += len(bits)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +70,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"_id {kind.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
-def block_masks(blocks: int) -> list[int]:
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+def block_masks(blocks: int, bits: int = BITS) -> list[int]:
+    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
     return [(1 << hi) - (1 << lo) for lo, hi in itertools.pairwise(edges)]
 
 
@@ -89,6 +100,27 @@ def _offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     return found
 
 
+def _visits(rows: DataFrame, value: str, bits: int, blocks: int, radius: int, table: Column | None = None) -> DataFrame:
+    """``rows`` once at home and once in each cell to visit: ``cell, visitor`` and their columns.
+
+    A cell is a row of distances from the references: zero, and a mask for each block. ``table``
+    numbers (below 32) keep several tables apart.
+    """
+    width = 54 // blocks  # bits of the cell number for each block
+    zero = F.bit_count(F.col(value))
+    cell = F.shiftleft((F.lit(0) if table is None else table).cast("long"), 55)
+    for j, mask in enumerate(block_masks(blocks, bits)):
+        apart = F.bit_count(F.col(value).bitwiseXOR(F.lit(_signed(mask)).cast("long")))
+        # distance to zero and to the mask: how many bits of the block are set
+        inside = F.shiftright(F.lit(mask.bit_count()) + F.col("_zero") - apart, 1)
+        cell = cell + F.shiftleft((inside + radius + 1).cast("long"), j * width)
+    deltas = [sum(o << (j * width) for j, o in enumerate(head)) for head in _offsets(blocks, radius)]
+    names = [F.col(c) for c in rows.columns]
+    tabled = rows.withColumn("_zero", zero).select(*names, cell.alias("_cell"))
+    moved = tabled.select(*names, F.explode(F.array(*[F.lit(d).cast("long") for d in [0, *deltas]])).alias("_delta"), "_cell")
+    return moved.select((F.col("_cell") + F.col("_delta")).alias("cell"), (F.col("_delta") != 0).alias("visitor"), *names)
+
+
 class _Forest:
     """Union-find over the nodes that a task has linked."""
 
@@ -109,69 +141,69 @@ class _Forest:
 
 
 def _linked(home: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one cell within the radius; large cells go block by block."""
+    """Places of pairs of one cell within the radius; large cells go block by block."""
     step = max(1, (1 << 21) // max(1, len(other)))
     left, right = [], []
     for at in range(0, len(home), step):
         i, j = np.nonzero(np.bitwise_count(home[at : at + step, None] ^ other[None, :]) <= radius)
-        left.append(home[at + i])
-        right.append(other[j])
+        left.append(i + at)
+        right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFrame:
-    """Edges ``(a, b)`` between different fingerprints of column ``fp`` at most ``radius`` bits apart.
+def _forests(visits: DataFrame, radius: int, kind: type, check: int = 0, most: int = 0) -> DataFrame:
+    """Edges ``(a, b)`` between nodes that meet in a cell with values at most ``radius`` bits apart.
 
-    Every task gives a spanning forest of the links it finds, so all links are there as paths while
-    a large group of near copies gives no square of rows. Null fingerprints take no part.
+    Columns after ``cell, visitor``: the value, the node, and ``check`` long columns that may differ
+    in at most ``most`` bits together. Every task gives a spanning forest of the links it finds, so
+    all links are there as paths while a large group of near copies gives no square of rows.
     """
-    fps = fps.select("fp").where("fp IS NOT NULL").distinct()
-    blocks = blocks or blocks_for(fps.count())
-    width = 60 // blocks  # bits of the cell number for each block
-    bias = radius + 1
-    zero = F.bit_count(F.col("fp"))
-    cell = F.lit(0).cast("long")
-    for j, mask in enumerate(block_masks(blocks)):
-        apart = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(mask)).cast("long")))
-        # distance to zero and to the mask: how many bits of the block are set
-        inside = F.shiftright(F.lit(mask.bit_count()) + F.col("_zero") - apart, 1)
-        cell = cell + F.shiftleft(inside + F.lit(bias), j * width)
-    deltas = [sum(o << (j * width) for j, o in enumerate(head)) for head in _offsets(blocks, radius)]
-    tabled = fps.withColumn("_zero", zero.cast("long")).select("fp", cell.alias("cell"))
-    visits = tabled.select(
-        "fp", F.explode(F.array(*[F.lit(d).cast("long") for d in [0, *deltas]])).alias("delta"), "cell"
-    ).select((F.col("cell") + F.col("delta")).alias("cell"), (F.col("delta") != 0).alias("visitor"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        rest: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)]
+        rest: list[np.ndarray] | None = None
 
-        def solve(cells: np.ndarray, visitor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.empty(0, int)
+        def solve(cells: np.ndarray, visitor: np.ndarray, value: np.ndarray, node: np.ndarray, *checks: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, int)
             homes = np.add.reduceat(~visitor, starts, dtype=np.int64) if len(starts) else starts
             found: tuple[list[int], list[int]] = ([], [])
-            ends = np.r_[starts[1:], len(cells)]
+            ends = np.append(starts[1:], len(cells))
+            value = value.astype(kind)
             for s, e, h in zip(starts.tolist(), ends.tolist(), homes.tolist()):
                 if h and e - s > 1:
-                    a, b = _linked(fp[s : s + h], fp[s:e], radius)
-                    for x, y in zip(a.tolist(), b.tolist()):
+                    i, j = _linked(value[s : s + h], value[s:e], radius)
+                    keep = i != j
+                    if check:
+                        keep &= sum(np.bitwise_count(c[s + i] ^ c[s + j]).astype(int) for c in checks) <= most
+                    for x, y in zip(node[s + i[keep]].tolist(), node[s + j[keep]].tolist()):
                         if x != y and forest.join(x, y):
                             found[0].append(x)
                             found[1].append(y)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()]
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             rest = [x[cut:] for x in cols]
             yield solve(*[x[:cut] for x in cols])
-        yield solve(*rest)
+        if rest:
+            yield solve(*rest)
 
-    parts = shuffle_partitions(fps.sparkSession)
+    parts = shuffle_partitions(visits.sparkSession)
     return visits.repartition(parts, "cell").sortWithinPartitions("cell", "visitor").mapInArrow(run, "a long, b long")
 
 
+def links(fps: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFrame:
+    """Edges ``(a, b)``: paths between all fingerprints of column ``fp`` at most ``radius`` bits apart.
+
+    Null fingerprints take no part.
+    """
+    fps = fps.select("fp").where("fp IS NOT NULL").distinct()
+    visits = _visits(fps, "fp", BITS, blocks or blocks_for(fps.count()), radius)
+    return _forests(visits.withColumn("node", F.col("fp")), radius, np.int64)
+
+
 def near_groups(
     docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -192,13 +224,83 @@ def near_groups(
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
+#: Fingerprints for similarity: so many bands of so many bits find pairs, further bits verify them.
+BANDS, BAND_BITS, BAND_RADIUS = 21, 24, 1
+VERIFY_BITS = 128
+_WORDS = -(-(BANDS * BAND_BITS + VERIFY_BITS) // 64)
+
+
+def sketch(text: str | None, words: int = 5) -> np.ndarray:
+    """A SimHash of ``_WORDS`` 64-bit words: every shingle's hash is mixed anew for each word."""
+    counts, n = np.zeros(64 * _WORDS, np.int64), 0
+    salts = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for part in _digests(text, words):
+        for at in range(0, len(part), 8 << 12):
+            h = np.frombuffer(part[at : at + (8 << 12)], ">u8").astype(np.uint64)[:, None] ^ salts
+            for _ in range(2):
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            bits = np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8), axis=1)
+            counts += bits.sum(axis=0, dtype=np.uint16)
+            n += len(bits)
+    return 2 * counts > n
+
+
+def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, v1, v2, bands)`` of each row with an id."""
+    powers = 1 << np.arange(BAND_BITS, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([sketch(x.as_py(), words) for x in batch.column(1)], bool).reshape(-1, 64 * _WORDS)
+            check = np.packbits(bits[:, :VERIFY_BITS], axis=1).view(np.int64).reshape(-1, 2)
+            bands = bits[:, VERIFY_BITS : VERIFY_BITS + BANDS * BAND_BITS].reshape(-1, BANDS, BAND_BITS) @ powers
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1), pa.int64()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.ascontiguousarray(check[:, 0])), pa.array(np.ascontiguousarray(check[:, 1])), lists],
+                ["id", "v1", "v2", "bands"],
+            )
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
+    return rows.mapInArrow(run, "id long, v1 long, v2 long, bands array<long>")
+
+
+def bits_apart(similarity: float, bits: int = VERIFY_BITS) -> int:
+    """Bits in which texts with this share of common shingles differ at most: the mean and a standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def similar_groups(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id_col, component_id)``: groups of texts whose word shingles are similar.
+
+    A long SimHash is cut into bands; each has a distance table of its own, which finds all pairs that
+    differ in at most one bit there; pairs whose other bits are further apart than the similarity
+    allows are not linked. The fingerprint estimates the similarity: texts of 0.9 and more are nearly
+    always linked, those just at 0.8 in about four of five cases, those of 0.6 in one of fifty. Texts without words are alike. Rows without an id take no part; repeated rows each
+    come out; an empty table gives no rows.
+    """
+    sketches = stash(_sketches(docs, words, id_col, text_col), "sketches")
+    nodes = sketches.groupBy("v1", "v2", "bands").agg(F.min("id").alias("node"))
+    rows = nodes.select("node", "v1", "v2", F.posexplode("bands").alias("band", "value"))
+    blocks = 4 if nodes.count() < 2_000_000 else 6 if nodes.count() < 60_000_000 else 8
+    visits = _visits(rows, "value", BAND_BITS, blocks, BAND_RADIUS, F.col("band"))
+    edges = _forests(visits.select("cell", "visitor", "value", "node", "v1", "v2"), BAND_RADIUS, np.uint32, 2, bits_apart(similarity))
+    rooted = components(edges)
+    classes = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
+    known = classes.join(least, "root").select("v1", "v2", "bands", "component_id")
+    return sketches.join(known, ["v1", "v2", "bands"]).select(F.col("id").alias(id_col), "component_id")
+
+
 def drop_near_copies(
-    docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with only the smallest id of each near-duplicate group, all columns kept.
+    """``docs`` with only the smallest id of each group of similar texts, all columns kept.
 
     A row without id stays: there is nothing to tell it apart by.
     """
-    groups = near_groups(docs, words, radius, id_col, text_col)
-    lost = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    groups = similar_groups(docs, words, similarity, id_col, text_col)
+    lost = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(lost, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
