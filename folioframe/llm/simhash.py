@@ -168,7 +168,8 @@ def _forests(visits: DataFrame, radius: int, kind: type, check: int = 0, most: i
             homes = np.add.reduceat(~visitor, starts, dtype=np.int64) if len(starts) else starts
             found: tuple[list[int], list[int]] = ([], [])
             ends = np.append(starts[1:], len(cells))
-            value = value.astype(kind)
+            # unsigned: numpy counts the bits of a negative number's absolute value
+            value, checks = value.astype(kind), [c.astype(np.uint64) for c in checks]
             for s, e, h in zip(starts.tolist(), ends.tolist(), homes.tolist()):
                 if h and e - s > 1:
                     i, j = _linked(value[s : s + h], value[s:e], radius)
@@ -201,7 +202,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFra
     """
     fps = fps.select("fp").where("fp IS NOT NULL").distinct()
     visits = _visits(fps, "fp", BITS, blocks or blocks_for(fps.count()), radius)
-    return _forests(visits.withColumn("node", F.col("fp")), radius, np.int64)
+    return _forests(visits.withColumn("node", F.col("fp")), radius, np.uint64)
 
 
 def near_groups(
