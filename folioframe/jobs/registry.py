@@ -14,7 +14,7 @@ from folioframe.operators.grid import long_short_grid
 from folioframe.operators.signals import add_momentum, add_reversal, add_running_sum, add_wealth
 from folioframe.operators.strategy import Strategy
 from folioframe.sources import demo_panel, panel as panels
-from folioframe.sources.files import wide
+from folioframe.sources import files
 from folioframe.spec import FilterSpec, Momentum, Reversal, SortSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -514,7 +514,7 @@ def grid_long_short(spark, sf_dir):
 @register("grid_wide")
 def grid_wide(spark, sf_dir):
     long = long_short_grid(demo_panel.load(spark, sf_dir), GRID).where("regime = 'ea'")
-    return rounded(wide(long.withColumnRenamed("ew", "value"), [s.name for s in GRID]))
+    return rounded(files.wide(long.withColumnRenamed("ew", "value"), [s.name for s in GRID]))
 
 
 @register("equity_market_cap", f"""WITH {demo_panel.sql()} SELECT "ID", date,
@@ -529,3 +529,69 @@ def equity_market_cap(spark, sf_dir):
 def active_panel(spark, sf_dir):
     rows = panels.fill_equity(panels.active(demo_panel.load(spark, sf_dir), "lines", 5))
     return rounded(rows.select("ID", "date", (-F.col("qty")).alias("neg_qty"), "ret"))
+
+
+@register("panel_csv", f"""WITH {demo_panel.sql()} SELECT "ID", date, {sql.r('ret', 'ret')}, {sql.r('"VW"', 'VW')} FROM panel""")
+def panel_csv(spark, sf_dir):
+    path = files.scratch(spark, "panel-csv")
+    demo_panel.load(spark, sf_dir).select("ID", "date", "ret", "VW").write.csv(path, header=True)
+    return rounded(files.read_panel_csv(spark, path, "ID long, date date, ret double, VW double"))
+
+
+@register("percentile_csv", f"""WITH {demo_panel.sql("part")}, q AS (SELECT date, quantile_cont(ret, 0.02) AS a, quantile_cont(ret, 0.98) AS b FROM panel GROUP BY date)
+    SELECT date, 2.0::DOUBLE AS level, {sql.r('a', 'value')} FROM q UNION ALL SELECT date, 98.0::DOUBLE, {sql.r('b', 'value')} FROM q""")
+def percentile_csv(spark, sf_dir):
+    levels = demo_panel.load(spark, sf_dir, "part").groupBy("date").agg(F.percentile("ret", 0.02).alias("2"), F.percentile("ret", 0.98).alias("98"))
+    path = files.scratch(spark, "percentiles-csv")
+    levels.write.csv(path, header=True)
+    return rounded(files.read_percentiles(spark, path, ["2", "98"]))
+
+
+@register("factor_csv", f"""WITH {demo_panel.sql()}, {_MVW} SELECT last_day(date) AS date, {sql.r('value', 'mkt')},
+    CASE WHEN month(date) <> 6 THEN round(value / 2, 8) + 0.0 END AS half FROM mv""")
+def factor_csv(spark, sf_dir):
+    """Market series written as a monthly factor file: text above, percent, a cell that is no number, a year below."""
+    market = factors.market_vw(demo_panel.load(spark, sf_dir)).where("value IS NOT NULL")
+    cell = lambda x: (x * 100).cast("string")
+    bad = F.when(F.month("date") == 6, F.lit("n/a")).otherwise(cell(F.col("value") / 2))
+    line = F.concat_ws(",", F.date_format("date", "yyyyMM"), cell(F.col("value")), bad, F.lit("0.1"))
+    path = files.scratch(spark, "factors-csv")
+    text = spark.createDataFrame([("Monthly factors in percent",), (",mkt,half,RF",)], "value string")
+    yearly = market.groupBy(F.year("date").alias("y")).agg(F.concat_ws(",", F.first(F.year("date")).cast("string"), cell(F.sum("value"))).alias("value")).select("value")
+    text.unionByName(market.select(line.alias("value"))).unionByName(yearly).write.text(path)
+    return rounded(files.read_factor_csv(spark, path, ["mkt", "half", "RF"]))
+
+
+@register("strategies_parquet", f"""WITH {ONE}, {sql.ls(5)} SELECT date, 'disc_5' AS spec, 'ew' AS weighting, {sql.r('ew', 'value')} FROM ls
+    UNION ALL SELECT date, 'disc_5', 'vw', {sql.r('vw', 'value')} FROM ls""")
+def strategies_parquet(spark, sf_dir):
+    """Long-short series written in long form, one folder for each weighting, and read back."""
+    series = strategy(spark, sf_dir, SortSpec("disc", 5)).get_long_short()
+    both = F.explode(F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("value")) for w in ("ew", "vw")]))
+    path = files.scratch(spark, "strategies")
+    files.write_strategies(series.select("date", F.lit("disc_5").alias("spec"), both.alias("_x")).select("date", "spec", "_x.*"), path)
+    return rounded(spark.read.parquet(path).select("date", "spec", "weighting", "value"))
+
+
+@register("mean_turnover", f"""WITH {sql.sort("supplier", "disc", 5, 2, dynamic=True)}, {sql.turnover(2)}
+    SELECT CAST(ptf AS INTEGER) AS ptf, regime, 'ew' AS weighting, {sql.r('avg(ew) * 100', 'turnover')} FROM turn GROUP BY ALL
+    UNION ALL SELECT CAST(ptf AS INTEGER), regime, 'vw', {sql.r('avg(vw) * 100', 'turnover')} FROM turn GROUP BY ALL""")
+def mean_turnover(spark, sf_dir):
+    return rounded(summary.mean_turnover(strategy(spark, sf_dir, SortSpec("disc", 5, 2, dynamic_weights=True, turnover=True))))
+
+
+@register("common_sample", f"""WITH {demo_panel.sql("part", "other")}, {demo_panel.sql()},
+    w AS (SELECT min(date) AS a, max(date) AS b FROM other WHERE "ID" % 7 = 3)
+    SELECT date, {sql.r('avg(ret)', 'value')} FROM panel, w WHERE date BETWEEN a AND b GROUP BY date""")
+def common_sample(spark, sf_dir):
+    window = demo_panel.load(spark, sf_dir, "part").where("ID % 7 = 3")
+    return rounded(factors.common_sample(factors.market_ew(demo_panel.load(spark, sf_dir)), window))
+
+
+@register("vendor_panel", f"""WITH {demo_panel.sql()} SELECT "ID" AS "ISSUE_ID", date AS "DATE", {sql.r('"PRICE" * qty / 1000', 'VW')}
+    FROM panel WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")
+def vendor_panel(spark, sf_dir):
+    raw = demo_panel.load(spark, sf_dir).select(
+        F.col("ID").alias("issue_id"), F.col("date").alias("date"), (-F.col("qty")).alias("amount_outstanding"), (-F.col("PRICE")).alias("price_l5m")
+    )
+    return rounded(panels.vendor_panel(raw, "1996-01-01", "2000-12-31").select("ISSUE_ID", "DATE", "VW"))

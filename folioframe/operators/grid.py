@@ -58,7 +58,7 @@ def _chunk(panel: DataFrame, specs: Sequence[SortSpec]) -> DataFrame:
     # All look-ups at once: one window pass after the signals.
     rows = rows.withColumns(raw | {f"_e{i}_{h}": at_offset(f"_e{i}", h) for i in range(len(specs)) for h in range(1, K + 1)})
     long = rows.where(F.col("t") < len(dates) - K).select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_x")).select(*kept, "_x.*")
-    long = add_bin(long, ["spec", "t"], "x", n, "ptf")
+    long = add_bin(long, ["spec", "t"], "x", n, "ptf", len(dates) * len(specs))
     holds = []
     for h in range(1, K + 1):
         w = F.col("VW") if h == 1 or not dynamic else F.col(f"_vw{h - 1}")

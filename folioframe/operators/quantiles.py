@@ -21,12 +21,20 @@ def bin_of(x: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e < x)) + 1
 
 
-def add_bin(df: DataFrame, keys: Sequence[str], x: str, n: int, name: str, among: DataFrame | None = None) -> DataFrame:
-    """``df`` with the bin of ``x`` among n, by breakpoints of each group (of ``among``, if given).
+#: So many groups' breakpoints are sent to every executor; more are joined by shuffling.
+FEW_GROUPS = 1_000_000
 
-    The breakpoints are one short row for each group, far fewer than the rows.
+
+def add_bin(df: DataFrame, keys: Sequence[str], x: str, n: int, name: str, groups: int | None = None) -> DataFrame:
+    """``df`` with the bin of ``x`` among n, by the breakpoints of its group.
+
+    The breakpoints are one short row for each group. ``groups`` is their number at most, if known: a
+    few are broadcast, so that the rows stay where they are instead of meeting by date, of which there
+    are far fewer than tasks.
     """
-    edges = (df if among is None else among).groupBy(*keys).agg(inner_edges(x, n).alias("_edges"))
+    edges = df.groupBy(*keys).agg(inner_edges(x, n).alias("_edges"))
+    if groups is not None and groups * n <= FEW_GROUPS:
+        edges = F.broadcast(edges)
     return df.join(edges, list(keys)).withColumn(name, bin_of(F.col(x), F.col("_edges"))).drop("_edges")
 
 

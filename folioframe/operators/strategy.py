@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators.banding import band
 from folioframe.operators.filters import add_filtered, in_rating, in_universe
-from folioframe.operators.quantiles import add_bin
+from folioframe.operators.quantiles import FEW_GROUPS, add_bin
 from folioframe.operators.signals import add_signal
 from folioframe.spec import SortSpec
 
@@ -62,6 +62,11 @@ class Strategy:
     def n_dates(self) -> int:
         return self.calendar.count()
 
+    @property
+    def _groups(self) -> int:
+        """Dates, horizons and regimes."""
+        return self.n_dates * self.spec.holding * len(self.regimes)
+
     @cached_property
     def eligible(self) -> DataFrame:
         """Rows that can be sorted at their date, with what the holding periods need from later dates."""
@@ -86,7 +91,7 @@ class Strategy:
     def _sorted(self) -> DataFrame:
         """A row for each member of each cohort at each horizon and regime, with its portfolio."""
         s = self.spec
-        first = add_bin(self.eligible, ["t"], s.signal_name, s.nport, "_bin")
+        first = add_bin(self.eligible, ["t"], s.signal_name, s.nport, "_bin", self.n_dates)
         holds = []
         for h in range(1, s.holding + 1):
             weight = F.col("VW") if h == 1 or not s.dynamic_weights else F.col(f"_vw{h - 1}")
@@ -108,13 +113,14 @@ class Strategy:
         if s.signal2 is None:
             held = held.withColumnRenamed("_bin", "ptf")
         elif s.how == "unconditional":  # breakpoints among those matched at this horizon
-            held = add_bin(held, ["t", "h", "regime"], s.signal2, s.nport2, "_bin2")
+            held = add_bin(held, ["t", "h", "regime"], s.signal2, s.nport2, "_bin2", self._groups)
             held = held.withColumn("ptf", (F.col("_bin") - 1) * s.nport2 + F.col("_bin2"))
         else:
             keys = ["t", "h", "regime", "_bin"]
-            held = add_bin(held, keys, s.signal2, s.nport2, "_bin2")
+            held = add_bin(held, keys, s.signal2, s.nport2, "_bin2", self._groups * s.nport)
             # ties can leave the top bin empty; the offset is the highest bin there is
             top = held.groupBy(*keys).agg(F.max("_bin2").alias("_top"))
+            top = F.broadcast(top) if self._groups * s.nport <= FEW_GROUPS else top
             held = held.join(top, keys).withColumn("ptf", (F.col("_bin") - 1) * F.col("_top") + F.col("_bin2"))
         return held.withColumn("ptf", F.col("ptf").cast("int"))
 
