@@ -595,3 +595,28 @@ def vendor_panel(spark, sf_dir):
         F.col("ID").alias("issue_id"), F.col("date").alias("date"), (-F.col("qty")).alias("amount_outstanding"), (-F.col("PRICE")).alias("price_l5m")
     )
     return rounded(panels.vendor_panel(raw, "1996-01-01", "2000-12-31").select("ISSUE_ID", "DATE", "VW"))
+
+
+def _past_return(panel: DataFrame, ret: str, name: str) -> DataFrame:
+    """A signal of the user's own: the last row's return with its sign turned."""
+    return panel.withColumn(name, -F.lag(ret).over(Window.partitionBy("ID").orderBy("date")))
+
+
+@register("custom_signal_sort", sql.long_short(sql.sort("supplier", "signal", 5, 2, prep='prep AS (SELECT *, -lag(ret) OVER (PARTITION BY "ID" ORDER BY date) AS signal FROM f)'), 5))
+def custom_signal_sort(spark, sf_dir):
+    return rounded(strategy(spark, sf_dir, SortSpec(_past_return, 5, 2)).long_short)
+
+
+@register("factors_joined", f"""WITH a AS (WITH {demo_panel.sql()}, {_MVW} SELECT date, value FROM mv),
+    b AS (WITH {demo_panel.sql("part")} SELECT date, avg(ret) AS value FROM panel GROUP BY date)
+    SELECT date, {sql.r('a.value', 'mkt')}, {sql.r('b.value', 'parts')} FROM a JOIN b USING (date) WHERE a.value IS NOT NULL AND b.value IS NOT NULL""")
+def factors_joined(spark, sf_dir):
+    market = factors.market_vw(demo_panel.load(spark, sf_dir))
+    return rounded(factors.joined({"mkt": market, "parts": factors.market_ew(demo_panel.load(spark, sf_dir, "part"))}))
+
+
+@register("unique_ids", f"""WITH {demo_panel.sql("part")} SELECT "ID", count(*) AS n FROM panel WHERE "RATING_NUM" > 10 GROUP BY "ID" """)
+def unique_ids(spark, sf_dir):
+    """Assets that were ever rated below investment grade, after a check that (ID, date) is a key."""
+    panel = panels.require_unique(demo_panel.load(spark, sf_dir, "part"))
+    return panel.where(F.col("RATING_NUM") > 10).groupBy("ID").agg(F.count(F.lit(1)).alias("n"))

@@ -73,6 +73,15 @@ def net_of_cost(gross: DataFrame, turnover: DataFrame, cost: float = 19 / 10000)
     return both.withColumn("_before", before).select("date", "gross", (F.col("gross") - F.col("_before") * cost * 2).alias("net"))
 
 
+def joined(series: dict[str, DataFrame]) -> DataFrame:
+    """``date`` and one column for each series, on the dates for which all have a value."""
+    out = None
+    for name, s in series.items():
+        part = s.select("date", F.col("value").alias(name))
+        out = part if out is None else out.join(part, "date", "right")
+    return out.dropna()
+
+
 def common_sample(series: DataFrame, other: DataFrame) -> DataFrame:
     """The rows of ``series`` within the first and last date of ``other``."""
     ends = other.agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
