@@ -36,7 +36,8 @@ def _chunk(panel: DataFrame, specs: Sequence[SortSpec]) -> DataFrame:
     if len({(s.nport, s.holding, s.dynamic_weights) for s in specs}) > 1 or any(s.signal2 or s.banding for s in specs):
         raise ValueError("a grid has single sorts without bands, alike in portfolios, holding period and weights")
     n, K, dynamic = specs[0].nport, specs[0].holding, specs[0].dynamic_weights
-    dates = sorted(r[0] for r in panel.select("date").where("date IS NOT NULL").distinct().collect())
+    sizes = dict(tuple(r) for r in panel.where("date IS NOT NULL").groupBy("date").count().collect())
+    dates = sorted(sizes)
     calendar = panel.sparkSession.createDataFrame(list(zip(dates, range(len(dates)))), "date date, t int")
     rows = panel.join(F.broadcast(calendar), "date")
     raw: dict = {}
@@ -58,7 +59,7 @@ def _chunk(panel: DataFrame, specs: Sequence[SortSpec]) -> DataFrame:
     # All look-ups at once: one window pass after the signals.
     rows = rows.withColumns(raw | {f"_e{i}_{h}": at_offset(f"_e{i}", h) for i in range(len(specs)) for h in range(1, K + 1)})
     long = rows.where(F.col("t") < len(dates) - K).select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_x")).select(*kept, "_x.*")
-    long = add_bin(long, ["spec", "t"], "x", n, "ptf", len(dates) * len(specs))
+    long = add_bin(long, ["spec", "t"], "x", n, "ptf", len(dates) * len(specs), max(sizes.values(), default=0))
     holds = []
     for h in range(1, K + 1):
         w = F.col("VW") if h == 1 or not dynamic else F.col(f"_vw{h - 1}")

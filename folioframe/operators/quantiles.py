@@ -23,21 +23,80 @@ def bin_of(x: Column, edges: Column) -> Column:
 
 #: So many groups' breakpoints are sent to every executor; more are joined by shuffling.
 FEW_GROUPS = 1_000_000
+#: Groups of more rows than this are not gathered into one aggregate each: their order statistics are found by counting.
+LARGE_GROUP = 5_000_000
 
 
-def add_bin(df: DataFrame, keys: Sequence[str], x: str, n: int, name: str, groups: int | None = None) -> DataFrame:
+def add_bin(
+    df: DataFrame, keys: Sequence[str], x: str, n: int, name: str, groups: int | None = None, largest: int = 0
+) -> DataFrame:
     """``df`` with the bin of ``x`` among n, by the breakpoints of its group.
 
     The breakpoints are one short row for each group. ``groups`` is their number at most, if known: a
     few are broadcast, so that the rows stay where they are instead of meeting by date, of which there
-    are far fewer than tasks.
+    are far fewer than tasks. ``largest`` is the number of rows of a group at most, if known.
     """
-    edges = df.groupBy(*keys).agg(inner_edges(x, n).alias("_edges"))
+    edges = counted_edges(df, keys, x, n) if largest > LARGE_GROUP else df.groupBy(*keys).agg(inner_edges(x, n).alias("_edges"))
     if groups is not None and groups * n <= FEW_GROUPS:
         edges = F.broadcast(edges)
     return df.join(edges, list(keys)).withColumn(name, bin_of(F.col(x), F.col("_edges"))).drop("_edges")
 
 
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of the range that ``x`` falls into, ranges holding about equally many."""
+    n = COARSE * FINE
+    marks = rows.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 8 * n).alias("_m"))  # one row
+    every = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_m", i * FINE))
+    coarse = F.size(F.filter(every, lambda e: e < F.col("x")))
+    fine = F.size(F.filter(F.slice("_m", F.col("_c") * FINE + 1, FINE - 1), lambda e: e < F.col("x")))
+    placed = rows.join(F.broadcast(marks)).withColumn("_c", coarse)
+    return placed.select(*rows.columns, (F.col("_c") * FINE + fine).alias("range"))
+
+
+def _wanted(pool: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
+    """Where the order statistics on both sides of each percentile lie: ``keys, name, part, side, range, nth``.
+
+    ``pool`` has the rows k of each group and range and their running sum ``upto``.
+    """
+    size = pool.groupBy(*keys).agg(F.sum("k").alias("size")).where("size > 0")
+    names = F.map_from_arrays(F.array(*map(F.lit, levels)), F.array(*map(F.lit, levels.values())))
+    at = size.select(*keys, F.explode(names).alias("name", "q"), "size").withColumn("at", F.col("q") * (F.col("size") - 1))
+    orders = at.select(
+        *keys, "name", (F.col("at") - F.floor("at")).alias("part"), F.floor("at").alias("low"),
+        F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("order"),
+    )
+    hit = orders.join(pool, list(keys)).where((F.col("upto") > F.col("order")) & (F.col("upto") - F.col("k") <= F.col("order")))
+    return hit.select(
+        *keys, "name", "part", "range", (F.col("order") - F.col("low")).alias("side"),
+        (F.col("order") - F.col("upto") + F.col("k") + 1).alias("nth"),
+    )
+
+
+def _values(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, name, value`` from rows of the ranges hit, each with what is wanted of it."""
+    place = Window.partitionBy(*keys, "name", "side").orderBy("x")
+    found = inside.withColumn("_i", F.row_number().over(place)).where("_i = nth")
+    end = lambda side: F.max(F.when(F.col("side") == side, F.col("x")))
+    ends = found.groupBy(*keys, "name").agg(F.max("part").alias("part"), end(0).alias("a"), end(1).alias("b"))
+    value = F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * F.col("part")
+    return ends.select(*keys, "name", value.alias("value"))
+
+
+def counted_edges(df: DataFrame, keys: Sequence[str], x: str, n: int) -> DataFrame:
+    """``keys, _edges``: the same breakpoints as :func:`inner_edges`, without gathering a group in one place.
+
+    Values are counted by group and range; the counts tell in which range, and where in it, each order
+    statistic lies, and only the rows of these ranges are sorted.
+    """
+    rows = _in_ranges(df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x")))
+    counts = rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("k"))
+    up = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    hits = _wanted(counts.withColumn("upto", F.sum("k").over(up)), keys, {f"{i:06d}": i / n for i in range(1, n)})
+    values = _values(rows.join(hits, [*keys, "range"]), keys)
+    listed = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("_v"))
+    return listed.select(*keys, F.transform("_v", lambda v: v["value"]).alias("_edges"))
+
+
 def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) -> DataFrame:
     """``date`` and, for each name, a percentile of all non-null ``x`` dated strictly before.
 
@@ -45,41 +104,14 @@ def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) ->
     which range, and where in it, the order statistics of each date lie; only values of these ranges
     are then compared. Work is a small multiple of the rows, not rows times dates.
     """
-    rows = panel.where(F.col(x).isNotNull()).select("date", F.col(x).alias("x"))
-    n = COARSE * FINE
-    marks = rows.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 8 * n).alias("m"))  # one row
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("m", i * FINE)), lambda e: e < F.col("x")))
-    fine = F.size(F.filter(F.slice("m", F.col("c") * FINE + 1, FINE - 1), lambda e: e < F.col("x")))
-    ranged = rows.join(F.broadcast(marks)).withColumn("c", coarse).select("date", "x", (F.col("c") * FINE + fine).alias("range"))
-
+    ranged = _in_ranges(panel.where(F.col(x).isNotNull()).select("date", F.col(x).alias("x")))
     dates = panel.select("date").distinct()
     counts = ranged.groupBy("date", "range").agg(F.count(F.lit(1)).alias("k"))
-    ranges = counts.select("range").distinct()
     # At most dates x ranges rows from here on.
-    grid = dates.join(F.broadcast(ranges)).join(counts, ["date", "range"], "left")
+    grid = dates.join(F.broadcast(counts.select("range").distinct())).join(counts, ["date", "range"], "left")
     before = Window.partitionBy("range").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     up = Window.partitionBy("date").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     pool = grid.withColumn("k", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("upto", F.sum("k").over(up))
-    size = pool.groupBy("date").agg(F.sum("k").alias("size")).where("size > 0")
-    wanted = size.select(
-        "date", F.explode(F.map_from_arrays(F.array(*map(F.lit, levels)), F.array(*map(F.lit, levels.values())))).alias("name", "q"), "size"
-    ).withColumn("at", F.col("q") * (F.col("size") - 1))
-    wanted = wanted.select(
-        "date", "name", (F.col("at") - F.floor("at")).alias("part"),
-        F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("order"), F.floor("at").alias("low"),
-    )
-    hit = wanted.join(pool, "date").where((F.col("upto") > F.col("order")) & (F.col("upto") - F.col("k") <= F.col("order")))
-    hit = hit.select(
-        F.col("date").alias("on"), "name", "part", "range", (F.col("order") - F.col("low")).alias("side"),
-        (F.col("order") - F.col("upto") + F.col("k") + 1).alias("nth"),
-    )
-    inside = ranged.join(hit, "range").where("date < on")
-    place = Window.partitionBy("on", "name", "side").orderBy("x")
-    found = inside.withColumn("i", F.row_number().over(place)).where("i = nth")
-    ends = found.groupBy("on", "name").agg(
-        F.max("part").alias("part"), F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b")
-    )
-    value = F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * F.col("part")
-    return ends.groupBy(F.col("on").alias("date")).agg(
-        *[F.max(F.when(F.col("name") == k, value)).alias(k) for k in levels]
-    )
+    hits = _wanted(pool, ["date"], levels).withColumnRenamed("date", "on")
+    values = _values(ranged.join(hits, "range").where("date < on"), ["on"])
+    return values.groupBy(F.col("on").alias("date")).agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in levels])

@@ -53,14 +53,24 @@ class Strategy:
         return add_signal(panel, s, "ret_adj" if s.filter else "ret")
 
     @cached_property
-    def calendar(self) -> DataFrame:
-        """(date, t) as a small local table: one row for each date, found once for all frames."""
-        dates = sorted(r[0] for r in self.panel.select("date").where("date IS NOT NULL").distinct().collect())
-        return self.panel.sparkSession.createDataFrame(list(zip(dates, range(len(dates)))), "date date, t int")
+    def _dates(self) -> list:
+        """Dates in order, each with its number of rows: found once for all frames."""
+        return sorted(tuple(r) for r in self.panel.where("date IS NOT NULL").groupBy("date").count().collect())
 
     @cached_property
+    def calendar(self) -> DataFrame:
+        """(date, t) as a small local table, one row for each date."""
+        rows = [(d, t) for t, (d, _) in enumerate(self._dates)]
+        return self.panel.sparkSession.createDataFrame(rows, "date date, t int")
+
+    @property
     def n_dates(self) -> int:
-        return self.calendar.count()
+        return len(self._dates)
+
+    @cached_property
+    def _largest(self) -> int:
+        """Rows of the largest cross-section."""
+        return max((n for _, n in self._dates), default=0)
 
     @property
     def _groups(self) -> int:
@@ -91,7 +101,7 @@ class Strategy:
     def _sorted(self) -> DataFrame:
         """A row for each member of each cohort at each horizon and regime, with its portfolio."""
         s = self.spec
-        first = add_bin(self.eligible, ["t"], s.signal_name, s.nport, "_bin", self.n_dates)
+        first = add_bin(self.eligible, ["t"], s.signal_name, s.nport, "_bin", self.n_dates, self._largest)
         holds = []
         for h in range(1, s.holding + 1):
             weight = F.col("VW") if h == 1 or not s.dynamic_weights else F.col(f"_vw{h - 1}")
@@ -113,11 +123,11 @@ class Strategy:
         if s.signal2 is None:
             held = held.withColumnRenamed("_bin", "ptf")
         elif s.how == "unconditional":  # breakpoints among those matched at this horizon
-            held = add_bin(held, ["t", "h", "regime"], s.signal2, s.nport2, "_bin2", self._groups)
+            held = add_bin(held, ["t", "h", "regime"], s.signal2, s.nport2, "_bin2", self._groups, self._largest)
             held = held.withColumn("ptf", (F.col("_bin") - 1) * s.nport2 + F.col("_bin2"))
         else:
             keys = ["t", "h", "regime", "_bin"]
-            held = add_bin(held, keys, s.signal2, s.nport2, "_bin2", self._groups * s.nport)
+            held = add_bin(held, keys, s.signal2, s.nport2, "_bin2", self._groups * s.nport, self._largest)
             # ties can leave the top bin empty; the offset is the highest bin there is
             top = held.groupBy(*keys).agg(F.max("_bin2").alias("_top"))
             top = F.broadcast(top) if self._groups * s.nport <= FEW_GROUPS else top

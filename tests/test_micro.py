@@ -12,7 +12,7 @@ from folioframe.functions.tails import normal_two_sided, t_two_sided
 from folioframe.operators import inference
 from folioframe.operators.banding import _closed, _folded
 from folioframe.operators.filters import add_filtered
-from folioframe.operators.quantiles import expanding_percentiles
+from folioframe.operators.quantiles import counted_edges, expanding_percentiles, inner_edges
 from folioframe.operators.signals import add_momentum, add_wealth
 from folioframe.operators.strategy import Strategy
 from folioframe.sources import files, panel as panels
@@ -100,6 +100,16 @@ def test_expanding_percentiles_match_numpy(spark):
         assert got[DAY[t]] == pytest.approx(tuple(np.percentile(pool, [3, 90])))
 
 
+def test_counted_breakpoints_are_those_of_the_aggregate(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, DAY[i % 3], 0.0, 5.0, 1.0, float(np.round(rng.normal(), 1))) for i in range(700)] + [(i, DAY[5], 0.0, 5.0, 1.0, 1.0) for i in range(9)]
+    df = make(spark, rows)
+    for n in (2, 5, 10):
+        want = {r.date: r.e for r in df.groupBy("date").agg(inner_edges("x", n).alias("e")).collect()}
+        got = {r.date: r._edges for r in counted_edges(df, ["date"], "x", n).collect()}
+        assert set(got) == set(want) and all(got[d] == pytest.approx(want[d], abs=1e-12) for d in want)
+
+
 def test_price_threshold_is_inclusive_in_the_filter(spark):
     df = make(spark, [(1, DAY[0], 0.1, 5.0, 1.0, 0.0), (2, DAY[0], 0.1, 5.0, 1.0, 0.0)]).withColumn("PRICE", F.col("ID") * 20.0)
     out = add_filtered(df, FilterSpec("price", 25.0))
