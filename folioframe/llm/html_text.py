@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,7 +40,7 @@ CLUTTER_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu"
     " menubar breadcrumb breadcrumbs sidebar aside rail widget widgets header masthead footer foot toolbar share sharing"
-    " social related recommended recommendations trending comment comments commentlist disqus reply replies respond"
+    " social gdpr paywall adsense adslot adbox related recommended recommendations trending comment comments commentlist disqus reply replies respond"
     " discussion pagination pager search copyright legal disclaimer complementary contentinfo".split()
 )
 #: Smoothing of the ratios, as a standard deviation in lines, and where the kernel ends.
@@ -55,8 +55,8 @@ class _Element:
     parent: _Element | None
     clutter: bool
     depth: int
+    link: bool = False
     votes: int = 0
-    lines: int = 0
 
 
 @dataclass
@@ -64,7 +64,7 @@ class _Line:
     text: str
     tags: int
     element: _Element
-    ratio: float = field(default=0.0)
+    linked: int  # characters inside links
 
 
 _SPLIT = re.compile(r"[^A-Za-z]+")
@@ -87,15 +87,16 @@ class _Lines(HTMLParser):
         self.at = _Element("html", None, False, 0)
         self.lines: list[_Line] = []
         self.buffer: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def _flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             self.buffer.clear()
             if text:
-                self.lines.append(_Line(text, self.tags, self.at))
+                self.lines.append(_Line(text, self.tags, self.at, self.linked))
                 self.tags = 0
+            self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -114,7 +115,7 @@ class _Lines(HTMLParser):
             if e.tag in CLOSED_BY_BLOCK or (e.tag == tag and tag in ("li", "td", "tr", "dt", "dd", "option")):
                 self.at = e.parent
         up = self.at
-        self.at = _Element(tag, up, up.clutter or tag in CLUTTER or _marked(tag, attrs), up.depth + 1)
+        self.at = _Element(tag, up, up.clutter or tag in CLUTTER or _marked(tag, attrs), up.depth + 1, up.link or tag == "a")
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -132,6 +133,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.at.clutter:
             self.buffer.append(data)
+            if self.at.link:
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -194,14 +197,19 @@ def main_text(html: str | None) -> str:
                     chosen = (rank, e)
             e = e.parent
     top = chosen[1] if chosen else None
-    kept = []
-    for x in lines:
+    inside = []
+    for x, ratio in zip(lines, smooth):
         e = x.element
         while e is not None and e is not top:
             e = e.parent
         if top is None or e is top:
-            kept.append(x.text)
-    return "\n".join(kept)
+            inside.append((x, ratio >= bound))
+    # Before the first and after the last content line, lines made of links are menus without a mark.
+    sure = [i for i, (_, content) in enumerate(inside) if content]
+    first, last = (sure[0], sure[-1]) if sure else (0, len(inside))
+    return "\n".join(
+        x.text for i, (x, _) in enumerate(inside) if first <= i <= last or 2 * x.linked <= len(x.text)
+    )
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -340,6 +340,13 @@ def test_main_text_without_article_tag():
     assert got[0] == "Head" and got[-1] == "Short." and len(got) == 10
 
 
+def test_unmarked_menus_around_the_text_go():
+    body = "".join(f"<p>Sentence number {i} of an article, <a href=x>with a link</a> in it.</p>" for i in range(6))
+    page = f"<body><div><a>One</a> <a>Two</a></div>{body}<p>See <a href=z>this</a> as well, it says.</p><div><a>Back to the list</a></div></body>"
+    got = main_text(page).split("\n")
+    assert got[0].startswith("Sentence number 0") and got[-1] == "See this as well, it says."
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>Words</p></article>", 5), (1, "u", "<article><p>Words</p></article>", 5), (2, None, None, 6), (None, "v", "<p>" + "long " * 50_000 + "</p>", 7)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
