@@ -1,0 +1 @@
+"""Functions that Spark lacks."""

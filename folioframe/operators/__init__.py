@@ -1,0 +1 @@
+"""Operators on panels: signals, filters, sorts, holding, inference, factors."""

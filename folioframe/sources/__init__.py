@@ -1,0 +1 @@
+"""Where panels come from and where results go."""
