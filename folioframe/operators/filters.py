@@ -47,9 +47,13 @@ def add_filtered(panel: DataFrame, f: FilterSpec, pool: DataFrame | None = None)
         return panel.withColumns({"ret_adj": kept, "ret_adj_ep": kept, "out": out})
     low, high, pool = 100 - f.level, f.level, panel if pool is None else pool
     bounds = expanding_bounds(pool, low, high) if f.thresholds is None else given_bounds(f.thresholds, low, high)
-    ahead = pool.agg(*[F.percentile("ret", x / 100).alias(n) for n, x in (("_lo_ep", low), ("_hi_ep", high))])
-    both = panel.join(F.broadcast(bounds), "date", "left").join(F.broadcast(ahead))  # one row
-    return both.withColumns(
+    # One row for each date, and one row: found once here, instead of in each frame that the filter feeds.
+    bounds = panel.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+    ahead = pool.agg(F.percentile("ret", low / 100), F.percentile("ret", high / 100)).first()
+    both = panel.join(F.broadcast(bounds), "date", "left").withColumns(
+        {n: F.lit(x).cast("double") for n, x in zip(("_lo_ep", "_hi_ep"), ahead)}
+    )
+    both = both.withColumns(
         {"ret_adj": _clipped(f.location, "_lo", "_hi"), "ret_adj_ep": _clipped(f.location, "_lo_ep", "_hi_ep")}
     )
     at = {"right": ["_hi_ep"], "left": ["_lo_ep"], "both": ["_lo_ep", "_hi_ep"]}[f.location]

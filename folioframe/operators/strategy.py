@@ -49,7 +49,7 @@ class Strategy:
         s = self.spec
         panel = self.panel.join(F.broadcast(self.calendar), "date")
         if s.filter:
-            panel = add_filtered(panel, s.filter)
+            panel = add_filtered(panel, s.filter, self.panel)
         return add_signal(panel, s, "ret_adj" if s.filter else "ret")
 
     @cached_property
