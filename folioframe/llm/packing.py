@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, stash, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Pieces in a shard, on average.
@@ -85,7 +85,8 @@ def pack(
     longest = max(lengths)
     length = token_count() if n_tokens is None else n_tokens.cast("long")
     # Repeated rows are counted before they are dealt, so that no id can crowd a shard.
-    items = docs.select(F.col(id_col).alias("_id"), length.alias("_n")).where("_n > 0").groupBy("_id", "_n").count()
+    # They are written once: counting tokens is the only work that reads the texts.
+    items = stash(docs.select(F.col(id_col).alias("_id"), length.alias("_n")).where("_n > 0").groupBy("_id", "_n").count(), "lengths")
     pieces = (
         items.select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("copy"))
         .select(
