@@ -7,6 +7,7 @@ language's prototype the vectors of its training texts. The nearest prototype by
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,26 +72,32 @@ def _bound(number: np.ndarray) -> np.ndarray:
     return out
 
 
-def bundle(texts: list[str]) -> np.ndarray:
-    """Unit vectors of texts; zeros for a text without letters. Any length, in bounded memory."""
-    texts = [f" {t}" for t in texts]
-    out = np.zeros((len(texts), DIMENSIONS), np.float64)
+def bundles(texts: list[str]) -> Iterator[np.ndarray]:
+    """Unit vectors of some dozen texts at a time; zeros for a text without letters.
+
+    Any length, in memory bounded by the longest text.
+    """
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and end - at < _GROUP and (size == 0 or size + len(texts[end]) <= _CHUNK):
             size += len(texts[end])
             end += 1
-        text, number = _grams(texts[at:end])
+        text, number = _grams([f" {t}" for t in texts[at:end]])
         grams, which = np.unique(number, return_inverse=True)
-        for lo in range(0, len(grams), 8192):
-            some = (which >= lo) & (which < lo + 8192)
-            width = min(8192, len(grams) - lo)
+        out = np.zeros((end - at, DIMENSIONS), np.float64)
+        for lo in range(0, len(grams), 4096):
+            some = (which >= lo) & (which < lo + 4096)
+            width = min(4096, len(grams) - lo)
             counts = np.bincount(text[some] * width + which[some] - lo, minlength=(end - at) * width)
-            out[at:end] += counts.reshape(end - at, width).astype(np.float32) @ _bound(grams[lo : lo + width]).astype(np.float32)
+            out += counts.reshape(end - at, width).astype(np.float32) @ _bound(grams[lo : lo + width]).astype(np.float32)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        yield out / np.where(norm == 0, 1, norm)
         at = end
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm == 0, 1, norm)
+
+
+def bundle(texts: list[str]) -> np.ndarray:
+    return np.concatenate([np.zeros((0, DIMENSIONS)), *bundles(texts)])
 
 
 @dataclass(frozen=True)
@@ -114,9 +121,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            vectors = np.rint(bundle(batch.column(0).to_pylist()) * _SCALE).astype(np.int64)
-            for lang, v in zip(batch.column(1).to_pylist(), vectors):
-                sums[lang] = sums.get(lang, 0) + v
+            langs = iter(batch.column(1).to_pylist())
+            for vectors in bundles(batch.column(0).to_pylist()):
+                for lang, v in zip(itertools.islice(langs, len(vectors)), np.rint(vectors * _SCALE).astype(np.int64)):
+                    sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(v)], ["lang", "i", "x"]
@@ -144,16 +152,13 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
     def nearest(text):  # noqa: ANN001, ANN202 (Spark reads annotations of pandas UDFs)
         import pandas as pd
 
-        vectors = bundle([t or "" for t in text])
-        known = vectors.any(axis=1)
-        if not len(protos):
-            known[:] = False
-            best, score = np.zeros(len(text), int), np.zeros(len(text))
-        else:
-            cosine = np.round(vectors @ protos.T, 12)
-            best, score = cosine.argmax(axis=1), cosine.max(axis=1)
-        best = np.where(known, best, len(langs) - 1)
-        return pd.DataFrame({"lang_pred": langs[best], "score": np.where(known, np.clip(score, 0, 1), 0.0)})
+        best, score = [np.zeros(0, int)], [np.zeros(0)]
+        for vectors in bundles([t or "" for t in text]):
+            known = vectors.any(axis=1) & bool(len(protos))
+            cosine = np.round(vectors @ protos.T, 12) if len(protos) else np.zeros((len(vectors), 1))
+            best.append(np.where(known, cosine.argmax(axis=1), len(langs) - 1))
+            score.append(np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0))
+        return pd.DataFrame({"lang_pred": langs[np.concatenate(best)], "score": np.concatenate(score)})
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("_near", nearest(F.col(text_col))).select(*others, "_near.*")
