@@ -153,6 +153,18 @@ def test_hac_mean_is_the_regression_on_a_constant(spark):
         assert (got.mean, got.se) == (pytest.approx(beta[0]), pytest.approx(se[0]))
 
 
+def test_alphas_take_out_the_factor(spark):
+    rng = np.random.default_rng(6)
+    f = rng.normal(size=12)
+    noise = rng.normal(size=12) * 0.01
+    series = spark.createDataFrame([("s", DAY[i], float(0.5 + 2 * f[i] + noise[i])) for i in range(12)] + [("short", DAY[0], 1.0)], "series string, date date, value double")
+    factors = spark.createDataFrame([(DAY[i], float(f[i])) for i in range(12)], "date date, f double")
+    out = {r.series: r for r in inference.hac_alpha(series, factors, ["f"], ["series"], 1).collect()}
+    beta, se = inference.ols_hac(0.5 + 2 * f + noise, np.column_stack([np.ones(12), f]), 1)
+    assert out["s"].alpha == pytest.approx(beta[0]) and out["s"].alpha_t == pytest.approx(beta[0] / se[0])
+    assert out["short"].alpha is None and out["short"].n == 1
+
+
 def test_tails():
     assert normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
     assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
@@ -167,6 +179,11 @@ def test_factor_and_percentile_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text("d,2,98\n2020-01-31,-0.1,0.2\n")
     levels = files.read_percentiles(spark, str(tmp_path / "p.csv"), ["2", "98"]).orderBy("level").collect()
     assert [tuple(r) for r in levels] == [(datetime.date(2020, 1, 31), 2.0, -0.1), (datetime.date(2020, 1, 31), 98.0, 0.2)]
+    (tmp_path / "g.csv").write_text("date,mkt,smb\n2020-01-31,0.1,\n2020-02-29,0.2,0.3\n")
+    rows = files.read_factors(spark, str(tmp_path / "g.csv"), ["mkt", "smb"]).orderBy("date").collect()
+    assert [tuple(r) for r in rows] == [(datetime.date(2020, 1, 31), 0.1, None), (datetime.date(2020, 2, 29), 0.2, 0.3)]
+    series = spark.createDataFrame([(DAY[0], "a.1", 1.0), (DAY[0], "b", 2.0), (DAY[1], "b", 3.0)], "date date, spec string, value double")
+    assert [tuple(r) for r in files.wide(series, ["a.1", "b"]).orderBy("date").collect()] == [(DAY[0], 1.0, 2.0), (DAY[1], None, 3.0)]
     long = spark.createDataFrame([(DAY[0], "a", "ew", 1.0), (DAY[0], "a", "vw", 2.0)], "date date, spec string, weighting string, value double")
     files.write_strategies(long, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
