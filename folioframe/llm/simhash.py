@@ -6,20 +6,19 @@ references the bound sharpens to the sum over all blocks, since distance to zero
 mask together tell how many bits of the block are set. A fingerprint therefore meets only those
 whose table rows lie within that sum, and every pair that is left is compared in full.
 
-Texts that only resemble each other differ in more bits than such a table can tell apart. For them a
-longer fingerprint is cut into bands, each with a table of its own; see :func:`similar_groups`.
+Texts that only resemble each other differ in more bits than such a table can tell apart. They are
+found by bands of min-hashes and compared shingle by shingle; see :func:`similar_groups`.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stash, text_or_empty
@@ -100,15 +99,14 @@ def _offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     return found
 
 
-def _visits(rows: DataFrame, value: str, bits: int, blocks: int, radius: int, table: Column | None = None) -> DataFrame:
+def _visits(rows: DataFrame, value: str, bits: int, blocks: int, radius: int) -> DataFrame:
     """``rows`` once at home and once in each cell to visit: ``cell, visitor`` and their columns.
 
-    A cell is a row of distances from the references: zero, and a mask for each block. ``table``
-    numbers (below 32) keep several tables apart.
+    A cell is a row of distances from the references: zero, and a mask for each block.
     """
     width = 54 // blocks  # bits of the cell number for each block
     zero = F.bit_count(F.col(value))
-    cell = F.shiftleft((F.lit(0) if table is None else table).cast("long"), 55)
+    cell = F.lit(0).cast("long")
     for j, mask in enumerate(block_masks(blocks, bits)):
         apart = F.bit_count(F.col(value).bitwiseXOR(F.lit(_signed(mask)).cast("long")))
         # distance to zero and to the mask: how many bits of the block are set
@@ -151,32 +149,29 @@ def _linked(home: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def _forests(visits: DataFrame, radius: int, kind: type, check: int = 0, most: int = 0) -> DataFrame:
+def _forests(visits: DataFrame, radius: int) -> DataFrame:
     """Edges ``(a, b)`` between nodes that meet in a cell with values at most ``radius`` bits apart.
 
-    Columns after ``cell, visitor``: the value, the node, and ``check`` long columns that may differ
-    in at most ``most`` bits together. Every task gives a spanning forest of the links it finds, so
-    all links are there as paths while a large group of near copies gives no square of rows.
+    Columns after ``cell, visitor``: the value and the node. Every task gives a spanning forest of the
+    links it finds, so all links are there as paths while a large group of near copies gives no square
+    of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         rest: list[np.ndarray] | None = None
 
-        def solve(cells: np.ndarray, visitor: np.ndarray, value: np.ndarray, node: np.ndarray, *checks: np.ndarray) -> pa.RecordBatch:
+        def solve(cells: np.ndarray, visitor: np.ndarray, value: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, int)
             homes = np.add.reduceat(~visitor, starts, dtype=np.int64) if len(starts) else starts
             found: tuple[list[int], list[int]] = ([], [])
             ends = np.append(starts[1:], len(cells))
             # unsigned: numpy counts the bits of a negative number's absolute value
-            value, checks = value.astype(kind), [c.astype(np.uint64) for c in checks]
+            value = value.astype(np.uint64)
             for s, e, h in zip(starts.tolist(), ends.tolist(), homes.tolist()):
                 if h and e - s > 1:
                     i, j = _linked(value[s : s + h], value[s:e], radius)
-                    keep = i != j
-                    if check:
-                        keep &= sum(np.bitwise_count(c[s + i] ^ c[s + j]).astype(int) for c in checks) <= most
-                    for x, y in zip(node[s + i[keep]].tolist(), node[s + j[keep]].tolist()):
+                    for x, y in zip(node[s + i].tolist(), node[s + j].tolist()):
                         if x != y and forest.join(x, y):
                             found[0].append(x)
                             found[1].append(y)
@@ -202,7 +197,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFra
     """
     fps = fps.select("fp").where("fp IS NOT NULL").distinct()
     visits = _visits(fps, "fp", BITS, blocks or blocks_for(fps.count()), radius)
-    return _forests(visits.withColumn("node", F.col("fp")), radius, np.uint64)
+    return _forests(visits.withColumn("node", F.col("fp")), radius)
 
 
 def near_groups(
@@ -225,74 +220,147 @@ def near_groups(
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-#: Fingerprints for similarity: so many bands of so many bits find pairs, further bits verify them.
-BANDS, BAND_BITS, BAND_RADIUS = 21, 24, 1
-VERIFY_BITS = 128
-_WORDS = -(-(BANDS * BAND_BITS + VERIFY_BITS) // 64)
+#: Search for similar texts: so many bands, each one number made of so many min-hashes.
+BANDS, BAND_ROWS = 32, 6
+_STEP = 512  # shingles whose min-hashes are made at once
+_factors = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+_MULTIPLY, _ADD = _factors[0] * np.uint64(2) + np.uint64(1), _factors[1] * np.uint64(2)
 
 
-def sketch(text: str | None, words: int = 5) -> np.ndarray:
-    """A SimHash of ``_WORDS`` 64-bit words: every shingle's hash is mixed anew for each word."""
-    counts, n = np.zeros(64 * _WORDS, np.int64), 0
-    salts = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for part in _digests(text, words):
-        for at in range(0, len(part), 8 << 12):
-            h = np.frombuffer(part[at : at + (8 << 12)], ">u8").astype(np.uint64)[:, None] ^ salts
-            for _ in range(2):
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            bits = np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8), axis=1)
-            counts += bits.sum(axis=0, dtype=np.uint16)
-            n += len(bits)
-    return 2 * counts > n
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    parts = [np.frombuffer(x, ">u8").astype(np.uint64) for x in _digests(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def _number(found: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return int.from_bytes(xxhash.xxh64_digest(found.tobytes(), SEED), "big", signed=True)
+
 
+def band_values(found: np.ndarray) -> np.ndarray:
+    """A number for each band: sets share it if they agree in all of the band's min-hashes."""
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), _STEP):
+        np.minimum(low, (found[at : at + _STEP, None] * _MULTIPLY + _ADD).min(axis=0), out=low)
+    value = np.arange(BANDS, dtype=np.uint64)
+    for part in low.reshape(BANDS, BAND_ROWS).T:
+        value = (value ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+    return value.view(np.int64)
 
-def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, v1, v2, bands)`` of each row with an id."""
-    powers = 1 << np.arange(BAND_BITS, dtype=np.int64)
+
+def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, node, size, bands)`` of each row with an id; equal sets of shingles are one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([sketch(x.as_py(), words) for x in batch.column(1)], bool).reshape(-1, 64 * _WORDS)
-            check = np.packbits(bits[:, :VERIFY_BITS], axis=1).view(np.int64).reshape(-1, 2)
-            bands = bits[:, VERIFY_BITS : VERIFY_BITS + BANDS * BAND_BITS].reshape(-1, BANDS, BAND_BITS) @ powers
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1), pa.int64()), BANDS).cast(pa.list_(pa.int64()))
+            node, size, bands = [], [], []
+            for x in batch.column(1):
+                found = shingles(x.as_py(), words)
+                node.append(_number(found))
+                size.append(len(found))
+                bands.append(band_values(found))
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *bands]), pa.int64())
+            lists = pa.FixedSizeListArray.from_arrays(flat, BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.ascontiguousarray(check[:, 0])), pa.array(np.ascontiguousarray(check[:, 1])), lists],
-                ["id", "v1", "v2", "bands"],
+                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], ["id", "node", "size", "bands"]
             )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(run, "id long, v1 long, v2 long, bands array<long>")
+    return rows.mapInArrow(run, "id long, node long, size long, bands array<long>")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(node, found)``: the shingles, as bytes, of the rows with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [shingles(x.as_py(), words) for x in batch.column(1).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_number(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "found"]
+                )
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
+    return rows.join(ids, "id", "left_semi").select("id", "_text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
-def bits_apart(similarity: float, bits: int = VERIFY_BITS) -> int:
-    """Bits in which texts with this share of common shingles differ at most: the mean and a standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + math.sqrt(bits * p * (1 - p)))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets share at least this part of all their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _apart(meets: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of cells that hold several groups, with ``root`` and ``home``, the cell's largest group."""
+    rows = meets.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    homes = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("home"))
+    return rows.join(homes.where("roots > 1").select("cell", "home"), "cell")
+
+
+def _candidates(meets: DataFrame, rooted: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of one cell to compare in this turn, see :func:`similar_groups`."""
+    if rooted is None:
+        return meets.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b"))
+    apart = stash(_apart(meets, rooted), "apart")
+    if turn == 1:
+        apart = apart.join(rooted.toDF("low", "other"), "low", "left").where("root <> coalesce(other, low)")
+        return apart.select(F.col("node").alias("a"), F.col("low").alias("b"))
+    few = apart.where("root <> home").select("cell", F.col("node").alias("a"), F.col("root").alias("other"))
+    return few.join(apart, "cell").where("root <> other").select("a", F.col("node").alias("b"))
 
 
 def similar_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(id_col, component_id)``: groups of texts whose word shingles are similar.
+    """``(id_col, component_id)``: groups of texts whose sets of word shingles are similar.
+
+    Texts that agree in a band of min-hashes meet in a cell, and a pair is linked only if its shingles,
+    compared in full, have the similarity: none below it is. A pair at 0.8 meets with a chance of
+    0.99994, and more similar ones nearly always. A family of m copies makes no square of pairs: each
+    text is compared with one representative, then with those of its cells, and at last all pairs of a
+    cell that are still in different groups, which leaves out those inside one group.
 
-    A long SimHash is cut into bands; each has a distance table of its own, which finds all pairs that
-    differ in at most one bit there; pairs whose other bits are further apart than the similarity
-    allows are not linked. The fingerprint estimates the similarity: texts of 0.9 and more are nearly
-    always linked, those just at 0.8 in about four of five cases, those of 0.6 in one of fifty. Texts without words are alike. Rows without an id take no part; repeated rows each
-    come out; an empty table gives no rows.
+    Texts without words are alike. Rows without an id take no part; repeated rows each come out; an
+    empty table gives no rows.
     """
-    sketches = stash(_sketches(docs, words, id_col, text_col), "sketches")
-    nodes = sketches.groupBy("v1", "v2", "bands").agg(F.min("id").alias("node"))
-    rows = nodes.select("node", "v1", "v2", F.posexplode("bands").alias("band", "value"))
-    blocks = 4 if nodes.count() < 2_000_000 else 6 if nodes.count() < 60_000_000 else 8
-    visits = _visits(rows, "value", BAND_BITS, blocks, BAND_RADIUS, F.col("band"))
-    edges = _forests(visits.select("cell", "visitor", "value", "node", "v1", "v2"), BAND_RADIUS, np.uint32, 2, bits_apart(similarity))
-    rooted = components(edges)
-    classes = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
-    known = classes.join(least, "root").select("v1", "v2", "bands", "component_id")
-    return sketches.join(known, ["v1", "v2", "bands"]).select(F.col("id").alias(id_col), "component_id")
+    marks = stash(_marks(docs, words, id_col, text_col), "marks")
+    nodes = marks.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = stash(nodes, "nodes")
+    cells = nodes.select("node", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    meets = stash(cells.join(shared.select("cell", "low"), "cell"), "meets")
+    met = nodes.join(meets, "node", "left_semi").select(F.col("least").alias("id"))
+    sets = stash(_sets(docs, met, words, id_col, text_col), "sets")
+    sizes = nodes.select("node", "size")
+    tried = edges = rooted = None
+    for turn in range(3):
+        pairs = _candidates(meets, rooted, turn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
+        pairs = stash(pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n")).select("a", "b"), "pairs")
+        found = stash(_verified(pairs, sets, similarity), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        edges = found if edges is None else edges.union(found)
+        rooted = stash(components(edges), "groups")
+    classes = nodes.select("node", "least").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = classes.join(least, "root").select("node", "component_id")
+    return marks.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_copies(

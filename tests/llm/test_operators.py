@@ -159,6 +159,40 @@ def test_similar_texts(spark, docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def shingle_set(text, n=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    """Pairs between 0.7 and 0.9: linked if, and only if, the shingles say so."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(300):
+        w = [f"v{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((2 * d, " ".join(w)))
+        for at in rng.choice(60, int(rng.integers(3, 12)), replace=False):
+            w[5 * at + 2] = "changed"
+        rows.append((2 * d + 1, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= x < 0.85 for x in alike) > 20 and sum(0.7 < x < 0.8 for x in alike) > 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * d + 1] == 2 * d for d in range(300)] == [x >= 0.8 for x in alike]
+
+
+def test_similar_texts_of_a_chain(spark):
+    """Each text is like the next alone, so that one representative can't link them."""
+    rng = np.random.default_rng(9)
+    w = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for d in range(12):
+        rows.append((d, " ".join(w)))
+        w = w[15:] + [f"v{x}" for x in rng.integers(0, 5000, 15)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 12 and {r.component_id for r in got} == {0}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components(edges).collect()}
