@@ -138,15 +138,12 @@ class _Forest:
         return x != y
 
 
-def _linked(home: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of one cell within the radius; large cells go block by block."""
+def _linked(home: np.ndarray, other: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one cell within the radius, block by block."""
     step = max(1, (1 << 21) // max(1, len(other)))
-    left, right = [], []
     for at in range(0, len(home), step):
         i, j = np.nonzero(np.bitwise_count(home[at : at + step, None] ^ other[None, :]) <= radius)
-        left.append(i + at)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+        yield i + at, j
 
 
 def _forests(visits: DataFrame, radius: int) -> DataFrame:
@@ -170,11 +167,11 @@ def _forests(visits: DataFrame, radius: int) -> DataFrame:
             value = value.astype(np.uint64)
             for s, e, h in zip(starts.tolist(), ends.tolist(), homes.tolist()):
                 if h and e - s > 1:
-                    i, j = _linked(value[s : s + h], value[s:e], radius)
-                    for x, y in zip(node[s + i].tolist(), node[s + j].tolist()):
-                        if x != y and forest.join(x, y):
-                            found[0].append(x)
-                            found[1].append(y)
+                    for i, j in _linked(value[s : s + h], value[s:e], radius):
+                        for x, y in zip(node[s + i].tolist(), node[s + j].tolist()):
+                            if x != y and forest.join(x, y):
+                                found[0].append(x)
+                                found[1].append(y)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
         for batch in batches:

@@ -193,6 +193,23 @@ def test_similar_texts_of_a_chain(spark):
     assert len(got) == 12 and {r.component_id for r in got} == {0}
 
 
+def test_a_family_of_near_copies_is_no_square_of_pairs(spark, monkeypatch):
+    assert max(len(i) for i, _ in simhash._linked(np.zeros(4000, np.uint64), np.zeros(4000, np.uint64), 2)) <= 1 << 21
+    compared = []
+
+    def counted(df, name, stash=simhash.stash):
+        out = stash(df, name)
+        compared.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stash", counted)
+    base = [f"v{i}" for i in range(150)]
+    rows = [(m, " ".join(base[: m % 140] + [f"x{m}"] + base[m % 140 :])) for m in range(1000)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1000 and {r.component_id for r in got} == {0}
+    assert sum(compared) < 10 * len(rows)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components(edges).collect()}
