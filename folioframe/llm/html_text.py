@@ -45,7 +45,8 @@ CLUTTER_WORDS = frozenset(
 )
 #: Smoothing of the ratios, as a standard deviation in lines, and where the kernel ends.
 SIGMA, RADIUS = 1.0, 3
-#: Part of the content lines' text that the chosen element must hold.
+#: Part of the content lines' text that an article must hold to be chosen, and part of the text outside
+#: links that shows a marked element or form to be a wrapper around the page; half if an article is inside.
 SHARE = 0.9
 
 
@@ -56,7 +57,10 @@ class _Element:
     clutter: bool
     depth: int
     link: bool = False
+    wrapper: bool = False  # marked, but perhaps around the whole page
+    article: bool = False  # an article or main is inside
     votes: int = 0
+    musts: int = 0
 
 
 @dataclass
@@ -80,7 +84,7 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines; clutter elements leave no text."""
+    """Parser events to lines; clutter elements leave no text, those that may be wrappers do."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -115,7 +119,14 @@ class _Lines(HTMLParser):
             if e.tag in CLOSED_BY_BLOCK or (e.tag == tag and tag in ("li", "td", "tr", "dt", "dd", "option")):
                 self.at = e.parent
         up = self.at
-        self.at = _Element(tag, up, up.clutter or tag in CLUTTER or _marked(tag, attrs), up.depth + 1, up.link or tag == "a")
+        marked = tag in CLUTTER or _marked(tag, attrs)
+        wrapper = marked and (tag == "form" or tag not in CLUTTER) and tag not in INLINE
+        self.at = _Element(tag, up, up.clutter or marked and not wrapper, up.depth + 1, up.link or tag == "a", wrapper)
+        if tag in ("article", "main") and not self.at.clutter:
+            e: _Element | None = up
+            while e is not None:
+                e.article = True
+                e = e.parent
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -141,6 +152,37 @@ class _Lines(HTMLParser):
         self._flush()
 
 
+def _unwrapped(lines: list[_Line]) -> list[_Line]:
+    """The lines outside clutter; a marked element that holds nearly all the text is none.
+
+    The tags of a line that goes count for the next one.
+    """
+    while True:
+        outside, held, tops = 0, {}, []
+        for x in lines:
+            top, e = None, x.element
+            while e is not None:
+                top = e if e.wrapper else top
+                e = e.parent
+            tops.append(top)
+            size = len(x.text) - x.linked
+            if top is None:
+                outside += size
+            else:
+                held.setdefault(id(top), [top, 0])[1] += size
+        freed = [e for e, n in held.values() if n > 0 and n >= (0.5 if e.article else SHARE) * (n + outside)]
+        if not freed:
+            break
+        max(freed, key=lambda e: held[id(e)][1]).wrapper = False  # the others are weighed against its text
+    kept, tags = [], 0
+    for x, top in zip(lines, tops):
+        tags += x.tags
+        if top is None:
+            x.tags, tags = tags, 0
+            kept.append(x)
+    return kept
+
+
 def _smooth(values: list[float]) -> list[float]:
     kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
     out = []
@@ -169,30 +211,40 @@ def _threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _in_title(e: _Element | None) -> bool:
+    while e is not None and e.tag != "h1":
+        e = e.parent
+    return e is not None
+
+
 def main_text(html: str | None) -> str:
     """Main text of a page: blocks in page order joined by a line break; empty if there is none."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
-    lines = parser.lines
+    lines = _unwrapped(parser.lines)
     if not lines:
         return ""
     smooth = _smooth([len(x.text) / max(1, x.tags) for x in lines])
     bound = min(_threshold(smooth), max(smooth))
-    total = 0
+    total = musts = 0
     for x, ratio in zip(lines, smooth):
-        if ratio >= bound:
-            total += len(x.text)
-            e: _Element | None = x.element
-            while e is not None:
-                e.votes += len(x.text)
-                e = e.parent
+        content = len(x.text) if ratio >= bound else 0
+        e: _Element | None = x.element
+        must = int(content > 0 or _in_title(e))
+        total += content
+        musts += must
+        while e is not None:
+            e.votes += content
+            e.musts += must
+            e = e.parent
     chosen = None
-    for x in lines:  # the deepest container that holds most of the content; an article before others
+    for x in lines:  # the article that holds most of the content, or the deepest container of all of it and of the title
         e = x.element
         while e is not None:
-            if e.votes >= SHARE * total and e.tag in CONTAINERS:
-                rank = (e.tag in ("article", "main"), e.depth)
+            article = e.tag in ("article", "main")
+            if (e.votes >= SHARE * total if article else e.musts == musts) and e.tag in CONTAINERS:
+                rank = (article, e.depth)
                 if chosen is None or rank > chosen[0]:
                     chosen = (rank, e)
             e = e.parent

@@ -398,6 +398,24 @@ def test_unmarked_menus_around_the_text_go():
     assert got[0].startswith("Sentence number 0") and got[-1] == "See this as well, it says."
 
 
+LONG = "A paragraph of the text, with words enough to count as content and no link in it at all. " * 4
+
+
+def test_main_text_keeps_short_sections_of_div_pages():
+    body = f"<div>{''.join(f'<p>{LONG}{i}</p>' for i in range(12))}</div>"
+    last = f"<p>The last section, short. {LONG[:160]}</p>"
+    page = f"<body><div class=nav><a href=x>Home</a></div><div><div><h1>The title</h1></div>{body}<div>{last}</div></div><div class=footer>(c)</div></body>"
+    got = main_text(page).split("\n")
+    assert got[0] == "The title" and got[-1].startswith("The last section") and len(got) == 14
+
+
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='page header-fixed'", "form action=x"])
+def test_main_text_inside_a_wrapper(wrapper):
+    inner = f"<div class=sidebar><p>{LONG}</p></div><div><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></div><div id=comments><p>Nice post!</p></div>"
+    got = main_text(f"<body><nav><a href=x>Home</a></nav><{wrapper}>{inner}</{wrapper.split()[0]}><footer>(c)</footer></body>")
+    assert got.split("\n") == ["The title", LONG.strip(), LONG.strip()]
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>Words</p></article>", 5), (1, "u", "<article><p>Words</p></article>", 5), (2, None, None, 6), (None, "v", "<p>" + "long " * 50_000 + "</p>", 7)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
