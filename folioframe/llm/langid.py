@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
 
 DIMENSIONS = 1024
 GRAM = 3
 UNKNOWN = "und"
-#: Rows of labelled text that training takes at most (about: a hash of the row decides).
+#: Rows of labelled text that training takes at most (one of each label, if there are more labels).
 TRAIN_ROWS = 20_000
 _SLOTS = 1 << 12  # letters share a vector if their code points agree modulo this
 _GROUP = 64  # texts whose n-gram counts are multiplied at once
@@ -106,17 +107,38 @@ class Profiles:
     prototypes: np.ndarray  # one unit row for each language
 
 
+def _quota(sizes: list[int], most: int) -> int:
+    """The largest number of rows of each label, 1 at least, that gives ``most`` rows at most."""
+    left = most
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(1, most)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS) -> Profiles:
-    """Prototypes from the rows with a label and a text; about ``max_rows`` of them at most.
+    """Prototypes from distinct rows with a label and a text that has a letter, ``max_rows`` at most.
 
-    Which rows is decided by a hash of text and label alone. What reaches the driver has the size of
-    the prototypes. A label none of whose texts has a letter gets no prototype.
+    All are taken if they are so few; else every label gives its lowest hashes, the same number of
+    each label that has so many and at least one, so that a rare label is learnt from a table of any
+    size. What reaches the driver has the size of the prototypes.
     """
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(
         "_text IS NOT NULL AND _lang IS NOT NULL"
     )
-    step = max(1, -(-rows.count() // max_rows))
-    rows = rows.where(F.pmod(F.xxhash64("_lang", "_text"), F.lit(step)) == 0)
+    rows = rows.where(F.col("_text").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("_lang", "_text"))
+    hashes = stash(rows.select("_lang", "_hash").distinct(), "hashes")
+    sizes = {r["_lang"]: r["n"] for r in hashes.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    quota = _quota(list(sizes.values()), max_rows)
+    # hashes are spread evenly: those below the bound hold the quota's, and few more are sorted
+    part = {k: min(1.0, (quota + 10 * quota**0.5 + 20) / n) for k, n in sizes.items()}
+    bounds = [(k, min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63))) for k, x in part.items()]
+    low = hashes.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "_lang string, _bound long")), "_lang")
+    low = low.where("_hash <= _bound").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash")))
+    chosen = low.where(F.col("_rank") <= quota).select("_lang", "_hash")
+    rows = rows.join(F.broadcast(chosen), ["_lang", "_hash"]).dropDuplicates(["_lang", "_hash"]).select("_text", "_lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -494,6 +494,18 @@ def test_languages_are_told_apart_on_held_out_texts(spark):
     assert zlib.crc32(b"1") % 4 == spark.range(1).select(F.crc32(F.lit("1")) % 4).first()[0]
 
 
+def test_rare_labels_are_learnt_and_copies_count_once(spark):
+    assert langid._quota([3, 50, 1000], 100) == 48 and langid._quota([3, 4], 100) == 100 and langid._quota([9, 9, 9], 2) == 1
+    rows = [(f"the common words of text number {i} and others", "en") for i in range(3000)]
+    rows += [("dasselbe wieder", "de")] * 2000 + [(f"ein deutscher satz mit vielen worten {i}", "de") for i in range(40)]
+    rows += [("muy poco texto", "es"), ("12 34", "es"), ("99", "xx")]
+    profiles = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(7), max_rows=120)
+    assert profiles.languages == ("de", "en", "es")
+    german = langid.bundle([t for t, _ in {r: 0 for r in rows if r[1] == "de"}]).sum(axis=0)
+    assert profiles.prototypes[0] @ (german / np.linalg.norm(german)) > 0.999  # each text once, all 41 taken
+    assert profiles.prototypes[2] @ langid.bundle(["muy poco texto"])[0] > 0.999
+
+
 def test_language_edge_cases(spark, docs, none):
     profiles = langid.fit(docs)
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs.where("doc_id <> 11 OR doc_id IS NULL"), profiles).collect()}
