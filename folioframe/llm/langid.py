@@ -189,14 +189,15 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
 def keep_known(
     docs: DataFrame, min_score: float = 0.0, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS
 ) -> DataFrame:
-    """The rows of ``docs`` whose text resembles one of the languages learnt from its labelled rows.
+    """The rows of ``docs`` whose text has a language, by what is learnt from its labelled rows.
 
     Rejected are texts without letters, null texts, and texts whose cosine with every prototype is
-    ``min_score`` or less (0: nothing in common with any). All columns are kept as they are.
+    below ``min_score``. At 0 none is rejected by its cosine: those of unrelated texts lie about 0 by
+    chance, so that their sign tells nothing. All columns are kept as they are.
     """
     profiles = fit(docs, text_col, lang_col, max_rows)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(text_col).alias("_text"))
-    kept = predict(rows, profiles, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score))
+    kept = predict(rows, profiles, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return kept.select("_all.*")
 
 

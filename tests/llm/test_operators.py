@@ -506,6 +506,14 @@ def test_rare_labels_are_learnt_and_copies_count_once(spark):
     assert profiles.prototypes[2] @ langid.bundle(["muy poco texto"])[0] > 0.999
 
 
+def test_clean_texts_of_an_unlabelled_script_stay(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"plain english words of text number {i}", "en") for i in range(20)] + [(i, "12 34", None) for i in range(20, 25)]
+    rows += [(i, "".join(map(chr, rng.integers(0x4E00, 0x9F00, 40))), None) for i in range(100, 200)]
+    kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [*range(20), *range(100, 200)]
+
+
 def test_language_edge_cases(spark, docs, none):
     profiles = langid.fit(docs)
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs.where("doc_id <> 11 OR doc_id IS NULL"), profiles).collect()}
