@@ -36,7 +36,8 @@ PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), PIECES_MODEL, n=4, ids=False).drop("ids")
+    """The N best of every text, each decoded again in the task that found it."""
+    return encode(table(spark, sf_dir, "documents"), PIECES_MODEL, n=4, ids=False, decoded=True).drop("ids")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

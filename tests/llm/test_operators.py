@@ -359,15 +359,60 @@ def test_n_best_pieces(text):
         assert (score, tuple(ids.tolist())) in want and len(ids) == n and pieces.decode_ids(ids, v) == text
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_n_best_pieces_of_a_stretch_without_blanks(seed):
+    """Few letters and whole-number scores: many ties, all segmentations counted."""
+    v = pieces.Vocabulary.load(MODEL)
+    rng = np.random.default_rng(seed)
+    text = pieces.BLANK + "".join(rng.choice(list("aeinst日"), 11))
+    want = all_segmentations(text, v)
+    for n in (1, 3, 40):
+        got = pieces.n_best(text, v, n)
+        assert [s for s, _ in got] == [s for s, _ in want[:n]] and len({p for _, p in got}) == len(got)
+        assert all(p in {ids for _, ids in want} for _, p in got)
+
+
+def test_long_text_without_blanks_ends():
+    v = pieces.Vocabulary.load(MODEL)
+    text = "".join(np.random.default_rng(1).choice(list("abcdefghij"), 300_000))
+    got = pieces.Segmenter(v, 4)(text)
+    assert len(got) == 4 and len({raw for _, _, raw in got}) == 4
+    assert all(pieces.decode_ids(np.frombuffer(raw, "<i4"), v) == text for _, _, raw in got)
+
+
+def test_solved_stretches_are_bounded(monkeypatch):
+    v = pieces.Vocabulary.load(MODEL)
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 10_000)
+    monkeypatch.setattr(pieces, "SEARCHED_BYTES", 1_000)
+    segment = pieces.Segmenter(v, 3)
+    for i in range(200):
+        segment(f"word{i} other{i}")
+        assert segment.solved.bytes < 11_000 and segment.held < 2_000
+
+
 def test_encode_and_decode(spark, docs, none):
-    out = pieces.decode(pieces.encode(docs.where("doc_id <> 11"), MODEL, 3), MODEL)
+    out = pieces.decode(pieces.encode(docs, MODEL, 3), MODEL)
     texts = {}
     for r in awkward():
         texts.setdefault(r[0], set()).add(r[1] or "")
     rows = out.collect()
     assert all(r.decoded in texts[r.doc_id] for r in rows)
     assert {r.rank for r in rows if r.doc_id == 1} == {1, 2, 3} and {r.rank for r in rows if r.doc_id == 5} == {1}
+    assert {r.doc_id for r in rows} == {r[0] for r in awkward()}
     assert pieces.encode(none, MODEL).count() == 0
+    checked = pieces.encode(docs, MODEL, 3, ids=False, decoded=True).collect()
+    assert all(r.round_trip and r.ids is None for r in checked)
+    assert sorted((str(r.doc_id), r.rank, r.ids_sha256) for r in checked) == sorted((str(r.doc_id), r.rank, r.ids_sha256) for r in rows)
+    sums = {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in awkward()}
+    assert {r.text_sha256 for r in checked} == sums
+
+
+def test_decoding_many_lists_is_decoding_each():
+    v = pieces.Vocabulary.load(MODEL)
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(3, 32_000, k).tolist() for k in (0, 1, 5, 40)] + [None, [], rng.integers(3, 259, 30).tolist()]
+    got = pieces.decode_lists(pieces.pa.array(lists, pieces.pa.list_(pieces.pa.int32())), v).to_pylist()
+    assert got == [None if x is None else pieces.decode_ids(np.array(x, int), v) for x in lists]
 
 
 # ------------------------------------------------------------------ web pages
