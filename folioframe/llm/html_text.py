@@ -2,8 +2,11 @@
 
 A page is read as a stream of the standard library's parser events into lines (blocks of text) with
 their text length and number of tags. The ratios of text to tags are smoothed with a Gaussian and
-split by a threshold into content and clutter; the content lines vote for the element that holds
-the article, and the lines of that element are the text.
+split by a threshold into content and clutter. The content lines choose the region: the smallest
+element around all of them and the title, or an article element that holds nearly all of them. At the
+region's ends, before its first and after its last content line, blocks that are not of the content
+lines' kind go. Elements that are clutter by their tag or their class leave no text, unless they turn
+out to be around the content.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,10 +36,11 @@ INLINE = frozenset(
     " span strike strong sub sup time tt u var wbr".split()
 )
 CONTAINERS = frozenset("body html main article section div td center table tbody tr".split())
+ARTICLES = frozenset(["article", "main"])
 CLOSED_BY_BLOCK = frozenset(["p"])
 #: Whatever their class says, these are not clutter: a word there is about what is around or inside.
 NEVER_MARKED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark menus, notices, adverts, comments and the like.
+#: Whole names in class, id or role that mark menus, notices, adverts, comments and the like.
 CLUTTER_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu"
@@ -43,6 +48,16 @@ CLUTTER_WORDS = frozenset(
     " social gdpr paywall adsense adslot adbox related recommended recommendations trending comment comments commentlist disqus reply replies respond"
     " discussion pagination pager search copyright legal disclaimer complementary contentinfo".split()
 )
+#: Parts of a name that say where or what kind a marked element is; any other part makes the name another one.
+PLACE_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right inner outer post article blog user list box bar block area"
+    " section container wrap wrapper content links item items text unit panel sticky mini small large".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that belong to the text around them, whatever their ratio.
+PLAIN = frozenset("p li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tr td th address".split())
+#: Characters a tag at which a paragraph beyond the content lines is prose, too.
+PROSE = 20
 #: Smoothing of the ratios, as a standard deviation in lines, and where the kernel ends.
 SIGMA, RADIUS = 1.0, 3
 #: Part of the content lines' text that an article must hold to be chosen, and part of the text outside
@@ -59,6 +74,8 @@ class _Element:
     link: bool = False
     wrapper: bool = False  # marked, but perhaps around the whole page
     article: bool = False  # an article or main is inside
+    within: bool = False  # inside an article or main
+    head: bool = False  # an article's header: its headings are text
     votes: int = 0
     musts: int = 0
 
@@ -71,12 +88,19 @@ class _Line:
     linked: int  # characters inside links
 
 
-_SPLIT = re.compile(r"[^A-Za-z]+")
+_PARTS = re.compile(r"[^a-z]+")
+
+
+@lru_cache(1 << 14)
+def _clutter_name(name: str) -> bool:
+    """``ad``, ``top-menu`` or ``site_footer``, but not ``with-sidebar``, ``search-results`` or ``no-comments``."""
+    parts = {*_PARTS.split(name)} - {""}
+    return not CLUTTER_WORDS.isdisjoint(parts) and parts <= CLUTTER_WORDS | PLACE_WORDS
 
 
 def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
-        if value and name in ("class", "id", "role") and tag not in NEVER_MARKED and not CLUTTER_WORDS.isdisjoint(_SPLIT.split(value.lower())):
+        if value and name in ("class", "id", "role") and tag not in NEVER_MARKED and any(map(_clutter_name, value.lower().split())):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -121,8 +145,10 @@ class _Lines(HTMLParser):
         up = self.at
         marked = tag in CLUTTER or _marked(tag, attrs)
         wrapper = marked and (tag == "form" or tag not in CLUTTER) and tag not in INLINE
-        self.at = _Element(tag, up, up.clutter or marked and not wrapper, up.depth + 1, up.link or tag == "a", wrapper)
-        if tag in ("article", "main") and not self.at.clutter:
+        clutter = up.clutter and not (up.head and tag in HEADINGS) or marked and not wrapper
+        head = tag == "header" and up.within and not up.clutter or up.head and not marked
+        self.at = _Element(tag, up, clutter, up.depth + 1, up.link or tag == "a", wrapper, within=up.within or tag in ARTICLES, head=head)
+        if tag in ARTICLES and not self.at.clutter:
             e: _Element | None = up
             while e is not None:
                 e.article = True
@@ -135,7 +161,7 @@ class _Lines(HTMLParser):
         e = self.at
         while e.parent is not None and e.tag != tag:
             # an inline end tag can't close a block, nor any tag the article or body around it
-            if (tag in INLINE and e.tag not in INLINE) or (e.tag in ("body", "article", "main") and tag not in ("html", "body")):
+            if (tag in INLINE and e.tag not in INLINE) or ((e.tag == "body" or e.tag in ARTICLES) and tag not in ("html", "body")):
                 return
             e = e.parent
         if e.parent is not None:
@@ -211,10 +237,51 @@ def _threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _in_title(e: _Element | None) -> bool:
-    while e is not None and e.tag != "h1":
+def _above(e: _Element | None) -> Iterator[_Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def _region(lines: list[tuple[_Line, bool]]) -> _Element | None:
+    """The article that holds nearly all of the content, or else the deepest container of all of it and of the title."""
+    total = musts = 0
+    for x, content in lines:
+        size = len(x.text) if content else 0
+        must = int(content or any(e.tag == "h1" for e in _above(x.element)))
+        total += size
+        musts += must
+        for e in _above(x.element):
+            e.votes += size
+            e.musts += must
+    found = [e for x, _ in lines for e in _above(x.element) if e.tag in CONTAINERS and (e.musts == musts or e.tag in ARTICLES and e.votes >= SHARE * total)]
+    return max(found, key=lambda e: (e.tag in ARTICLES, e.depth), default=None)
+
+
+def _branch(x: _Line, top: _Element | None) -> tuple[str, bool] | None:
+    """Tag of the element under ``top`` that the line is in, and whether the line is all of it; None if there is none."""
+    e: _Element | None = x.element
+    if e is top:
+        return None
+    leaf = True
+    while e is not None and e.parent is not top:
+        leaf = leaf and e.tag in INLINE
         e = e.parent
-    return e is not None
+    return (e.tag, leaf) if e is not None else None
+
+
+def _at_the_end(x: _Line, top: _Element | None, kinds: set, before: bool) -> bool:
+    """Whether a line beyond the content lines belongs to the text."""
+    in_article = top is not None and (top.within or top.tag in ARTICLES)
+    if 2 * x.linked > len(x.text):  # made of links
+        return in_article and x.element.tag in ("p", "a") and any(e.tag == "p" for e in _above(x.element))
+    heading = any(e.tag in HEADINGS for e in _above(x.element))
+    if in_article or heading:
+        return in_article or before
+    kind = _branch(x, top)
+    if kind is None or kind[0] in PLAIN or kind[0] in INLINE or kind in kinds:
+        return True
+    return len(x.text) >= PROSE * max(1, x.tags) and any(e.tag == "p" for e in _above(x.element))
 
 
 def main_text(html: str | None) -> str:
@@ -227,40 +294,14 @@ def main_text(html: str | None) -> str:
         return ""
     smooth = _smooth([len(x.text) / max(1, x.tags) for x in lines])
     bound = min(_threshold(smooth), max(smooth))
-    total = musts = 0
-    for x, ratio in zip(lines, smooth):
-        content = len(x.text) if ratio >= bound else 0
-        e: _Element | None = x.element
-        must = int(content > 0 or _in_title(e))
-        total += content
-        musts += must
-        while e is not None:
-            e.votes += content
-            e.musts += must
-            e = e.parent
-    chosen = None
-    for x in lines:  # the article that holds most of the content, or the deepest container of all of it and of the title
-        e = x.element
-        while e is not None:
-            article = e.tag in ("article", "main")
-            if (e.votes >= SHARE * total if article else e.musts == musts) and e.tag in CONTAINERS:
-                rank = (article, e.depth)
-                if chosen is None or rank > chosen[0]:
-                    chosen = (rank, e)
-            e = e.parent
-    top = chosen[1] if chosen else None
-    inside = []
-    for x, ratio in zip(lines, smooth):
-        e = x.element
-        while e is not None and e is not top:
-            e = e.parent
-        if top is None or e is top:
-            inside.append((x, ratio >= bound))
-    # Before the first and after the last content line, lines made of links are menus without a mark.
+    judged = [(x, ratio >= bound) for x, ratio in zip(lines, smooth)]
+    top = _region(judged)
+    inside = [(x, content) for x, content in judged if top is None or any(e is top for e in _above(x.element))]
     sure = [i for i, (_, content) in enumerate(inside) if content]
-    first, last = (sure[0], sure[-1]) if sure else (0, len(inside))
+    first, last = (sure[0], sure[-1]) if sure else (0, len(inside) - 1)
+    kinds = {kind for x, content in inside if content and (kind := _branch(x, top)) and kind[1]}
     return "\n".join(
-        x.text for i, (x, _) in enumerate(inside) if first <= i <= last or 2 * x.linked <= len(x.text)
+        x.text for i, (x, _) in enumerate(inside) if first <= i <= last or _at_the_end(x, top, kinds, i < first)
     )
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid, packing, pieces, simhash, substring, urlfilter, vafile, warc
+from folioframe.llm import html_text, langid, packing, pieces, simhash, substring, urlfilter, vafile, warc
 from folioframe.llm.components import components
 from folioframe.llm.content_sort import drop_copies, mark_copies
 from folioframe.llm.html_text import extract, main_text
@@ -461,6 +461,43 @@ def test_main_text_inside_a_wrapper(wrapper):
     assert got.split("\n") == ["The title", LONG.strip(), LONG.strip()]
 
 
+SAID = ["First paragraph of the article, which goes on for long enough to look like the prose it is.", "Second paragraph, with as many words as the first one, or some more of them perhaps.", "Third and last paragraph; the article ends with it, and nothing is said after that."]
+PROSE = "".join(f"<p>{x}</p>" for x in SAID)
+LINKS = "<div><a href=a>One thing</a> <a href=b>Another thing</a> <a href=c>More of them</a></div>"
+#: Pages marked by hand: the blocks that are the article.
+MARKED = {
+    "with-sidebar": (f"<div class='content with-sidebar'><h1>Title</h1>{PROSE}</div><div class=sidebar><p>{LONG}</p></div>", ["Title", *SAID]),
+    "comments-open": (f"<div class='post comments-open'><h1>Title</h1>{PROSE}</div><div class='post-comments'><p>{LONG}</p></div>", ["Title", *SAID]),
+    "no-sidebar": (f"<div id=page class='no-sidebar'><div class='search-results'><h1>Title</h1>{PROSE}</div></div>", ["Title", *SAID]),
+    "has-share": (f"<section class='has-share'><h1>Title</h1>{PROSE}<div class='share-buttons-list social'>Tell others</div></section>", ["Title", *SAID]),
+    "half of the page has a class word": (f"<div><h1>Title</h1>{PROSE}</div><div class='search-results'>{PROSE}</div>", ["Title", *SAID, *SAID]),
+    "list-heavy": (f"<h1>Recipe</h1>{PROSE}<ul><li>Two eggs</li><li>Some flour</li><li>A cup of milk</li></ul>{LINKS}", ["Recipe", *SAID, "Two eggs", "Some flour", "A cup of milk"]),
+    "table layout": (f"<table><tr><td><a href=a>Home</a><br><a href=b>News</a><br><a href=c>Sport</a></td><td><h1>Title</h1>{PROSE}</td><td><a href=d>Shop</a></td></tr></table>", ["Title", *SAID]),
+    "header in article": (f"<article><header><h1>Title</h1><span>By the author</span><nav><h2>Parts</h2></nav></header>{PROSE}<footer>Filed under</footer></article>", ["Title", *SAID]),
+    "short end in article": (f"<article><h1>Title</h1>{PROSE}<p>End.</p></article>", ["Title", *SAID, "End."]),
+    "linked end": (f"<article><h1>Title</h1>{PROSE}<p><a href=x>The whole study</a></p><div><a href=y>Next article</a></div></article>", ["Title", *SAID, "The whole study"]),
+    "unmarked menu and imprint": (f"{LINKS}<div><h1>Title</h1>{PROSE}</div><div>All rights reserved</div>", ["Title", *SAID]),
+    "unmarked notices": (f"<div><span>Welcome, guest</span></div><h1>Title</h1>{PROSE}<div><span>Example Ltd</span> <span>Some road 1</span></div>{LINKS}", ["Title", *SAID]),
+    "unmarked box beside the text": (f"<div><div><h1>Title</h1>{PROSE}</div><div><b>Weather</b> <i>mild</i><br>12 degrees</div></div>", ["Title", *SAID]),
+    "paragraphs of divs": ("".join(f"<div>{x}</div>" for x in SAID) + "<div>End.</div>", [*SAID, "End."]),
+    "nested articles of a list": (f"<main><article><h2>One</h2>{PROSE}</article><article><h2>Two</h2>{PROSE}</article></main>", ["One", *SAID, "Two", *SAID]),
+    "hidden": (f"<div hidden><p>{LONG}</p></div><h1>Title</h1>{PROSE}<p aria-hidden=true>{LONG}</p>", ["Title", *SAID]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(MARKED))
+def test_marked_pages(name):
+    body, blocks = MARKED[name]
+    assert main_text(f"<html><head><title>T</title></head><body>{body}</body></html>").split("\n") == blocks
+
+
+def test_the_ratios_decide(monkeypatch):
+    """With every line taken for content, the unmarked pages come out otherwise."""
+    monkeypatch.setattr(html_text, "_threshold", lambda values: -np.inf)
+    changed = {name for name, (body, blocks) in MARKED.items() if main_text(f"<body>{body}</body>").split("\n") != blocks}
+    assert changed >= {"unmarked menu and imprint", "unmarked notices", "unmarked box beside the text", "table layout"}
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>Words</p></article>", 5), (1, "u", "<article><p>Words</p></article>", 5), (2, None, None, 6), (None, "v", "<p>" + "long " * 50_000 + "</p>", 7)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
