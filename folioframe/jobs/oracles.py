@@ -204,3 +204,38 @@ def hac(by: str, lag: int, src: str = "series", value: str = "value") -> str:
     gs AS (SELECT *{lags} FROM dm),
     hac AS (SELECT *, mean / nullif(se, 0) AS t FROM (
         SELECT {by}, count(*) AS n, avg({value}) AS mean, sqrt({spread}) / count(*) AS se FROM gs GROUP BY {by}))"""
+
+
+def normal_p(t: str) -> str:
+    """Two-sided normal tail of ``t``: one less twice the density times the series z^(2k+1) / (2k+1)!!."""
+    z = f"abs({t})"
+    term = f"exp((2 * k + 1) * ln({z}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))"
+    tail = f"greatest(1 - 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: {term})), 0)"
+    return f"CASE WHEN {t} IS NULL THEN NULL WHEN {z} = 0 THEN 1.0 WHEN {z} > 8 THEN 0.0 ELSE {tail} END"
+
+
+def student_p(t: str, df: str) -> str:
+    """Two-sided tail of Student's t at whole degrees of freedom, by the finite sums over powers of the cosine."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"exp(lgamma(2 * k + 1) - k * ln(4) - 2 * lgamma(k + 1) + 2 * k * ln(cos({angle})))"
+    odd = f"exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + 2 * k * ln(cos({angle})))"
+    total = lambda n, term: f"coalesce(list_sum(list_transform(range(0, {n}), lambda k: {term})), 0)"
+    inside = f"""CASE WHEN {df} % 2 = 0 THEN sin({angle}) * {total(f'{df} // 2', even)}
+        ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {total(f'greatest(({df} - 1) // 2, 0)', odd)}) END"""
+    return f"CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0 ELSE greatest(1 - ({inside}), 0) END"
+
+
+def alpha(by: str, lag: int, src: str = "j") -> str:
+    """Common table expression ``al`` (by, alpha, alpha_t) of y on x1 and x2 in ``src`` (by, date, y, x1, x2): normal
+    equations solved by cofactors, and the Newey-West variance of the constant from its influence ``u`` of each date."""
+    lags = "".join(f", u * lag(u, {k}) OVER (PARTITION BY {by} ORDER BY date) AS g{k}" for k in range(1, lag + 1))
+    spread = "sum(u * u)" + "".join(f" + {2 * (1 - k / (lag + 1))!r} * coalesce(sum(g{k}), 0.0)" for k in range(1, lag + 1))
+    return f"""jx AS (SELECT * FROM {src} WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+    m1 AS (SELECT {by}, CAST(count(*) AS DOUBLE) AS n, sum(x1) AS a, sum(x2) AS b, sum(x1 * x1) AS aa, sum(x1 * x2) AS ab, sum(x2 * x2) AS bb,
+                  sum(y) AS y0, sum(x1 * y) AS y1, sum(x2 * y) AS y2 FROM jx GROUP BY {by}),
+    m2 AS (SELECT *, aa * bb - ab * ab AS c00, ab * b - a * bb AS c01, a * ab - aa * b AS c02, n * bb - b * b AS c11, a * b - n * ab AS c12, n * aa - a * a AS c22 FROM m1),
+    m3 AS (SELECT *, n * c00 + a * c01 + b * c02 AS det FROM m2),
+    m4 AS (SELECT *, (c00 * y0 + c01 * y1 + c02 * y2) / det AS b0, (c01 * y0 + c11 * y1 + c12 * y2) / det AS b1, (c02 * y0 + c12 * y1 + c22 * y2) / det AS b2 FROM m3),
+    u0 AS (SELECT {by}, date, b0, (y - b0 - b1 * x1 - b2 * x2) * (c00 + c01 * x1 + c02 * x2) / det AS u FROM jx JOIN m4 USING ({by})),
+    u1 AS (SELECT *{lags} FROM u0),
+    al AS (SELECT {by}, max(b0) AS alpha, max(b0) / sqrt({spread}) AS alpha_t FROM u1 GROUP BY {by})"""

@@ -279,30 +279,64 @@ def hac_mean(spark, sf_dir):
     return rounded(inference.hac_mean(_series(spark, sf_dir), ["series"], 3))
 
 
-@register("hac_alpha")
+#: Equal- and value-weighted market series, the latter without its first date.
+_FACTORS = """lgf AS (SELECT *, lag("VW") OVER (PARTITION BY "ID" ORDER BY date) AS lw FROM panel),
+    fv AS (SELECT date, sum(ret * lw) / nullif(sum(lw), 0) AS x2 FROM lgf WHERE lw IS NOT NULL AND ret IS NOT NULL GROUP BY date),
+    fac AS (SELECT date, x1, x2 FROM (SELECT date, avg(ret) AS x1 FROM panel GROUP BY date) JOIN fv USING (date))"""
+
+
+def _market_factors(panel: DataFrame) -> DataFrame:
+    both = {"mkt": factors.market_ew(panel), "mktv": factors.market_vw(panel)}
+    return both["mkt"].withColumnRenamed("value", "mkt").join(both["mktv"].withColumnRenamed("value", "mktv"), "date")
+
+
+def _alpha_sql(by: str, lag: int) -> str:
+    """From ``series`` and ``fac``: the columns of ``hac_alpha``."""
+    return f"""j AS (SELECT series.*, value AS y, x1, x2 FROM series JOIN fac USING (date)), {sql.hac(by, lag, "j")}, {sql.alpha(by, lag)}
+    SELECT {by}, n, {sql.r('mean', 'mean')}, {sql.r('t', 't')}, {sql.r(sql.normal_p('t'), 'p')}, {sql.r('alpha', 'alpha')}, {sql.r('alpha_t', 'alpha_t')},
+           {sql.r(sql.normal_p('alpha_t'), 'alpha_p')} FROM hac JOIN al USING ({by})"""
+
+
+@register("hac_alpha", f"WITH {_SERIES}, {_FACTORS}, {_alpha_sql('series', 2)}")
 def hac_alpha(spark, sf_dir):
-    panel = demo_panel.load(spark, sf_dir)
-    market = factors.market_ew(panel).withColumnRenamed("value", "mkt").join(factors.market_vw(panel).withColumnRenamed("value", "mktv"), "date")
+    market = _market_factors(demo_panel.load(spark, sf_dir))
     return rounded(inference.hac_alpha(_series(spark, sf_dir), market, ["mkt", "mktv"], ["series"], 2))
 
 
-@register("hac_mean_p_values")
+_TRIMMED = sql.filtered("trim", 0.5)
+
+
+@register("strategy_alphas", f"""WITH {sql.sort("supplier", "disc", 5, f=_TRIMMED[0], match=_TRIMMED[1], ep=True)}, {sql.ls(5)}, {_FACTORS},
+    series AS (SELECT regime, 'ew' AS weighting, date, ew AS value FROM ls UNION ALL SELECT regime, 'vw', date, vw FROM ls),
+    {_alpha_sql('regime, weighting', 1)}""")
+def strategy_alphas(spark, sf_dir):
+    """Alphas of the long-short series with and without look-ahead."""
+    panel = demo_panel.load(spark, sf_dir)
+    s = Strategy(panel, SortSpec("disc", 5, filter=FilterSpec("trim", 0.5)))
+    return rounded(s.get_alphas(_market_factors(panel), ["mkt", "mktv"], 1))
+
+
+@register("hac_mean_p_values", f"""WITH {_SERIES}, {sql.hac("series", 1)}
+    SELECT series, n, {sql.r('mean', 'mean')}, {sql.r('se', 'se')}, {sql.r('t', 't')}, {sql.r(sql.normal_p('t'), 'p')} FROM hac""")
 def hac_mean_p_values(spark, sf_dir):
     return rounded(inference.with_normal_p(inference.hac_mean(_series(spark, sf_dir), ["series"], 1)))
 
 
-@register("strategy_summary", f"""WITH {sql.sort("supplier", "disc", 5)}, {sql.turnover(1)}, {sql.ls(5)},
+@register("strategy_summary", f"""WITH {sql.sort("supplier", "disc", 5, chars=_CH)}, {sql.turnover(1)}, {sql.ls(5)}, {sql.chars(_CH, 1)},
     every AS (SELECT 'long_short' AS series, regime, date, ew, vw FROM ls
               UNION ALL SELECT CASE WHEN ptf = 5 THEN 'long' ELSE 'short' END, regime, date, ew, vw FROM res WHERE ptf IN (1, 5)
               UNION ALL SELECT 'ptf_' || ptf, regime, date, ew, vw FROM res),
     series AS (SELECT series, regime, 'ew' AS weighting, date, ew AS value FROM every UNION ALL SELECT series, regime, 'vw', date, vw FROM every),
     {sql.hac("series, regime, weighting", 0)},
     mt AS (SELECT 'ptf_' || ptf AS series, regime, 'ew' AS weighting, avg(ew) * 100 AS turnover FROM turn GROUP BY ALL
-           UNION ALL SELECT 'ptf_' || ptf, regime, 'vw', avg(vw) * 100 FROM turn GROUP BY ALL)
-    SELECT series, regime, weighting, n, {sql.r('mean * 100', 'mean')}, {sql.r('se * 100', 'se')}, {sql.r('t', 't')}, {sql.r('turnover', 'turnover')}
-    FROM hac LEFT JOIN mt USING (series, regime, weighting)""")
+           UNION ALL SELECT 'ptf_' || ptf, regime, 'vw', avg(vw) * 100 FROM turn GROUP BY ALL),
+    mch AS (SELECT 'ptf_' || ptf AS series, regime, w.weighting, {', '.join(f"avg(CASE WHEN char = '{c}' THEN CASE w.weighting WHEN 'ew' THEN ew ELSE vw END END) AS char_{c}" for c in _CH)}
+           FROM ch CROSS JOIN (VALUES ('ew'), ('vw')) w(weighting) GROUP BY ALL)
+    SELECT series, regime, weighting, n, {sql.r('mean * 100', 'mean')}, {sql.r('se * 100', 'se')}, {sql.r('t', 't')}, {sql.r(sql.normal_p('t'), 'p')},
+           {sql.r('turnover', 'turnover')}, {', '.join(sql.r(f'char_{c}', f'char_{c}') for c in _CH)}
+    FROM hac LEFT JOIN mt USING (series, regime, weighting) LEFT JOIN mch USING (series, regime, weighting)""")
 def strategy_summary(spark, sf_dir):
-    return rounded(summary.summary(strategy(spark, sf_dir, SortSpec("disc", 5, turnover=True))))
+    return rounded(summary.summary(strategy(spark, sf_dir, SortSpec("disc", 5, turnover=True, chars=_CH))))
 
 
 @register("sharpe", f"""WITH {_SERIES}, m AS (SELECT series, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM series GROUP BY series)
@@ -348,21 +382,25 @@ def corr_sources(spark, sf_dir):
 PAIRS = (("raw", "trim"), ("raw", "price"), ("trim", "price"))
 
 
-@register("paired_t", f"""WITH s AS ({_sources()}), pr(a, b) AS (VALUES {', '.join(str(p) for p in PAIRS)}),
+_PAIRED = f"""s AS ({_sources()}), pr(a, b) AS (VALUES {', '.join(str(p) for p in PAIRS)}),
     d AS (SELECT x.series, pr.a || '-' || pr.b AS pair, x.value - y.value AS d FROM pr JOIN s x ON x.source = pr.a
           JOIN s y ON y.source = pr.b AND y.series = x.series AND y.date = x.date WHERE x.value IS NOT NULL AND y.value IS NOT NULL),
-    g AS (SELECT series, pair, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM d GROUP BY series, pair)
-    SELECT series, pair, n, {sql.r('m', 'mean_diff')}, {sql.r('m * sqrt(n) / nullif(sd, 0)', 't')} FROM g""")
+    g AS (SELECT *, m * sqrt(n) / nullif(sd, 0) AS t FROM (SELECT series, pair, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM d GROUP BY series, pair))"""
+
+
+@register("paired_t", f"WITH {_PAIRED} SELECT series, pair, n, {sql.r('m', 'mean_diff')}, {sql.r('t', 't')} FROM g")
 def paired_t(spark, sf_dir):
     return rounded(inference.paired_t(sources(spark, sf_dir), PAIRS, ["series"]))
 
 
-@register("paired_t_p_values")
+@register("paired_t_p_values", f"""WITH {_PAIRED} SELECT series, pair, n, {sql.r('m', 'mean_diff')}, {sql.r('t', 't')},
+    {sql.r(sql.student_p('t', '(n - 1)'), 'p')} FROM g""")
 def paired_t_p_values(spark, sf_dir):
     return rounded(inference.with_student_p(inference.paired_t(sources(spark, sf_dir), PAIRS, ["series"])))
 
 
-@register("significant_differences")
+@register("significant_differences", f"""WITH {_PAIRED} SELECT pair, count(*) FILTER (WHERE {sql.student_p('t', '(n - 1)')} <= 0.05) AS significant
+    FROM g GROUP BY pair""")
 def significant_differences(spark, sf_dir):
     tests = inference.with_student_p(inference.paired_t(sources(spark, sf_dir), PAIRS, ["series"]))
     return inference.count_significant(tests, ["pair"])
@@ -497,26 +535,74 @@ GRID = tuple(
 )
 
 
-def _grid_sql() -> str:
+def _grid_sql(specs: tuple[SortSpec, ...], kind: str = "supplier") -> str:
     parts = []
-    for s in GRID:
-        f, match = sql.filtered(s.filter.adj, s.filter.level, s.filter.location)
-        ctes = sql.sort("supplier", "signal", 5, f=f, match=match, prep=sql.momentum(3, 1, "ret_adj"), ep=True)
-        parts.append(f"SELECT '{s.name}' AS spec, * FROM ({sql.long_short(ctes, 5)})")
+    for s in specs:
+        f, match = sql.filtered(s.filter.adj, s.filter.level, s.filter.location) if s.filter else (_f, "true")
+        ret = "ret_adj" if s.filter else "ret"
+        prep = "prep AS (SELECT * FROM f)"
+        if isinstance(s.signal, Momentum):
+            prep = sql.momentum(s.signal.window, s.signal.skip, ret)
+        if isinstance(s.signal, Reversal):
+            prep = sql.reversal(s.signal.window, s.signal.skip, ret)
+        ratings = {None: "true", "IG": '"RATING_NUM" BETWEEN 1 AND 10', "NIG": '"RATING_NUM" > 10 AND "RATING_NUM" <= 22'}
+        signal = f'"{s.signal}"' if isinstance(s.signal, str) else s.signal_name
+        ctes = sql.sort(
+            kind, signal, s.nport, s.holding, f=f, match=match, prep=prep, ep=s.filter is not None, rating=ratings[s.rating],
+            dynamic=s.dynamic_weights, signal2=s.signal2, n2=s.nport2, how=s.how,
+        )
+        if s.banding is not None:
+            ctes = ctes.replace(sql.returns(s.holding), sql.banded(s.nport, s.banding, s.holding) + ", " + sql.returns(s.holding, "band"))
+        one = sql.long_short(ctes, s.nport, s.nport2)
+        parts.append(f"SELECT '{s.name}' AS spec, * FROM ({one.replace('WITH ', 'WITH RECURSIVE ', 1) if s.banding is not None else one})")
     return " UNION ALL ".join(parts)
 
 
-@register("grid_long_short", _grid_sql())
+@register("grid_long_short", _grid_sql(GRID))
 def grid_long_short(spark, sf_dir):
     return rounded(long_short_grid(demo_panel.load(spark, sf_dir), GRID))
 
 
-@register("grid_wide")
+_EA = [f"max(CASE WHEN spec = '{s.name}' THEN ew END) AS \"{s.name}\"" for s in GRID]
+
+
+@register("grid_wide", f"SELECT date, {', '.join(_EA)} FROM ({_grid_sql(GRID)}) WHERE regime = 'ea' GROUP BY date")
 def grid_wide(spark, sf_dir):
     long = long_short_grid(demo_panel.load(spark, sf_dir), GRID).where("regime = 'ea'")
     return rounded(files.wide(long.withColumnRenamed("ew", "value"), [s.name for s in GRID]))
 
 
+#: Filters by the dozen, and how long portfolios are held.
+SWEEP = tuple(
+    SortSpec(Momentum(3, 1), 5, K, filter=f)
+    for K in (1, 3)
+    for f in (
+        *[FilterSpec("trim", x) for x in (0.2, 0.3, 0.4, 0.5, 0.6, -0.5, -0.4, -0.3)], *[FilterSpec("trim", (-x, x)) for x in (0.3, 0.5)],
+        *[FilterSpec("price", x) for x in (150, 200, 20, 40)], *[FilterSpec("bounce", x) for x in (-0.1, -0.05, 0.05, 0.1)],
+        *[FilterSpec("wins", 98, x) for x in ("left", "right")], None,
+    )
+)
+
+
+@register("grid_sweep", _grid_sql(SWEEP))
+def grid_sweep(spark, sf_dir):
+    """Forty-two strategies: what is left of a momentum strategy under each cleaning."""
+    return rounded(long_short_grid(demo_panel.load(spark, sf_dir), SWEEP))
+
+
+#: Ratings, horizons, bands and second signals.
+MIXED = (
+    *[SortSpec("RATING_NUM", 3, K, filter=f) for K in (1, 2) for f in (None, FilterSpec("trim", 0.5))],
+    SortSpec("disc", 3, rating="IG"), SortSpec("disc", 4, 2, rating="NIG", dynamic_weights=True), SortSpec(Reversal(6, 2), 3, filter=FilterSpec("price", 150)),
+    *[SortSpec("disc", 5, 1, banding=w) for w in (1, 2)], SortSpec("disc", 3, 2, "qty", 3), SortSpec("disc", 3, 1, "lines", 2, "conditional"),
+)
+
+
+@register("grid_mixed", _grid_sql(MIXED, "part"))
+def grid_mixed(spark, sf_dir):
+    return rounded(long_short_grid(demo_panel.load(spark, sf_dir, "part"), MIXED))
+
+
 @register("equity_market_cap", f"""WITH {demo_panel.sql()} SELECT "ID", date,
     round(abs("PRICE") / qty * (lines * 1.3::DOUBLE * 1000.0::DOUBLE) / 1000000.0::DOUBLE, 8) + 0.0 AS me FROM panel""")
 def equity_market_cap(spark, sf_dir):
@@ -580,12 +666,12 @@ def mean_turnover(spark, sf_dir):
     return rounded(summary.mean_turnover(strategy(spark, sf_dir, SortSpec("disc", 5, 2, dynamic_weights=True, turnover=True))))
 
 
-@register("common_sample", f"""WITH {demo_panel.sql("part", "other")}, {demo_panel.sql()},
-    w AS (SELECT min(date) AS a, max(date) AS b FROM other WHERE "ID" % 7 = 3)
+@register("common_sample", f"""WITH {demo_panel.sql()}, w AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders)
     SELECT date, {sql.r('avg(ret)', 'value')} FROM panel, w WHERE date BETWEEN a AND b GROUP BY date""")
 def common_sample(spark, sf_dir):
-    window = demo_panel.load(spark, sf_dir, "part").where("ID % 7 = 3")
-    return rounded(factors.common_sample(factors.market_ew(demo_panel.load(spark, sf_dir)), window))
+    """The market over the months that orders span: shipments go on after the last order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"))
+    return rounded(factors.common_sample(factors.market_ew(demo_panel.load(spark, sf_dir)), orders))
 
 
 @register("vendor_panel", f"""WITH {demo_panel.sql()} SELECT "ID" AS "ISSUE_ID", date AS "DATE", {sql.r('"PRICE" * qty / 1000', 'VW')}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.quantiles import expanding_percentiles
+from folioframe.operators.quantiles import expanding_percentiles, full_percentiles
 from folioframe.operators.signals import by_id
 from folioframe.spec import RATINGS, FilterSpec
 
@@ -32,26 +35,59 @@ def _high(f: FilterSpec, match: bool = False) -> bool:
     return f.level >= 0
 
 
-def add_filtered(panel: DataFrame, f: FilterSpec, pool: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Bounds:
+    """Winsorising bounds of several levels: one row for each date, and a number each for the whole sample."""
+
+    dated: DataFrame  # date, and a column for each level
+    full: dict[str, float | None]
+
+
+def _level(x: float) -> str:
+    return f"_b{x:g}".replace(".", "_")
+
+
+def find_bounds(pool: DataFrame, filters: Iterable[FilterSpec]) -> Bounds:
+    """Bounds of all winsorising ``filters`` at once. Runs here and now: two passes over the returns of ``pool``,
+    whatever the number of filters; only dates x levels numbers come back."""
+    filters = [f for f in filters if f.adj == "wins"]
+    ends = {_level(x): x / 100 for f in filters for x in (100 - f.level, f.level)}
+    own = {_level(x): x / 100 for f in filters if f.thresholds is None for x in (100 - f.level, f.level)}
+    returns = pool.select("date", "ret")
+    dated = expanding_percentiles(returns, "ret", own) if own else returns.select("date").distinct()
+    # Collected once, instead of being found again in each frame that the filter feeds.
+    return Bounds(pool.sparkSession.createDataFrame(dated.collect(), dated.schema), full_percentiles(returns, "ret", ends))
+
+
+def add_bounce(panel: DataFrame) -> DataFrame:
+    """The panel with ``bounce``, the return times the one of the ID's row before."""
+    return panel.withColumn("bounce", F.col("ret") * F.lag("ret").over(by_id()))
+
+
+def add_filtered(
+    panel: DataFrame, f: FilterSpec, pool: DataFrame | None = None, bounds: Bounds | None = None, bounced: bool = False
+) -> DataFrame:
     """The panel with ``ret_adj`` (no look-ahead), ``ret_adj_ep`` (with it) and ``out``.
 
     Rows that trimming, price or bounce-back exclusion take out have a null ``ret_adj``; ``out`` tells
-    them, or, for winsorising, the rows that sit at a full-sample bound. Bounds come from ``pool``, a
-    frame of the same returns, if given (one that is cheaper to read again).
+    them, or, for winsorising, the rows that sit at a full-sample bound. Winsorising takes ``bounds``, or
+    has them found (at once) in ``pool``, a frame of the same returns that is cheaper to read, or ``panel``.
+    ``bounced`` tells that the panel is from :func:`add_bounce` already.
     """
-    if f.adj == "bounce":
-        panel = panel.withColumn("bounce", F.col("ret") * F.lag("ret").over(by_id()))
+    if f.adj == "bounce" and not bounced:
+        panel = add_bounce(panel)
     if f.adj != "wins":
         kept = F.when(~_outside(_watched(f), f.level, _high(f)), F.col("ret"))
         out = F.col("ret").isNotNull() & _outside(_watched(f), f.level, _high(f))
         return panel.withColumns({"ret_adj": kept, "ret_adj_ep": kept, "out": out})
-    low, high, pool = 100 - f.level, f.level, panel if pool is None else pool
-    bounds = expanding_bounds(pool, low, high) if f.thresholds is None else given_bounds(f.thresholds, low, high)
-    # One row for each date, and one row: found once here, instead of in each frame that the filter feeds.
-    bounds = panel.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
-    ahead = pool.agg(F.percentile("ret", low / 100), F.percentile("ret", high / 100)).first()
-    both = panel.join(F.broadcast(bounds), "date", "left").withColumns(
-        {n: F.lit(x).cast("double") for n, x in zip(("_lo_ep", "_hi_ep"), ahead)}
+    low, high = 100 - f.level, f.level
+    bounds = bounds or find_bounds(panel if pool is None else pool, [f])
+    if f.thresholds is None:
+        dated = bounds.dated.select("date", F.col(_level(low)).alias("_lo"), F.col(_level(high)).alias("_hi"))
+    else:
+        dated = given_bounds(f.thresholds, low, high)
+    both = panel.join(F.broadcast(dated), "date", "left").withColumns(
+        {n: F.lit(bounds.full[_level(x)]).cast("double") for n, x in (("_lo_ep", low), ("_hi_ep", high))}
     )
     both = both.withColumns(
         {"ret_adj": _clipped(f.location, "_lo", "_hi"), "ret_adj_ep": _clipped(f.location, "_lo_ep", "_hi_ep")}

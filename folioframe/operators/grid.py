@@ -1,9 +1,10 @@
-"""Many strategies over one panel in one plan.
+"""Many strategies over one panel.
 
-Specs that differ only in a filter on rows (no new signal from filtered returns) share the panel's
-dealing by ID and all look-ups; each spec adds one copy of the eligible rows, keyed by its number, so
-that breakpoints are found for (spec, date) at once. Momentum and reversal on filtered returns need
-windows of their own, which use the same dealing.
+The panel is written once, the bounds of all winsorising filters are found together, and single sorts
+without bands that are alike in portfolios, holding period and weights share plans: the panel is dealt
+by ID once for a plan, the windows of all its signals and look-ups go over that dealing, and each spec
+adds one copy of the eligible rows, keyed by its number, so that breakpoints are found for (spec, date)
+at once. Double sorts and banded ones are planned one by one over the same written panel.
 """
 
 from __future__ import annotations
@@ -13,66 +14,92 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.filters import add_filtered, in_rating, in_universe
+from folioframe.operators.filters import Bounds, add_bounce, add_filtered, find_bounds, in_rating, in_universe
 from folioframe.operators.quantiles import add_bin
-from folioframe.operators.signals import add_signal
-from folioframe.operators.strategy import all_or_null, at_offset
-from folioframe.spec import SortSpec
+from folioframe.operators.signals import add_signals
+from folioframe.operators.strategy import Strategy, all_or_null, at_offset
+from folioframe.sources.files import written
+from folioframe.spec import FilterSpec, SortSpec
 
 #: Specs in one plan at most: each holds a few columns of the widened panel.
-CHUNK = 32
+CHUNK = 64
 
 
 def long_short_grid(panel: DataFrame, specs: Sequence[SortSpec]) -> DataFrame:
-    """(spec, date, regime, ew, vw) of single sorts with equal holding and portfolio number, in long form."""
-    parts = [_chunk(panel, specs[i : i + CHUNK]) for i in range(0, len(specs), CHUNK)]
+    """(spec, date, regime, ew, vw): long-short series of all ``specs`` in long form, by :attr:`SortSpec.name`.
+
+    Specs may differ in anything; two of the same name are refused. Without a filter a spec has regime
+    ``ea`` alone. The panel is written, and bounds are found, when this is called.
+    """
+    if len({s.name for s in specs}) < len(specs):
+        raise ValueError("two specs of a grid have the same name")
+    panel = written(panel, "grid-panel")
+    wins = [s.filter for s in specs if s.filter and s.filter.adj == "wins"]
+    bounds = find_bounds(panel, wins) if wins else None
+    sizes = dict(tuple(r) for r in panel.where("date IS NOT NULL").groupBy("date").count().collect())
+    shapes: dict[tuple, list[SortSpec]] = {}
+    parts = []
+    for s in specs:
+        if s.signal2 or s.banding is not None:
+            series = Strategy(panel, s, bounds).long_short
+            parts.append(series.select(F.lit(s.name).alias("spec"), "date", "regime", "ew", "vw"))
+        else:
+            shapes.setdefault((s.nport, s.holding, s.dynamic_weights), []).append(s)
+    for alike in shapes.values():
+        parts += [_chunk(panel, alike[i : i + CHUNK], sizes, bounds) for i in range(0, len(alike), CHUNK)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _chunk(panel: DataFrame, specs: Sequence[SortSpec]) -> DataFrame:
-    if len({(s.nport, s.holding, s.dynamic_weights) for s in specs}) > 1 or any(s.signal2 or s.banding for s in specs):
-        raise ValueError("a grid has single sorts without bands, alike in portfolios, holding period and weights")
+def _key(f: FilterSpec | None) -> tuple | None:
+    return f and (f, id(f.thresholds))
+
+
+def _chunk(panel: DataFrame, specs: Sequence[SortSpec], sizes: dict, bounds: Bounds | None) -> DataFrame:
     n, K, dynamic = specs[0].nport, specs[0].holding, specs[0].dynamic_weights
-    sizes = dict(tuple(r) for r in panel.where("date IS NOT NULL").groupBy("date").count().collect())
     dates = sorted(sizes)
     calendar = panel.sparkSession.createDataFrame(list(zip(dates, range(len(dates)))), "date date, t int")
     rows = panel.join(F.broadcast(calendar), "date")
-    raw: dict = {}
+    if any(s.filter and s.filter.adj == "bounce" for s in specs):
+        rows = add_bounce(rows)
+    number: dict = {None: None}
+    for s in specs:  # filtered returns, once for each filter
+        if _key(s.filter) not in number:
+            i = number[_key(s.filter)] = len(number)
+            before = rows.columns
+            rows = add_filtered(rows, s.filter, bounds=bounds, bounced=True)
+            rows = rows.select(*before, F.col("ret_adj").alias(f"_a{i}"), F.col("ret_adj_ep").alias(f"_e{i}"))
+    of = lambda s: number[_key(s.filter)]
+    rows = add_signals(rows, {f"_s{j}": (s, f"_a{of(s)}" if s.filter else "ret") for j, s in enumerate(specs)})
+    later = {}
     for h in range(1, K + 1):
-        raw[f"_ret{h}"] = at_offset("ret", h)
+        later[f"_ret{h}"] = at_offset("ret", h)
+        later |= {f"_e{i}_{h}": at_offset(f"_e{i}", h) for i in number.values() if i}
         if h > 1 and dynamic:
-            raw[f"_vw{h - 1}"] = at_offset("VW", h - 1)
-    kept, entries = ["ID", "t", "VW", *raw], []
-    for i, s in enumerate(specs):
-        base = rows.columns
-        if s.filter:
-            rows = add_filtered(rows, s.filter, panel)
-        rows = add_signal(rows, s, "ret_adj" if s.filter else "ret")
-        ok = F.col(s.signal_name).isNotNull() & in_rating(s.rating) & in_universe(s.filter)
-        ahead = F.col("ret_adj_ep") if s.filter else F.lit(None).cast("double")
-        rows = rows.select(*base, F.when(ok, F.col(s.signal_name)).alias(f"_s{i}"), ahead.alias(f"_e{i}"))
-        later = F.array(*[F.col(f"_e{i}_{h}") for h in range(1, K + 1)])
-        entries.append(F.when(F.col(f"_s{i}").isNotNull(), F.struct(F.lit(s.name).alias("spec"), F.col(f"_s{i}").alias("x"), later.alias("ep"))))
-    # All look-ups at once: one window pass after the signals.
-    rows = rows.withColumns(raw | {f"_e{i}_{h}": at_offset(f"_e{i}", h) for i in range(len(specs)) for h in range(1, K + 1)})
-    long = rows.where(F.col("t") < len(dates) - K).select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_x")).select(*kept, "_x.*")
-    long = add_bin(long, ["spec", "t"], "x", n, "ptf", len(dates) * len(specs), max(sizes.values(), default=0))
+            later[f"_vw{h - 1}"] = at_offset("VW", h - 1)
+    rows = rows.withColumns(later).where(F.col("t") < len(dates) - K)
+    entries = []
+    for j, s in enumerate(specs):
+        ok = F.col(f"_s{j}").isNotNull() & in_rating(s.rating) & in_universe(s.filter)
+        ahead = F.array(*[F.col(f"_e{of(s)}_{h}") if s.filter else F.lit(None).cast("double") for h in range(1, K + 1)])
+        entries.append(F.when(ok, F.struct(F.lit(j).alias("j"), F.col(f"_s{j}").cast("double").alias("x"), ahead.alias("ep"))))
+    kept = ["t", "VW", *[c for c in later if not c.startswith("_e")]]
+    long = rows.select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_x")).select(*kept, "_x.*")
+    long = add_bin(long, ["j", "t"], "x", n, "ptf", len(dates) * len(specs), max(sizes.values(), default=0))
     holds = []
     for h in range(1, K + 1):
         w = F.col("VW") if h == 1 or not dynamic else F.col(f"_vw{h - 1}")
         for regime, used in (("ea", F.col(f"_ret{h}")), ("ep", F.element_at("ep", h))):
             ok = used.isNotNull() & (w.isNotNull() if dynamic else F.lit(True))
             holds.append(F.when(ok, F.struct(F.lit(h).alias("h"), F.lit(regime).alias("regime"), used.alias("r"), w.alias("w"))))
-    held = long.where(F.col("ptf").isin(1, n)).select("spec", "t", "ptf", F.explode(F.filter(F.array(*holds), lambda x: x.isNotNull())).alias("_y")).select("spec", "t", "ptf", "_y.*")
-    cohort = held.groupBy("spec", "regime", "ptf", "t", "h").agg(
+    held = long.where(F.col("ptf").isin(1, n)).select("j", "t", "ptf", F.explode(F.filter(F.array(*holds), lambda x: x.isNotNull())).alias("_y")).select("j", "t", "ptf", "_y.*")
+    cohort = held.groupBy("j", "regime", "ptf", "t", "h").agg(
         F.avg("r").alias("ew"), F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("w")), F.sum("w")), F.lit(0.0)).alias("vw")
     )
-    mean = cohort.groupBy("spec", "regime", "ptf", (F.col("t") + F.col("h")).alias("t")).agg(*[all_or_null(F.avg(c), c, K).alias(c) for c in ("ew", "vw")])
+    mean = cohort.groupBy("j", "regime", "ptf", (F.col("t") + F.col("h")).alias("t")).agg(*[all_or_null(F.avg(c), c, K).alias(c) for c in ("ew", "vw")])
     sign = F.when(F.col("ptf") == n, 1).otherwise(-1)
-    out = mean.groupBy("spec", "regime", "t").agg(*[all_or_null(F.sum(F.col(c) * sign), c, 2).alias(c) for c in ("ew", "vw")])
-    return out.join(F.broadcast(calendar), "t").drop("t")
-
-
+    out = mean.groupBy("j", "regime", "t").agg(*[all_or_null(F.sum(F.col(c) * sign), c, 2).alias(c) for c in ("ew", "vw")])
+    names = F.element_at(F.array(*[F.lit(s.name) for s in specs]), F.col("j") + 1)
+    return out.join(F.broadcast(calendar), "t").select(names.alias("spec"), "date", "regime", "ew", "vw")

@@ -55,17 +55,19 @@ def ols_hac(y: np.ndarray, x: np.ndarray, lag: int = 0) -> tuple[np.ndarray, np.
 def hac_alpha(series: DataFrame, factors: DataFrame, names: Sequence[str], by: Sequence[str], lag: int = 0, value: str = "value") -> DataFrame:
     """Mean and alpha on factors of each series, with Newey-West t and normal p: ``n, mean, t, p, alpha, alpha_t, alpha_p``.
 
-    Series and factors are joined by date, rows with a null dropped. A series has as many rows as
-    dates, and is solved where its rows are. Too few rows for the factors give null.
+    Series and factors are joined by date. The mean takes all n dates on which the series has a value,
+    the alpha those on which the factors have theirs too. A series has as many rows as dates, and is
+    solved where its rows are. Too few rows for the factors give null.
     """
-    joined = series.join(F.broadcast(factors.select("date", *names)), "date").dropna(subset=[value, *names])
+    joined = series.join(F.broadcast(factors.select("date", *names)), "date").dropna(subset=[value])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*by).schema)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
-        y, ones = rows[value].to_numpy(float), np.ones((len(rows), 1))
         out = []
-        for x in (ones, np.hstack([ones, rows[list(names)].to_numpy(float)])):
+        for columns in ((), tuple(names)):
+            used = rows.dropna(subset=list(columns))
+            y, x = used[value].to_numpy(float), np.hstack([np.ones((len(used), 1)), used[list(columns)].to_numpy(float)])
             if len(y) <= x.shape[1]:
                 out += [None] * 3
                 continue
@@ -74,7 +76,7 @@ def hac_alpha(series: DataFrame, factors: DataFrame, names: Sequence[str], by: S
             out += [float(beta[0]), t, None if t is None else normal_two_sided(t)]
         head = [rows[c].iloc[0] for c in by]
         cols = [*by, "n", "mean", "t", "p", "alpha", "alpha_t", "alpha_p"]
-        return pd.DataFrame([[*head, len(y), *out]], columns=cols)
+        return pd.DataFrame([[*head, len(rows), *out]], columns=cols)
 
     fields = "n long, mean double, t double, p double, alpha double, alpha_t double, alpha_p double"
     return joined.groupBy(*by).applyInPandas(solve, f"{kinds}, {fields}")

@@ -72,37 +72,51 @@ def _wanted(pool: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> D
     )
 
 
-def _values(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, name, value`` from rows of the ranges hit, each with what is wanted of it."""
-    place = Window.partitionBy(*keys, "name", "side").orderBy("x")
-    found = inside.withColumn("_i", F.row_number().over(place)).where("_i = nth")
+def _values(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, name, value`` from the values of the ranges hit, each with its rows ``c`` and what is wanted of it."""
+    place = Window.partitionBy(*keys, "name", "side").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    found = counted.withColumn("_i", F.sum("c").over(place)).where((F.col("_i") >= F.col("nth")) & (F.col("_i") - F.col("c") < F.col("nth")))
     end = lambda side: F.max(F.when(F.col("side") == side, F.col("x")))
     ends = found.groupBy(*keys, "name").agg(F.max("part").alias("part"), end(0).alias("a"), end(1).alias("b"))
     value = F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * F.col("part")
     return ends.select(*keys, "name", value.alias("value"))
 
 
-def counted_edges(df: DataFrame, keys: Sequence[str], x: str, n: int) -> DataFrame:
-    """``keys, _edges``: the same breakpoints as :func:`inner_edges`, without gathering a group in one place.
+def counted_percentiles(df: DataFrame, keys: Sequence[str], x: str, levels: dict[str, float]) -> DataFrame:
+    """``keys, name, value``: exact percentiles of each group, without gathering a group in one place.
 
     Values are counted by group and range; the counts tell in which range, and where in it, each order
-    statistic lies, and only the rows of these ranges are sorted.
+    statistic lies. Only the values of these ranges are counted one by one and sorted, so that a value
+    which many rows share is one row.
     """
     rows = _in_ranges(df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x")))
     counts = rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("k"))
     up = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    hits = _wanted(counts.withColumn("upto", F.sum("k").over(up)), keys, {f"{i:06d}": i / n for i in range(1, n)})
-    values = _values(rows.join(hits, [*keys, "range"]), keys)
+    hits = _wanted(counts.withColumn("upto", F.sum("k").over(up)), keys, levels)
+    values = rows.join(hits.select(*keys, "range").distinct(), [*keys, "range"]).groupBy(*keys, "range", "x").agg(F.count(F.lit(1)).alias("c"))
+    return _values(values.join(hits, [*keys, "range"]), keys)
+
+
+def counted_edges(df: DataFrame, keys: Sequence[str], x: str, n: int) -> DataFrame:
+    """``keys, _edges``: the same breakpoints as :func:`inner_edges`, by :func:`counted_percentiles`."""
+    values = counted_percentiles(df, keys, x, {f"{i:06d}": i / n for i in range(1, n)})
     listed = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("_v"))
     return listed.select(*keys, F.transform("_v", lambda v: v["value"]).alias("_edges"))
 
 
+def full_percentiles(df: DataFrame, x: str, levels: dict[str, float]) -> dict[str, float | None]:
+    """Exact percentiles of all rows, by name; a few numbers for the driver."""
+    rows = counted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, levels).collect()
+    return dict.fromkeys(levels) | {r["name"]: r["value"] for r in rows}
+
+
 def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) -> DataFrame:
     """``date`` and, for each name, a percentile of all non-null ``x`` dated strictly before.
 
     Exact: every value is put into one of a thousand ranges; running counts by date and range tell in
     which range, and where in it, the order statistics of each date lie; only values of these ranges
-    are then compared. Work is a small multiple of the rows, not rows times dates.
+    are then compared, each with the number of its rows. Work is a small multiple of the rows, not rows
+    times dates.
     """
     ranged = _in_ranges(panel.where(F.col(x).isNotNull()).select("date", F.col(x).alias("x")))
     dates = panel.select("date").distinct()
@@ -113,5 +127,7 @@ def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) ->
     up = Window.partitionBy("date").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     pool = grid.withColumn("k", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("upto", F.sum("k").over(up))
     hits = _wanted(pool, ["date"], levels).withColumnRenamed("date", "on")
-    values = _values(ranged.join(hits, "range").where("date < on"), ["on"])
-    return values.groupBy(F.col("on").alias("date")).agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in levels])
+    values = ranged.join(hits.select("range").distinct(), "range").groupBy("range", "date", "x").agg(F.count(F.lit(1)).alias("c"))
+    dated = values.join(hits, "range").where("date < on").groupBy("on", "name", "side", "nth", "part", "x").agg(F.sum("c").alias("c"))
+    found = _values(dated, ["on"])
+    return found.groupBy(F.col("on").alias("date")).agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in levels])

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from folioframe.spec import Momentum, Reversal, SortSpec
 
+
 def by_id() -> WindowSpec:
     """An ID's rows by date."""
     return Window.partitionBy("ID").orderBy("date")
 
 
-
 def _full(x: Column, rows: int, over: WindowSpec | None = None) -> Column:
     """Sum of the last ``rows`` rows, null unless all of them have a value."""
     frame = (over or by_id()).rowsBetween(-(rows - 1), 0)
@@ -31,11 +31,6 @@ def add_reversal(panel: DataFrame, window: int, skip: int, ret: str = "ret", nam
     return panel.withColumn(name, _full(F.col(ret), window) - _full(F.col(ret), skip))
 
 
-def add_lag(panel: DataFrame, col: str, name: str, rows: int = 1) -> DataFrame:
-    """Value of the ID's previous row, whatever its date."""
-    return panel.withColumn(name, F.lag(col, rows).over(by_id()))
-
-
 def add_signal(panel: DataFrame, spec: SortSpec, ret: str = "ret") -> DataFrame:
     """The panel with the sort's signal, from return column ``ret``; a named column is as it is."""
     s = spec.signal
@@ -48,6 +43,29 @@ def add_signal(panel: DataFrame, spec: SortSpec, ret: str = "ret") -> DataFrame:
     return s(panel, ret, spec.signal_name)
 
 
+def add_signals(panel: DataFrame, wanted: dict[str, tuple[SortSpec, str]]) -> DataFrame:
+    """The panel with a column for each name: the signal of a sort from a return column.
+
+    The windows of all momentum and reversal signals go into three steps, however many there are.
+    """
+    first, second, third = {}, {}, {}
+    for name, (spec, ret) in wanted.items():
+        s = spec.signal
+        if isinstance(s, Momentum):
+            first[f"_log_{name}"] = F.when(F.col(ret) > -1, F.log(1 + F.col(ret)))
+            second[f"_raw_{name}"] = F.exp(_full(F.col(f"_log_{name}"), s.window)) - 1
+            third[name] = F.lag(f"_raw_{name}", s.skip).over(by_id()) if s.skip else F.col(f"_raw_{name}")
+        elif isinstance(s, Reversal):
+            second[name] = _full(F.col(ret), s.window) - _full(F.col(ret), s.skip)
+        elif isinstance(s, str):
+            third[name] = F.col(s)
+        else:
+            panel = s(panel, ret, name)
+    for step in (first, second, third):
+        panel = panel.withColumns(step) if step else panel
+    return panel.drop(*first, *[c for c in second if c not in wanted])
+
+
 def add_wealth(series: DataFrame, value: str = "value", name: str = "wealth", by: tuple[str, ...] = ()) -> DataFrame:
     """Running product of 1 + value: null where the value is, going on after it."""
     over = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

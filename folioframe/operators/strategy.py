@@ -7,14 +7,16 @@ aggregation a few rows for each date.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators.banding import band
-from folioframe.operators.filters import add_filtered, in_rating, in_universe
-from folioframe.operators.quantiles import FEW_GROUPS, add_bin
+from folioframe.operators.filters import Bounds, add_filtered, in_rating, in_universe
+from folioframe.operators.inference import hac_alpha
+from folioframe.operators.quantiles import FEW_GROUPS, add_bin, counted_percentiles
 from folioframe.operators.signals import add_signal
 from folioframe.spec import SortSpec
 
@@ -34,11 +36,12 @@ class Strategy:
 
     ``panel`` is canonical (``ID, date, ret, RATING_NUM, VW`` and what the sort names). Returns come
     out for regime ``ea`` (raw returns, no look-ahead) and, with a filter, ``ep`` (filtered returns of
-    the same portfolios, which looks ahead).
+    the same portfolios, which looks ahead). Winsorising finds its bounds when the first frame is asked
+    for, unless ``bounds`` has them.
     """
 
-    def __init__(self, panel: DataFrame, spec: SortSpec) -> None:
-        self.panel, self.spec = panel, spec
+    def __init__(self, panel: DataFrame, spec: SortSpec, bounds: Bounds | None = None) -> None:
+        self.panel, self.spec, self._bounds = panel, spec, bounds
         self.regimes = ("ea", "ep") if spec.filter else ("ea",)
 
     # ------------------------------------------------------------------ members
@@ -49,7 +52,7 @@ class Strategy:
         s = self.spec
         panel = self.panel.join(F.broadcast(self.calendar), "date")
         if s.filter:
-            panel = add_filtered(panel, s.filter, self.panel)
+            panel = add_filtered(panel, s.filter, self.panel, self._bounds)
         return add_signal(panel, s, "ret_adj" if s.filter else "ret")
 
     @cached_property
@@ -151,7 +154,7 @@ class Strategy:
 
     @cached_property
     def cohort_returns(self) -> DataFrame:
-        """(regime, t, h, tau, ptf, ew, vw, n): returns of each cohort's portfolios at each horizon.
+        """(regime, t, h, tau, ptf, ew, vw, n, weight): returns of each cohort's portfolios at each horizon.
 
         A portfolio whose members all lack weights, or weigh nothing, has a value-weighted return of 0.
         """
@@ -159,6 +162,7 @@ class Strategy:
             F.avg("r").alias("ew"),
             F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("w")), F.sum("w")), F.lit(0.0)).alias("vw"),
             F.count(F.lit(1)).alias("n"),
+            F.sum("w").alias("weight"),
         )
 
     def _dated(self, df: DataFrame, at: str = "tau") -> DataFrame:
@@ -212,23 +216,29 @@ class Strategy:
     def get_long_short(self, regime: str = "ea") -> DataFrame:
         return self.long_short.where(F.col("regime") == regime).drop("regime")
 
+    def get_alphas(self, factors: DataFrame, names: Sequence[str], lag: int = 0) -> DataFrame:
+        """(regime, weighting, n, mean, t, p, alpha, alpha_t, alpha_p) of the long-short series, both regimes at once.
+
+        ``factors`` has a ``date`` and the columns ``names``. See :func:`hac_alpha`.
+        """
+        both = F.explode(F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("value")) for w in ("ew", "vw")]))
+        series = self.long_short.select("regime", "date", both.alias("_x")).select("regime", "date", "_x.*")
+        return hac_alpha(series, factors, names, ["regime", "weighting"], lag)
+
     # ------------------------------------------------------------------ weights and turnover
 
+    def _with_cohort(self, members: DataFrame) -> DataFrame:
+        """Members beside what :attr:`cohort_returns` has of their portfolio: a few numbers for each group."""
+        few = self._groups * self.spec.portfolios <= FEW_GROUPS
+        small = self.cohort_returns.select("regime", "t", "h", "ptf", *[F.col(c).alias(f"_{c}") for c in ("ew", "vw", "n", "weight")])
+        return members.join(F.broadcast(small) if few else small, ["regime", "t", "h", "ptf"])
+
     @cached_property
     def weights(self) -> DataFrame:
         """(regime, s, cohort, ptf, ID, ew, vw, ew_drift, vw_drift): weights at s = t + h - 1 and after the
         return that follows. Both drift by the equal-weighted return unless ``vw_drift`` is ``vw``."""
-        ptf = ["regime", "t", "h", "ptf"]
-        group = Window.partitionBy(*ptf)
-        m = self.members.withColumns(
-            {
-                "_n": F.count(F.lit(1)).over(group),
-                "_W": F.sum("w").over(group),
-                "_ew": F.avg("r").over(group),
-                "_vw": F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("w")).over(group), F.sum("w").over(group)), F.lit(0.0)),
-            }
-        )
-        share = F.try_divide(F.col("w"), F.col("_W"))
+        m = self._with_cohort(self.members)
+        share = F.try_divide(F.col("w"), F.col("_weight"))
         by = F.col("_vw" if self.spec.vw_drift == "vw" else "_ew")
         return m.select(
             "regime", (F.col("tau") - 1).alias("s"), "cohort", "ptf", "ID",
@@ -249,12 +259,12 @@ class Strategy:
         """
         K = self.spec.holding
         keys = ["regime", "s", "cohort", "ptf", "ID"]
-        now = self.weights.select(*keys, "ew", "vw").where("s >= 1")
-        then = self.weights.select(
-            "regime", (F.col("s") + 1).alias("s"), "cohort", "ptf", "ID", (-F.col("ew_drift")).alias("ew"), (-F.col("vw_drift")).alias("vw")
-        )
+        now = F.struct(F.col("s"), F.col("ew"), F.col("vw"))
+        then = F.struct((F.col("s") + 1).alias("s"), (-F.col("ew_drift")).alias("ew"), (-F.col("vw_drift")).alias("vw"))
+        signed = self.weights.select("regime", "cohort", "ptf", "ID", F.explode(F.array(now, then)).alias("_x")).select("regime", "cohort", "ptf", "ID", "_x.*")
+        signed = signed.where("s >= 1")
         whole = lambda x, agg: F.when(F.count(x) == F.count(F.lit(1)), agg)  # noqa: E731  a null weight makes the sum null
-        moved = now.unionByName(then).groupBy(*keys).agg(*[whole(c, F.abs(F.sum(c))).alias(c) for c in ("ew", "vw")])
+        moved = signed.groupBy(*keys).agg(*[whole(c, F.abs(F.sum(c))).alias(c) for c in ("ew", "vw")])
         cohorts = moved.groupBy("regime", "s", "cohort", "ptf").agg(*[whole(c, F.nullif(F.sum(c), F.lit(0.0))).alias(c) for c in ("ew", "vw")])
         mean = cohorts.groupBy("regime", "s", "ptf").agg(*[all_or_null(F.avg(c), c, K).alias(c) for c in ("ew", "vw")])
         return self._dated(mean, "s")
@@ -272,8 +282,7 @@ class Strategy:
         one over the values that are there.
         """
         s = self.spec
-        group = Window.partitionBy("regime", "t", "h", "ptf")
-        m = self.members.withColumn("_share", F.try_divide(F.col("w"), F.sum("w").over(group))).where("_base IS NOT NULL")
+        m = self._with_cohort(self.members.where("_base IS NOT NULL")).withColumn("_share", F.try_divide(F.col("w"), F.col("_weight")))
         pairs = F.array(*[F.struct(F.lit(c).alias("char"), F.col(c).cast("double").alias("x")) for c in s.chars])
         long = m.select("regime", "h", "tau", "ptf", "_share", F.explode(pairs).alias("_c")).select("*", "_c.*")
         each = long.groupBy("regime", "h", "tau", "ptf", "char").agg(
@@ -292,14 +301,19 @@ class Strategy:
 
 def excluded_stats(filtered: DataFrame, chars: tuple[str, ...] = (), by_rating: bool = True) -> DataFrame:
     """Count, share, moments and quartiles of ``ret`` over the rows marked ``out``, with means of
-    characteristics; for IG, NIG (above 10) and ALL, or ALL alone."""
-    rows = filtered.where("out").withColumn("category", F.when(F.col("RATING_NUM") > 10, "NIG").otherwise("IG"))
+    characteristics; for IG, NIG (above 10) and ALL, or ALL alone.
+
+    The groups are few and hold all rows: quartiles are found by counting, so that no task has a group.
+    """
+    every = [F.when(F.col("RATING_NUM") > 10, "NIG").otherwise("IG"), F.lit("ALL")] if by_rating else [F.lit("ALL")]
+    rows = filtered.where("out").select("ret", *chars, F.explode(F.array(*every)).alias("category"))
     stats = [
         F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.min("ret").alias("min"),
-        F.percentile("ret", 0.25).alias("p25"), F.percentile("ret", 0.5).alias("p50"), F.percentile("ret", 0.75).alias("p75"),
         F.max("ret").alias("max"), *[F.avg(c).alias(f"avg_{c}") for c in chars],
     ]
-    table = rows.rollup("category").agg(*stats) if by_rating else rows.agg(*stats).withColumn("category", F.lit(None).cast("string"))
-    table = table.withColumn("category", F.coalesce("category", F.lit("ALL")))
+    table = rows.groupBy("category").agg(*stats)
+    levels = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    quartiles = counted_percentiles(rows, ["category"], "ret", levels).groupBy("category").pivot("name", [*levels]).agg(F.first("value"))
+    table = table.join(F.broadcast(quartiles), "category", "left")
     total = F.max(F.when(F.col("category") == "ALL", F.col("n"))).over(Window.partitionBy(F.lit(1)))  # three rows
     return table.withColumn("share", F.try_divide(F.col("n"), total))

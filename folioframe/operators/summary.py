@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.inference import hac_mean
+from folioframe.operators.inference import hac_mean, with_normal_p
 from folioframe.operators.strategy import Strategy
 
 
@@ -24,16 +24,24 @@ def series(strategy: Strategy) -> DataFrame:
 
 
 def summary(strategy: Strategy, lag: int = 0) -> DataFrame:
-    """Mean (in percent), standard error, t of every series, and each portfolio's mean turnover (in percent).
+    """Mean (in percent), standard error, t and p of every series, and each portfolio's mean turnover (in percent)
+    and mean characteristics (``char_<name>``), for both regimes and weightings.
 
-    Works with and without turnover, and with and without a filter.
+    Works with and without turnover, characteristics, and a filter.
     """
-    tests = hac_mean(series(strategy), ["series", "regime", "weighting"], lag)
+    tests = with_normal_p(hac_mean(series(strategy), ["series", "regime", "weighting"], lag))
     tests = tests.withColumns({"mean": F.col("mean") * 100, "se": F.col("se") * 100})
-    if not strategy.spec.turnover:
-        return tests.withColumn("turnover", F.lit(None).cast("double"))
-    traded = mean_turnover(strategy).withColumn("series", F.concat(F.lit("ptf_"), F.col("ptf").cast("string"))).drop("ptf")
-    return tests.join(traded, ["series", "regime", "weighting"], "left")
+    name = F.concat(F.lit("ptf_"), F.col("ptf").cast("string"))
+    if strategy.spec.turnover:
+        tests = tests.join(mean_turnover(strategy).withColumn("series", name).drop("ptf"), ["series", "regime", "weighting"], "left")
+    else:
+        tests = tests.withColumn("turnover", F.lit(None).cast("double"))
+    if strategy.spec.chars:
+        both = F.explode(F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("x")) for w in ("ew", "vw")]))
+        rows = mean_chars(strategy).select(name.alias("series"), "regime", "char", both.alias("_x")).select("series", "regime", "char", "_x.*")
+        wide = rows.groupBy("series", "regime", "weighting").agg(*[F.max(F.when(F.col("char") == c, F.col("x"))).alias(f"char_{c}") for c in strategy.spec.chars])
+        tests = tests.join(wide, ["series", "regime", "weighting"], "left")
+    return tests
 
 
 def mean_turnover(strategy: Strategy) -> DataFrame:

@@ -53,7 +53,6 @@ class Momentum:
     window: int
     skip: int = 1
     name: str = "signal"
-    drop: int = 0
 
     @property
     def label(self) -> str:
@@ -115,7 +114,11 @@ class SortSpec:
 
     @property
     def name(self) -> str:
-        """Rating, signal's settings, holding period, filter: ``ALL_6_1_1_trim_0.2``."""
+        """Rating, signal's settings, holding period, filter: ``ALL_6_1_1_trim_0.2``; second signal and band if any."""
         label = getattr(self.signal, "label", None) or self.signal_name
         parts = [self.rating or "ALL", label, str(self.holding)]
+        if self.signal2:
+            parts += [self.how, self.signal2]
+        if self.banding is not None:
+            parts += ["band", str(self.banding)]
         return "_".join(parts + ([self.filter.suffix] if self.filter else []))

@@ -9,14 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions.tails import normal_two_sided, t_two_sided
-from folioframe.operators import inference
+from folioframe.operators import inference, summary
 from folioframe.operators.banding import _closed, _folded
 from folioframe.operators.filters import add_filtered
-from folioframe.operators.quantiles import counted_edges, expanding_percentiles, inner_edges
+from folioframe.operators.quantiles import counted_edges, expanding_percentiles, full_percentiles, inner_edges
+from folioframe.operators.grid import long_short_grid
 from folioframe.operators.signals import add_momentum, add_wealth
 from folioframe.operators.strategy import Strategy
 from folioframe.sources import files, panel as panels
-from folioframe.spec import FilterSpec, SortSpec
+from folioframe.spec import FilterSpec, Momentum, Reversal, SortSpec
 
 DAY = [datetime.date(2020, m, 1) for m in range(1, 13)]
 
@@ -143,28 +144,121 @@ def test_specs_are_checked():
     assert SortSpec("x", 5, 2, rating="IG", filter=FilterSpec("wins", 98, "both")).name == "IG_x_2_wins_98_both"
 
 
-def test_hac_mean_is_the_regression_on_a_constant(spark):
-    rng = np.random.default_rng(2)
-    y = rng.normal(size=12)
-    series = spark.createDataFrame([("s", DAY[i], float(v)) for i, v in enumerate(y)], "series string, date date, value double")
-    for lag in (0, 3):
-        got = inference.hac_mean(series, ["series"], lag).first()
-        beta, se = inference.ols_hac(y, np.ones((12, 1)), lag)
-        assert (got.mean, got.se) == (pytest.approx(beta[0]), pytest.approx(se[0]))
+#: Twelve returns and a factor, with figures worked out apart by sums over dates.
+Y = [0.02, -0.01, 0.03, 0.01, -0.02, 0.04, 0.00, 0.01, 0.02, -0.03, 0.05, 0.01]
+X = [0.01, -0.02, 0.02, 0.02, -0.01, 0.03, -0.01, 0.00, 0.01, -0.02, 0.03, 0.00]
+
+
+def by_hand(y, x, lag):
+    """Alpha and its Newey-West error with one factor: slope from covariances, influence of each date, weighted lags."""
+    n, mx, my = len(y), sum(x) / len(y), sum(y) / len(y)
+    sxx = sum((a - mx) ** 2 for a in x)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sxx
+    u = [(b - my - slope * (a - mx)) * (1 / n - mx * (a - mx) / sxx) for a, b in zip(x, y)]
+    var = sum(v * v for v in u) + sum(2 * (1 - k / (lag + 1)) * sum(p * q for p, q in zip(u[k:], u)) for k in range(1, lag + 1))
+    return my - slope * mx, math.sqrt(var)
+
+
+def test_hac_mean_of_known_figures(spark):
+    series = spark.createDataFrame([("s", DAY[i], v) for i, v in enumerate(Y)] + [("s", datetime.date(2021, 1, 1), None)], "series string, date date, value double")
+    got = inference.hac_mean(series, ["series"], 0).first()
+    assert (got.n, got.mean, got.se) == (12, pytest.approx(0.13 / 12), pytest.approx(math.sqrt(0.0075 - 0.13**2 / 12) / 12))
+    e = [v - 0.13 / 12 for v in Y]
+    spread = sum(v * v for v in e) + 2 * (2 / 3 * sum(a * b for a, b in zip(e[1:], e)) + 1 / 3 * sum(a * b for a, b in zip(e[2:], e)))
+    assert inference.hac_mean(series, ["series"], 2).first().se == pytest.approx(math.sqrt(spread) / 12)
 
 
 def test_alphas_take_out_the_factor(spark):
-    rng = np.random.default_rng(6)
-    f = rng.normal(size=12)
-    noise = rng.normal(size=12) * 0.01
-    series = spark.createDataFrame([("s", DAY[i], float(0.5 + 2 * f[i] + noise[i])) for i in range(12)] + [("short", DAY[0], 1.0)], "series string, date date, value double")
-    factors = spark.createDataFrame([(DAY[i], float(f[i])) for i in range(12)], "date date, f double")
-    out = {r.series: r for r in inference.hac_alpha(series, factors, ["f"], ["series"], 1).collect()}
-    beta, se = inference.ols_hac(0.5 + 2 * f + noise, np.column_stack([np.ones(12), f]), 1)
-    assert out["s"].alpha == pytest.approx(beta[0]) and out["s"].alpha_t == pytest.approx(beta[0] / se[0])
+    rows = [("s", DAY[i], Y[i]) for i in range(12)] + [("short", DAY[0], 1.0)]
+    series = spark.createDataFrame(rows, "series string, date date, value double")
+    known = spark.createDataFrame([(DAY[i], X[i] if i != 3 else None) for i in range(12)], "date date, f double")
+    for lag in (0, 1):
+        out = {r.series: r for r in inference.hac_alpha(series, known, ["f"], ["series"], lag).collect()}
+        alpha, se = by_hand(Y[:3] + Y[4:], X[:3] + X[4:], lag)
+        assert (out["s"].alpha, out["s"].alpha_t) == (pytest.approx(alpha), pytest.approx(alpha / se))
+        assert (out["s"].n, out["s"].mean) == (12, pytest.approx(0.13 / 12))  # the mean takes the date without a factor, too
+        assert out["s"].alpha_p == pytest.approx(math.erfc(alpha / se / math.sqrt(2)))
     assert out["short"].alpha is None and out["short"].n == 1
 
 
+def test_alphas_of_a_strategy(spark):
+    rows = [(i, DAY[t], 0.01 * i * ((t * 7 + i) % 5 - 1), 5.0, 1.0, float(i)) for i in range(1, 7) for t in range(10)]
+    s = Strategy(make(spark, rows), SortSpec("x", 2, filter=FilterSpec("trim", 0.12)))
+    out = s.get_alphas(spark.createDataFrame([(DAY[i], X[i]) for i in range(12)], "date date, f double"), ["f"], 1).collect()
+    assert {(r.regime, r.weighting) for r in out} == {(a, b) for a in ("ea", "ep") for b in ("ew", "vw")}
+    series = {r.date: r.ew for r in s.get_long_short().collect() if r.ew is not None}
+    alpha, _ = by_hand([series[d] for d in sorted(series)], [X[DAY.index(d)] for d in sorted(series)], 1)
+    assert next(r.alpha for r in out if (r.regime, r.weighting) == ("ea", "ew")) == pytest.approx(alpha)
+
+
+def test_a_value_that_half_of_the_rows_share(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, DAY[t], 0.0 if (i + t) % 2 else float(np.round(rng.normal(), 3)), 5.0, 1.0, 0.0) for i in range(200) for t in range(5)]
+    df = make(spark, rows)
+    levels = {"a": 0.02, "b": 0.5, "c": 0.98}
+    pool = [r[2] for r in rows]
+    assert full_percentiles(df, "ret", levels) == pytest.approx(dict(zip(levels, np.percentile(pool, [2, 50, 98]))))
+    got = {r.date: (r.a, r.b, r.c) for r in expanding_percentiles(df, "ret", levels).collect()}
+    for t in range(1, 5):
+        assert got[DAY[t]] == pytest.approx(tuple(np.percentile([r[2] for r in rows if r[1] < DAY[t]], [2, 50, 98])))
+    assert full_percentiles(df.limit(0), "ret", levels) == dict.fromkeys(levels)
+
+
+def test_a_grid_is_its_strategies_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, DAY[t], float(np.round(rng.normal() / 5, 3)), float(1 + (i * 3 + t) % 22), float(1 + i % 4), float(rng.integers(0, 9))) for i in range(40) for t in range(9)]
+    panel = make(spark, rows).withColumn("PRICE", F.col("x") * 30)
+    specs = [
+        SortSpec("x", 3), SortSpec("x", 3, 2, rating="IG", filter=FilterSpec("wins", 90, "both")), SortSpec(Momentum(2, 1), 2, filter=FilterSpec("bounce", 0.05)),
+        SortSpec(Reversal(3, 1), 2, 2, dynamic_weights=True, filter=FilterSpec("trim", (-0.3, 0.3))), SortSpec("x", 3, banding=1), SortSpec("x", 2, signal2="RATING_NUM", nport2=2),
+        SortSpec("x", 3, filter=FilterSpec("price", 150)),
+    ]
+    got = {}
+    for r in long_short_grid(panel, specs).collect():
+        got.setdefault(r.spec, {})[r.date, r.regime] = (r.ew, r.vw)
+    near = lambda x: tuple(None if v is None else pytest.approx(v, abs=1e-12) for v in x)
+    for s in specs:
+        want = {(r.date, r.regime): (r.ew, r.vw) for r in Strategy(panel, s).long_short.collect()}
+        assert want and got[s.name].keys() == want.keys() and all(got[s.name][k] == near(v) for k, v in want.items()), s.name
+    with pytest.raises(ValueError, match="same name"):
+        long_short_grid(panel, specs[:1] * 2)
+
+
+def test_panel_from_a_database(spark):
+    """Spark's own embedded database, read in ranges of a column."""
+    url = "jdbc:derby:memory:panel;create=true"
+    rows = [(i, DAY[t], 0.1 * t, 5.0, 1.0, float(i)) for i in range(6) for t in range(3)]
+    make(spark, rows).write.format("jdbc").options(url=url, dbtable="bonds").save()
+    query = 'SELECT "ID", "date", "ret", "RATING_NUM", "VW", "x" FROM bonds WHERE "x" > 1'
+    got = files.read_panel_jdbc(spark, url, query, "ID", ("0", "6"), 3)
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted(tuple(r) for r in panels.canonical(got, keep=["x"]).collect()) == [r for r in rows if r[0] > 1]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda name, default: default)
+
+    for master, ok in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)):
+        session = type("Session", (), {"conf": Conf, "sparkContext": type("Context", (), {"master": master})})
+        if ok:
+            assert "/folioframe/x-" in files.scratch(session, "x")
+        else:
+            with pytest.raises(ValueError, match="checkpoint"):
+                files.scratch(session, "x")
+
+
+def test_summary_has_p_values_and_characteristics(spark):
+    rows = [(i, DAY[t], 0.01 * i * ((t * 3 + i) % 4 - 1), 5.0, 1.0, float(i)) for i in range(1, 7) for t in range(10)]
+    spec = SortSpec("x", 2, filter=FilterSpec("trim", 0.12), chars=("x",), turnover=True)
+    out = {(r.series, r.regime, r.weighting): r for r in summary.summary(Strategy(make(spark, rows), spec)).collect()}
+    assert {k[1] for k in out} == {"ea", "ep"} and {k[0] for k in out} == {"long_short", "long", "short", "ptf_1", "ptf_2"}
+    row = out["ptf_2", "ea", "ew"]
+    assert row.char_x == pytest.approx(5.0) and row.turnover is not None
+    assert row.p == pytest.approx(math.erfc(abs(row.t) / math.sqrt(2)))
+    assert out["long_short", "ea", "ew"].char_x is None
+
+
 def test_tails():
     assert normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
     assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
