@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spaces between words: x20 and x09 to x0D, as a Java regular expression.
 SPACES = "[ \\t-\\r]+"
@@ -18,10 +22,12 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in.
+    In local mode (tests) a temporary folder stands in for it; anywhere else a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
@@ -31,6 +37,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folioframe/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch, if the session has Spark's default: texts are large, and batches are held on both sides.
+BATCH_ROWS = 1_000
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow``, after Arrow batches were bounded for this session (unless it has a setting of its own)."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -244,8 +244,7 @@ def test_repeated_passages(spark, docs, none):
     assert substring.kept_words(none).count() == 0 and substring.drop_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeated_passages_of_few_words(spark, seed):
+def passages(seed):
     rng = np.random.default_rng(seed)
     rows = []
     for d in range(30):
@@ -255,8 +254,65 @@ def test_repeated_passages_of_few_words(spark, seed):
             at = int(rng.integers(0, 60))
             parts[at:at] = old[at : at + int(rng.integers(15, 60))]
         rows.append((d, " ".join(parts)))
-    got = substring.kept_words(spark.createDataFrame(rows, "doc_id long, text string"), words=20).collect()
-    assert sorted((r._doc, r.n_words, r.n_removed, r.kept) for r in got) == sorted(brute_cut(rows))
+    return rows
+
+
+def cut(spark, rows, **how):
+    got = substring.kept_words(spark.createDataFrame(rows, "doc_id long, text string"), words=20, **how).collect()
+    return sorted((r._doc, r.n_words, r.n_removed, r.kept) for r in got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_passages_of_few_words(spark, seed):
+    assert cut(spark, passages(seed)) == sorted(brute_cut(passages(seed)))
+
+
+def test_repeated_passages_when_hashes_collide(spark, monkeypatch):
+    """Sixteen bits and eight: spans of other words meet, are found out at their coordinates, and all is done again."""
+    tried = []
+    seen = substring._spans
+    monkeypatch.setattr(substring, "_spans", lambda docs, texts, words, seed, bits: tried.append((seed, bits)) or seen(docs, texts, words, seed, bits))
+    for bits in (16, 8):
+        assert cut(spark, passages(0), bits=bits) == sorted(brute_cut(passages(0)))
+    assert (1, 64) in tried
+
+
+def test_repeated_passages_of_long_texts(spark, monkeypatch):
+    """Texts that are hashed in many pieces, and repeat each other and themselves across their seams."""
+    monkeypatch.setattr(substring, "_CHUNK", 500)
+    rng = np.random.default_rng(5)
+    a = [f"w{x}" for x in rng.integers(0, 400, 3000)]
+    rows = [(1, " ".join(a)), (2, " \t ".join(a[700:2600] + [f"n{i}" for i in range(200)] + a[100:300])), (3, " ".join(a[5:400] * 3)), (3, " ".join(a[2000:]) + "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Spark's Python workers import the module anew: the pieces are made here, as they are there
+    for text in [r[1].encode() for r in rows]:
+        pieces_ = [*substring._segments(text, 20)]
+        assert len(pieces_) > 3 or len(text) < 1500
+        whole = text.split()
+        windows = [tuple(p.split()[i : i + 20]) for p, _ in pieces_ for i in range(len(p.split()) - 19)]
+        assert windows == [tuple(whole[i : i + 20]) for i in range(len(whole) - 19)]
+        assert all(whole[w] == p.split()[0] for p, w in pieces_)
+    batch = substring.pa.RecordBatch.from_arrays([substring.pa.array([r[0] for r in rows]), substring.pa.array([r[1].encode() for r in rows])], ["_doc", "_text"])
+
+    class Frame:
+        select = lambda self, *cols: self
+
+    monkeypatch.setattr(substring, "in_batches", lambda df, run, schema: [*run(iter([batch]))])
+    cut_up = {tuple(x) for b in substring._paths(Frame(), 20, 0, 64) for x in zip(*[c.to_pylist() for c in b.columns[2:4]])}
+    assert sum(r["meta"] >> 2 for b in substring._paths(Frame(), 20, 0, 64) for r in b.to_pylist()) == sum(max(0, len(r[1].split()) - 19) for r in rows)
+    monkeypatch.undo()
+    assert len(cut_up) > 100 and cut(spark, rows) == sorted(brute_cut(rows)) and df.count() == 4
+
+
+def test_whole_passages_become_one_path(spark):
+    """A passage of three hundred words in many documents is one span, not one for each of its windows."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{x}" for x in rng.integers(0, 9999, 300)]
+    rows = [(d, " ".join([*(f"a{d}x{i}" for i in range(30)), *passage, *(f"b{d}x{i}" for i in range(30))])) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.lit(True).alias("_rest"))
+    spans = substring._spans(docs, substring._zipped(docs), 20, 0, 64).collect()
+    assert all(sum(r.n > 200 for r in spans if r.doc == d) == 1 for d in range(1, 40)) and len(spans) <= 8 * 39
+    assert cut(spark, rows) == sorted(brute_cut(rows))
 
 
 # ------------------------------------------------------------------ packing
