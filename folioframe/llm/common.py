@@ -47,6 +47,18 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers put together to about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def bound_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
@@ -64,6 +76,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its long column ``key`` as ``_<key>``, inverted.
+
+    A grouped frame joined by this column is dealt anew instead of where its groups are, and adaptive
+    execution can split a hot key's rows on the other side.
+    """
+    return df.select(F.bitwise_not(key).alias(f"_{key}"), *[F.col(f"`{c}`") for c in df.columns if c != key])
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

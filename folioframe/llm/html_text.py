@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import in_batches, text_or_empty
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,4 +325,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["_rest", "text", "n_chars"]
             )
 
-    return rows.mapInArrow(run, schema).select(*[F.col("_rest")[c].alias(c) for c in kept], "text", "n_chars")
+    return in_batches(rows, run, schema).select(*[F.col("_rest")[c].alias(c) for c in kept], "text", "n_chars")

@@ -1,10 +1,12 @@
-"""Near-duplicates by SimHash, linked through a table of distances to reference fingerprints.
+"""Near-duplicates by SimHash, linked through tables of distances to reference fingerprints.
 
-The references are zero and one mask for each block of bits. By the triangle inequality the
-distances of two linked fingerprints to any reference differ by at most the radius; for these
-references the bound sharpens to the sum over all blocks, since distance to zero and to a block's
-mask together tell how many bits of the block are set. A fingerprint therefore meets only those
-whose table rows lie within that sum, and every pair that is left is compared in full.
+A first table has the distances to zero and to one mask for each block of bits. By the triangle
+inequality the distances of two linked fingerprints to any reference differ by at most the radius; for
+these references the bound sharpens to the sum over all blocks, since distance to zero and to a block's
+mask together tell how many bits of the block are set. A fingerprint therefore meets only those whose
+rows of this table lie within that sum. A second table has the distances to many random references:
+pairs that meet are discarded if their rows differ by more than the radius in any coordinate, and every
+pair that is left is compared in full.
 
 Texts that only resemble each other differ in more bits than such a table can tell apart. They are
 found by bands of min-hashes and compared shingle by shingle; see :func:`similar_groups`.
@@ -21,12 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash, text_or_empty
+from .common import apart, in_batches, larger, shuffle_partitions, stash, text_or_empty
 from .components import components
 
 BITS = 64
 SEED = 42
 _CHUNK = 1 << 15
+#: References of the second table.
+PIVOTS = 8
+_pivots = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows at home in a cell that one task compares with the cell's others; a cell of more is split.
+CELL_ROWS = 4_096
 
 
 def _digests(text: str | None, words: int) -> Iterator[bytes]:
@@ -66,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return in_batches(rows, run, f"_id {kind.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
 def block_masks(blocks: int, bits: int = BITS) -> list[int]:
@@ -138,63 +145,91 @@ class _Forest:
         return x != y
 
 
+def distances(values: np.ndarray) -> np.ndarray:
+    """Table of Hamming distances to the random references: a row for each value."""
+    return np.bitwise_count(values[:, None] ^ _pivots[None, :])
+
+
 def _linked(home: np.ndarray, other: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of one cell within the radius, block by block."""
-    step = max(1, (1 << 21) // max(1, len(other)))
+    """Places of pairs within the radius, block by block, by the table of distances and then in full."""
+    step = max(1, (1 << 20) // max(1, len(other)))
+    here, there = distances(home).astype(np.int8), distances(other).astype(np.int8)
     for at in range(0, len(home), step):
-        i, j = np.nonzero(np.bitwise_count(home[at : at + step, None] ^ other[None, :]) <= radius)
-        yield i + at, j
+        near = np.ones((len(here[at : at + step]), len(other)), bool)
+        for p in range(PIVOTS):  # maximum coordinate difference
+            near &= np.abs(here[at : at + step, p, None] - there[None, :, p]) <= radius
+        i, j = np.nonzero(near)
+        close = np.bitwise_count(home[i + at] ^ other[j]) <= radius
+        yield i[close] + at, j[close]
 
 
-def _forests(visits: DataFrame, radius: int) -> DataFrame:
-    """Edges ``(a, b)`` between nodes that meet in a cell with values at most ``radius`` bits apart.
+def _split_cells(visits: DataFrame, rows: int) -> DataFrame:
+    """``visits`` (cell, visitor, fp) with ``part`` and ``guest``: each row once in every part of its cell that it meets.
 
-    Columns after ``cell, visitor``: the value and the node. Every task gives a spanning forest of the
-    links it finds, so all links are there as paths while a large group of near copies gives no square
-    of rows.
+    The rows at home in a cell are dealt over parts of about ``rows``; a row is at home in its own part
+    and a guest in those before it, a visitor is a guest in all.
+    """
+    homes = visits.where("NOT visitor").groupBy("cell").count().where(F.col("count") > rows)
+    # No more than one cell for each `rows` fingerprints: a proven bound.
+    large = homes.select("cell", F.ceil(F.col("count") / rows).cast("int").alias("_parts"))
+    dealt = visits.join(F.broadcast(large), "cell", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("_parts")).cast("int")
+    last = F.when(F.col("visitor"), F.col("_parts") - 1).otherwise(own)
+    met = dealt.select("cell", "visitor", "fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    return met.select("cell", "part", (F.col("visitor") | (F.col("part") != F.col("_own"))).alias("guest"), "fp")
+
+
+def _forests(visits: DataFrame, radius: int, rows: int = CELL_ROWS) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints that meet in a cell, at most ``radius`` bits apart.
+
+    ``visits``: ``cell, visitor, fp``. Of a cell's part a task holds the rows at home, guests pass by.
+    Every task gives a spanning forest of the links it finds, so all links are there as paths while a
+    large group of near copies gives no square of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        rest: list[np.ndarray] | None = None
+        here: tuple[int, int] | None = None
+        home = np.empty(0, np.uint64)
 
-        def solve(cells: np.ndarray, visitor: np.ndarray, value: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, int)
-            homes = np.add.reduceat(~visitor, starts, dtype=np.int64) if len(starts) else starts
-            found: tuple[list[int], list[int]] = ([], [])
-            ends = np.append(starts[1:], len(cells))
-            # unsigned: numpy counts the bits of a negative number's absolute value
-            value = value.astype(np.uint64)
-            for s, e, h in zip(starts.tolist(), ends.tolist(), homes.tolist()):
-                if h and e - s > 1:
-                    for i, j in _linked(value[s : s + h], value[s:e], radius):
-                        for x, y in zip(node[s + i].tolist(), node[s + j].tolist()):
-                            if x != y and forest.join(x, y):
-                                found[0].append(x)
-                                found[1].append(y)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+        def met(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+            for i, j in _linked(left, right, radius):
+                for x, y in zip(left[i].view(np.int64).tolist(), right[j].view(np.int64).tolist()):
+                    if x != y and forest.join(x, y):
+                        yield x, y
 
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            rest = [x[cut:] for x in cols]
-            yield solve(*[x[:cut] for x in cols])
-        if rest:
-            yield solve(*rest)
+        for batch in larger(batches):
+            cell, part, guest, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            # unsigned: numpy counts the bits of a negative number's absolute value
+            fp, found = fp.astype(np.uint64), []
+            turn = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
+            for s, e in itertools.pairwise([0, *turn.tolist(), len(cell)]):
+                if (cell[s], part[s]) != here:
+                    here, home = (cell[s], part[s]), np.empty(0, np.uint64)
+                h = s + int(np.searchsorted(guest[s:e], True))
+                if h > s:  # some more at home
+                    found += [x for pair in (met(home, fp[s:h]), met(fp[s:h], fp[s:h])) for x in pair]
+                    home = np.concatenate([home, fp[s:h]])
+                if e > h and len(home):
+                    found += met(home, fp[h:e])
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
     parts = shuffle_partitions(visits.sparkSession)
-    return visits.repartition(parts, "cell").sortWithinPartitions("cell", "visitor").mapInArrow(run, "a long, b long")
+    dealt = _split_cells(visits, rows).repartition(parts, "cell", "part").sortWithinPartitions("cell", "part", "guest")
+    return in_batches(dealt, run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges ``(a, b)``: paths between all fingerprints of column ``fp`` at most ``radius`` bits apart.
 
-    Null fingerprints take no part.
+    Null fingerprints take no part. A cell with more than ``cell_rows`` fingerprints is compared by
+    several tasks.
     """
     fps = fps.select("fp").where("fp IS NOT NULL").distinct()
+    fps = stash(fps, "distinct-fingerprints")
     visits = _visits(fps, "fp", BITS, blocks or blocks_for(fps.count()), radius)
-    return _forests(visits.withColumn("node", F.col("fp")), radius)
+    return _forests(visits, radius, cell_rows)
 
 
 def near_groups(
@@ -212,8 +247,9 @@ def near_groups(
     classes = classes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "_root", F.coalesce("root", "fp")
     )
-    least = classes.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_fp = classes.join(least, "_root").select("fp", "component_id")
+    classes = stash(classes, "classes")
+    least = apart(classes.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root")
+    by_fp = apart(classes, "_root").join(least, "__root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
@@ -265,7 +301,7 @@ def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
             )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(run, "id long, node long, size long, bands array<long>")
+    return in_batches(rows, run, "id long, node long, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -280,7 +316,8 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: st
                 )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
-    return rows.join(ids, "id", "left_semi").select("id", "_text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
+    wanted = rows.join(ids, "id", "left_semi").select("id", "_text")
+    return in_batches(wanted, run, "node long, found binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -297,7 +334,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return in_batches(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
 def _apart(meets: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -305,7 +342,8 @@ def _apart(meets: DataFrame, rooted: DataFrame) -> DataFrame:
     rows = meets.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"))
     homes = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("home"))
-    return rows.join(homes.where("roots > 1").select("cell", "home"), "cell")
+    homes = apart(homes.where("roots > 1").select("cell", "home"), "cell")
+    return apart(rows, "cell").join(homes, "_cell").withColumn("cell", F.bitwise_not("_cell")).drop("_cell")
 
 
 def _candidates(meets: DataFrame, rooted: DataFrame | None, turn: int) -> DataFrame:
@@ -339,7 +377,8 @@ def similar_groups(
     nodes = stash(nodes, "nodes")
     cells = nodes.select("node", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    meets = stash(cells.join(shared.select("cell", "low"), "cell"), "meets")
+    meets = apart(cells, "cell").join(apart(shared.select("cell", "low"), "cell"), "_cell")
+    meets = stash(meets.select(F.bitwise_not("_cell").alias("cell"), "node", "low"), "meets")
     met = nodes.join(meets, "node", "left_semi").select(F.col("least").alias("id"))
     sets = stash(_sets(docs, met, words, id_col, text_col), "sets")
     sizes = nodes.select("node", "size")
@@ -355,8 +394,9 @@ def similar_groups(
         edges = found if edges is None else edges.union(found)
         rooted = stash(components(edges), "groups")
     classes = nodes.select("node", "least").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = classes.join(least, "root").select("node", "component_id")
+    classes = stash(classes, "classes")
+    least = apart(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    known = apart(classes, "root").join(least, "_root").select("node", "component_id")
     return marks.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "component_id")
 
 

@@ -121,7 +121,7 @@ def test_links_are_those_of_brute_force(spark):
     fps = sorted({int(s) ^ (1 << int(a)) ^ (1 << int(b)) for s in seeds for a, b in rng.integers(0, 64, (12, 2))} | {0, (1 << 64) - 1})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     for blocks in (4, 6, 10):
-        edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, blocks)
+        edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, blocks, cell_rows=4 if blocks == 4 else 4096)
         rooted = {r.node: r.root for r in components(edges).collect()}
         got = [rooted.get(f, f) for f in signed]
         want = brute_components(fps, 2)
@@ -194,7 +194,7 @@ def test_similar_texts_of_a_chain(spark):
 
 
 def test_a_family_of_near_copies_is_no_square_of_pairs(spark, monkeypatch):
-    assert max(len(i) for i, _ in simhash._linked(np.zeros(4000, np.uint64), np.zeros(4000, np.uint64), 2)) <= 1 << 21
+    assert max(len(i) for i, _ in simhash._linked(np.zeros(4000, np.uint64), np.zeros(4000, np.uint64), 2)) <= 1 << 20
     compared = []
 
     def counted(df, name, stash=simhash.stash):
