@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, in_batches, shuffle_partitions, stash, text_or_empty
+from .common import apart, fresh_path, in_batches, shuffle_partitions, stash, text_or_empty
 
 WORDS = 20
 #: Tokens of a k-mer that can be an anchor.
@@ -221,23 +221,37 @@ def _opened(texts: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i, (z, ranges) in enumerate(zip(batch.column(1), batch.column(2))):
-                text = unzip(z.as_py())
-                wanted = _wanted(ranges, text)
-                if not len(wanted):
-                    continue
-                start = np.unique(np.concatenate([np.arange(a, a + n) for a, n in wanted]))
-                found = []
-                for piece, first in _segments(text, words):
-                    tokens = Tokens([piece], seed, bits)
-                    here = start[(start >= first) & (start + words <= first + tokens.n)]
-                    found.append((tokens.stretch(here - first, words), tokens.stretch(here - first, words, "other"), here))
-                w, v, start = (np.concatenate(x) for x in zip(*found))
-                yield _rows(_WINDOW, w, v, np.full(len(w), ids[i]), start + _mark(text), _copies(w, v))
+            texts = [unzip(z.as_py()) for z in batch.column(1)]
+            marks = np.array([_mark(t) for t in texts], np.int64)
+            starts = [_spread(_wanted(ranges, text)) for ranges, text in zip(batch.column(2), texts)]
+            for part, pieces in _parts(texts, words):
+                if part.stop - part.start == len(pieces):
+                    tokens = Tokens([x for x, _ in pieces], seed, bits)
+                    of = np.repeat(np.arange(len(pieces)), [len(x) for x in starts[part]])
+                    start = np.concatenate(starts[part])
+                    at = start + tokens.first[of]
+                    w, v = tokens.stretch(at, words), tokens.stretch(at, words, "other")
+                else:  # one long text
+                    found = []
+                    for piece, first in pieces:
+                        tokens = Tokens([piece], seed, bits)
+                        start = starts[part.start]
+                        start = start[(start >= first) & (start + words <= first + tokens.n)]
+                        found.append((tokens.stretch(start - first, words), tokens.stretch(start - first, words, "other"), start))
+                    w, v, start = (np.concatenate(x) for x in zip(*found))
+                    of = np.zeros(len(start), np.int64)
+                yield _rows(_WINDOW, w, v, ids[part][of], start + marks[part][of], _copies(w, v, of))
 
     return in_batches(texts, run, _WINDOW)
 
 
+def _spread(ranges: np.ndarray) -> np.ndarray:
+    """Every place of (place, windows) ranges."""
+    at, n = ranges.T
+    ends = np.cumsum(n)
+    return np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _wanted(ranges: pa.Scalar, text: bytes) -> np.ndarray:
     """(place, windows) of the ranges that are of this text, not of another row with its id."""
     pairs = ranges.values.flatten()
@@ -338,7 +352,8 @@ def _spans(docs: DataFrame, texts: DataFrame, words: int, seed: int, bits: int)
         "paths",
     )
     units = repeated.groupBy("a", "s").agg(F.sum("copies").alias("_n"), F.min("doc").alias("d0")).where("_n > 1").drop("_n")
-    told = stash(repeated.join(units, ["a", "s"], "left").select(F.xxhash64("a", "s").alias("u"), "doc", "start", "n", "copies", "branching", "d0"), "told")
+    told = apart(repeated, "a").join(apart(units, "a"), ["_a", "s"], "left")
+    told = stash(told.select(F.xxhash64("_a", "s").alias("u"), "doc", "start", "n", "copies", "branching", "d0"), "told")
     nodes = told.where("d0 IS NOT NULL")
     later = nodes.where("copies = 0 OR doc > d0").select("u", "doc", "start")
     spans = later.join(_chains(nodes), "u").select("doc", "start", "n", "d0", "p0")
@@ -350,18 +365,21 @@ def _spans(docs: DataFrame, texts: DataFrame, words: int, seed: int, bits: int)
         opened.groupBy("w", "v")
         .agg(F.sum("copies").alias("_n"), F.min("doc").alias("d0"), F.min_by(F.when(first, F.col("start")), F.when(first, F.col("doc"))).alias("p0"))
         .where("_n > 1")
-        # Other keys than the grouping's, so that the join deals both sides anew and can split a hot window.
-        .select(F.bitwise_not("w").alias("_w"), F.bitwise_not("v").alias("_v"), "d0", "p0")
+        .drop("_n")
     )
-    windows = opened.select(F.bitwise_not("w").alias("_w"), F.bitwise_not("v").alias("_v"), "doc", "start", "copies").join(firsts, ["_w", "_v"])
-    windows = windows.where("copies = 0 OR doc > d0").select("doc", "start", "d0", "p0")
+    windows = apart(opened, "w").join(apart(firsts, "w"), ["_w", "v"]).where("copies = 0 OR doc > d0")
+    return stash(_merged(spans.unionByName(windows.select("doc", "start", F.lit(1).cast("long").alias("n"), "d0", "p0"))), "spans")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """``spans`` with those put together that go on where another ends, in both places."""
     order = Window.partitionBy("doc").orderBy("start")
     last = lambda c: F.lag(c).over(order)
-    windows = windows.withColumns({"_s": last("start"), "_d": last("d0"), "_p": last("p0")}).where("_s IS NULL OR _s <> start")
-    fresh = F.coalesce((F.col("start") != F.col("_s") + 1) | (F.col("d0") != F.col("_d")) | (F.col("p0") != F.col("_p") + 1), F.lit(True))
-    runs = windows.withColumn("run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n"), F.min("d0").alias("d0"), F.min("p0").alias("p0"))
-    return stash(spans.unionByName(merged.drop("run")), "spans")
+    spans = spans.withColumns({"_s": last("start"), "_n": last("n"), "_d": last("d0"), "_p": last("p0")}).where("_s IS NULL OR _s <> start")
+    goes_on = (F.col("start") == F.col("_s") + F.col("_n")) & (F.col("d0") == F.col("_d")) & (F.col("p0") == F.col("_p") + F.col("_n"))
+    fresh = F.when(goes_on, 0).otherwise(1)
+    runs = spans.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("d0").alias("d0"), F.min("p0").alias("p0")).drop("run")
 
 
 def _beside(texts: DataFrame, ranges: DataFrame) -> DataFrame:
