@@ -8,7 +8,7 @@ language's prototype the vectors of its training texts. The nearest prototype by
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bound_batches, in_batches, stash
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -25,7 +25,10 @@ UNKNOWN = "und"
 TRAIN_ROWS = 20_000
 _SLOTS = 1 << 12  # letters share a vector if their code points agree modulo this
 _GROUP = 64  # texts whose n-gram counts are multiplied at once
-_CHUNK = 1 << 21  # letters counted at once
+_CHUNK = 1 << 19  # letters counted at once
+#: A text of so many letters whose nearest prototype is within so many standard deviations of chance is in none of the
+#: languages. Cosines of unrelated texts lie about 0 with a standard deviation of 1 / sqrt(DIMENSIONS).
+SURE_LETTERS, CHANCE = 200, 5.0
 _SCALE = 1 << 20  # training vectors are rounded to integers, so that their sums don't depend on order
 
 _letter_vectors: np.ndarray | None = None
@@ -73,10 +76,34 @@ def _bound(number: np.ndarray) -> np.ndarray:
     return out
 
 
+def _long_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of a long text's n-grams, gone through in parts."""
+    slots, letters = np.zeros(0, np.int64), np.zeros(0, bool)
+    after, found = True, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at in range(0, len(text), _CHUNK):
+        code = np.frombuffer(text[at : at + _CHUNK].lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters()[code]
+        keep = letter | np.concatenate([[after], letter[:-1]])
+        after = bool(letter[-1])
+        slots = np.concatenate([slots, np.where(letter, code % (_SLOTS - 1) + 1, 0)[keep]])
+        letters = np.concatenate([letters, letter[keep]])
+        n = max(0, len(slots) - GRAM + 1)
+        number, any_letter = np.zeros(n, np.int64), np.zeros(n, bool)
+        for i in range(GRAM):
+            number = number * _SLOTS + slots[i : i + n]
+            any_letter |= letters[i : i + n]
+        both = np.concatenate([found[0], number[any_letter]])
+        grams, which = np.unique(both, return_inverse=True)
+        counts = np.bincount(which, np.concatenate([found[1], np.ones(len(both) - len(found[0]), np.int64)]), len(grams))
+        found = grams, counts.astype(np.int64)
+        slots, letters = slots[n:], letters[n:]
+    return found
+
+
 def bundles(texts: list[str]) -> Iterator[np.ndarray]:
     """Unit vectors of some dozen texts at a time; zeros for a text without letters.
 
-    Any length, in memory bounded by the longest text.
+    Any length: a long text is counted in parts.
     """
     at = 0
     while at < len(texts):
@@ -84,14 +111,21 @@ def bundles(texts: list[str]) -> Iterator[np.ndarray]:
         while end < len(texts) and end - at < _GROUP and (size == 0 or size + len(texts[end]) <= _CHUNK):
             size += len(texts[end])
             end += 1
-        text, number = _grams([f" {t}" for t in texts[at:end]])
-        grams, which = np.unique(number, return_inverse=True)
+        if size > _CHUNK:  # one long text
+            grams, counts = _long_grams(f" {texts[at]} ")
+            table = lambda lo, width: counts[None, lo : lo + width]  # noqa: E731, B023
+        else:
+            text, number = _grams([f" {t}" for t in texts[at:end]])
+            grams, which = np.unique(number, return_inverse=True)
+
+            def table(lo: int, width: int) -> np.ndarray:
+                some = (which >= lo) & (which < lo + width)  # noqa: B023
+                return np.bincount(text[some] * width + which[some] - lo, minlength=(end - at) * width).reshape(end - at, width)  # noqa: B023
+
         out = np.zeros((end - at, DIMENSIONS), np.float64)
         for lo in range(0, len(grams), 4096):
-            some = (which >= lo) & (which < lo + 4096)
             width = min(4096, len(grams) - lo)
-            counts = np.bincount(text[some] * width + which[some] - lo, minlength=(end - at) * width)
-            out += counts.reshape(end - at, width).astype(np.float32) @ _bound(grams[lo : lo + width]).astype(np.float32)
+            out += table(lo, width).astype(np.float32) @ _bound(grams[lo : lo + width]).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         yield out / np.where(norm == 0, 1, norm)
         at = end
@@ -152,7 +186,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
                 [pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(v)], ["lang", "i", "x"]
             )
 
-    summed = rows.mapInArrow(run, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    summed = in_batches(rows, run, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     table: dict[str, np.ndarray] = {}
     for r in summed.collect():
         table.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["i"]] = r["x"]
@@ -169,6 +203,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
     replaced.
     """
     langs, protos = np.array([*profiles.languages, UNKNOWN]), profiles.prototypes
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def nearest(text):  # noqa: ANN001, ANN202 (Spark reads annotations of pandas UDFs)
@@ -187,17 +222,24 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
 
 
 def keep_known(
-    docs: DataFrame, min_score: float = 0.0, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS
+    docs: DataFrame,
+    languages: Sequence[str] | None = None,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, by what is learnt from its labelled rows.
+    """The rows of ``docs`` whose text is in a language, by what is learnt from its labelled rows.
 
-    Rejected are texts without letters, null texts, and texts whose cosine with every prototype is
-    below ``min_score``. At 0 none is rejected by its cosine: those of unrelated texts lie about 0 by
-    chance, so that their sign tells nothing. All columns are kept as they are.
+    Rejected are null texts, texts without letters, texts of at least ``SURE_LETTERS`` letters whose
+    cosine with every prototype is within ``CHANCE`` standard deviations of chance, and with
+    ``languages`` texts in others. Shorter texts have low cosines in any language and are not rejected
+    by them. A row without a label gets the predicted one; all else is kept as it is.
     """
     profiles = fit(docs, text_col, lang_col, max_rows)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(text_col).alias("_text"))
-    kept = predict(rows, profiles, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select("_all.*")
-
-
+    long = F.char_length(F.regexp_replace("_text", r"\P{L}+", "")) >= SURE_LETTERS
+    near = F.col("score") > CHANCE / DIMENSIONS**0.5
+    known = (F.col("lang_pred") != UNKNOWN) & (near | ~long)
+    kept = predict(rows, profiles, "_text").where(known if languages is None else known & F.col("lang_pred").isin(*languages))
+    label = F.coalesce(F.col("_all")[lang_col], F.col("lang_pred")).alias(lang_col)
+    return kept.select(*[label if c == lang_col else F.col("_all")[c].alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from .common import fresh_path, table
 from .content_sort import mark_copies
 from .html_text import extract
 from .langid import fit, predict
-from .packing import pack
+from .packing import Tokenizer, pack
 from .pieces import encode
 from .simhash import near_groups
 from .substring import kept_words
@@ -18,8 +18,14 @@ from .vafile import scaled, top_k
 from .warc import read_archives, write_archives
 
 
+#: Public tokenizer file that packing uses.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    """Places of all documents' tokens in training sequences, with a digest of the ids there."""
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer=Tokenizer(BYTE_BPE))
+    return packed.withColumn("ids_hash", F.xxhash64("ids")).drop("ids")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import html_text, langid, packing, pieces, simhash, substring, urlfilter, vafile, warc
+from folioframe.llm import html_text, langid, packing, pieces, queries, simhash, substring, urlfilter, vafile, warc
 from folioframe.llm.components import components
 from folioframe.llm.content_sort import drop_copies, mark_copies
 from folioframe.llm.html_text import extract, main_text
@@ -318,27 +318,76 @@ def test_whole_passages_become_one_path(spark):
 # ------------------------------------------------------------------ packing
 
 
-def test_best_fit_keeps_to_its_bins():
-    rng = np.random.default_rng(0)
-    sizes = sorted(rng.integers(1, 65, 500).tolist(), reverse=True)
-    bin_of, offset, ends = packing.best_fit(sizes, (16, 32, 64))
+def cheapest(sizes, lengths, cost):
+    """Least cost of all ways to put the items into bins."""
+    shrunk = lambda used: next((c for c in sorted(lengths) if c >= used), None)
+
+    def grow(i, bins):
+        if i == len(sizes):
+            return sum(cost(shrunk(b)) for b in bins)
+        best = grow(i + 1, [*bins, sizes[i]])
+        for j in {b: j for j, b in enumerate(bins)}.values():
+            if shrunk(bins[j] + sizes[i]):
+                best = min(best, grow(i + 1, [b + sizes[i] * (k == j) for k, b in enumerate(bins)]))
+        return best
+
+    return grow(0, [])
+
+
+def checked(sizes, lengths, cost=packing.sequence_cost):
+    """A packing, after a check that its bins hold what is in them and have shrunk."""
+    p = packing.best_fit(sizes, lengths, cost)
     used = {}
-    for b, o, s in zip(bin_of, offset, sizes):
+    for b, o, s in zip(p.bin_of, p.offset, sizes):
         assert o == used.get(b, 0)
         used[b] = o + s
-    assert all(used[b] <= ends[b] for b in used)
-    assert all(ends[b] == min(c for c in (16, 32, 64) if c >= used[b]) for b in used)
-    assert sum(sizes) / sum(ends) > 0.94
-    assert packing.best_fit([], (16,)) == ([], [], [])
+    assert all(p.lengths[b] == min(c for c in lengths if c >= u) for b, u in used.items()) and len(used) == len(p.lengths)
+    return p
+
+
+def test_best_fit_is_near_the_cheapest_of_all_packings():
+    rng = np.random.default_rng(0)
+    costs = {"linear": lambda c: c + 1, "short": lambda c: c * c, "long": lambda c: c**0.5 + 2}
+    ratios = []
+    for _ in range(60):
+        lengths = sorted(rng.choice([4, 6, 8, 12, 16], 3, replace=False).tolist())
+        sizes = sorted(rng.integers(1, lengths[-1] + 1, 7).tolist(), reverse=True)
+        for cost in costs.values():
+            ratios.append(checked(sizes, lengths, cost).cost(cost) / cheapest(sizes, lengths, cost))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.5 and np.mean(ratios) < 1.03
+
+
+def test_best_fit_is_no_dearer_than_any_single_length():
+    rng = np.random.default_rng(1)
+    lengths, better = (16, 32, 64), 0
+    for k in range(30):
+        sizes = sorted(np.minimum(rng.geometric(0.02 * (1 + k % 7), 300), 64).tolist(), reverse=True)
+        p = checked(sizes, lengths, lambda c: c + c * c / 100)
+        for one in lengths:
+            other = packing._best_fit(sizes, list(lengths), lambda size, left, one=one: max(one, next(c for c in lengths if c >= size)))
+            assert p.cost(lambda c: c + c * c / 100) <= other.cost(lambda c: c + c * c / 100)
+        better += all(p.lengths.count(c) for c in lengths)
+    assert better > 10  # a mixture of all lengths
+    assert packing.best_fit([], (16,)) == packing.Packing([], [], [])
+
+
+BPE = packing.Tokenizer(queries.BYTE_BPE)
+
+
+def test_cutting_long_texts_changes_no_token(monkeypatch):
+    text = " ".join(r[1] for r in awkward() if r[1]) + " end  of it\n\n all "
+    whole = BPE.encode(text)
+    monkeypatch.setattr(packing, "_ENCODE", 50)
+    assert BPE.encode(text).tolist() == whole.tolist() and BPE.decode(whole) == text
+    monkeypatch.setattr(packing, "_ENCODE_MOST", 90)
+    assert BPE.decode(BPE.encode("é" * 500 + " x")) == "é" * 500 + " x"
 
 
 def test_packing_covers_every_token_once(spark, docs, none):
-    got = packing.pack(docs, (8, 64, 512), shard_rows=40)
-    rows = got.collect()
-    total = sum(len(words_of(r[1])) for r in awkward())
-    assert sum(r.n_tokens for r in rows) == total
-    bins = {}
+    rows = packing.pack(docs, (8, 64, 512), tokenizer=BPE, shard_tokens=4000).collect()
+    bins, texts = {}, {}
     for r in rows:
+        assert r.n_tokens == len(r.ids)
         bins.setdefault(r.bin_id, []).append(r)
     for members in bins.values():
         members.sort(key=lambda r: r.bin_offset)
@@ -347,10 +396,25 @@ def test_packing_covers_every_token_once(spark, docs, none):
             assert r.bin_offset == at
             at += r.n_tokens
         assert at <= members[0].bin_length and len({r.bin_length for r in members}) == 1
-    long = sorted((r.start, r.n_tokens) for r in rows if r.doc_id == 11)
-    assert long[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(long, long[1:]))
-    assert len({(r.doc_id, r.copy) for r in rows if r.doc_id == 20}) == 2
-    assert packing.pack(none).count() == 0
+        assert members[0].bin_length == min(c for c in (8, 64, 512) if c >= at)
+    for r in sorted(rows, key=lambda r: r.start):
+        if r.doc_id not in (20, 21):
+            assert sum(map(len, texts.get(r.doc_id, []))) == r.start
+            texts.setdefault(r.doc_id, []).append(r.ids)
+    want = {r[0]: r[1] for r in awkward() if r[1] and r[0] not in (20, 21)}
+    assert {d: BPE.decode([i for part in ids for i in part]) for d, ids in texts.items()} == want
+    assert sum(r.doc_id == 20 for r in rows) == 2 and {r.doc_id for r in rows if r.doc_id in (20, 21)} == {20, 21}
+    whole = packing.sequences(packing.pack(docs, (8, 64, 512), tokenizer=BPE, shard_tokens=4000)).collect()
+    assert {r.bin_id: r.ids for r in whole} == {b: [i for r in m for i in r.ids] for b, m in bins.items()}
+    assert all(sum(p.n_tokens for p in r.parts) == r.n_tokens <= r.bin_length for r in whole)
+    assert packing.pack(none, tokenizer=BPE).count() == 0
+
+
+def test_packing_given_ids(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7]), (2, None), (3, []), (4, list(range(20))), (4, [None, 9])], "doc_id long, text array<long>")
+    got = packing.pack(df.coalesce(1), (4, 8)).collect()
+    assert sorted((r.doc_id, r.start, tuple(r.ids)) for r in got) == [(1, 0, (5, 6, 7)), (4, 0, tuple(range(8))), (4, 0, (9,)), (4, 8, tuple(range(8, 16))), (4, 16, (16, 17, 18, 19))]
+    assert len({r.bin_id for r in got}) == 3 and {r.bin_length for r in got} == {8}
 
 
 # ------------------------------------------------------------------ top-k
@@ -644,20 +708,47 @@ def test_rare_labels_are_learnt_and_copies_count_once(spark):
     assert profiles.prototypes[2] @ langid.bundle(["muy poco texto"])[0] > 0.999
 
 
-def test_clean_texts_of_an_unlabelled_script_stay(spark):
+def test_short_texts_stay_and_long_ones_in_no_language_go(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, f"plain english words of text number {i}", "en") for i in range(20)] + [(i, "12 34", None) for i in range(20, 25)]
-    rows += [(i, "".join(map(chr, rng.integers(0x4E00, 0x9F00, 40))), None) for i in range(100, 200)]
-    kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [*range(20), *range(100, 200)]
+    rows = [(i, f"plain english words of text number {i} and some more of them", "en") for i in range(20)] + [(i, "12 34", None) for i in range(20, 25)]
+    rows += [(i, "".join(map(chr, rng.integers(0x4E00, 0x9F00, n))), None) for i, n in enumerate([40] * 50 + [600] * 50, 100)]
+    rows += [(200, "plain words of english text, number and all, " * 9, None), (201, None, "en")]
+    kept = {r.doc_id: r.lang for r in langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(kept) == [*range(20), *range(100, 150), 200] and kept[200] == "en"
+    assert langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=["de"]).count() == 0
+
+
+def brute_vector(text):
+    """Binding and bundling, letter by letter."""
+    slots = [0]
+    for c in f" {text} ".lower()[1:]:
+        slot = ord(c) % 4095 + 1 if c.isalpha() else 0
+        if slot or slots[-1]:
+            slots.append(slot)
+    vectors = langid._vectors().astype(int)
+    total = np.zeros(langid.DIMENSIONS)
+    for i in range(len(slots) - 2):
+        if any(slots[i : i + 3]):
+            total += np.roll(vectors[slots[i]], 2) * np.roll(vectors[slots[i + 1]], 1) * vectors[slots[i + 2]]
+    norm = np.linalg.norm(total)
+    return total / norm if norm else total
+
+
+def test_bundles_are_those_of_brute_force(monkeypatch):
+    texts = ["The cat, the hat. 12 über", "", "x", "one two  three\nfour " * 30, "été — 日本 a1b2"]
+    want = np.array([brute_vector(t) for t in texts])
+    assert np.allclose(langid.bundle(texts), want, atol=1e-6)
+    monkeypatch.setattr(langid, "_CHUNK", 7)  # every text is long
+    assert np.allclose(langid.bundle(texts), want, atol=1e-6)
 
 
 def test_language_edge_cases(spark, docs, none):
     profiles = langid.fit(docs)
-    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs.where("doc_id <> 11 OR doc_id IS NULL"), profiles).collect()}
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs, profiles).collect()}
     for key in ((5, ""), (6, None), (7, " \n\t")):
         assert got[key] == ("und", 0.0)
     assert all(v[0] in ("en", "de") for k, v in got.items() if k[0] not in (5, 6, 7))
+    assert (11, "x " * 30_000) in got
     assert langid.keep_known(docs).columns == docs.columns
     assert langid.keep_known(docs).where("text IS NULL OR trim(text) = ''").count() == 0
     assert langid.keep_known(none).count() == 0

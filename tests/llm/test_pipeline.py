@@ -1,10 +1,12 @@
 """The pipeline's stages one after the other, and the registered queries against their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from folioframe.llm import queries
+from folioframe.llm.packing import Tokenizer
 from folioframe.llm.simhash import similar_groups
 from folioframe.llm.substring import kept_words
 
@@ -28,7 +30,71 @@ def test_stages_hand_on_the_columns(spark):
             assert kept_words(before).where("n_removed > 0").count() == docs.join(before, ["doc_id", "text"], "left_anti").count()
     assert counts == sorted(counts, reverse=True)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.agg({"n_tokens": "sum"}).first()[0] == sum(len(r.text.split()) for r in docs.collect())
+    encode, texts = Tokenizer(queries.BYTE_BPE), {}
+    for r in packed.orderBy("doc_id", "start").collect():
+        texts.setdefault(r.doc_id, []).extend(r.ids)
+    assert {d: encode.decode(ids) for d, ids in texts.items()} == {r.doc_id: r.text for r in docs.collect() if r.text}
+
+
+JUNK = [
+    (-1, "0123 4567 89", None), (-2, None, "en"), (-3, "", None), (-4, "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(400)), None),
+    (-5, " ".join(f"{(i * 2654435761) % 2**32:032b}".translate(str.maketrans("01", "xq")) for i in range(40)), None),
+]
+COPIES = [(5_000_000, "  ".join, "exact"), (5_000_001, lambda w: " ".join([*w[:-1], "changed"]), "near")]
+
+
+def test_every_stage_acts(spark):
+    """Rows planted for each stage: junk, an exact and a near copy of a long text, and a passage of another in a text of its own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = docs.where("length(text) > 2000").orderBy("doc_id").first().asDict()
+    words = np.random.default_rng(4).permutation(base["text"].split()).tolist()
+    base |= {"doc_id": 4_000_000, "text": " ".join(words)}
+    planted = [base]
+    planted += [base | {"doc_id": i, "text": t, "lang": lang} for i, t, lang in JUNK]
+    planted += [base | {"doc_id": i, "text": f(words)} for i, f, _ in COPIES]
+    own = [f"own{i}" for i in range(80)]
+    planted.append(base | {"doc_id": 5_000_002, "text": " ".join([*own[:40], *words[:60], *own[40:]]), "lang": None})
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        seen.append({r.doc_id: r for r in docs.collect()})
+    language, exact, near, cut = seen
+    assert not language.keys() & {i for i, _, _ in JUNK} and {5_000_000, 5_000_001, 5_000_002} <= language.keys()
+    assert language[5_000_002].lang  # it had no label
+    assert (5_000_000 in exact) + (base["doc_id"] in exact) == 1 and 5_000_001 in exact
+    assert 5_000_001 not in near and 5_000_002 in near
+    assert cut[5_000_002].text == " ".join(own)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).where("doc_id = 5000002").collect()
+    assert Tokenizer(queries.BYTE_BPE).decode([i for r in rows for i in r.ids]) == " ".join(own)
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    """All pairs of a thousand real texts: linked are those at 0.8 or more, by chains."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                linked += 1
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    assert linked > 40
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
 
 
 def test_run(spark):
