@@ -438,11 +438,39 @@ def test_top_k(spark):
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_top_k_of_large_components():
-    q, ids = np.array([[1 << 40, 3]], np.int64), np.array([1, 2, 3])
-    vectors = np.array([[1 << 40, 1], [-(1 << 40), 2], [5, 5]], np.int64)
-    got = vafile.search_block(np.array([9]), q, ids, vectors, np.array([-(1 << 40), 0, 5, 1 << 40]), 3)
-    assert got[1] == [1, 3, 2] and got[2][0] == (1 << 63) - 1
+@pytest.mark.parametrize("spread", [3, 200, 40_000, 1 << 40])
+def test_bounds_hold_and_leave_little_to_read(spread):
+    rng = np.random.default_rng(spread % 97)
+    v = rng.integers(-spread, spread, (3000, 16))
+    grid = vafile.Grid.over(int(v.min()), int(v.max()))
+    cells = grid.cells(v)
+    upper, lower = grid.bounds(v[:20], cells)
+    exact = np.array([[sum(int(a) * int(b) for a, b in zip(q, x)) for x in v[:300]] for q in v[:20]], float)
+    assert (upper[:, :300] >= exact).all() and (lower[:, :300] <= exact).all()
+    i, j, up, low = vafile.scan_block(grid, np.arange(20), v[:20], np.arange(3000), cells, 5)
+    assert len(i) < 20 * 60 and (i != j).all() and (up >= low).all()
+
+
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    big = 1 << 40
+    rows = [(20, [big, 3]), (2, [big, 1]), (3, [-big, 2]), (4, [5, 5]), (4, [7, 7]), (20, [big, 3])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumns({c: F.lit(1) for c in ("d", "q", "cells", "rank", "score", "qb", "vn", "_nth")})
+    got = vafile.top_k(df, F.col("vec_id") == 20, 3).orderBy("rank").collect()
+    top = (1 << 63) - 1
+    assert [tuple(r) for r in got] == [(20, 1, 2, top), (20, 2, 4, 7 * big + 21), (20, 3, 4, 5 * big + 15)]
+
+
+def test_top_k_in_many_blocks(spark):
+    """Ties at the k-th place over all blocks, and bounds that leave many to be read in the second round."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in rng.integers(-900, 900, 4)]) for i in range(400)] + [(1000 + i, [100, 100, 100, 100]) for i in range(60)]
+    got = vafile.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 40 == 0, 6, block=50, query_block=4).collect()
+    want = []
+    for q, v in rows:
+        if q % 40 == 0:
+            scores = [(-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q]
+            want += [(q, n, i, -x) for n, (x, i) in enumerate(heapq.nsmallest(6, scores), 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 # ------------------------------------------------------------------ pieces
