@@ -37,14 +37,17 @@ def _prefix(text: Column) -> Column:
 
 
 def _runs(docs: DataFrame, carry: list[str], id_col: str, text_col: str) -> DataFrame:
-    """One row per document with its run: ``_sha, _salt, _hot, _points, _id, _rn, _size`` and ``_row``."""
+    """One row per document with its run: ``_sha, _salt, _hot, _points, _id, _rn, _size``, ``_text`` as it is, and ``_row``.
+
+    ``_row`` has the columns of ``carry``; the text travels once.
+    """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     text = text_or_empty(text_col)
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"),
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("_row"),
         F.col(id_col).alias("_id"),
-        text.alias("_text"),
+        F.col(text_col).alias("_text"),
         _prefix(text).alias("_prefix"),
     )
     share = max(1, docs.count() // (parts * HOT))
@@ -65,11 +68,12 @@ def _runs(docs: DataFrame, carry: list[str], id_col: str, text_col: str) -> Data
     dealt = keyed.repartitionByRange(parts, "_prefix", "_salt").select(
         "_row",
         "_id",
+        "_text",
         "_prefix",
         "_salt",
         F.col("_salts").isNotNull().alias("_hot"),
-        F.char_length("_text").alias("_points"),
-        normalise(F.col("_text")).alias("_norm"),
+        F.char_length(text_or_empty("_text")).alias("_points"),
+        normalise(text_or_empty("_text")).alias("_norm"),
     )
     order = Window.partitionBy("_prefix", "_salt").orderBy("_norm", F.desc("_points"), "_id")
     before = F.lag("_norm").over(order)
@@ -107,7 +111,7 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     no rows. Other columns of ``docs`` are not looked at.
     """
     runs = stash(
-        _runs(docs.select(id_col, text_col), [id_col], id_col, text_col).drop("_row"), "content-sort"
+        _runs(docs.select(id_col, text_col), [], id_col, text_col).drop("_row", "_text"), "content-sort"
     )
     # Keyed by (text, salt): a salted group of copies never meets in one task.
     best = (
@@ -128,12 +132,14 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its copies, all columns kept; the same row stays as in :func:`mark_copies`."""
+    others = [c for c in docs.columns if c != text_col]
     heads = stash(
-        _runs(docs, docs.columns, id_col, text_col)
+        _runs(docs, others, id_col, text_col)
         .where(F.col("_rn") == 1)
-        .select("_row", "_sha", "_salt", "_hot", "_points", "_id", "_rn", "_size"),
+        .select("_row", "_text", "_sha", "_salt", "_hot", "_points", "_id", "_rn", "_size"),
         "content-sort-rows",
     )
     winners = _merged(heads).select("_sha", F.col("_best.salt").alias("_salt"))
-    kept = heads.where(~F.col("_hot")).select("_row.*")
-    return kept.unionByName(heads.where("_hot").join(winners, ["_sha", "_salt"], "left_semi").select("_row.*"))
+    columns = [F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    kept = heads.where(~F.col("_hot")).select(*columns)
+    return kept.unionByName(heads.where("_hot").join(winners, ["_sha", "_salt"], "left_semi").select(*columns))
