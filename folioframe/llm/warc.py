@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash, text_or_empty
+from .common import in_batches, shuffle_partitions, stash, text_or_empty
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -105,6 +105,9 @@ class _Archive:
 
     def close(self) -> tuple[str, int, int]:
         self.out.close()
+        # An earlier attempt of the task may have got so far: some file systems don't move onto a file.
+        if self.system.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.system.delete_file(self.path)
         self.system.move(self.part, self.path)
         return self.uri, self.records, self.bytes
 
@@ -155,7 +158,7 @@ def write_archives(
         )
 
     return stash(
-        rows.select("_id", "_digest", "_url", "_payload", "_first").mapInArrow(run, "path string, records long, bytes long"),
+        in_batches(rows.select("_id", "_digest", "_url", "_payload", "_first"), run, "path string, records long, bytes long"),
         "archives",
     )
 
