@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, text_or_empty
+from .common import in_batches, larger, stash, text_or_empty
 
-#: A filter of more bits than this (256 MB) is refused: it goes to every executor.
+#: A filter goes to every executor. Lists that would need more bits than this (256 MB) are joined by key instead.
 MAX_BITS = 1 << 31
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,15 +45,12 @@ def host_and_path(url_col: str) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every host suffix (cut at dots) with every path prefix of one of ``lengths``; longest first.
+def candidate_keys(host: Column, path: Column, lengths: Sequence[int], labels: int) -> Column:
+    """Every host suffix of up to ``labels`` labels with every path prefix of one of ``lengths``; longest first.
 
     Ties go to the longer host.
     """
-    labels = F.split(host, r"\.")
-    hosts = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    hosts = F.array_distinct(F.array(*[F.substring_index(host, ".", -i) for i in range(1, labels + 1)]))
     prefixes = F.filter(
         F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n) if n else F.lit("")) for n in sorted(lengths, reverse=True)]),
         lambda p: p.isNotNull(),
@@ -113,23 +110,26 @@ def _u64(x: pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
+def _size(n: int, false_positives: float) -> tuple[float, int]:
+    """Bits for each key, and of a filter of n keys."""
+    per_key = max(1.0, -np.log2(false_positives)) / np.log(2)
+    return per_key, max(64, int(-(-n * per_key // 64)) * 64)
+
+
 def _level(keys: DataFrame, n: int, false_positives: float, salt: int) -> Level:
     """A Bloom filter of the hashed ``keys`` (h1, h2). Words of bits are merged in Spark."""
-    per_key = max(1.0, -np.log2(false_positives)) / np.log(2)
-    size = max(64, int(-(-n * per_key // 64)) * 64)
-    if size > MAX_BITS:
-        raise ValueError(f"a Bloom filter of {size} bits is over the limit of {MAX_BITS}")
+    per_key, size = _size(n, false_positives)
     empty = Level(np.zeros(0, np.uint64), size, max(1, round(per_key * np.log(2))), salt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in larger(batches):
             at = np.concatenate([*empty.positions(_u64(batch.column(0)), _u64(batch.column(1))), np.empty(0, np.uint64)])
             word = (at >> np.uint64(6)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(word), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"]
             )
 
-    words = keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = in_batches(keys.select("h1", "h2"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(size // 64, np.uint64)
     for batch in words.toArrow().to_batches():  # at most size / 64 rows
         bits[batch.column(0).to_numpy()] = _u64(batch.column(1))
@@ -140,14 +140,15 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     shared = keys.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in larger(batches):
             yield batch.filter(pa.array(shared.value.test(_u64(batch.column(0)), _u64(batch.column(1)))))
 
-    return stash(keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long"), "bloom-pass")
+    return stash(in_batches(keys.select("h1", "h2"), run, "h1 long, h2 long"), "bloom-pass")
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, key_col: str = "key") -> Cascade:
-    """Cascade for the keys of ``listed``, exact over all keys of ``universe`` and ``listed``.
+def build_cascade(listed: DataFrame, universe: DataFrame, key_col: str = "key", max_bits: int | None = None) -> Cascade | None:
+    """Cascade for the keys of ``listed``, exact over all keys of ``universe`` and ``listed``; None if a filter
+    would have more than ``max_bits`` bits (``MAX_BITS``).
 
     Null keys are ignored, repeated ones count once. No listed keys give a cascade that has nothing.
     Keys count as equal if both of two 64-bit hashes agree.
@@ -160,33 +161,43 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key_col: str = "key")
         return Cascade()
     every = stash(hashed(universe), "universe-keys")
     # Shuffled hash tables are not needed: a first filter leaves few keys to compare with the list.
-    levels = [_level(inside, n_in, min(0.5, n_in / max(1, every.count())), 0)]
+    rate, most = min(0.5, n_in / max(1, every.count())), MAX_BITS if max_bits is None else max_bits
+    if _size(n_in, rate)[1] > most:
+        return None
+    levels = [_level(inside, n_in, rate, 0)]
     outside = stash(_passing(every, levels[0]).join(inside, ["h1", "h2"], "left_anti"), "bloom-false")
     while n := outside.count():
+        if _size(n, 0.5)[1] > most:
+            return None
         levels.append(_level(outside, n, 0.5, len(levels)))
         inside, outside = outside, _passing(inside, levels[-1])
     return Cascade(tuple(levels))
 
 
 def judge(
-    pages: DataFrame, rules: DataFrame, path_lengths: Sequence[int], url_col: str = "url", default: str = "allow"
-) -> DataFrame:
+    pages: DataFrame, rules: DataFrame, path_lengths: Sequence[int], url_col: str = "url", default: str = "allow",
+    max_bits: int | None = None,
+) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``.
 
     ``rules`` has columns ``key`` (host and path) and ``action`` (allow or block); ``path_lengths``
     are the lengths of the rules' paths. A rule fits its host and all subdomains, if the URL's path
     starts with the rule's; the longest that fits decides. Where none fits, none of the URL's keys is
     listed, so no cascade blocks it: ``default``. A null URL, or one without ``://``, has an empty
-    host and path. Columns of these names in ``pages`` are replaced; repeated rows each come out.
+    host and path. Columns of these names in ``pages`` are replaced; repeated rows each come out. A list
+    too long for filters is joined by key. Hosts of any length have as many keys as the rules' labels need.
     """
     host, path = host_and_path(url_col)
-    keys = candidate_keys(F.col("host"), F.col("path"), path_lengths)
+    labels = rules.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\.")))).first()[0] or 1
+    keys = candidate_keys(F.col("host"), F.col("path"), path_lengths, labels)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_all"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_keys", keys)
     universe = rows.select(F.explode("_keys").alias("key"))
-    listed = build_cascade(rules.select("key"), universe)
-    blocked = build_cascade(rules.where("action = 'block'").select("key"), rules.select("key"))
+    listed = build_cascade(rules.select("key"), universe, max_bits=max_bits)
+    blocked = build_cascade(rules.where("action = 'block'").select("key"), rules.select("key"), max_bits=max_bits)
+    if listed is None or blocked is None:
+        return _joined(rows, rules, default)
     shared = pages.sparkSession.sparkContext.broadcast((listed, blocked))
     schema = T.StructType([rows.schema["_all"], *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])
 
@@ -211,5 +222,15 @@ def judge(
     hashed = rows.withColumn("_h1", F.transform("_keys", lambda k: _hashes(k)[0])).withColumn(
         "_h2", F.transform("_keys", lambda k: _hashes(k)[1])
     )
-    out = hashed.select("_all", "host", "path", "_keys", "_h1", "_h2").mapInArrow(run, schema)
+    out = in_batches(hashed.select("_all", "host", "path", "_keys", "_h1", "_h2"), run, schema)
     return out.select("_all.*", "host", "path", "rule", "verdict")
+
+
+def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same by a join on the keys, for lists of any length."""
+    rows = stash(rows.withColumn("_n", F.monotonically_increasing_id()), "url-keys")
+    keys = rows.select("_n", F.posexplode("_keys").alias("_at", "key"))
+    hits = keys.join(rules.where("key IS NOT NULL").select("key", "action").distinct(), "key")
+    first = hits.groupBy("_n").agg(F.min(F.struct("_at", "key", "action")).alias("_hit"))
+    out = rows.join(first, "_n", "left")
+    return out.select("_all.*", "host", "path", F.col("_hit.key").alias("rule"), F.coalesce("_hit.action", F.lit(default)).alias("verdict"))

@@ -688,6 +688,15 @@ def test_cascade_is_exact_over_its_keys(spark):
     assert not empty.has(h[:, 0].copy(), h[:, 1].copy()).any()
 
 
+def test_long_hosts_have_few_keys(spark):
+    url = "http://" + "a." * 10_000 + "example.com/en/x"
+    df = spark.createDataFrame([(url,), ("http://com/en/",), (None,)], "url string")
+    host, path = urlfilter.host_and_path("url")
+    keys = [r[0] for r in df.select(urlfilter.candidate_keys(host, path, [1, 4], 3)).collect()]
+    assert keys[0] == ["a.example.com/en/", "example.com/en/", "a.example.com/", "example.com/", "com/en/", "com/"]
+    assert keys[1] == ["com/en/", "com/"] and keys[2] == []
+
+
 def test_judged_urls(spark):
     rules = spark.createDataFrame([("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block")], "key string, action string")
     cases = {
@@ -704,10 +713,11 @@ def test_judged_urls(spark):
         None: ("", "", None, "allow"),
     }
     pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(cases)] * 2, "page_id long, url string, rule string")
-    got = urlfilter.judge(pages, rules, [1, 4]).collect()
-    assert len(got) == 2 * len(cases)
-    for r in got:
-        assert (r.host, r.path, r.rule, r.verdict) == list(cases.values())[r.page_id]
+    for bits in (None, 1):  # by filters, and for a list that is too long for them
+        got = urlfilter.judge(pages, rules, [1, 4], max_bits=bits).collect()
+        assert len(got) == 2 * len(cases)
+        for r in got:
+            assert (r.host, r.path, r.rule, r.verdict) == list(cases.values())[r.page_id]
     assert urlfilter.judge(pages.limit(0), rules, [1, 4]).count() == 0
 
 
