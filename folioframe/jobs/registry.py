@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.jobs import oracles as sql
+from folioframe.jobs.grids import rating_grid
 from folioframe.operators import factors, inference, summary
 from folioframe.operators.filters import add_filtered, expanding_bounds
 from folioframe.operators.grid import long_short_grid
@@ -488,6 +489,40 @@ def net_of_cost(spark, sf_dir):
     return rounded(factors.net_of_cost(gross, factors.leg_turnover(s.get_ptf_turnover(), 1, 5)))
 
 
+def _net_sql(signal: str) -> str:
+    """(date, gross, net) of the value-weighted long-short series."""
+    return f"""(WITH {sql.sort("supplier", signal, 5, dynamic=True)}, {sql.turnover(1)}, {sql.ls(5)},
+        lt AS (SELECT date, CASE WHEN count(vw) = 2 THEN avg(vw) END AS turnover FROM turn WHERE ptf IN (1, 5) GROUP BY date)
+        SELECT ls.date, ls.vw AS gross, ls.vw - lag(turnover) OVER (ORDER BY ls.date) * (19.0::DOUBLE / 10000) * 2 AS net
+        FROM ls LEFT JOIN lt ON lt.date = ls.date)"""
+
+
+FACTORS = ("disc", "qty", "RATING_NUM")
+
+
+@register("factor_set", f"""WITH w AS ({' UNION ALL '.join(f"SELECT '{s}' AS factor, * FROM {_net_sql(chr(34) + s + chr(34))}" for s in FACTORS)}),
+    s AS (SELECT factor, 'gross' AS cost, date, gross AS value FROM w UNION ALL SELECT factor, 'net', date, net FROM w),
+    m AS (WITH {demo_panel.sql()}, {_MVW} SELECT date, value AS market FROM mv),
+    g AS (SELECT factor, cost, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM s GROUP BY ALL),
+    c AS (SELECT factor, cost, corr(value, market) AS corr FROM s JOIN m USING (date) WHERE value IS NOT NULL AND market IS NOT NULL GROUP BY ALL)
+    SELECT factor, cost, n, {sql.r('mean', 'mean')}, {sql.r('std', 'std')}, {sql.r('mean / nullif(std, 0) * sqrt(12)', 'sharpe')},
+           {sql.r('mean - 1.96 * std / sqrt(n)', 'low')}, {sql.r('mean + 1.96 * std / sqrt(n)', 'high')}, {sql.r('corr', 'corr')} FROM g JOIN c USING (factor, cost)""")
+def factor_set(spark, sf_dir):
+    """Factors before and after the cost of trading: moments, and the correlation with a factor that is known (the market)."""
+    panel = files.written(demo_panel.load(spark, sf_dir), "factor-panel")
+    series = None
+    for name in FACTORS:
+        s = Strategy(panel, SortSpec(name, 5, dynamic_weights=True, turnover=True))
+        gross = s.get_long_short().select("date", F.col("vw").alias("value"))
+        both = factors.net_of_cost(gross, factors.leg_turnover(s.get_ptf_turnover(), 1, 5)).unpivot("date", ["gross", "net"], "cost", "value")
+        both = both.withColumn("factor", F.lit(name))
+        series = both if series is None else series.unionByName(both)
+    series = files.written(series, "factor-series")
+    known = F.broadcast(factors.market_vw(panel).withColumnRenamed("value", "market"))
+    related = series.join(known, "date").dropna().groupBy("factor", "cost").agg(F.corr("value", "market").alias("corr"))
+    return rounded(inference.moments(series, ["factor", "cost"], per_year=12).join(related, ["factor", "cost"]))
+
+
 # ---------------------------------------------------------------- panels, joins, grid, files
 
 
@@ -590,6 +625,15 @@ def grid_sweep(spark, sf_dir):
     return rounded(long_short_grid(demo_panel.load(spark, sf_dir), SWEEP))
 
 
+RATING_GRID = rating_grid(3)
+
+
+@register("grid_rating_120", _grid_sql(RATING_GRID))
+def grid_rating_120(spark, sf_dir):
+    """A rating sort under each of 120 cleanings."""
+    return rounded(long_short_grid(demo_panel.load(spark, sf_dir), RATING_GRID))
+
+
 #: Ratings, horizons, bands and second signals.
 MIXED = (
     *[SortSpec("RATING_NUM", 3, K, filter=f) for K in (1, 2) for f in (None, FilterSpec("trim", 0.5))],

@@ -64,17 +64,25 @@ def add_bounce(panel: DataFrame) -> DataFrame:
     return panel.withColumn("bounce", F.col("ret") * F.lag("ret").over(by_id()))
 
 
+def made_ready(panel: DataFrame, filters: Iterable[FilterSpec], bounds: Bounds | None) -> DataFrame:
+    """The panel with the bounce column and the dated bounds that ``filters`` need, each once."""
+    kinds = {(f.adj, f.thresholds is None) for f in filters}
+    if any(adj == "bounce" for adj, _ in kinds):
+        panel = add_bounce(panel)
+    return panel.join(F.broadcast(bounds.dated), "date", "left") if ("wins", True) in kinds else panel
+
+
 def add_filtered(
-    panel: DataFrame, f: FilterSpec, pool: DataFrame | None = None, bounds: Bounds | None = None, bounced: bool = False
+    panel: DataFrame, f: FilterSpec, pool: DataFrame | None = None, bounds: Bounds | None = None, ready: bool = False
 ) -> DataFrame:
     """The panel with ``ret_adj`` (no look-ahead), ``ret_adj_ep`` (with it) and ``out``.
 
     Rows that trimming, price or bounce-back exclusion take out have a null ``ret_adj``; ``out`` tells
     them, or, for winsorising, the rows that sit at a full-sample bound. Winsorising takes ``bounds``, or
     has them found (at once) in ``pool``, a frame of the same returns that is cheaper to read, or ``panel``.
-    ``bounced`` tells that the panel is from :func:`add_bounce` already.
+    ``ready`` tells that the panel has what several filters share already: see :func:`made_ready`.
     """
-    if f.adj == "bounce" and not bounced:
+    if f.adj == "bounce" and not ready:
         panel = add_bounce(panel)
     if f.adj != "wins":
         kept = F.when(~_outside(_watched(f), f.level, _high(f)), F.col("ret"))
@@ -82,13 +90,13 @@ def add_filtered(
         return panel.withColumns({"ret_adj": kept, "ret_adj_ep": kept, "out": out})
     low, high = 100 - f.level, f.level
     bounds = bounds or find_bounds(panel if pool is None else pool, [f])
-    if f.thresholds is None:
-        dated = bounds.dated.select("date", F.col(_level(low)).alias("_lo"), F.col(_level(high)).alias("_hi"))
+    if f.thresholds is not None:
+        both = panel.join(F.broadcast(given_bounds(f.thresholds, low, high)), "date", "left")
+    elif ready:
+        both = panel.withColumns({"_lo": F.col(_level(low)), "_hi": F.col(_level(high))})
     else:
-        dated = given_bounds(f.thresholds, low, high)
-    both = panel.join(F.broadcast(dated), "date", "left").withColumns(
-        {n: F.lit(bounds.full[_level(x)]).cast("double") for n, x in (("_lo_ep", low), ("_hi_ep", high))}
-    )
+        both = panel.join(F.broadcast(bounds.dated.select("date", F.col(_level(low)).alias("_lo"), F.col(_level(high)).alias("_hi"))), "date", "left")
+    both = both.withColumns({n: F.lit(bounds.full[_level(x)]).cast("double") for n, x in (("_lo_ep", low), ("_hi_ep", high))})
     both = both.withColumns(
         {"ret_adj": _clipped(f.location, "_lo", "_hi"), "ret_adj_ep": _clipped(f.location, "_lo_ep", "_hi_ep")}
     )

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.filters import Bounds, add_bounce, add_filtered, find_bounds, in_rating, in_universe
+from folioframe.operators.filters import Bounds, add_filtered, find_bounds, in_rating, in_universe, made_ready
 from folioframe.operators.quantiles import add_bin
 from folioframe.operators.signals import add_signals
 from folioframe.operators.strategy import Strategy, all_or_null, at_offset
@@ -62,14 +62,13 @@ def _chunk(panel: DataFrame, specs: Sequence[SortSpec], sizes: dict, bounds: Bou
     dates = sorted(sizes)
     calendar = panel.sparkSession.createDataFrame(list(zip(dates, range(len(dates)))), "date date, t int")
     rows = panel.join(F.broadcast(calendar), "date")
-    if any(s.filter and s.filter.adj == "bounce" for s in specs):
-        rows = add_bounce(rows)
+    rows = made_ready(rows, [s.filter for s in specs if s.filter], bounds)
     number: dict = {None: None}
     for s in specs:  # filtered returns, once for each filter
         if _key(s.filter) not in number:
             i = number[_key(s.filter)] = len(number)
             before = rows.columns
-            rows = add_filtered(rows, s.filter, bounds=bounds, bounced=True)
+            rows = add_filtered(rows, s.filter, bounds=bounds, ready=True)
             rows = rows.select(*before, F.col("ret_adj").alias(f"_a{i}"), F.col("ret_adj_ep").alias(f"_e{i}"))
     of = lambda s: number[_key(s.filter)]
     rows = add_signals(rows, {f"_s{j}": (s, f"_a{of(s)}" if s.filter else "ret") for j, s in enumerate(specs)})

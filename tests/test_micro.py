@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions.tails import normal_two_sided, t_two_sided
-from folioframe.operators import inference, summary
+from folioframe.jobs.grids import momentum_grid, rating_grid
+from folioframe.operators import grid, inference, summary
 from folioframe.operators.banding import _closed, _folded
 from folioframe.operators.filters import add_filtered
 from folioframe.operators.quantiles import counted_edges, expanding_percentiles, full_percentiles, inner_edges
@@ -204,14 +205,22 @@ def test_a_value_that_half_of_the_rows_share(spark):
     assert full_percentiles(df.limit(0), "ret", levels) == dict.fromkeys(levels)
 
 
-def test_a_grid_is_its_strategies_one_by_one(spark):
+def test_study_grids():
+    for specs, n in ((momentum_grid(), 240), (rating_grid(), 120)):
+        assert len(specs) == len({s.name for s in specs}) == n
+    kinds = [s.filter.adj for s in momentum_grid()]
+    assert {k: kinds.count(k) for k in kinds} == {"trim": 96, "price": 60, "bounce": 60, "wins": 24}
+
+
+def test_a_grid_is_its_strategies_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(grid, "CHUNK", 2)
     rng = np.random.default_rng(3)
     rows = [(i, DAY[t], float(np.round(rng.normal() / 5, 3)), float(1 + (i * 3 + t) % 22), float(1 + i % 4), float(rng.integers(0, 9))) for i in range(40) for t in range(9)]
     panel = make(spark, rows).withColumn("PRICE", F.col("x") * 30)
     specs = [
         SortSpec("x", 3), SortSpec("x", 3, 2, rating="IG", filter=FilterSpec("wins", 90, "both")), SortSpec(Momentum(2, 1), 2, filter=FilterSpec("bounce", 0.05)),
         SortSpec(Reversal(3, 1), 2, 2, dynamic_weights=True, filter=FilterSpec("trim", (-0.3, 0.3))), SortSpec("x", 3, banding=1), SortSpec("x", 2, signal2="RATING_NUM", nport2=2),
-        SortSpec("x", 3, filter=FilterSpec("price", 150)),
+        SortSpec("x", 3, filter=FilterSpec("price", 150)), SortSpec("x", 3, filter=FilterSpec("bounce", -0.02)), SortSpec("x", 3, filter=FilterSpec("wins", 95, "right")),
     ]
     got = {}
     for r in long_short_grid(panel, specs).collect():
