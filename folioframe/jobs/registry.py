@@ -668,6 +668,30 @@ def panel_csv(spark, sf_dir):
     return rounded(files.read_panel_csv(spark, path, "ID long, date date, ret double, VW double"))
 
 
+@register("canonical_panel", f"""WITH {demo_panel.sql("part")} SELECT "ID", date, {sql.r('ret', 'ret')}, "RATING_NUM", 1.0::DOUBLE AS "VW", {sql.r('disc', 'disc')} FROM panel""")
+def canonical_panel(spark, sf_dir):
+    """A panel with names of its own, dates as text, NaN for nothing and no weights, made canonical and checked."""
+    raw = demo_panel.load(spark, sf_dir, "part").select(
+        F.col("ID").alias("cusip"), F.date_format("date", "yyyy-MM-dd").alias("month"), F.coalesce("ret", F.lit(float("nan"))).alias("bond_ret"),
+        F.lit(0.0).alias("ret"), F.col("RATING_NUM").alias("rating"), "disc", "qty",
+    )
+    names = {"cusip": "ID", "month": "date", "bond_ret": "ret", "rating": "RATING_NUM"}
+    return rounded(panels.canonical(raw, names, keep=["disc"]))
+
+
+@register("factor_table_csv", f"""WITH {demo_panel.sql()}, {_MVW}, {demo_panel.sql("part", "other")},
+    o AS (SELECT date, avg(ret) AS parts FROM other GROUP BY date)
+    SELECT date, {sql.r('value', 'mkt')}, {sql.r('parts', 'parts')} FROM mv JOIN o USING (date)""")
+def factor_table_csv(spark, sf_dir):
+    """A small factor table, written as CSV, read back, and joined to another series."""
+    market = factors.market_vw(demo_panel.load(spark, sf_dir)).select("date", F.col("value").alias("mkt"))
+    path = files.scratch(spark, "factor-table")
+    market.write.csv(path, header=True)
+    known = files.read_factors(spark, path, ["mkt"])
+    parts = factors.market_ew(demo_panel.load(spark, sf_dir, "part")).withColumnRenamed("value", "parts")
+    return rounded(known.join(F.broadcast(parts), "date"))
+
+
 @register("percentile_csv", f"""WITH {demo_panel.sql("part")}, q AS (SELECT date, quantile_cont(ret, 0.02) AS a, quantile_cont(ret, 0.98) AS b FROM panel GROUP BY date)
     SELECT date, 2.0::DOUBLE AS level, {sql.r('a', 'value')} FROM q UNION ALL SELECT date, 98.0::DOUBLE, {sql.r('b', 'value')} FROM q""")
 def percentile_csv(spark, sf_dir):
