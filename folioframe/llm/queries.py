@@ -130,6 +130,25 @@ ORACLES = {
         )
         SELECT * FROM r WHERE rank <= 20
     """,
+    "op6_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM d
+        ), windows AS (
+            SELECT doc_id, k, string_agg(word, ' ') OVER o AS s, count(*) OVER o AS n
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+        ), again AS (
+            SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS nth FROM windows WHERE n = 20)
+            WHERE nth > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM again
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS s FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op7_warc": r"""
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,

@@ -246,10 +246,10 @@ def _opened(texts: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
 
 
 def _spread(ranges: np.ndarray) -> np.ndarray:
-    """Every place of (place, windows) ranges."""
+    """Every place of (place, windows) ranges, in order."""
     at, n = ranges.T
     ends = np.cumsum(n)
-    return np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+    return np.unique(np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0))
 
 
 def _wanted(ranges: pa.Scalar, text: bytes) -> np.ndarray:

@@ -267,6 +267,16 @@ def test_repeated_passages_of_few_words(spark, seed):
     assert cut(spark, passages(seed)) == sorted(brute_cut(passages(seed)))
 
 
+def test_repeated_passages_of_texts_that_go_round(spark):
+    """Periods of all lengths with something else around them: the first of equal windows in a text is the one that stays."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for d in range(25):
+        period = [f"w{x}" for x in rng.integers(0, 60, int(rng.integers(1, 45)))]
+        rows.append((d, " ".join([*(f"a{d % 3}x{i}" for i in range(d)), *(period * 6), *(f"b{d % 4}x{i}" for i in range(9)), *period])))
+    assert cut(spark, rows) == sorted(brute_cut(rows))
+
+
 def test_repeated_passages_when_hashes_collide(spark, monkeypatch):
     """Sixteen bits and eight: spans of other words meet, are found out at their coordinates, and all is done again."""
     tried = []
