@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, in_batches, larger, shuffle_partitions, stash, text_or_empty
+from .common import apart, discard, in_batches, larger, shuffle_partitions, stash, text_or_empty
 from .components import components
 
 BITS = 64
@@ -338,24 +338,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _apart(meets: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The rows of cells that hold several groups, with ``root`` and ``home``, the cell's largest group."""
+    """The rows of cells that hold several groups, with ``root``, ``home``, the cell's largest group, and its ``rows``."""
     rows = meets.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    homes = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("home"))
-    homes = apart(homes.where("roots > 1").select("cell", "home"), "cell")
+    homes = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("home"), F.sum("n").alias("rows"))
+    homes = apart(homes.where("roots > 1").select("cell", "home", "rows"), "cell")
     return apart(rows, "cell").join(homes, "_cell").withColumn("cell", F.bitwise_not("_cell")).drop("_cell")
 
 
-def _candidates(meets: DataFrame, rooted: DataFrame | None, turn: int) -> DataFrame:
+#: Cells of more rows than this are not paired row by row: their rows meet by prefixes of their shingles.
+CROWD = 32
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """``node, root, few, m, x``: each of the m shingles x of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, found in enumerate(batch.column(3)):
+                x = pa.array(np.frombuffer(found.as_buffer(), np.int64))
+                node, root, few = (pa.repeat(c[i], len(x)) for c in batch.columns[:3])
+                yield pa.RecordBatch.from_arrays([node, root, few, pa.array(np.full(len(x), len(x), np.int64)), x], ["node", "root", "few", "m", "x"])
+
+    return in_batches(rows.select("node", "root", "few", "found"), run, "node long, root long, few boolean, m long, x long")
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of rows (``node, root, few, found``) of different roots, one at least with ``few``, that can be similar.
+
+    With every set's shingles in one order, rare ones first, two sets of the similarity share one among
+    the first of each, as what is left after it would not do: of m shingles the longer set needs
+    m - similarity * m, the shorter m - 2 * similarity / (1 + similarity) * m. So sets that have one common
+    passage and something of their own around it don't meet by the passage.
+    """
+    t = similarity
+    every = stash(_exploded(rows), "shingles")
+    known = every.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # others can't be shared: they come first
+    shared = apart(every, "x").join(apart(known, "x"), "_x")
+    of = Window.partitionBy("node")
+    place = F.col("m") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("c", "_x")) - 1
+    first = shared.withColumn("at", place).where(F.col("at") <= F.col("m") - F.ceil(t * F.col("m") - 1e-9))
+    first = stash(first.select("_x", "node", "root", "few", "m", "at"), "prefixes")
+    short = first.where(F.col("at") <= F.col("m") - F.ceil(2 * t / (1 + t) * F.col("m") - 1e-9)).toDF("_x", "b", "root_b", "few_b", "m_b", "at_b")
+    need = t / (1 + t) * (F.col("m") + F.col("m_b")) - 1e-9
+    near = (F.col("m_b") <= F.col("m")) & (F.col("m_b") >= t * F.col("m") - 1e-9) & (F.least(F.col("m") - F.col("at"), F.col("m_b") - F.col("at_b")) >= need)
+    apart_ = (F.col("root") != F.col("root_b")) & (F.col("few") | F.col("few_b"))
+    pairs = stash(first.join(short, "_x").where(near & apart_).select(F.col("node").alias("a"), "b").distinct(), "prefix-pairs")
+    discard(every, first)
+    return pairs
+
+
+def _candidates(meets: DataFrame, rooted: DataFrame | None, sets: DataFrame, turn: int, similarity: float, made: list[DataFrame]) -> DataFrame:
     """Pairs ``(a, b)`` of one cell to compare in this turn, see :func:`similar_groups`."""
     if rooted is None:
         return meets.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b"))
-    apart = stash(_apart(meets, rooted), "apart")
+    rows = stash(_apart(meets, rooted), "apart")
+    made.append(rows)
     if turn == 1:
-        apart = apart.join(rooted.toDF("low", "other"), "low", "left").where("root <> coalesce(other, low)")
-        return apart.select(F.col("node").alias("a"), F.col("low").alias("b"))
-    few = apart.where("root <> home").select("cell", F.col("node").alias("a"), F.col("root").alias("other"))
-    return few.join(apart, "cell").where("root <> other").select("a", F.col("node").alias("b"))
+        rows = rows.join(rooted.toDF("low", "other"), "low", "left").where("root <> coalesce(other, low)")
+        return rows.select(F.col("node").alias("a"), F.col("low").alias("b"))
+    some = rows.where(F.col("rows") <= CROWD)
+    few = some.where("root <> home").select("cell", F.col("node").alias("a"), F.col("root").alias("other"))
+    crowd = rows.where(F.col("rows") > CROWD).groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("home")).alias("few"))
+    crowded = prefix_pairs(crowd.join(sets, "node"), similarity)
+    made.append(crowded)
+    return few.join(some, "cell").where("root <> other").select("a", F.col("node").alias("b")).union(crowded)
 
 
 def similar_groups(
@@ -366,8 +413,9 @@ def similar_groups(
     Texts that agree in a band of min-hashes meet in a cell, and a pair is linked only if its shingles,
     compared in full, have the similarity: none below it is. A pair at 0.8 meets with a chance of
     0.99994, and more similar ones nearly always. A family of m copies makes no square of pairs: each
-    text is compared with one representative, then with those of its cells, and at last all pairs of a
-    cell that are still in different groups, which leaves out those inside one group.
+    text is compared with one representative, then with those of its cells, and at last the pairs of a
+    cell that are still in different groups; in a cell of more than ``CROWD`` rows those of them that
+    :func:`prefix_pairs` can't exclude.
 
     Texts without words are alike. Rows without an id take no part; repeated rows each come out; an
     empty table gives no rows.
@@ -383,8 +431,9 @@ def similar_groups(
     sets = stash(_sets(docs, met, words, id_col, text_col), "sets")
     sizes = nodes.select("node", "size")
     tried = edges = rooted = None
+    made: list[DataFrame] = [meets, sets]
     for turn in range(3):
-        pairs = _candidates(meets, rooted, turn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = _candidates(meets, rooted, sets, turn, similarity, made).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
@@ -393,8 +442,10 @@ def similar_groups(
         tried = pairs if tried is None else tried.union(pairs)
         edges = found if edges is None else edges.union(found)
         rooted = stash(components(edges), "groups")
+        made += [pairs, found, rooted]
     classes = nodes.select("node", "least").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = stash(classes, "classes")
+    discard(*made, nodes)
     least = apart(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     known = apart(classes, "root").join(least, "_root").select("node", "component_id")
     return marks.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "component_id")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, fresh_path, in_batches, shuffle_partitions, stash, text_or_empty
+from .common import apart, discard, fresh_path, in_batches, shuffle_partitions, stash, text_or_empty
 
 WORDS = 20
 #: Tokens of a k-mer that can be an anchor.
@@ -309,12 +309,12 @@ def _zipped(docs: DataFrame) -> DataFrame:
     return texts
 
 
-def _chains(occurrences: DataFrame) -> DataFrame:
+def _chains(occurrences: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Compacted paths: ``u, d0, p0, n`` of the first node of each, with the windows of all.
 
     ``occurrences`` of nodes: ``u, doc, start, n, copies, d0``. Nodes whose occurrences all have the same
     neighbour are nonbranching on that side; a join pairs such sides, and what hangs together along the
-    first occurrence is one path.
+    first occurrence is one path. ``made`` gets what is written on the way.
     """
     order = Window.partitionBy("doc").orderBy("start")
     after = F.when(F.lead("start").over(order) == F.col("start") + F.col("n"), F.lead("u").over(order))
@@ -328,6 +328,7 @@ def _chains(occurrences: DataFrame) -> DataFrame:
         F.min("n").alias("n"), one("after").alias("after"), one("before").alias("before"),
     )
     nodes = stash(nodes, "nodes")
+    made.append(nodes)
     heads = nodes.where("after IS NOT NULL").select(F.col("u").alias("from"), F.col("after").alias("u"), F.col("d0").alias("d"), (F.col("p0") + F.col("n")).alias("p"))
     joined = nodes.where("before IS NOT NULL").join(heads, "u").where("before = from AND d0 = d AND p0 = p").select("u", F.lit(True).alias("inner"))
     nodes = nodes.join(joined, "u", "left").select("u", "d0", "p0", "n", F.col("inner").isNull().alias("head"))
@@ -354,9 +355,11 @@ def _spans(docs: DataFrame, texts: DataFrame, words: int, seed: int, bits: int)
     units = repeated.groupBy("a", "s").agg(F.sum("copies").alias("_n"), F.min("doc").alias("d0")).where("_n > 1").drop("_n")
     told = apart(repeated, "a").join(apart(units, "a"), ["_a", "s"], "left")
     told = stash(told.select(F.xxhash64("_a", "s").alias("u"), "doc", "start", "n", "copies", "branching", "d0"), "told")
+    discard(anchors, repeated)
+    made = [told]
     nodes = told.where("d0 IS NOT NULL")
     later = nodes.where("copies = 0 OR doc > d0").select("u", "doc", "start")
-    spans = later.join(_chains(nodes), "u").select("doc", "start", "n", "d0", "p0")
+    spans = later.join(_chains(nodes, made), "u").select("doc", "start", "n", "d0", "p0")
 
     ranges = told.where("branching AND copies > 0 AND (d0 IS NULL OR doc = d0)").groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     opened = stash(_opened(_beside(texts, ranges), words, seed, bits), "windows")
@@ -368,7 +371,9 @@ def _spans(docs: DataFrame, texts: DataFrame, words: int, seed: int, bits: int)
         .drop("_n")
     )
     windows = apart(opened, "w").join(apart(firsts, "w"), ["_w", "v"]).where("copies = 0 OR doc > d0")
-    return stash(_merged(spans.unionByName(windows.select("doc", "start", F.lit(1).cast("long").alias("n"), "d0", "p0"))), "spans")
+    merged = stash(_merged(spans.unionByName(windows.select("doc", "start", F.lit(1).cast("long").alias("n"), "d0", "p0"))), "spans")
+    discard(*made, opened)
+    return merged
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -387,13 +392,16 @@ def _beside(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     return texts.join(ranges, texts["_doc"] == ranges["doc"]).select("_doc", "_z", "ranges")
 
 
-def _differing(spans: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The spans whose words, read at their coordinates, are not those at the coordinates of the first occurrence."""
+def _differ(spans: DataFrame, texts: DataFrame, words: int) -> bool:
+    """Whether the words of a span, read at its coordinates, are not those at the coordinates of the first occurrence."""
     asked = spans.select("doc", "start", "n").union(spans.select("d0", "p0", "n")).distinct()
     ranges = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    digests = stash(_digests(_beside(texts, ranges), words), "digests").distinct()
+    made = stash(_digests(_beside(texts, ranges), words), "digests")
+    digests = made.distinct()
     both = spans.join(digests, ["doc", "start", "n"], "left").join(digests.toDF("d0", "p0", "n", "x0", "y0"), ["d0", "p0", "n"], "left")
-    return both.where("NOT (x <=> x0 AND y <=> y0) OR x IS NULL")
+    differ = not both.where("NOT (x <=> x0 AND y <=> y0) OR x IS NULL").isEmpty()
+    discard(made)
+    return differ
 
 
 def kept_words(
@@ -418,7 +426,7 @@ def kept_words(
     texts = _zipped(docs)
     for seed in range(ATTEMPTS):
         spans = _spans(docs, texts, words, seed, 64 if seed else bits)
-        if _differing(spans, texts, words).isEmpty():
+        if not _differ(spans, texts, words):
             break
     else:
         raise ValueError(f"spans of equal hashes differ under each of {ATTEMPTS} hash functions")

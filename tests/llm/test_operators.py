@@ -210,6 +210,36 @@ def test_a_family_of_near_copies_is_no_square_of_pairs(spark, monkeypatch):
     assert sum(compared) < 10 * len(rows)
 
 
+def test_texts_around_a_common_passage_are_no_square_of_pairs(spark, monkeypatch):
+    """Seven parts of ten in common: alike in many bands, but not similar. Two of them are."""
+    pairs = []
+
+    def counted(df, name, stash=simhash.stash):
+        out = stash(df, name)
+        pairs.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stash", counted)
+    passage = [f"p{i}" for i in range(160)]
+    rows = [(d, " ".join([*(f"a{d}x{i}" for i in range(20)), *passage, *(f"b{d}x{i}" for i in range(20))])) for d in range(400)]
+    rows.append((400, rows[7][1].replace("a7x3", "changed")))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 7 if d == 400 else d for d, _ in rows} and sum(pairs) < 10 * len(rows)
+
+
+def test_prefix_pairs_leave_out_no_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for d in range(120):
+        base = sets[int(rng.integers(len(sets)))] if sets and rng.random() < 0.7 else set(rng.integers(0, 60, int(rng.integers(1, 50))).tolist())
+        base = set(base) | set(rng.integers(0, 400, int(rng.integers(0, 6))).tolist())
+        sets.append(set(list(base)[int(rng.integers(0, 3)) :]) or {1})
+    rows = [(d, d, True, np.array(sorted(x), np.int64).tobytes()) for d, x in enumerate(sets)]
+    got = {tuple(sorted(r)) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "node long, root long, few boolean, found binary"), 0.8).collect()}
+    want = {(i, j) for j in range(120) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 30 and want <= got and len(got) < 4 * len(want)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components(edges).collect()}
