@@ -218,7 +218,8 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
         return pd.DataFrame({"lang_pred": langs[np.concatenate(best)], "score": np.concatenate(score)})
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_near", nearest(F.col(text_col))).select(*others, "_near.*")
+    # Not said to be deterministic: a filter on its result would have it worked out twice.
+    return docs.withColumn("_near", nearest.asNondeterministic()(F.col(text_col))).select(*others, "_near.*")
 
 
 def keep_known(
