@@ -350,17 +350,33 @@ def _apart(meets: DataFrame, rooted: DataFrame) -> DataFrame:
 CROWD = 32
 
 
+#: Numbers of 64 bits in a sketch of a set.
+SKETCH = 8
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bit for each of 512 classes of shingles: whether the set has an odd number of them.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _exploded(rows: DataFrame) -> DataFrame:
-    """``node, root, few, m, x``: each of the m shingles x of each row."""
+    """``node, root, few, m, s0, ..., x``: each of the m shingles x of each row, with the row's sketch."""
+    names = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, found in enumerate(batch.column(3)):
-                x = pa.array(np.frombuffer(found.as_buffer(), np.int64))
-                node, root, few = (pa.repeat(c[i], len(x)) for c in batch.columns[:3])
-                yield pa.RecordBatch.from_arrays([node, root, few, pa.array(np.full(len(x), len(x), np.int64)), x], ["node", "root", "few", "m", "x"])
+                x = np.frombuffer(found.as_buffer(), np.uint64)
+                same = [pa.repeat(c[i], len(x)) for c in batch.columns[:3]]
+                same += [pa.array(np.full(len(x), v, np.int64)) for v in (len(x), *sketch(x).tolist())]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64))], ["node", "root", "few", "m", *names, "x"])
 
-    return in_batches(rows.select("node", "root", "few", "found"), run, "node long, root long, few boolean, m long, x long")
+    longs = ", ".join(f"{c} long" for c in ("m", *names, "x"))
+    return in_batches(rows.select("node", "root", "few", "found"), run, f"node long, root long, few boolean, {longs}")
 
 
 def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -369,7 +385,8 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     With every set's shingles in one order, rare ones first, two sets of the similarity share one among
     the first of each, as what is left after it would not do: of m shingles the longer set needs
     m - similarity * m, the shorter m - 2 * similarity / (1 + similarity) * m. So sets that have one common
-    passage and something of their own around it don't meet by the passage.
+    passage and something of their own around it don't meet by the passage. Of sets that meet, sketches
+    tell most of those that differ too much.
     """
     t = similarity
     every = stash(_exploded(rows), "shingles")
@@ -378,10 +395,14 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     of = Window.partitionBy("node")
     place = F.col("m") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("c", "_x")) - 1
     first = shared.withColumn("at", place).where(F.col("at") <= F.col("m") - F.ceil(t * F.col("m") - 1e-9))
-    first = stash(first.select("_x", "node", "root", "few", "m", "at"), "prefixes")
-    short = first.where(F.col("at") <= F.col("m") - F.ceil(2 * t / (1 + t) * F.col("m") - 1e-9)).toDF("_x", "b", "root_b", "few_b", "m_b", "at_b")
+    columns = ["node", "root", "few", "m", "at", *[f"s{i}" for i in range(SKETCH)]]
+    first = stash(first.select("_x", *columns), "prefixes")
+    short = first.where(F.col("at") <= F.col("m") - F.ceil(2 * t / (1 + t) * F.col("m") - 1e-9)).toDF("_x", "b", *[f"{c}_b" for c in columns[1:]])
     need = t / (1 + t) * (F.col("m") + F.col("m_b")) - 1e-9
-    near = (F.col("m_b") <= F.col("m")) & (F.col("m_b") >= t * F.col("m") - 1e-9) & (F.least(F.col("m") - F.col("at"), F.col("m_b") - F.col("at_b")) >= need)
+    near = (F.col("m_b") < F.col("m")) | ((F.col("m_b") == F.col("m")) & (F.col("b") < F.col("node")))
+    near &= (F.col("m_b") >= t * F.col("m") - 1e-9) & (F.least(F.col("m") - F.col("at"), F.col("m_b") - F.col("at_b")) >= need)
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_b"))))
+    near &= F.col("m") + F.col("m_b") - differ >= 2 * need
     apart_ = (F.col("root") != F.col("root_b")) & (F.col("few") | F.col("few_b"))
     pairs = stash(first.join(short, "_x").where(near & apart_).select(F.col("node").alias("a"), "b").distinct(), "prefix-pairs")
     discard(every, first)
@@ -398,11 +419,12 @@ def _candidates(meets: DataFrame, rooted: DataFrame | None, sets: DataFrame, tur
         rows = rows.join(rooted.toDF("low", "other"), "low", "left").where("root <> coalesce(other, low)")
         return rows.select(F.col("node").alias("a"), F.col("low").alias("b"))
     some = rows.where(F.col("rows") <= CROWD)
-    few = some.where("root <> home").select("cell", F.col("node").alias("a"), F.col("root").alias("other"))
+    few = some.where("root <> home").select("cell", F.col("node").alias("a"), F.col("root").alias("other"), F.col("size").alias("m"))
     crowd = rows.where(F.col("rows") > CROWD).groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("home")).alias("few"))
     crowded = prefix_pairs(crowd.join(sets, "node"), similarity)
     made.append(crowded)
-    return few.join(some, "cell").where("root <> other").select("a", F.col("node").alias("b")).union(crowded)
+    alike = F.least("m", "size") >= similarity * F.greatest("m", "size")
+    return few.join(some, "cell").where((F.col("root") != F.col("other")) & alike).select("a", F.col("node").alias("b")).union(crowded)
 
 
 def similar_groups(
@@ -423,10 +445,10 @@ def similar_groups(
     marks = stash(_marks(docs, words, id_col, text_col), "marks")
     nodes = marks.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stash(nodes, "nodes")
-    cells = nodes.select("node", F.explode("bands").alias("cell"))
+    cells = nodes.select("node", "size", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     meets = apart(cells, "cell").join(apart(shared.select("cell", "low"), "cell"), "_cell")
-    meets = stash(meets.select(F.bitwise_not("_cell").alias("cell"), "node", "low"), "meets")
+    meets = stash(meets.select(F.bitwise_not("_cell").alias("cell"), "node", "size", "low"), "meets")
     met = nodes.join(meets, "node", "left_semi").select(F.col("least").alias("id"))
     sets = stash(_sets(docs, met, words, id_col, text_col), "sets")
     sizes = nodes.select("node", "size")

@@ -236,6 +236,9 @@ def test_prefix_pairs_leave_out_no_similar_pair(spark):
         sets.append(set(list(base)[int(rng.integers(0, 3)) :]) or {1})
     rows = [(d, d, True, np.array(sorted(x), np.int64).tobytes()) for d, x in enumerate(sets)]
     got = {tuple(sorted(r)) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "node long, root long, few boolean, found binary"), 0.8).collect()}
+    for x, y in zip(sets, sets[1:]):
+        bits = [simhash.sketch(np.array(sorted(v), np.uint64)).view(np.uint64) for v in (x, y)]
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(x ^ y)
     want = {(i, j) for j in range(120) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(want) > 30 and want <= got and len(got) < 4 * len(want)
 
