@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode as decode_bytes
+from .bpe import encode as encode_bytes
 from .common import fresh_path, table
 from .content_sort import mark_copies
+from .filter_audit import audit, failed
 from .html_text import extract
 from .langid import fit, predict
 from .packing import Tokenizer, pack
@@ -16,6 +19,8 @@ from .substring import kept_words
 from .urlfilter import Rule, judge
 from .vafile import scaled, top_k
 from .warc import read_archives, write_archives
+from .whitening import fit_whitening, whiten
+from .whitening import scaled as whole_numbers
 
 
 #: Public tokenizer file that packing uses.
@@ -90,6 +95,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whole_numbers(F.col("embedding")).alias("x"))
+    return whiten(vectors, fit_whitening(vectors, k=4), k=4)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(failed(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+#: Public tokenizer file of the encoding query.
+BYTE_BPE_MERGES = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and the text they stand for, as digests."""
+    encoded = encode_bytes(table(spark, sf_dir, "documents"), BYTE_BPE_MERGES, packed=True)
+    digests = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return decode_bytes(digests, BYTE_BPE_MERGES).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_topk": op2_exact_topk,
@@ -101,6 +126,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES = {
@@ -161,6 +189,46 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
         FROM f
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), l AS (
+            SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+        ), f AS (
+            SELECT part, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic,
+                   CAST(len(w) < 200 AS INTEGER)
+                   + CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER) * 2
+                   + CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INTEGER) * 4
+                   + CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) * 8
+                   + CAST(coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS INTEGER) * 16 AS bits
+            FROM d LEFT JOIN l USING (doc_id)
+        ), c AS (
+            SELECT part, bits, good, toxic, count(*) AS n FROM f GROUP BY ALL
+        ), letters(x) AS (
+            VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT o, CAST(s AS INTEGER) AS step, 1 << (ascii(o[s]) - 65) AS bit,
+                   coalesce(list_sum(list_transform(range(1, s), lambda k: 1 << (ascii(o[k]) - 65))), 0)::BIGINT AS before
+            FROM orders, range(1, 6) r(s)
+        ), counted AS (
+            SELECT part, o AS filter_order, step, bit,
+                   sum(CASE WHEN bits & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN bits & bit <> 0 AND bits & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+            FROM c, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+        FROM counted
+    """,
     "op8_url_filter": r"""
         WITH rules(h, p, verdict) AS (
             VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
