@@ -16,7 +16,8 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +38,10 @@ WORDS = (
 STEP = 2_048
 #: Characters of a text that are split into words at once.
 WINDOW = 1 << 16
-#: Words whose tokens a task remembers, and bytes of the longest of them.
-KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 64
+#: Blanks and what follows up to the next blank: words never cross its ends, and it comes again more often than not.
+CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Words, and chunks, whose tokens a worker remembers, and bytes of the longest of them.
+KNOWN, KNOWN_BYTES = 1 << 17, 64
 
 
 def byte_letters() -> list[str]:
@@ -157,18 +160,17 @@ class Transducer:
 
 
 class _Known(dict):
-    """Ids of words, packed; those of short words are remembered."""
+    """Packed ids of words or chunks; those of short ones are remembered."""
 
-    def __init__(self, merges: Merges) -> None:
-        self.merges = merges
-
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        if len(data) > KNOWN_BYTES:
-            return b"".join(streamed(self.merges, [word]))
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = _packed(self.merges.merged(data)[0])
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.make(part)
+        if len(part) <= KNOWN_BYTES:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[part] = found
         return found
 
 
@@ -188,10 +190,11 @@ class Encoder:
     """Texts to packed ids (32 bits each, little-endian), chunk by chunk."""
 
     def __init__(self, merges: Merges) -> None:
-        self.merges, self.known = merges, _Known(merges)
-        self.words = regex.compile(WORDS)
+        self.merges, self.split = merges, regex.compile(WORDS)
+        self.words = _Known(lambda word: b"".join(streamed(merges, [word])))
+        self.chunks = _Known(lambda chunk: b"".join(self._words(chunk, 0, len(chunk))))
         longest_first = sorted(merges.special, key=len, reverse=True)
-        self.specials = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
+        self.specials = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
     def encode(self, text: str) -> Iterator[bytes]:
         at = 0
@@ -204,16 +207,30 @@ class Encoder:
     def _plain(self, text: str, at: int, stop: int) -> Iterator[bytes]:
         while at < stop:
             end = min(stop, at + WINDOW)
-            found = self.words.findall(text, at, end)
+            found = CHUNKS.findall(text, at, end)
+            if end < stop:
+                if len(found) == 1:  # a chunk longer than the window
+                    end = CHUNKS.match(text, at, stop).end()
+                    yield from self._words(text, at, end)
+                    at = end
+                    continue
+                end -= len(found.pop())  # it may go on
+            yield b"".join(map(self.chunks.__getitem__, found))
+            at = end
+
+    def _words(self, text: str, at: int, stop: int) -> Iterator[bytes]:
+        while at < stop:
+            end = min(stop, at + WINDOW)
+            found = self.split.findall(text, at, end)
             if end < stop:
                 if len(found) <= 2:  # a word longer than the window
-                    end = self.words.match(text, at, stop).end()
+                    end = self.split.match(text, at, stop).end()
                     yield from streamed(self.merges, (text[i : min(end, i + WINDOW)] for i in range(at, end, WINDOW)))
                     at = end
                     continue
                 # What follows can still join the last word, or make "'r" of the last two "'re".
                 end -= len(found.pop()) + len(found.pop())
-            yield b"".join(map(self.known.__getitem__, found))
+            yield b"".join(map(self.words.__getitem__, found))
             at = end
 
 

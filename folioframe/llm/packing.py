@@ -23,17 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import SPACE
 from .common import in_batches, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Tokens of a shard, about; a longer document is in a shard of its own.
 SHARD_TOKENS = 1 << 22
-#: Characters that are encoded at once; and at most, where no blank is to cut at.
-_ENCODE, _ENCODE_MOST = 1 << 16, 1 << 20
+#: Characters that are encoded at once, or as many as it takes to come to a blank that can be cut at.
+_ENCODE = 1 << 16
 #: Fixed value: how the tokenizer splits a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Between two words: a cut before such a blank changes no token.
 _CUT = re.compile(r"(?<=\S) (?=\w)")
+#: A run of blanks that is taken for one word, but for its last one, as any pattern of this kind does.
+_BLANKS = re.compile("[" + SPACE + "]{4096,}")
 
 
 @dataclass(frozen=True)
@@ -44,16 +47,21 @@ class Tokenizer:
     pattern: str = PATTERN
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; a run of over a million characters without a blank is cut."""
-        parts, at = [], 0
-        while len(text) - at > _ENCODE:
-            found = _CUT.search(text, at + _ENCODE, at + _ENCODE_MOST)
-            cut = found.start() if found else min(len(text), at + _ENCODE_MOST)
-            parts.append(text[at:cut])
-            at = cut
-        encoding = _encoding(self.file, self.pattern)
-        ids = [encoding.encode_to_numpy(p, disallowed_special=()) for p in (*parts, text[at:])]
-        return np.concatenate(ids).astype(np.int32)
+        """Ids of a text, cut for encoding where no token crosses; a run without such a place is encoded whole."""
+        ids, at = [], 0
+        for run in _BLANKS.finditer(text):  # the library can't split so many by the pattern
+            end = run.end() - (run.end() < len(text))  # the last blank goes with the word after it
+            ids += self._ids(text[at : run.start()])
+            ids.append(_encoding(self.file, self.pattern)._encode_single_piece(text[run.start() : end]))
+            at = end
+        return np.concatenate([*ids, *self._ids(text[at:])]).astype(np.int32)
+
+    def _ids(self, text: str) -> Iterator[np.ndarray]:
+        at, encoding = 0, _encoding(self.file, self.pattern)
+        while len(text) - at > _ENCODE and (found := _CUT.search(text, at + _ENCODE)):
+            yield encoding.encode_to_numpy(text[at : found.start()], disallowed_special=())
+            at = found.start()
+        yield encoding.encode_to_numpy(text[at:], disallowed_special=())
 
     def decode(self, ids: Sequence[int]) -> str:
         return _encoding(self.file, self.pattern).decode(list(ids))

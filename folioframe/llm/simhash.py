@@ -284,12 +284,12 @@ def band_values(found: np.ndarray) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, node, size, bands)`` of each row with an id; equal sets of shingles are one node."""
+    """``(id, key, node, size, bands)`` of each row with an id; equal sets of shingles are one node, ``key`` is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, size, bands = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 found = shingles(x.as_py(), words)
                 node.append(_number(found))
                 size.append(len(found))
@@ -297,11 +297,12 @@ def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *bands]), pa.int64())
             lists = pa.FixedSizeListArray.from_arrays(flat, BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], ["id", "node", "size", "bands"]
+                [*batch.columns[:2], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], ["id", "key", "node", "size", "bands"]
             )
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
-    return in_batches(rows, run, "id long, node long, size long, bands array<long>")
+    text = text_or_empty(text_col)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("_text"))
+    return in_batches(rows, run, "id long, key long, node long, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -427,10 +428,10 @@ def _candidates(meets: DataFrame, rooted: DataFrame | None, sets: DataFrame, tur
     return few.join(some, "cell").where((F.col("root") != F.col("other")) & alike).select("a", F.col("node").alias("b")).union(crowded)
 
 
-def similar_groups(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(id_col, component_id)``: groups of texts whose sets of word shingles are similar.
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``(id, key, first)``: each row's id, its text's hash, and the same two of the first row of its group.
+
+    Groups of texts whose sets of word shingles are similar.
 
     Texts that agree in a band of min-hashes meet in a cell, and a pair is linked only if its shingles,
     compared in full, have the similarity: none below it is. A pair at 0.8 meets with a chance of
@@ -439,17 +440,16 @@ def similar_groups(
     cell that are still in different groups; in a cell of more than ``CROWD`` rows those of them that
     :func:`prefix_pairs` can't exclude.
 
-    Texts without words are alike. Rows without an id take no part; repeated rows each come out; an
-    empty table gives no rows.
+    Texts without words are alike. Rows without an id take no part.
     """
     marks = stash(_marks(docs, words, id_col, text_col), "marks")
-    nodes = marks.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = marks.groupBy("node").agg(F.min(F.struct("id", "key")).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stash(nodes, "nodes")
     cells = nodes.select("node", "size", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     meets = apart(cells, "cell").join(apart(shared.select("cell", "low"), "cell"), "_cell")
     meets = stash(meets.select(F.bitwise_not("_cell").alias("cell"), "node", "size", "low"), "meets")
-    met = nodes.join(meets, "node", "left_semi").select(F.col("least").alias("id"))
+    met = nodes.join(meets, "node", "left_semi").select(F.col("least.id").alias("id"))
     sets = stash(_sets(docs, met, words, id_col, text_col), "sets")
     sizes = nodes.select("node", "size")
     tried = edges = rooted = None
@@ -468,18 +468,32 @@ def similar_groups(
     classes = nodes.select("node", "least").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = stash(classes, "classes")
     discard(*made, nodes)
-    least = apart(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    known = apart(classes, "root").join(least, "_root").select("node", "component_id")
-    return marks.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "component_id")
+    least = apart(classes.groupBy("root").agg(F.min("least").alias("first")), "root")
+    known = apart(classes, "root").join(least, "_root").select("node", "first")
+    return marks.select("id", "key", "node").join(known, "node").select("id", "key", "first")
+
+
+def similar_groups(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id_col, component_id)``: groups of texts whose sets of word shingles are similar, by their smallest id.
+
+    Pairs are found by bands of min-hashes and compared in full. Texts without words are alike. Rows
+    without an id take no part; repeated rows each come out; an empty table gives no rows.
+    """
+    groups = _grouped(docs, words, similarity, id_col, text_col)
+    return groups.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
 def drop_near_copies(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with only the smallest id of each group of similar texts, all columns kept.
+    """``docs`` with only the first row of each group of similar texts, by smallest id, all columns kept.
 
-    A row without id stays: there is nothing to tell it apart by.
+    Rows are told apart by id and text: of an id with several texts only those go that are like an
+    earlier one. Rows alike in both stay or go together. A row without id stays.
     """
-    groups = similar_groups(docs, words, similarity, id_col, text_col)
-    lost = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(lost, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = _grouped(docs, words, similarity, id_col, text_col)
+    lost = groups.where(F.struct("id", "key") != F.col("first")).select("id", "key").distinct()
+    same = (docs[id_col] == lost["id"]) & (F.xxhash64(text_or_empty(text_col)) == lost["key"])
+    return docs.join(lost, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, larger, stash, text_or_empty
+from .common import discard, in_batches, larger, stash, text_or_empty
 
 #: A filter goes to every executor. Lists that would need more bits than this (256 MB) are joined by key instead.
 MAX_BITS = 1 << 31
+#: Tries to find hashes that no listed key shares with another.
+MOST_SEEDS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,8 +61,13 @@ def candidate_keys(host: Column, path: Column, lengths: Sequence[int], labels: i
     return F.transform(F.array_sort(pairs), lambda x: x["key"])
 
 
-def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit(1))
+def _hashes(key: Column, seed: int, bits: int = 64) -> tuple[Column, Column]:
+    """Two hashes of a key, neither a function of the other: the number in front is the seed of what comes after it.
+
+    The second is odd: it is the step from one bit of a filter to the next.
+    """
+    cut = lambda h: h if bits == 64 else h.bitwiseAND((1 << bits) - 1)
+    return cut(F.xxhash64(F.lit(2 * seed), key)), cut(F.xxhash64(F.lit(2 * seed + 1), key)).bitwiseOR(F.lit(1).cast("long"))
 
 
 @dataclass(frozen=True)
@@ -71,10 +78,9 @@ class Level:
     salt: int
 
     def positions(self, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
-        a = _mixed(h1 ^ np.uint64(self.salt))
-        b = h2 | np.uint64(1)
+        a = _mixed(_mixed(h1 ^ np.uint64(self.salt)) ^ h2)  # of both: one probe has to tell any two keys apart
         for i in range(self.probes):
-            yield (a + np.uint64(i) * b) % np.uint64(self.size)
+            yield (a + np.uint64(i) * h2) % np.uint64(self.size)
 
     def test(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         hit = np.ones(len(h1), bool)
@@ -86,6 +92,11 @@ class Level:
 @dataclass(frozen=True)
 class Cascade:
     levels: tuple[Level, ...] = field(default=())
+    seed: int = 0  # of the keys' hashes
+    hash_bits: int = 64
+
+    def hashes(self, key: Column) -> tuple[Column, Column]:
+        return _hashes(key, self.seed, self.hash_bits)
 
     def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Membership of keys given by their two hashes; exact for the keys it was built over."""
@@ -143,35 +154,52 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
         for batch in larger(batches):
             yield batch.filter(pa.array(shared.value.test(_u64(batch.column(0)), _u64(batch.column(1)))))
 
-    return stash(in_batches(keys.select("h1", "h2"), run, "h1 long, h2 long"), "bloom-pass")
+    return stash(in_batches(keys.select("h1", "h2", "key"), run, "h1 long, h2 long, key string"), "bloom-pass")
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, key_col: str = "key", max_bits: int | None = None) -> Cascade | None:
+def build_cascade(
+    listed: DataFrame, universe: DataFrame, key_col: str = "key", max_bits: int | None = None, hash_bits: int = 64
+) -> Cascade | None:
     """Cascade for the keys of ``listed``, exact over all keys of ``universe`` and ``listed``; None if a filter
     would have more than ``max_bits`` bits (``MAX_BITS``).
 
     Null keys are ignored, repeated ones count once. No listed keys give a cascade that has nothing.
-    Keys count as equal if both of two 64-bit hashes agree.
+    Filters see two hashes of a key, of ``hash_bits`` bits each. A key of the universe that shares both
+    with a listed one would pass as listed: keys that pass the first filter are compared with the list
+    as they are, and if there is such a key, all are hashed anew with other seeds.
     """
-    h1, h2 = _hashes(F.col(key_col))
-    hashed = lambda df: df.where(F.col(key_col).isNotNull()).select(h1.alias("h1"), h2.alias("h2")).distinct()
-    inside = stash(hashed(listed), "listed-keys")
-    n_in = inside.count()
-    if not n_in:
-        return Cascade()
-    every = stash(hashed(universe), "universe-keys")
-    # Shuffled hash tables are not needed: a first filter leaves few keys to compare with the list.
-    rate, most = min(0.5, n_in / max(1, every.count())), MAX_BITS if max_bits is None else max_bits
-    if _size(n_in, rate)[1] > most:
-        return None
-    levels = [_level(inside, n_in, rate, 0)]
-    outside = stash(_passing(every, levels[0]).join(inside, ["h1", "h2"], "left_anti"), "bloom-false")
+    most = MAX_BITS if max_bits is None else max_bits
+    for seed in range(MOST_SEEDS):
+        h1, h2 = _hashes(F.col(key_col), seed, hash_bits)
+        hashed = lambda df: df.where(F.col(key_col).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.col(key_col).alias("key")).distinct()  # noqa: B023, E731
+        inside = stash(hashed(listed), "listed-keys")
+        n_in = inside.count()
+        if not n_in:
+            return Cascade()
+        every = stash(hashed(universe), "universe-keys")
+        # Shuffled hash tables are not needed: a first filter leaves few keys to compare with the list.
+        rate = min(0.5, n_in / max(1, every.count()))
+        if _size(n_in, rate)[1] > most:
+            return None
+        levels = [_level(inside, n_in, rate, 0)]
+        passing = _passing(every, levels[0])
+        outside = stash(passing.join(inside.select("key"), "key", "left_anti").select("h1", "h2", "key"), "bloom-false")
+        discard(every, passing)
+        if outside.join(inside.select("h1", "h2"), ["h1", "h2"], "left_semi").isEmpty():
+            break
+        discard(inside, outside)
+    else:
+        raise ValueError(f"keys share hashes of {hash_bits} bits under {MOST_SEEDS} seeds")
+    made = [inside, outside]
     while n := outside.count():
         if _size(n, 0.5)[1] > most:
+            discard(*made)
             return None
         levels.append(_level(outside, n, 0.5, len(levels)))
         inside, outside = outside, _passing(inside, levels[-1])
-    return Cascade(tuple(levels))
+        made.append(outside)
+    discard(*made)
+    return Cascade(tuple(levels), seed, hash_bits)
 
 
 def judge(
@@ -204,7 +232,7 @@ def judge(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has, blocks = shared.value
         for batch in batches:
-            keys, h1, h2 = batch.column(3), _u64(batch.column(4).flatten()), _u64(batch.column(5).flatten())
+            keys, (h1, h2, b1, b2) = batch.column(3), [_u64(c.flatten()) for c in batch.columns[4:]]
             sizes = np.asarray(keys.value_lengths())
             ends = np.cumsum(sizes)
             hits = np.flatnonzero(has.has(h1, h2))
@@ -213,16 +241,15 @@ def judge(
             found = at < ends
             rule = keys.flatten().take(pa.array(np.where(found, at, 0), mask=~found))
             stop = np.zeros(len(at), bool)
-            stop[found] = blocks.has(h1[at[found]], h2[at[found]])
+            stop[found] = blocks.has(b1[at[found]], b2[at[found]])
             verdict = np.where(found, np.where(stop, "block", "allow"), default)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], rule, pa.array(verdict.tolist(), pa.string())], ["_all", "host", "path", "rule", "verdict"]
             )
 
-    hashed = rows.withColumn("_h1", F.transform("_keys", lambda k: _hashes(k)[0])).withColumn(
-        "_h2", F.transform("_keys", lambda k: _hashes(k)[1])
-    )
-    out = in_batches(hashed.select("_all", "host", "path", "_keys", "_h1", "_h2"), run, schema)
+    each = lambda c, i: F.transform("_keys", lambda k: c.hashes(k)[i])
+    hashed = [each(c, i) for c in (listed, blocked) for i in (0, 1)]
+    out = in_batches(rows.select("_all", "host", "path", "_keys", *[h.alias(f"_h{i}") for i, h in enumerate(hashed)]), run, schema)
     return out.select("_all.*", "host", "path", "rule", "verdict")
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import html_text, langid, packing, pieces, queries, simhash, substring, urlfilter, vafile, warc
+from folioframe.llm import bpe, html_text, langid, packing, pieces, queries, simhash, substring, urlfilter, vafile, warc
 from folioframe.llm.components import components
 from folioframe.llm.content_sort import drop_copies, mark_copies
 from folioframe.llm.html_text import extract, main_text
@@ -159,6 +159,14 @@ def test_similar_texts(spark, docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (5, a.replace("a77", "other")), (5, b), (5, b), (7, c), (5, c + " end"), (9, b.replace("b9", "x")), (None, a)]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, a), (5, b), (5, b), (5, c + " end"), (None, a)]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+
+
 def shingle_set(text, n=5):
     w = (text or "").lower().split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -422,8 +430,21 @@ def test_cutting_long_texts_changes_no_token(monkeypatch):
     whole = BPE.encode(text)
     monkeypatch.setattr(packing, "_ENCODE", 50)
     assert BPE.encode(text).tolist() == whole.tolist() and BPE.decode(whole) == text
-    monkeypatch.setattr(packing, "_ENCODE_MOST", 90)
     assert BPE.decode(BPE.encode("é" * 500 + " x")) == "é" * 500 + " x"
+    monkeypatch.setattr(packing, "_BLANKS", re.compile(f"[{packing.SPACE}]{{5,}}"))
+    for text in ("a" + " " * 30, " " * 9 + "b\n\n\n\n\n\nc\t\t\t\t\t\t\t1", "\x1c\x1c\x1c\x1c\x1c\x1cx \u3000\xa0\u2009 \t.", " " * 20):
+        want = packing._encoding(BPE.file, BPE.pattern).encode_ordinary(text)
+        assert BPE.encode(text).tolist() == want
+
+
+def test_long_runs_get_the_tokens_of_the_whole_run():
+    """Runs of more than a million characters, as the list of merges would have them; blanks by the million, too."""
+    import random
+
+    rng = random.Random(5)
+    for text in ("".join(rng.choices("abcdefghij", k=1_050_000)), "x" + " " * 200_001 + "word", "\n" * 100_000):
+        got = BPE.encode(text)
+        assert got.tolist() == np.frombuffer(b"".join(bpe.encoder_of(queries.BYTE_BPE_MERGES).encode(text)), "<u4").tolist()
 
 
 def test_packing_covers_every_token_once(spark, docs, none):
@@ -719,16 +740,33 @@ def test_warc_round_trip(spark, tmp_path):
 # ------------------------------------------------------------------ URL filters
 
 
-def test_cascade_is_exact_over_its_keys(spark):
+def test_cascade_is_exact_over_its_keys(spark, monkeypatch):
     universe = [f"k{i}" for i in range(4000)]
     listed = universe[::7] + ["absent"]
     frame = lambda x: spark.createDataFrame([(k,) for k in x] + [(None,)], "key string")
     cascade = urlfilter.build_cascade(frame(listed), frame(universe))
-    h = np.array([(r.a, r.b) for r in frame(universe + ["absent"]).where("key IS NOT NULL").select(F.xxhash64("key").alias("a"), F.xxhash64("key", F.lit(1)).alias("b")).collect()], np.int64).view(np.uint64)
+    of = lambda c: np.array([r[:] for r in frame(universe + ["absent"]).where("key IS NOT NULL").select(*c.hashes(F.col("key"))).collect()], np.int64).view(np.uint64)
+    h = of(cascade)
     assert cascade.has(h[:, 0].copy(), h[:, 1].copy()).tolist() == [k in set(listed) for k in universe + ["absent"]]
     assert len(cascade.levels) > 1
     empty = urlfilter.build_cascade(frame([]), frame(universe))
     assert not empty.has(h[:, 0].copy(), h[:, 1].copy()).any()
+    # Hashes of 15 bits altogether: some key of the universe shares both with a listed one until the seeds suit.
+    few = urlfilter.build_cascade(frame(listed[:5]), frame(universe[:400]), hash_bits=8)
+    h = of(few)
+    assert few.has(h[:400, 0].copy(), h[:400, 1].copy()).tolist() == [k in set(listed[:5]) for k in universe[:400]]
+    monkeypatch.setattr(urlfilter, "MOST_SEEDS", 2)
+    with pytest.raises(ValueError, match="share hashes"):
+        urlfilter.build_cascade(frame(listed), frame(universe), hash_bits=4)
+
+
+def test_hashes_are_independent(spark):
+    """The second is no function of the first, whatever the seed: XXH64 of the number in front is the seed of the key's."""
+    for seed in (0, 3):
+        a, b = spark.createDataFrame([("k",)], "key string").select(*urlfilter._hashes(F.col("key"), seed)).first()
+        for h, i in ((a, 2 * seed), (b, 2 * seed + 1)):
+            first = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42)
+            assert h % 2**64 == xxhash.xxh64_intdigest(b"k", first) | (i % 2)
 
 
 def test_long_hosts_have_few_keys(spark):
