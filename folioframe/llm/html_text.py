@@ -11,6 +11,8 @@ out to be around the content.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -54,6 +56,7 @@ PLACE_WORDS = frozenset(
     " section container wrap wrapper content links item items text unit panel sticky mini small large".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl".split())
 #: Blocks that belong to the text around them, whatever their ratio.
 PLAIN = frozenset("p li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tr td th address".split())
 #: Characters a tag at which a paragraph beyond the content lines is prose, too.
@@ -76,8 +79,27 @@ class _Element:
     article: bool = False  # an article or main is inside
     within: bool = False  # inside an article or main
     head: bool = False  # an article's header: its headings are text
+    block: _Element | None = None  # the nearest element, itself included, that is not inline
+    near: _Element | None = None  # the nearest wrapper, itself included
+    title: bool = False  # in an h1
+    heading: bool = False  # in a heading
+    paragraph: bool = False  # in a p
+    listed: bool = False  # in a list
+    # Filled in once the region is looked for: sums over what is inside, and where the element is in it.
     votes: int = 0
     musts: int = 0
+    inside: bool = False
+    branch: _Element | None = None
+    leaf: bool = False
+
+    def __post_init__(self) -> None:
+        up = self.parent
+        self.block = self if self.tag not in INLINE else up and up.block
+        self.near = self if self.wrapper else up and up.near
+        self.title = self.tag == "h1" or bool(up and up.title)
+        self.heading = self.tag in HEADINGS or bool(up and up.heading)
+        self.paragraph = self.tag == "p" or bool(up and up.paragraph)
+        self.listed = self.tag in LISTS or bool(up and up.listed)
 
 
 @dataclass
@@ -108,11 +130,17 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines; clutter elements leave no text, those that may be wrappers do."""
+    """Parser events to lines; clutter elements leave no text, those that may be wrappers do.
+
+    ``elements`` has all elements, parents before children; ``path`` those that are open, and ``open_at``
+    where in it each tag is, so that no event has to look through a deep nest.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.at = _Element("html", None, False, 0)
+        self.elements, self.path = [self.at], [self.at]
+        self.open_at: dict[str, list[int]] = {}
         self.lines: list[_Line] = []
         self.buffer: list[str] = []
         self.tags = self.linked = 0
@@ -126,6 +154,16 @@ class _Lines(HTMLParser):
                 self.tags = 0
             self.linked = 0
 
+    def _close_from(self, place: int) -> None:
+        """Close the open elements from this place of the path on."""
+        while len(self.path) > place:
+            self.open_at[self.path.pop().tag].pop()
+        self.at = self.path[-1]
+
+    def _last(self, *tags: str) -> int:
+        """The last place in the path of one of the tags; 0, where the document is, if there is none."""
+        return max((places[-1] for t in tags if (places := self.open_at.get(t))), default=0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in INLINE:
@@ -137,20 +175,21 @@ class _Lines(HTMLParser):
             self._flush()
             if tag in VOID:
                 return
-            e = self.at  # a block ends an open paragraph
-            while e.tag in INLINE:
-                e = e.parent
-            if e.tag in CLOSED_BY_BLOCK or (e.tag == tag and tag in ("li", "td", "tr", "dt", "dd", "option")):
-                self.at = e.parent
+            e = self.at.block  # a block ends an open paragraph
+            if e.parent is not None and (e.tag in CLOSED_BY_BLOCK or (e.tag == tag and tag in ("li", "td", "tr", "dt", "dd", "option"))):
+                self._close_from(e.depth)
         up = self.at
         marked = tag in CLUTTER or _marked(tag, attrs)
         wrapper = marked and (tag == "form" or tag not in CLUTTER) and tag not in INLINE
         clutter = up.clutter and not (up.head and tag in HEADINGS) or marked and not wrapper
         head = tag == "header" and up.within and not up.clutter or up.head and not marked
         self.at = _Element(tag, up, clutter, up.depth + 1, up.link or tag == "a", wrapper, within=up.within or tag in ARTICLES, head=head)
+        self.elements.append(self.at)
+        self.open_at.setdefault(tag, []).append(len(self.path))
+        self.path.append(self.at)
         if tag in ARTICLES and not self.at.clutter:
-            e: _Element | None = up
-            while e is not None:
+            e = up
+            while e is not None and not e.article:
                 e.article = True
                 e = e.parent
 
@@ -158,14 +197,11 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self._flush()
-        e = self.at
-        while e.parent is not None and e.tag != tag:
-            # an inline end tag can't close a block, nor any tag the article or body around it
-            if (tag in INLINE and e.tag not in INLINE) or ((e.tag == "body" or e.tag in ARTICLES) and tag not in ("html", "body")):
-                return
-            e = e.parent
-        if e.parent is not None:
-            self.at = e.parent
+        place = self._last(tag)
+        # an inline end tag can't close a block, nor any tag the article or body around it
+        if not place or tag in INLINE and self.at.block.depth > place or tag not in ("html", "body") and self._last("body", *ARTICLES) > place:
+            return
+        self._close_from(place)
 
     def handle_data(self, data: str) -> None:
         if not self.at.clutter:
@@ -181,29 +217,58 @@ class _Lines(HTMLParser):
 def _unwrapped(lines: list[_Line]) -> list[_Line]:
     """The lines outside clutter; a marked element that holds nearly all the text is none.
 
-    The tags of a line that goes count for the next one.
+    Of the outermost marked elements the largest that holds so much is opened, and what is marked inside
+    it is weighed in turn. The tags of a line that goes count for the next one.
     """
+    own: dict[int, int] = {}  # text outside links of an element's lines that no marked element inside it has
+    outside = 0
+    nodes: dict[int, _Element] = {}
+    for x in lines:
+        size, e = len(x.text) - x.linked, x.element.near
+        if e is None:
+            outside += size
+        else:
+            own[id(e)] = own.get(id(e), 0) + size
+        while e is not None and id(e) not in nodes:
+            nodes[id(e)] = e
+            e = e.parent.near if e.parent else None
+    held = {i: own.get(i, 0) for i in nodes}
+    inner: dict[int, list[_Element]] = {}
+    tops: list[_Element] = []
+    for e in sorted(nodes.values(), key=lambda e: -e.depth):
+        up = e.parent.near if e.parent else None
+        if up is None:
+            tops.append(e)
+        else:
+            held[id(up)] += held[id(e)]
+            inner.setdefault(id(up), []).append(e)
+    queues: dict[bool, list[tuple[int, int, _Element]]] = {True: [], False: []}
+    order = itertools.count()
+
+    def queue(e: _Element) -> None:
+        heapq.heappush(queues[e.article], (-held[id(e)], next(order), e))
+
+    for e in tops:
+        queue(e)
+    opened: set[int] = set()
     while True:
-        outside, held, tops = 0, {}, []
-        for x in lines:
-            top, e = None, x.element
-            while e is not None:
-                top = e if e.wrapper else top
-                e = e.parent
-            tops.append(top)
-            size = len(x.text) - x.linked
-            if top is None:
-                outside += size
-            else:
-                held.setdefault(id(top), [top, 0])[1] += size
-        freed = [e for e, n in held.values() if n > 0 and n >= (0.5 if e.article else SHARE) * (n + outside)]
-        if not freed:
+        firsts = [q[0] for q in queues.values() if q]
+        firsts = [f for f in firsts if f[0] < 0 and -f[0] >= (0.5 if f[2].article else SHARE) * (outside - f[0])]
+        if not firsts:
             break
-        max(freed, key=lambda e: held[id(e)][1]).wrapper = False  # the others are weighed against its text
+        e = heapq.heappop(queues[min(firsts)[2].article])[2]
+        opened.add(id(e))
+        outside += own.get(id(e), 0)
+        for i in inner.get(id(e), ()):
+            queue(i)
+    free: dict[int, bool] = {}  # whether an element and all the marked ones around it are open
+    for e in sorted(nodes.values(), key=lambda e: e.depth):
+        up = e.parent.near if e.parent else None
+        free[id(e)] = id(e) in opened and (up is None or free[id(up)])
     kept, tags = [], 0
-    for x, top in zip(lines, tops):
+    for x in lines:
         tags += x.tags
-        if top is None:
+        if x.element.near is None or free[id(x.element.near)]:
             x.tags, tags = tags, 0
             kept.append(x)
     return kept
@@ -237,51 +302,60 @@ def _threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _above(e: _Element | None) -> Iterator[_Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
-
-def _region(lines: list[tuple[_Line, bool]]) -> _Element | None:
+def _region(elements: list[_Element], lines: list[tuple[_Line, bool]]) -> _Element | None:
     """The article that holds nearly all of the content, or else the deepest container of all of it and of the title."""
     total = musts = 0
+    holds: set[int] = set()
     for x, content in lines:
-        size = len(x.text) if content else 0
-        must = int(content or any(e.tag == "h1" for e in _above(x.element)))
+        size, must = len(x.text) if content else 0, int(content or x.element.title)
+        x.element.votes += size
+        x.element.musts += must
+        holds.add(id(x.element))
         total += size
         musts += must
-        for e in _above(x.element):
-            e.votes += size
-            e.musts += must
-    found = [e for x, _ in lines for e in _above(x.element) if e.tag in CONTAINERS and (e.musts == musts or e.tag in ARTICLES and e.votes >= SHARE * total)]
+    for e in reversed(elements):  # children before parents
+        if id(e) in holds and e.parent is not None:
+            e.parent.votes += e.votes
+            e.parent.musts += e.musts
+            holds.add(id(e.parent))
+    found = [e for e in elements if id(e) in holds and e.tag in CONTAINERS and (e.musts == musts or e.tag in ARTICLES and e.votes >= SHARE * total)]
     return max(found, key=lambda e: (e.tag in ARTICLES, e.depth), default=None)
 
 
+def _place(elements: list[_Element], top: _Element | None) -> None:
+    """Tell each element whether it is in the region, in which branch of it, and whether all of that branch's text is its own."""
+    for e in elements:
+        up = e.parent
+        e.inside = top is None or e is top or bool(up and up.inside)
+        if up is top:
+            e.branch, e.leaf = e, True
+        elif up is not None and up.branch is not None:
+            e.branch, e.leaf = up.branch, up.leaf and e.tag in INLINE
+
+
 def _branch(x: _Line, top: _Element | None) -> tuple[str, bool] | None:
     """Tag of the element under ``top`` that the line is in, and whether the line is all of it; None if there is none."""
-    e: _Element | None = x.element
-    if e is top:
-        return None
-    leaf = True
-    while e is not None and e.parent is not top:
-        leaf = leaf and e.tag in INLINE
-        e = e.parent
-    return (e.tag, leaf) if e is not None else None
+    e = x.element
+    return (e.branch.tag, e.leaf) if e is not top and e.branch is not None else None
+
+
+def _sentence(text: str) -> bool:
+    """Whether a block reads as a sentence and not as a label or an imprint."""
+    return text.rstrip("\"'”’»)").endswith((".", "!", "?", "…", "。")) and len(text.split()) >= 5 and not any(c in text for c in "©®™")
 
 
 def _at_the_end(x: _Line, top: _Element | None, kinds: set, before: bool) -> bool:
     """Whether a line beyond the content lines belongs to the text."""
     in_article = top is not None and (top.within or top.tag in ARTICLES)
-    if 2 * x.linked > len(x.text):  # made of links
-        return in_article and x.element.tag in ("p", "a") and any(e.tag == "p" for e in _above(x.element))
-    heading = any(e.tag in HEADINGS for e in _above(x.element))
-    if in_article or heading:
+    e = x.element
+    if 2 * x.linked > len(x.text):  # made of links: sources and notes in an article are text
+        return in_article and (e.paragraph and e.tag in ("p", "a") or e.listed and not before)
+    if in_article or e.heading:
         return in_article or before
     kind = _branch(x, top)
     if kind is None or kind[0] in PLAIN or kind[0] in INLINE or kind in kinds:
         return True
-    return len(x.text) >= PROSE * max(1, x.tags) and any(e.tag == "p" for e in _above(x.element))
+    return _sentence(x.text) and not x.linked or len(x.text) >= PROSE * max(1, x.tags) and e.paragraph
 
 
 def main_text(html: str | None) -> str:
@@ -295,8 +369,9 @@ def main_text(html: str | None) -> str:
     smooth = _smooth([len(x.text) / max(1, x.tags) for x in lines])
     bound = min(_threshold(smooth), max(smooth))
     judged = [(x, ratio >= bound) for x, ratio in zip(lines, smooth)]
-    top = _region(judged)
-    inside = [(x, content) for x, content in judged if top is None or any(e is top for e in _above(x.element))]
+    top = _region(parser.elements, judged)
+    _place(parser.elements, top)
+    inside = [(x, content) for x, content in judged if x.element.inside]
     sure = [i for i, (_, content) in enumerate(inside) if content]
     first, last = (sure[0], sure[-1]) if sure else (0, len(inside) - 1)
     kinds = {kind for x, content in inside if content and (kind := _branch(x, top)) and kind[1]}

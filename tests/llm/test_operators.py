@@ -710,6 +710,34 @@ def test_the_ratios_decide(monkeypatch):
     assert changed >= {"unmarked menu and imprint", "unmarked notices", "unmarked box beside the text", "table layout"}
 
 
+#: Nests that a page of some hundred kilobytes can hold.
+NESTS = {
+    "blocks": "<div>x" * 100_000, "marked": "<div class=ad>x" * 40_000, "articles": "<article>z" * 40_000, "inline": "<b>" * 20_000 + "<p>y</p>" * 20_000,
+    "ends that open nothing": "<section><article>" + "<div>" * 40_000 + "</section>" * 40_000 + "</table>" * 40_000, "closed": "<div>x" * 40_000 + "</div>" * 40_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(NESTS))
+def test_deep_pages_end(name):
+    import time
+
+    began = time.process_time()
+    text = main_text(NESTS[name])
+    assert time.process_time() - began < 30
+    if name in ("blocks", "closed"):
+        assert text.count("x") >= NESTS[name].count("x") - 3
+
+
+def test_article_text_stays():
+    sources = "<h2>Sources</h2><ul><li><a href=a>First study</a></li><li><a href=b>Second study</a></li></ul>"
+    assert main_text(f"<article><h1>Title</h1>{PROSE}{sources}</article>").split("\n") == ["Title", *SAID, "Sources", "First study", "Second study"]
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+    assert main_text(f"<article>{menu}<h1>Title</h1>{PROSE}</article>").split("\n") == ["Title", *SAID]
+    last = "Second part, a short sentence in its own block."
+    assert main_text(f"<body><div><h1>Title</h1>{PROSE}</div><div>{last}</div></body>").split("\n") == ["Title", *SAID, last]
+    assert main_text(f"<body><div><h1>Title</h1>{PROSE}<div>A note inside the text's own part.</div></div></body>").split("\n") == ["Title", *SAID, "A note inside the text's own part."]
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>Words</p></article>", 5), (1, "u", "<article><p>Words</p></article>", 5), (2, None, None, 6), (None, "v", "<p>" + "long " * 50_000 + "</p>", 7)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
