@@ -15,7 +15,7 @@ from folioframe.operators.grid import long_short_grid
 from folioframe.operators.signals import add_momentum, add_reversal, add_running_sum, add_wealth
 from folioframe.operators.strategy import Strategy
 from folioframe.sources import demo_panel, panel as panels
-from folioframe.sources import files
+from folioframe.sources import files, store
 from folioframe.spec import FilterSpec, Momentum, Reversal, SortSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -727,6 +727,57 @@ def strategies_parquet(spark, sf_dir):
     return rounded(spark.read.parquet(path).select("date", "spec", "weighting", "value"))
 
 
+@register("strategies_replaced", f"""WITH a AS (WITH {ONE}, {sql.ls(5)} SELECT * FROM ls), b AS (WITH {sql.sort("supplier", "qty", 5)}, {sql.ls(5)} SELECT * FROM ls),
+    s AS (SELECT date, '{SortSpec("disc", 5).name}' AS spec, ew, vw FROM a UNION ALL SELECT date, '{SortSpec("qty", 5).name}', ew, vw FROM b)
+    SELECT date, spec, 'ew' AS weighting, {sql.r('ew', 'value')} FROM s UNION ALL SELECT date, spec, 'vw', {sql.r('vw', 'value')} FROM s""")
+def strategies_replaced(spark, sf_dir):
+    """Two strategies written one after the other, and the first of them again: both are there, once."""
+    path, specs = files.scratch(spark, "strategies"), (SortSpec("disc", 5), SortSpec("qty", 5))
+    both = F.explode(F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("value")) for w in ("ew", "vw")]))
+    for spec in (*specs, specs[0]):
+        series = strategy(spark, sf_dir, spec).get_long_short()
+        files.write_strategies(series.select("date", F.lit(spec.name).alias("spec"), both.alias("_x")).select("date", "spec", "_x.*"), path)
+    return rounded(files.read_strategies(spark, path))
+
+
+def _by_month(panel: DataFrame, last: int) -> tuple[DataFrame, list]:
+    """The panel written, without its last dates to begin with, and those dates (a few, of one row a date)."""
+    panel = files.written(panel, "panel")
+    dates = [r[0] for r in panel.groupBy("date").agg(F.lit(1)).orderBy(F.desc("date")).limit(last).select("date").collect()]
+    return panel, sorted(dates)
+
+
+@register("panel_store", sql.long_short(sql.sort("supplier", "signal", 5, 3, prep=sql.momentum(3, 1)), 5))
+def panel_store(spark, sf_dir):
+    """The momentum sort over a stored panel to which months were added one by one, the last of them twice."""
+    panel, months = _by_month(demo_panel.load(spark, sf_dir), 3)
+    kept = store.PanelStore.create(panel.where(F.col("date") < months[0]), files.scratch(spark, "panel-store"), buckets=16)
+    for month in (*months, months[-1]):
+        kept.append(panel.where(F.col("date") == month))
+    return rounded(Strategy(kept.panel, SortSpec(Momentum(3, 1), 5, 3)).long_short)
+
+
+@register("percentiles_appended", f"""WITH {demo_panel.sql("part")}, ds AS (SELECT DISTINCT date FROM panel)
+    SELECT ds.date, {sql.r('quantile_cont(p.ret, 0.01)', 'lo')}, {sql.r('quantile_cont(p.ret, 0.99)', 'hi')}
+    FROM ds JOIN panel p ON p.date < ds.date AND p.ret IS NOT NULL GROUP BY ds.date""")
+def percentiles_appended(spark, sf_dir):
+    """Percentiles of all earlier returns from a state to which months were added one by one."""
+    panel, months = _by_month(demo_panel.load(spark, sf_dir, "part"), 3)
+    state = store.QuantileState.create(panel.where(F.col("date") < months[0]), files.scratch(spark, "quantiles"))
+    for month in (*months, months[0]):
+        state.append(panel.where(F.col("date") == month))
+    return rounded(state.percentiles({"lo": 0.01, "hi": 0.99}))
+
+
+@register("wins_from_state", sql.long_short(sql.sort("supplier", "signal", 5, f=sql.filtered("wins", 95, "both")[0], prep=sql.momentum(3, 1, "ret_adj"), ep=True), 5))
+def wins_from_state(spark, sf_dir):
+    """Winsorising without look-ahead, with bounds from the kept state instead of a pass over all returns."""
+    panel = files.written(demo_panel.load(spark, sf_dir), "panel")
+    state = store.QuantileState.create(panel, files.scratch(spark, "quantiles"))
+    wins = FilterSpec("wins", 95, "both", thresholds=files.written(state.thresholds([5, 95]), "thresholds"))
+    return rounded(Strategy(panel, SortSpec(Momentum(3, 1), 5, filter=wins)).long_short)
+
+
 @register("mean_turnover", f"""WITH {sql.sort("supplier", "disc", 5, 2, dynamic=True)}, {sql.turnover(2)}
     SELECT CAST(ptf AS INTEGER) AS ptf, regime, 'ew' AS weighting, {sql.r('avg(ew) * 100', 'turnover')} FROM turn GROUP BY ALL
     UNION ALL SELECT CAST(ptf AS INTEGER), regime, 'vw', {sql.r('avg(vw) * 100', 'turnover')} FROM turn GROUP BY ALL""")

@@ -1,23 +1,24 @@
 """Many strategies over one panel.
 
-The panel is written once, the bounds of all winsorising filters are found together, and single sorts
-without bands that are alike in portfolios, holding period and weights share plans: the panel is dealt
-by ID once for a plan, the windows of all its signals and look-ups go over that dealing, and each spec
-adds one copy of the eligible rows, keyed by its number, so that breakpoints are found for (spec, date)
-at once. Double sorts and banded ones are planned one by one over the same written panel.
+The panel is written once, the bounds of all winsorising filters are found together, and sorts that are
+alike in portfolios, bands, holding period and weights share plans: the panel is dealt by ID once for a
+plan, the windows of all its signals and look-ups go over that dealing, and each spec adds one copy of
+the eligible rows, keyed by its number, so that breakpoints, second breakpoints and steps of bands are
+found for all specs at once. The number of plans follows the shapes of the sorts, not the sorts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.operators.banding import band
 from folioframe.operators.filters import Bounds, add_filtered, find_bounds, in_rating, in_universe, made_ready
-from folioframe.operators.quantiles import add_bin
+from folioframe.operators.quantiles import FEW_GROUPS, add_bin
 from folioframe.operators.signals import add_signals
-from folioframe.operators.strategy import Strategy, all_or_null, at_offset
+from folioframe.operators.strategy import add_second, all_or_null, at_offset
 from folioframe.sources.files import written
 from folioframe.spec import FilterSpec, SortSpec
 
@@ -38,13 +39,9 @@ def long_short_grid(panel: DataFrame, specs: Sequence[SortSpec]) -> DataFrame:
     bounds = find_bounds(panel, wins) if wins else None
     sizes = dict(tuple(r) for r in panel.where("date IS NOT NULL").groupBy("date").count().collect())
     shapes: dict[tuple, list[SortSpec]] = {}
-    parts = []
     for s in specs:
-        if s.signal2 or s.banding is not None:
-            series = Strategy(panel, s, bounds).long_short
-            parts.append(series.select(F.lit(s.name).alias("spec"), "date", "regime", "ew", "vw"))
-        else:
-            shapes.setdefault((s.nport, s.holding, s.dynamic_weights), []).append(s)
+        shapes.setdefault((s.nport, s.nport2, s.how, s.banding, s.holding, s.dynamic_weights), []).append(s)
+    parts = []
     for alike in shapes.values():
         parts += [_chunk(panel, alike[i : i + CHUNK], sizes, bounds) for i in range(0, len(alike), CHUNK)]
     out = parts[0]
@@ -58,7 +55,8 @@ def _key(f: FilterSpec | None) -> tuple | None:
 
 
 def _chunk(panel: DataFrame, specs: Sequence[SortSpec], sizes: dict, bounds: Bounds | None) -> DataFrame:
-    n, K, dynamic = specs[0].nport, specs[0].holding, specs[0].dynamic_weights
+    one = specs[0]  # what they are alike in
+    n, K, dynamic = one.nport, one.holding, one.dynamic_weights
     dates = sorted(sizes)
     calendar = panel.sparkSession.createDataFrame(list(zip(dates, range(len(dates)))), "date date, t int")
     rows = panel.join(F.broadcast(calendar), "date")
@@ -80,25 +78,46 @@ def _chunk(panel: DataFrame, specs: Sequence[SortSpec], sizes: dict, bounds: Bou
             later[f"_vw{h - 1}"] = at_offset("VW", h - 1)
     rows = rows.withColumns(later).where(F.col("t") < len(dates) - K)
     entries = []
+    second = lambda s: [F.col(s.signal2).cast("double").alias("y")] if s.signal2 else []
     for j, s in enumerate(specs):
-        ok = F.col(f"_s{j}").isNotNull() & in_rating(s.rating) & in_universe(s.filter)
+        ok = F.lit(True) if s.signal2 is None else F.col(s.signal2).isNotNull()
+        ok &= F.col(f"_s{j}").isNotNull() & in_rating(s.rating) & in_universe(s.filter)
         ahead = F.array(*[F.col(f"_e{of(s)}_{h}") if s.filter else F.lit(None).cast("double") for h in range(1, K + 1)])
-        entries.append(F.when(ok, F.struct(F.lit(j).alias("j"), F.col(f"_s{j}").cast("double").alias("x"), ahead.alias("ep"))))
-    kept = ["t", "VW", *[c for c in later if not c.startswith("_e")]]
+        entries.append(F.when(ok, F.struct(F.lit(j).alias("j"), F.col(f"_s{j}").cast("double").alias("x"), ahead.alias("ep"), *second(s))))
+    kept = ["ID", "t", "VW", *[c for c in later if not c.startswith("_e")]]
     long = rows.select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_x")).select(*kept, "_x.*")
-    long = add_bin(long, ["j", "t"], "x", n, "ptf", len(dates) * len(specs), max(sizes.values(), default=0))
+    groups, largest = len(dates) * len(specs), max(sizes.values(), default=0)
+    long = add_bin(long, ["j", "t"], "x", n, "_bin", groups, largest)
     holds = []
     for h in range(1, K + 1):
         w = F.col("VW") if h == 1 or not dynamic else F.col(f"_vw{h - 1}")
         for regime, used in (("ea", F.col(f"_ret{h}")), ("ep", F.element_at("ep", h))):
             ok = used.isNotNull() & (w.isNotNull() if dynamic else F.lit(True))
             holds.append(F.when(ok, F.struct(F.lit(h).alias("h"), F.lit(regime).alias("regime"), used.alias("r"), w.alias("w"))))
-    held = long.where(F.col("ptf").isin(1, n)).select("j", "t", "ptf", F.explode(F.filter(F.array(*holds), lambda x: x.isNotNull())).alias("_y")).select("j", "t", "ptf", "_y.*")
+    if one.signal2 is None and one.banding is None:
+        long = long.where(F.col("_bin").isin(1, n))  # the others are not needed
+    columns = ["ID", "j", "t", "_bin", *(["y"] if one.signal2 else [])]
+    held = long.select(*columns, F.explode(F.filter(F.array(*holds), lambda x: x.isNotNull())).alias("_y")).select(*columns, "_y.*")
+    if one.signal2:
+        held = add_second(held, ["j", "t", "h", "regime"], "y", one, 2 * K * groups, largest)
+    else:
+        held = held.withColumn("ptf", F.col("_bin"))
+    held = held.withColumn("ptf", F.col("ptf").cast("int"))
+    if one.banding is not None:
+        turns = long.select("j", "t").distinct()  # a row for each date and spec
+        nth = F.row_number().over(Window.partitionBy("j", F.col("t") % K).orderBy("t")) - 1
+        held = held.join(F.broadcast(turns.withColumn("_nth", nth)) if groups <= FEW_GROUPS else turns.withColumn("_nth", nth), ["j", "t"])
+        regimes = F.element_at(F.array(*[F.lit(2 if s.filter else 1) for s in specs]), F.col("j") + 1)
+        step = (F.col("_nth") * K + F.col("h") - 1) * regimes + F.when(F.col("regime") == "ep", 1).otherwise(0)
+        held = band(held.withColumns({"step": step, "cohort": F.col("t") % K}).drop("_nth"), one.portfolios, one.banding, ("j", "cohort", "ID"))
     cohort = held.groupBy("j", "regime", "ptf", "t", "h").agg(
         F.avg("r").alias("ew"), F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("w")), F.sum("w")), F.lit(0.0)).alias("vw")
     )
     mean = cohort.groupBy("j", "regime", "ptf", (F.col("t") + F.col("h")).alias("t")).agg(*[all_or_null(F.avg(c), c, K).alias(c) for c in ("ew", "vw")])
-    sign = F.when(F.col("ptf") == n, 1).otherwise(-1)
-    out = mean.groupBy("j", "regime", "t").agg(*[all_or_null(F.sum(F.col(c) * sign), c, 2).alias(c) for c in ("ew", "vw")])
+    last, rows_ = (one.nport2, n) if one.signal2 else (n, 1)
+    place = (F.col("ptf") - 1) % last
+    sign = F.when(place == last - 1, 1).when(place == 0, -1)
+    legs = mean.withColumn("sign", sign).where("sign IS NOT NULL")
+    out = legs.groupBy("j", "regime", "t").agg(*[all_or_null(F.sum(F.col(c) * F.col("sign")) / rows_, c, 2 * rows_).alias(c) for c in ("ew", "vw")])
     names = F.element_at(F.array(*[F.lit(s.name) for s in specs]), F.col("j") + 1)
     return out.join(F.broadcast(calendar), "t").select(names.alias("spec"), "date", "regime", "ew", "vw")

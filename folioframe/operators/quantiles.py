@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,15 +42,20 @@ def add_bin(
     return df.join(edges, list(keys)).withColumn(name, bin_of(F.col(x), F.col("_edges"))).drop("_edges")
 
 
-def _in_ranges(rows: DataFrame) -> DataFrame:
-    """``rows`` with the number of the range that ``x`` falls into, ranges holding about equally many."""
+def range_marks(rows: DataFrame) -> DataFrame:
+    """One row ``_m``: the ends of ranges that hold about equally many of the values ``x``."""
     n = COARSE * FINE
-    marks = rows.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 8 * n).alias("_m"))  # one row
+    return rows.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 8 * n).alias("_m"))
+
+
+def in_ranges(rows: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the number of the range that ``x`` falls into, by ``marks`` (one row), or marks of their own."""
     every = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_m", i * FINE))
     coarse = F.size(F.filter(every, lambda e: e < F.col("x")))
     fine = F.size(F.filter(F.slice("_m", F.col("_c") * FINE + 1, FINE - 1), lambda e: e < F.col("x")))
-    placed = rows.join(F.broadcast(marks)).withColumn("_c", coarse)
-    return placed.select(*rows.columns, (F.col("_c") * FINE + fine).alias("range"))
+    placed = rows.join(F.broadcast(range_marks(rows) if marks is None else marks)).withColumn("_c", coarse)
+    # Without marks (there were no values to make them of) all values are in the first range.
+    return placed.select(*rows.columns, F.when(F.col("_m").isNull(), 0).otherwise(F.col("_c") * FINE + fine).alias("range"))
 
 
 def _wanted(pool: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
@@ -89,7 +94,7 @@ def counted_percentiles(df: DataFrame, keys: Sequence[str], x: str, levels: dict
     statistic lies. Only the values of these ranges are counted one by one and sorted, so that a value
     which many rows share is one row.
     """
-    rows = _in_ranges(df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x")))
+    rows = in_ranges(df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x")))
     counts = rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("k"))
     up = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     hits = _wanted(counts.withColumn("upto", F.sum("k").over(up)), keys, levels)
@@ -118,16 +123,33 @@ def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) ->
     are then compared, each with the number of its rows. Work is a small multiple of the rows, not rows
     times dates.
     """
-    ranged = _in_ranges(panel.where(F.col(x).isNotNull()).select("date", F.col(x).alias("x")))
-    dates = panel.select("date").distinct()
+    ranged = in_ranges(panel.where(F.col(x).isNotNull()).select("date", F.col(x).alias("x")))
     counts = ranged.groupBy("date", "range").agg(F.count(F.lit(1)).alias("k"))
-    # At most dates x ranges rows from here on.
-    grid = dates.join(F.broadcast(counts.select("range").distinct())).join(counts, ["date", "range"], "left")
+    values = ranged.groupBy("range", "date", "x").agg(F.count(F.lit(1)).alias("c"))
+    return ranged_percentiles(counts, values, panel.select("date").distinct(), levels)
+
+
+def ranged_percentiles(
+    counts: DataFrame, values: DataFrame | Callable[[set[int]], DataFrame], dates: DataFrame, levels: dict[str, float]
+) -> DataFrame:
+    """As :func:`expanding_percentiles` for each of ``dates``, from ``counts`` (date, range, k) and ``values`` (range, date, x, c).
+
+    ``values`` can be a function of the ranges that are needed, which are then found here and now (at
+    most levels x dates numbers). Counts are at most dates x ranges rows; the pool of each date is a
+    running sum over them.
+    """
+    asked = dates.select("date", F.lit(True).alias("_asked"))
+    every = counts.select("date").distinct().join(F.broadcast(asked), "date", "full")
+    # A cross join of dates and ranges: both are bounded, and small beside the rows they were counted from.
+    grid = every.join(F.broadcast(counts.select("range").distinct())).join(counts, ["date", "range"], "left")
     before = Window.partitionBy("range").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     up = Window.partitionBy("date").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    pool = grid.withColumn("k", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("upto", F.sum("k").over(up))
-    hits = _wanted(pool, ["date"], levels).withColumnRenamed("date", "on")
-    values = ranged.join(hits.select("range").distinct(), "range").groupBy("range", "date", "x").agg(F.count(F.lit(1)).alias("c"))
+    pool = grid.withColumn("k", F.coalesce(F.sum("k").over(before), F.lit(0))).where("_asked").withColumn("upto", F.sum("k").over(up))
+    hits = _wanted(pool.select("date", "range", "k", "upto"), ["date"], levels).withColumnRenamed("date", "on")
+    if callable(values):
+        values = values({r[0] for r in hits.select("range").distinct().collect()})
+    else:
+        values = values.join(hits.select("range").distinct(), "range")
     dated = values.join(hits, "range").where("date < on").groupBy("on", "name", "side", "nth", "part", "x").agg(F.sum("c").alias("c"))
     found = _values(dated, ["on"])
     return found.groupBy(F.col("on").alias("date")).agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in levels])

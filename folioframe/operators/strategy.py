@@ -31,6 +31,19 @@ def all_or_null(agg: Column, value: str, n: int) -> Column:
     return F.when(F.count(value) == n, agg)
 
 
+def add_second(held: DataFrame, keys: Sequence[str], x: str, spec: SortSpec, groups: int, largest: int) -> DataFrame:
+    """``held`` with ``ptf``: the first bin ``_bin`` and the bin of ``x`` among those matched at this horizon, of all or of the first bin."""
+    if spec.how == "unconditional":
+        held = add_bin(held, keys, x, spec.nport2, "_bin2", groups, largest)
+        return held.withColumn("ptf", (F.col("_bin") - 1) * spec.nport2 + F.col("_bin2"))
+    keys = [*keys, "_bin"]
+    held = add_bin(held, keys, x, spec.nport2, "_bin2", groups * spec.nport, largest)
+    # ties can leave the top bin empty; the offset is the highest bin there is
+    top = held.groupBy(*keys).agg(F.max("_bin2").alias("_top"))
+    top = F.broadcast(top) if groups * spec.nport <= FEW_GROUPS else top
+    return held.join(top, keys).withColumn("ptf", (F.col("_bin") - 1) * F.col("_top") + F.col("_bin2"))
+
+
 class Strategy:
     """One sort of one panel. Frames are built when asked for, and are lazy themselves.
 
@@ -125,16 +138,8 @@ class Strategy:
         )
         if s.signal2 is None:
             held = held.withColumnRenamed("_bin", "ptf")
-        elif s.how == "unconditional":  # breakpoints among those matched at this horizon
-            held = add_bin(held, ["t", "h", "regime"], s.signal2, s.nport2, "_bin2", self._groups, self._largest)
-            held = held.withColumn("ptf", (F.col("_bin") - 1) * s.nport2 + F.col("_bin2"))
         else:
-            keys = ["t", "h", "regime", "_bin"]
-            held = add_bin(held, keys, s.signal2, s.nport2, "_bin2", self._groups * s.nport, self._largest)
-            # ties can leave the top bin empty; the offset is the highest bin there is
-            top = held.groupBy(*keys).agg(F.max("_bin2").alias("_top"))
-            top = F.broadcast(top) if self._groups * s.nport <= FEW_GROUPS else top
-            held = held.join(top, keys).withColumn("ptf", (F.col("_bin") - 1) * F.col("_top") + F.col("_bin2"))
+            held = add_second(held, ["t", "h", "regime"], s.signal2, s, self._groups, self._largest)
         return held.withColumn("ptf", F.col("ptf").cast("int"))
 
     @cached_property
@@ -254,18 +259,26 @@ class Strategy:
     def turnover(self) -> DataFrame:
         """(date, regime, ptf, ew, vw): sum over IDs of abs(weight - drifted weight one period before).
 
-        Signed weights of both dates are added up for each ID, so absent ones count as zero. A sum of
-        zero is null; the mean over the K cohorts is null if one is.
+        Weights of neighbouring dates are compared along each ID's rows; one that is absent counts as zero.
+        A sum of zero is null; the mean over the K cohorts is null if one is.
         """
         K = self.spec.holding
-        keys = ["regime", "s", "cohort", "ptf", "ID"]
-        now = F.struct(F.col("s"), F.col("ew"), F.col("vw"))
-        then = F.struct((F.col("s") + 1).alias("s"), (-F.col("ew_drift")).alias("ew"), (-F.col("vw_drift")).alias("vw"))
-        signed = self.weights.select("regime", "cohort", "ptf", "ID", F.explode(F.array(now, then)).alias("_x")).select("regime", "cohort", "ptf", "ID", "_x.*")
-        signed = signed.where("s >= 1")
+        # An ID has one row of a cohort and date. Its rows are where the panel was dealt to, so nothing moves here.
+        rows = Window.partitionBy("ID", "regime", "cohort").orderBy("s")
+        before, after = F.lag(F.struct("s", "ptf", "ew_drift", "vw_drift")).over(rows), F.lead("s").over(rows)
+        held = self.weights.withColumns({"_b": before, "_after": after}).withColumn("_b", F.when(F.col("_b.s") == F.col("s") - 1, F.col("_b")))
+        stays = F.coalesce(F.col("_b.ptf") == F.col("ptf"), F.lit(False))
+        moved = lambda ok, s, ptf, ew, vw: F.when(ok, F.struct(s.alias("s"), ptf.alias("ptf"), F.abs(ew).alias("ew"), F.abs(vw).alias("vw")))
+        now, ptf = F.col("s"), F.col("ptf")
+        entries = F.array(
+            moved(stays, now, ptf, F.col("ew") - F.col("_b.ew_drift"), F.col("vw") - F.col("_b.vw_drift")),
+            moved(~stays & (now >= 1), now, ptf, F.col("ew"), F.col("vw")),  # comes in
+            moved(~stays & F.col("_b").isNotNull(), now, F.col("_b.ptf"), F.col("_b.ew_drift"), F.col("_b.vw_drift")),  # has left another portfolio
+            moved(F.coalesce(F.col("_after") != now + 1, F.lit(True)), now + 1, ptf, F.col("ew_drift"), F.col("vw_drift")),  # is not there any more
+        )
+        each = held.select("regime", "cohort", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("_x")).select("regime", "cohort", "_x.*")
         whole = lambda x, agg: F.when(F.count(x) == F.count(F.lit(1)), agg)  # noqa: E731  a null weight makes the sum null
-        moved = signed.groupBy(*keys).agg(*[whole(c, F.abs(F.sum(c))).alias(c) for c in ("ew", "vw")])
-        cohorts = moved.groupBy("regime", "s", "cohort", "ptf").agg(*[whole(c, F.nullif(F.sum(c), F.lit(0.0))).alias(c) for c in ("ew", "vw")])
+        cohorts = each.groupBy("regime", "s", "cohort", "ptf").agg(*[whole(c, F.nullif(F.sum(c), F.lit(0.0))).alias(c) for c in ("ew", "vw")])
         mean = cohorts.groupBy("regime", "s", "ptf").agg(*[all_or_null(F.avg(c), c, K).alias(c) for c in ("ew", "vw")])
         return self._dated(mean, "s")
 

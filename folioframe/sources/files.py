@@ -86,6 +86,15 @@ def wide(long: DataFrame, names: Sequence[str], name_col: str = "spec", value_co
     return long.groupBy("date").pivot(name_col, list(names)).agg(F.first(value_col))
 
 
-def write_strategies(long: DataFrame, path: str, by: Sequence[str] = ("weighting",)) -> None:
-    """Strategy series in long form; equal- and value-weighted ones in folders of their own."""
-    long.write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_strategies(long: DataFrame, path: str, by: Sequence[str] = ("spec", "weighting")) -> None:
+    """Strategy series (``spec, weighting, date, value``) in long form, a folder for each spec and weighting.
+
+    What is there of the same specs and weightings is replaced, all else stays: a study can be written
+    spec by spec, and a part of it again after a failure.
+    """
+    long.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_strategies(spark: SparkSession, path: str) -> DataFrame:
+    """``date, value, spec, weighting`` of all that :func:`write_strategies` has put there; names stay text."""
+    return spark.read.schema("date date, value double, spec string, weighting string").parquet(path)

@@ -43,7 +43,8 @@ class FilterSpec:
     @property
     def suffix(self) -> str:
         level = "_".join(f"{x:g}" for x in self.level) if isinstance(self.level, tuple) else f"{self.level:g}"
-        return f"{self.adj}_{level}" + (f"_{self.location}" if self.location else "")
+        at = f"_at_{self.price_threshold:g}" if self.adj == "price" and self.price_threshold != 25 else ""
+        return f"{self.adj}_{level}{at}" + (f"_{self.location}" if self.location else "")
 
 
 @dataclass(frozen=True)
@@ -114,11 +115,17 @@ class SortSpec:
 
     @property
     def name(self) -> str:
-        """Rating, signal's settings, holding period, filter: ``ALL_6_1_1_trim_0.2``; second signal and band if any."""
+        """Rating, signal's settings, holding period, portfolios, filter: ``ALL_6_1_1_n10_trim_0.2``; second signal, band,
+        updated weights and price threshold if they are not the default."""
         label = getattr(self.signal, "label", None) or self.signal_name
         parts = [self.rating or "ALL", label, str(self.holding)]
         if self.signal2:
             parts += [self.how, self.signal2]
+        parts.append(f"n{self.nport}" + (f"x{self.nport2}" if self.nport2 else ""))
         if self.banding is not None:
             parts += ["band", str(self.banding)]
+        if self.dynamic_weights:
+            parts.append("dynamic")
+        if self.vw_drift != "ew":
+            parts.append("drift_vw")
         return "_".join(parts + ([self.filter.suffix] if self.filter else []))

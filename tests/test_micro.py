@@ -17,7 +17,7 @@ from folioframe.operators.quantiles import counted_edges, expanding_percentiles,
 from folioframe.operators.grid import long_short_grid
 from folioframe.operators.signals import add_momentum, add_wealth
 from folioframe.operators.strategy import Strategy
-from folioframe.sources import files, panel as panels
+from folioframe.sources import files, panel as panels, store
 from folioframe.spec import FilterSpec, Momentum, Reversal, SortSpec
 
 DAY = [datetime.date(2020, m, 1) for m in range(1, 13)]
@@ -142,7 +142,10 @@ def test_specs_are_checked():
     for bad in (lambda: FilterSpec("wins", 95), lambda: FilterSpec("x", 1), lambda: FilterSpec("trim", (2, 1)), lambda: SortSpec("x", 1), lambda: SortSpec("x", 3, signal2="y")):
         with pytest.raises(ValueError):
             bad()
-    assert SortSpec("x", 5, 2, rating="IG", filter=FilterSpec("wins", 98, "both")).name == "IG_x_2_wins_98_both"
+    assert SortSpec("x", 5, 2, rating="IG", filter=FilterSpec("wins", 98, "both")).name == "IG_x_2_n5_wins_98_both"
+    apart = [SortSpec("disc", 5), SortSpec("disc", 10), SortSpec("disc", 5, dynamic_weights=True), SortSpec("disc", 5, vw_drift="vw"), SortSpec("disc", 5, signal2="x", nport2=3),
+             SortSpec("disc", 5, signal2="x", nport2=4), *[SortSpec("disc", 5, filter=FilterSpec("price", 30, price_threshold=t)) for t in (25, 40)]]
+    assert len({s.name for s in apart}) == len(apart)
 
 
 #: Twelve returns and a factor, with figures worked out apart by sums over dates.
@@ -220,6 +223,9 @@ def test_a_grid_is_its_strategies_one_by_one(spark, monkeypatch):
     specs = [
         SortSpec("x", 3), SortSpec("x", 3, 2, rating="IG", filter=FilterSpec("wins", 90, "both")), SortSpec(Momentum(2, 1), 2, filter=FilterSpec("bounce", 0.05)),
         SortSpec(Reversal(3, 1), 2, 2, dynamic_weights=True, filter=FilterSpec("trim", (-0.3, 0.3))), SortSpec("x", 3, banding=1), SortSpec("x", 2, signal2="RATING_NUM", nport2=2),
+        SortSpec("x", 3, 2, banding=1, filter=FilterSpec("trim", 0.3)), SortSpec("x", 3, 2, banding=1, filter=FilterSpec("price", 150)), SortSpec("x", 2, banding=1),
+        SortSpec("x", 2, 2, "RATING_NUM", 3, "conditional", filter=FilterSpec("trim", 0.3)), SortSpec("RATING_NUM", 2, 2, "x", 3, "conditional"),
+        SortSpec("x", 2, signal2="VW", nport2=2, banding=1), SortSpec("RATING_NUM", 2, signal2="x", nport2=2), SortSpec("x", 4),
         SortSpec("x", 3, filter=FilterSpec("price", 150)), SortSpec("x", 3, filter=FilterSpec("bounce", -0.02)), SortSpec("x", 3, filter=FilterSpec("wins", 95, "right")),
     ]
     got = {}
@@ -289,4 +295,91 @@ def test_factor_and_percentile_files(spark, tmp_path):
     assert [tuple(r) for r in files.wide(series, ["a.1", "b"]).orderBy("date").collect()] == [(DAY[0], 1.0, 2.0), (DAY[1], None, 3.0)]
     long = spark.createDataFrame([(DAY[0], "a", "ew", 1.0), (DAY[0], "a", "vw", 2.0)], "date date, spec string, weighting string, value double")
     files.write_strategies(long, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    files.write_strategies(long.withColumns({"spec": F.lit("7"), "value": F.lit(5.0)}), str(tmp_path / "out"))
+    files.write_strategies(long.where("weighting = 'vw'").withColumn("value", F.lit(9.0)), str(tmp_path / "out"))
+    got = sorted((r.spec, r.weighting, r.value) for r in files.read_strategies(spark, str(tmp_path / "out")).collect())
+    assert got == [("7", "ew", 5.0), ("7", "vw", 5.0), ("a", "ew", 1.0), ("a", "vw", 9.0)]
+
+
+def random_panel(spark, ids=30, dates=9, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = [(i, DAY[t], float(np.round(rng.normal() / 5, 3)) if rng.random() < 0.9 else None, float(1 + (i * 3 + t) % 22), float(1 + i % 4), float(rng.integers(0, 9)))
+            for i in range(ids) for t in range(dates) if rng.random() < 0.85]
+    return make(spark, rows)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning(ID" in line]
+
+
+def test_windows_over_a_stored_panel_need_no_exchange(spark, tmp_path):
+    panel = random_panel(spark)
+    kept = store.PanelStore.create(panel.where(F.col("date") < DAY[6]), str(tmp_path / "s"), 4)
+    files_before = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    for t in (6, 7, 8, 7):
+        kept.append(panel.where(F.col("date") == DAY[t]))
+    assert all(p.stat().st_mtime_ns == at for p, at in files_before.items())  # earlier months were left alone
+    rows = lambda df: sorted(map(tuple, df.select(panel.columns).collect()), key=str)
+    assert rows(kept.panel) == rows(panel) and kept.dates() == DAY[:9]
+    again = store.PanelStore(spark, str(tmp_path / "s"), kept.schema, 4)
+    assert rows(again.panel) == rows(panel)
+    for spec in (SortSpec(Momentum(2, 1), 3, 2), SortSpec("x", 2, 2, turnover=True, filter=FilterSpec("bounce", 0.05))):
+        stored, plain = Strategy(again.panel, spec), Strategy(panel, spec)
+        assert not exchanges(stored.long_short) and exchanges(plain.long_short)
+        assert not exchanges(stored.turnover)
+        near = lambda df: {tuple(r)[:3]: pytest.approx(tuple(r)[3:], nan_ok=True) for r in df.select("date", "regime", "ptf", F.coalesce("ew", F.lit(-9.0)), F.coalesce("vw", F.lit(-9.0))).collect()}
+        assert near(stored.turnover) == {k: v.expected for k, v in near(plain.turnover).items()}
+    kept.close()
+    again.close()
+
+
+def signed_turnover(weights, K):
+    """Sums over IDs of abs(weight - drifted weight before), from all weights at once."""
+    signed, nulls = {}, set()
+    for r in weights:
+        for s, ew, vw, sign in ((r.s, r.ew, r.vw, 1), (r.s + 1, r.ew_drift, r.vw_drift, -1)):
+            if s >= 1:
+                old = signed.setdefault((r.regime, s, r.cohort, r.ptf), {}).setdefault(r.ID, [0.0, 0.0])
+                for i, v in enumerate((ew, vw)):
+                    old[i] = None if v is None or old[i] is None else old[i] + sign * v
+    out = {}
+    for (regime, s, _, ptf), ids in signed.items():
+        for i in (0, 1):
+            total = None if any(v[i] is None for v in ids.values()) else sum(abs(v[i]) for v in ids.values()) or None
+            out.setdefault((regime, s, ptf), ([], []))[i].append(total)
+    return {k: tuple(None if len(v) < K or None in v else sum(v) / K for v in both) for k, both in out.items()}
+
+
+@pytest.mark.parametrize("K", [1, 3])
+def test_turnover_is_that_of_signed_weights(spark, K):
+    panel = random_panel(spark, seed=K).withColumn("VW", F.when(F.col("ID") % 7 != 3, F.col("VW")))
+    s = Strategy(panel, SortSpec("x", 3, K, filter=FilterSpec("trim", 0.3)))
+    t = {d: i for i, (d, _) in enumerate(s._dates)}
+    got = {(r.regime, t[r.date], r.ptf): (r.ew, r.vw) for r in s.turnover.collect()}
+    want = signed_turnover(s.weights.collect(), K)
+    near = lambda x: tuple(None if v is None else pytest.approx(v, abs=1e-9) for v in x)
+    assert {k for k in want if k in got} == {*got} and all(got[k] == near(want[k]) for k in got)
+
+
+def test_percentiles_of_a_kept_state(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(DAY[t], float(np.round(rng.normal() * (1 + t), 1)) if rng.random() < 0.95 else None) for t in range(8) for _ in range(150)]
+    df = spark.createDataFrame(rows, "date date, ret double")
+    levels = {"a": 0.02, "b": 0.5, "c": 0.98}
+    state = store.QuantileState.create(df.where(F.col("date") < DAY[3]), str(tmp_path / "q"))
+    for t in (3, 4, 5, 6, 4):
+        state.append(df.where(F.col("date") == DAY[t]))
+    pool = lambda d: np.percentile([x for day, x in rows if day < d and x is not None], [2, 50, 98])
+    got = {r.date: (r.a, r.b, r.c) for r in state.percentiles(levels).collect()}
+    assert got == {DAY[t]: pytest.approx(tuple(pool(DAY[t]))) for t in range(1, 7)}
+    # a date that is not in the state yet
+    got = state.percentiles(levels, [DAY[7], DAY[0]])
+    assert [tuple(r) for r in got.collect()] == [(DAY[7], *map(pytest.approx, pool(DAY[7])))]
+    assert {(r.date, r.level): r.value for r in state.thresholds([2, 98], [DAY[5]]).collect()} == {(DAY[5], q): pytest.approx(np.percentile([x for d, x in rows if d < DAY[5] and x is not None], q)) for q in (2, 98)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "In(range" in plan  # of the values only the ranges hit are read
+    none = store.QuantileState.create(df.limit(0), str(tmp_path / "n"))
+    assert none.percentiles(levels).count() == 0
+    none.append(df.where(F.col("date") == DAY[0]))  # without marks all values are in one range
+    assert none.percentiles(levels, [DAY[1]]).first().b == pytest.approx(pool(DAY[1])[1])
