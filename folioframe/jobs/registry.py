@@ -407,6 +407,28 @@ def significant_differences(spark, sf_dir):
     return inference.count_significant(tests, ["pair"])
 
 
+def _pairs_sql() -> str:
+    """The comparison table over ``s`` (source, series, date, value)."""
+    names = [*SOURCES]
+    wide = f"""w AS (SELECT replace(series, '*', '') AS series, date, {', '.join(f"max(CASE WHEN source = '{n}' THEN value END) AS {n}" for n in names)} FROM s GROUP BY 1, 2)"""
+    of = lambda a, b: f"count({a} - {b}) AS n_{a}_{b}, avg({a} - {b}) * sqrt(count({a} - {b})) / nullif(stddev_samp({a} - {b}), 0) AS t_{a}_{b}, corr({a}, {b}) AS c_{a}_{b}"
+    sums = f"g AS (SELECT series, {', '.join(f'avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}' for n in names)}, {', '.join(of(a, b) for a, b in PAIRS)} FROM w GROUP BY series)"
+    p = {(a, b): sql.student_p(f"t_{a}_{b}", f"(n_{a}_{b} - 1)") for a, b in PAIRS}
+    return f"""{wide}, {sums}, t AS (SELECT series, {', '.join(sql.r(f'c_{a}_{b}', f'corr_{a}_{b}') for a, b in PAIRS)},
+        {', '.join(sql.r(f'm_{n} * 100', f'mean_{n}') for n in names)}, {', '.join(sql.r(f'm_{n} / nullif(s_{n}, 0) * sqrt(12)', f'sharpe_{n}') for n in names)},
+        {', '.join(sql.r(x, f'p_{a}_{b}') for (a, b), x in p.items())} FROM g)
+        SELECT *, {', '.join(f'count(*) FILTER (WHERE p_{a}_{b} <= 0.05) OVER () AS significant_{a}_{b}' for a, b in PAIRS)} FROM t"""
+
+
+@register("comparison_table", f"WITH s AS ({_sources()}), {_pairs_sql()}")
+def comparison_table(spark, sf_dir):
+    """Three versions of the same strategies compared in one table, written and read back, with the counts of significant differences."""
+    starred = F.when(F.col("source") == "trim", F.concat("series", F.lit("*"))).otherwise(F.col("series"))
+    table = inference.comparison_table(sources(spark, sf_dir).withColumn("series", starred), [*SOURCES])
+    kept = files.written(table, "comparison")
+    return rounded(kept.join(F.broadcast(inference.significant_pairs(kept))))  # one row of counts
+
+
 _WEALTH = f"""WITH {ONE}, {sql.ls(5)} SELECT date,
     CASE WHEN ew IS NOT NULL THEN round(product(1 + ew) OVER w, 8) + 0.0 END AS wealth,
     CASE WHEN ew IS NOT NULL THEN round(sum(ew) OVER w, 8) + 0.0 END AS total

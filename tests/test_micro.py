@@ -383,3 +383,48 @@ def test_percentiles_of_a_kept_state(spark, tmp_path):
     assert none.percentiles(levels).count() == 0
     none.append(df.where(F.col("date") == DAY[0]))  # without marks all values are in one range
     assert none.percentiles(levels, [DAY[1]]).first().b == pytest.approx(pool(DAY[1])[1])
+
+
+def test_valid_rows_of_a_hot_key(spark):
+    """Half of all facts on one key, nulls, and first and last days."""
+    day = lambda n: datetime.date(2000, 1, 1) + datetime.timedelta(n)
+    rng = random.Random(7)
+    facts = [(0 if i % 2 else rng.randrange(5), day(rng.randrange(4000)), i) for i in range(2000)] + [(1, None, -1), (None, day(5), -2)]
+    history = [(0, day(40 * i), day(40 * i + 38), f"a{i}") for i in range(100)] + [(k, day(700 * k), None if k % 2 else day(9000), f"b{k}") for k in range(1, 5)] + [(2, None, day(100), "c"), (3, day(50), day(40), "d"), (None, day(0), day(9), "e")]
+    got = panels.valid_rows(
+        spark.createDataFrame(facts, "k long, on date, n long"), spark.createDataFrame(history, "k long, a date, b date, name string"), "k", "on", "a", "b", period=100
+    )
+    assert got.columns == ["k", "on", "n", "a", "b", "name"]
+    want = sorted((n, name) for k, on, n in facts for key, a, b, name in history if k is not None and on and k == key and a and b and a <= on <= b)
+    assert sorted((r.n, r.name) for r in got.collect()) == want and want
+    assert panels.valid_rows(got.select("k", "on", "n").limit(0), got.select("k", "a", "b"), "k", "on", "a", "b").count() == 0
+
+
+def ols_hac(y, x, lag):
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ (x.T @ y)
+    scores = x * (y - x @ beta)[:, None]
+    meat = scores.T @ scores
+    for k in range(1, lag + 1):
+        cross = scores[k:].T @ scores[:-k]
+        meat += (1 - k / (lag + 1)) * (cross + cross.T)
+    return beta[0], np.sqrt((inverse @ meat @ inverse)[0, 0])
+
+
+@pytest.mark.parametrize("lag", [0, 3])
+def test_alphas_are_those_of_the_regression(spark, lag):
+    rng = np.random.default_rng(6)
+    days = [datetime.date(2000 + i // 12, 1 + i % 12, 1) for i in range(90)]
+    f = rng.normal(size=(90, 3))
+    factors = spark.createDataFrame([(d, *map(float, v)) for d, v in zip(days, f)], "date date, a double, b double, c double").withColumn("c", F.when(F.col("date") != days[4], F.col("c")))
+    y = {s: f @ rng.normal(size=3) + rng.normal(size=90) for s in "pqr"}
+    rows = [(s, d, float(v) if i % 17 else None) for s in "pq" for i, (d, v) in enumerate(zip(days, y[s]))] + [("r", d, float(v)) for d, v in list(zip(days, y["r"]))[:4]]
+    got = {r.s: r for r in inference.hac_alpha(spark.createDataFrame(rows, "s string, date date, value double"), factors, ["a", "b", "c"], ["s"], lag).collect()}
+    for s in "pq":
+        used = [i for i in range(90) if i % 17 and i != 4]
+        alpha, se = ols_hac(y[s][used], np.hstack([np.ones((len(used), 1)), f[used]]), lag)
+        assert (got[s].alpha, got[s].alpha_t, got[s].alpha_p) == pytest.approx((alpha, alpha / se, normal_two_sided(alpha / se)))
+        used = [i for i in range(90) if i % 17]
+        mean, se = ols_hac(y[s][used], np.ones((len(used), 1)), lag)
+        assert (got[s].n, got[s].mean, got[s].t) == pytest.approx((len(used), mean, mean / se))
+    assert got["r"].n == 4 and got["r"].alpha is None and got["r"].mean is not None
