@@ -2,15 +2,16 @@
 
 The file has one byte for each component: the number of its cell among cells of equal width. A scan over
 the cells alone, in blocks of queries and vectors, gives an upper and a lower bound of each score by one
-product of small numbers: every component is within half a cell of the cell's middle. Vectors that can't
-reach the k-th lower bound, first of their block and then of all, are passed over. Of the others exact
+product of small numbers: every component is within half a cell of the cell's middle. Some blocks come
+first and give each query a bound that its k best reach in any case; of the other blocks only what can
+reach it comes out, which is less and less than one vector a block. Of those that are left exact
 vectors are read from the best bound on; when the k-th exact score is known, only those whose bound
 reaches it are read, too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,9 @@ from .common import in_batches, stash
 #: Cells of a component.
 CELLS = 256
 #: Vectors and queries in a block, on average.
-BLOCK, QUERY_BLOCK = 16_384, 1_024
+BLOCK, QUERY_BLOCK = 16_384, 8_192
+#: Blocks of vectors that are scanned first, for a bound of each query.
+FIRST_BLOCKS = 64
 _STEP = 1 << 21  # bounds held at once
 _MAX = (1 << 63) - 1
 
@@ -79,8 +82,11 @@ def approximate(vectors: DataFrame) -> tuple[Grid, DataFrame]:
     return grid, stash(in_batches(vectors.select("vec_id", "v", "vn"), run, "vec_id long, vn int, d int, cells binary"), "cells")
 
 
-def scan_block(grid: Grid, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Places of query and vector, upper and lower bound of the pairs that may be among the block's k best; own rows left out."""
+def scan_block(
+    grid: Grid, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Places of query and vector, upper and lower bound of the pairs that may be among the block's k best and reach ``floor``
+    (a number for each query); own rows left out."""
     parts = []
     step = max(1, _STEP // max(1, len(ids)))
     for at in range(0, len(q_ids), step):
@@ -88,6 +94,8 @@ def scan_block(grid: Grid, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
         own = q_ids[at : at + step, None] == ids[None, :]
         lower = np.where(own, -np.inf, lower)
         sure = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(lower), -np.inf)
+        if floor is not None:
+            sure = np.maximum(sure, floor[at : at + step])
         i, j = np.nonzero((upper >= sure[:, None]) & ~own)
         parts.append((at + i, j, upper[i, j], lower[i, j]))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -124,13 +132,15 @@ def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFra
     return in_batches(joined, run, "query_id long, vec_id long, score long")
 
 
-def _kth(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """``query_id, kth``: each query's k-th largest ``by``; none for a query with fewer rows."""
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by)))
-    return rows.withColumn("_nth", nth).where(F.col("_nth") <= k).where(F.col("_nth") == k).select("query_id", F.col(by).alias("kth"))
+def _kth(rows: DataFrame, by: str, k: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """``keys, kth``: each query's k-th largest ``by``; none for a query with fewer rows."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by)))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= k).where(F.col("_nth") == k).select(*keys, F.col(by).alias("kth"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK, first_blocks: int = FIRST_BLOCKS
+) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows of ``vectors`` (``vec_id, v``) that are queries.
 
     Candidates are all rows but those with the query's id; ties go to the smaller id. Vectors or ids
@@ -145,10 +155,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK,
     queries = rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("vn").alias("qn"), F.col("v").alias("q"), F.size("v").alias("d"))
     n, n_q = file.count(), queries.count()
     blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_q // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = lambda first, end: F.explode(F.sequence(F.lit(first), F.lit(end - 1)))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = queries.select("query_id", "qn", "q", "d", dealt("query_id", q_blocks).alias("qb"), every(blocks).alias("cb"))
-    right = file.select("vec_id", "vn", "cells", "d", every(q_blocks).alias("qb"), dealt("vec_id", blocks).alias("cb"))
+    found = file.select("vec_id", "vn", "cells", "d", dealt("vec_id", blocks).alias("cb"))
+    left = queries.select("query_id", "qn", "q", "d", dealt("query_id", q_blocks).alias("qb"))
 
     def scan(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(found):
@@ -156,15 +166,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK,
         d = int(queries["d"].iloc[0])
         q = np.array([*queries["q"]], np.int64).reshape(len(queries), d)
         cells = np.frombuffer(b"".join(found["cells"]), np.uint8).reshape(len(found), d)
-        i, j, upper, lower = scan_block(grid, queries["query_id"].to_numpy(np.int64), q, found["vec_id"].to_numpy(np.int64), cells, k)
+        floor = queries["floor"].fillna(-np.inf).to_numpy(np.float64)
+        i, j, upper, lower = scan_block(grid, queries["query_id"].to_numpy(np.int64), q, found["vec_id"].to_numpy(np.int64), cells, k, floor)
         pairs = {c: queries[c].to_numpy()[i] for c in ("query_id", "qn")} | {c: found[c].to_numpy()[j] for c in ("vec_id", "vn")}
         return pd.DataFrame(pairs | {"upper": upper, "lower": lower})
 
-    keys = ["d", "qb", "cb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        scan, "query_id long, qn int, vec_id long, vn int, upper double, lower double"
-    )
-    near = stash(near, "near")
+    def scanned(left: DataFrame, first: int, end: int) -> DataFrame:
+        """Pairs from blocks first to end - 1, for queries with a ``floor``."""
+        some = found if (first, end) == (0, blocks) else found.where((F.col("cb") >= first) & (F.col("cb") < end))
+        sides = [left.select("*", every(first, end).alias("cb")), some.select("*", every(0, q_blocks).alias("qb"))]
+        keys = ["d", "qb", "cb"]
+        pairs = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(
+            scan, "query_id long, qn int, vec_id long, vn int, upper double, lower double"
+        )
+        return stash(pairs, "near")
+
+    near = scanned(left.withColumn("floor", F.lit(None).cast("double")), 0, min(blocks, first_blocks))
+    if blocks > first_blocks:
+        # The k-th best of these can only be beaten by vectors whose upper bound reaches it.
+        floors = _kth(near, "lower", k, ["query_id", "qn"]).withColumnRenamed("kth", "floor")
+        near = near.unionByName(scanned(left.join(floors, ["query_id", "qn"], "left"), first_blocks, blocks))
     sure = _kth(near, "lower", k)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "vn"))
     near = near.join(sure, "query_id", "left").where("kth IS NULL OR upper >= kth").drop("kth", "lower").withColumn("place", place)

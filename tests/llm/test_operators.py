@@ -528,13 +528,27 @@ def test_top_k_in_many_blocks(spark):
     """Ties at the k-th place over all blocks, and bounds that leave many to be read in the second round."""
     rng = np.random.default_rng(3)
     rows = [(i, [int(x) for x in rng.integers(-900, 900, 4)]) for i in range(400)] + [(1000 + i, [100, 100, 100, 100]) for i in range(60)]
-    got = vafile.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 40 == 0, 6, block=50, query_block=4).collect()
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    tops = lambda **more: sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 40 == 0, 6, block=50, query_block=4, **more).collect()))
+    got = tops()
+    assert got == tops(first_blocks=2)
     want = []
     for q, v in rows:
         if q % 40 == 0:
             scores = [(-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q]
             want += [(q, n, i, -x) for n, (x, i) in enumerate(heapq.nsmallest(6, scores), 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert got == sorted(want)
+
+
+def test_a_bound_from_the_first_blocks_leaves_less_than_one_a_block():
+    rng = np.random.default_rng(8)
+    v = rng.integers(-64, 64, (40_000, 32))
+    grid = vafile.Grid.over(-64, 63)
+    cells, ids = grid.cells(v), np.arange(len(v))
+    rows = [vafile.scan_block(grid, ids[:10], v[:10], ids[a : a + 500], cells[a : a + 500], 5) for a in range(0, 20_000, 500)]
+    floor = np.array([np.sort(np.concatenate([low[i == q] for i, _, _, low in rows]))[-5] for q in range(10)])
+    left = [len(vafile.scan_block(grid, ids[:10], v[:10], ids[a : a + 500], cells[a : a + 500], 5, floor)[0]) for a in range(20_000, 40_000, 500)]
+    assert np.mean(left) < 10 and all(len(i) >= 45 for i, *_ in rows)  # ten queries
 
 
 # ------------------------------------------------------------------ pieces
