@@ -153,14 +153,14 @@ def long_short(ctes: str, n: int, n2: int | None = None) -> str:
     return f"WITH {ctes}, {ls(n, n2)} SELECT date, regime, {r('ew', 'ew')}, {r('vw', 'vw')} FROM ls"
 
 
-def turnover(K: int) -> str:
-    """Common table expression ``turn`` from ``mem`` and ``cal``."""
+def turnover(K: int, members: str = "mem") -> str:
+    """Common table expression ``turn`` from ``members`` and ``cal``."""
 
     def whole(c: str, agg: str) -> str:
         return f"CASE WHEN count({c}) = count(*) THEN {agg} END AS {c}"
 
     return f"""wt AS (SELECT regime, t + h - 1 AS s, cohort, ptf, "ID", 1.0::DOUBLE / count(*) OVER g AS ew, w / sum(w) OVER g AS vw,
-                     (1 + ret) / (1 + avg(r) OVER g) AS drift FROM mem WINDOW g AS (PARTITION BY regime, t, h, ptf)),
+                     (1 + ret) / (1 + avg(r) OVER g) AS drift FROM {members} WINDOW g AS (PARTITION BY regime, t, h, ptf)),
     sg AS (SELECT regime, s, cohort, ptf, "ID", ew, vw FROM wt WHERE s >= 1
            UNION ALL SELECT regime, s + 1, cohort, ptf, "ID", -drift * ew, -drift * vw FROM wt),
     mv AS (SELECT regime, s, cohort, ptf, "ID", {whole('ew', 'abs(sum(ew))')}, {whole('vw', 'abs(sum(vw))')} FROM sg GROUP BY ALL),

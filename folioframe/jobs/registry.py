@@ -545,6 +545,38 @@ def factor_set(spark, sf_dir):
     return rounded(inference.moments(series, ["factor", "cost"], per_year=12).join(related, ["factor", "cost"]))
 
 
+CORNERS = ("qty", "disc")
+
+
+def _corner_sql(signal: str) -> str:
+    """Names for a banded 5 x 5 sort: its corners by column and by row, returns and turnover."""
+    ctes = sql.sort("part", '"RATING_NUM"', 5, dynamic=True, signal2=signal, n2=5)
+    ctes = ctes.replace(sql.returns(1), sql.banded(25, 1, 1) + ", " + sql.returns(1, "band"))
+    both = "SELECT 'gross' AS what, date, ptf, vw FROM res UNION ALL SELECT 'turn', date, ptf, vw FROM turn"
+    at = {"col": ("(ptf - 1) // 5", "(ptf - 1) % 5"), "row": ("(ptf - 1) % 5", "(ptf - 1) // 5")}
+    side = lambda by, k: f"max(CASE WHEN {by} = {k} THEN vw END)"
+    parts = [
+        f"""SELECT kind, what, date, avg(CASE WHEN what = 'gross' THEN hi - lo ELSE (hi + lo) / 2 END) AS value FROM (
+            SELECT '{kind}' AS kind, what, date, {other} AS o, {side(by, 4)} AS hi, {side(by, 0)} AS lo FROM b GROUP BY ALL) GROUP BY ALL"""
+        for kind, (other, by) in at.items()
+    ]
+    return f"(WITH RECURSIVE {ctes}, {sql.turnover(1, 'band')}, b AS ({both}) {' UNION ALL '.join(parts)})"
+
+
+@register("corner_factors_net", f"""WITH c AS ({' UNION ALL '.join(f"SELECT '{s}' AS signal, * FROM {_corner_sql(s)}" for s in CORNERS)}),
+    f AS (SELECT signal AS factor, what, date, value FROM c WHERE kind = 'col' UNION ALL
+          SELECT 'RATING_NUM', what, date, avg(value) FROM c WHERE kind = 'row' GROUP BY ALL),
+    j AS (SELECT factor, date, g.value AS gross, t.value AS turnover FROM (SELECT * FROM f WHERE what = 'gross') g
+          LEFT JOIN (SELECT * FROM f WHERE what = 'turn') t USING (factor, date))
+    SELECT factor, date, {sql.r('gross', 'gross')},
+           {sql.r('gross - lag(turnover) OVER (PARTITION BY factor ORDER BY date) * (19.0::DOUBLE / 10000) * 2', 'net')} FROM j""")
+def corner_factors_net(spark, sf_dir):
+    """Factors of banded 5 x 5 sorts with updated weights, before and after the cost of trading their corners."""
+    panel = files.written(demo_panel.load(spark, sf_dir, "part"), "factor-panel")
+    spec = lambda s: SortSpec("RATING_NUM", 5, 1, s, 5, dynamic_weights=True, banding=1, turnover=True)
+    return rounded(factors.corner_factors({s: Strategy(panel, spec(s)) for s in CORNERS}, "RATING_NUM"))
+
+
 # ---------------------------------------------------------------- panels, joins, grid, files
 
 
@@ -807,6 +839,14 @@ def mean_turnover(spark, sf_dir):
     return rounded(summary.mean_turnover(strategy(spark, sf_dir, SortSpec("disc", 5, 2, dynamic_weights=True, turnover=True))))
 
 
+@register("mean_turnover_but_last", f"""WITH {sql.sort("supplier", "disc", 5, 2)}, {sql.turnover(2)},
+    u AS (SELECT * FROM turn WHERE date < (SELECT max(date) FROM cal))
+    SELECT CAST(ptf AS INTEGER) AS ptf, regime, 'ew' AS weighting, {sql.r('avg(ew) * 100', 'turnover')} FROM u GROUP BY ALL
+    UNION ALL SELECT CAST(ptf AS INTEGER), regime, 'vw', {sql.r('avg(vw) * 100', 'turnover')} FROM u GROUP BY ALL""")
+def mean_turnover_but_last(spark, sf_dir):
+    return rounded(summary.mean_turnover(strategy(spark, sf_dir, SortSpec("disc", 5, 2, turnover=True)), last=False))
+
+
 @register("common_sample", f"""WITH {demo_panel.sql()}, w AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders)
     SELECT date, {sql.r('avg(ret)', 'value')} FROM panel, w WHERE date BETWEEN a AND b GROUP BY date""")
 def common_sample(spark, sf_dir):

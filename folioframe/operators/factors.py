@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators.signals import by_id
+from folioframe.operators.strategy import Strategy
+from folioframe.sources.files import written
 
 
 def market_ew(panel: DataFrame) -> DataFrame:
@@ -25,23 +30,57 @@ def excess(series: DataFrame, riskless: DataFrame, value: str = "value", rate: s
     return both.withColumn(value, F.col(value) - F.col(rate)).drop(rate)
 
 
+def _across(table: DataFrame, n1: int, n2: int, weighting: str, rows: bool, joined: Callable[[Column, Column], Column]) -> DataFrame:
+    """(date, value): the two extreme portfolios of each column (``rows``) or row of a double sort put together, and the
+    mean of that over the columns or rows that have both."""
+    i, j = F.floor((F.col("ptf") - 1) / n2), (F.col("ptf") - 1) % n2
+    at, other, n = (i, j, n1) if rows else (j, i, n2)
+    side = lambda k: F.max(F.when(at == k, F.col(weighting)))
+    each = table.groupBy("date", other.alias("_o")).agg(joined(side(n - 1), side(0)).alias("d"))
+    return each.groupBy("date").agg(F.avg("d").alias("value"))
+
+
 def column_factor(returns: DataFrame, n2: int, weighting: str = "vw") -> DataFrame:
     """(date, value): high less low of the second signal, averaged over the first signal's bins.
 
     Bins that lack a side are left out of the mean.
     """
-    i, j = F.floor((F.col("ptf") - 1) / n2), (F.col("ptf") - 1) % n2
-    side = lambda k: F.max(F.when(j == k, F.col(weighting)))
-    rows = returns.groupBy("date", i.alias("_i")).agg((side(n2 - 1) - side(0)).alias("d"))
-    return rows.groupBy("date").agg(F.avg("d").alias("value"))
+    return _across(returns, 0, n2, weighting, False, lambda high, low: high - low)
 
 
 def row_factor(returns: DataFrame, n1: int, n2: int, weighting: str = "vw") -> DataFrame:
     """(date, value): high less low of the first signal, averaged over the second signal's bins."""
-    i, j = F.floor((F.col("ptf") - 1) / n2), (F.col("ptf") - 1) % n2
-    side = lambda k: F.max(F.when(i == k, F.col(weighting)))
-    cols = returns.groupBy("date", j.alias("_j")).agg((side(n1 - 1) - side(0)).alias("d"))
-    return cols.groupBy("date").agg(F.avg("d").alias("value"))
+    return _across(returns, n1, n2, weighting, True, lambda high, low: high - low)
+
+
+def column_turnover(turnover: DataFrame, n2: int, weighting: str = "vw") -> DataFrame:
+    """(date, turnover): mean turnover of the corners that :func:`column_factor` is made of."""
+    return _across(turnover, 0, n2, weighting, False, lambda high, low: (high + low) / 2).withColumnRenamed("value", "turnover")
+
+
+def row_turnover(turnover: DataFrame, n1: int, n2: int, weighting: str = "vw") -> DataFrame:
+    """(date, turnover): mean turnover of the corners that :func:`row_factor` is made of."""
+    return _across(turnover, n1, n2, weighting, True, lambda high, low: (high + low) / 2).withColumnRenamed("value", "turnover")
+
+
+def corner_factors(sorts: Mapping[str, Strategy], first: str, cost: float = 19 / 10000) -> DataFrame:
+    """(factor, date, gross, net): factors of double sorts by one first signal and the named second ones, before and after costs.
+
+    Each second signal gives a factor from the columns of its sort; ``first`` is the mean over all sorts of
+    the factor from their rows. What a factor pays is the turnover of its corners at the date before.
+    """
+    named = {}
+    rows, rows_turnover = [], []
+    for name, s in sorts.items():
+        n1, n2 = s.spec.nport, s.spec.nport2
+        # Read twice each: two small tables instead of two more plans of the sort.
+        returns, turnover = written(s.get_ptf(), "corner-returns"), written(s.get_ptf_turnover(), "corner-turnover")
+        named[name] = net_of_cost(column_factor(returns, n2), column_turnover(turnover, n2), cost)
+        rows.append(row_factor(returns, n1, n2))
+        rows_turnover.append(row_turnover(turnover, n1, n2).withColumnRenamed("turnover", "value"))
+    named[first] = net_of_cost(mean_of(*rows), mean_of(*rows_turnover).withColumnRenamed("value", "turnover"), cost)
+    parts = [df.select(F.lit(name).alias("factor"), "date", "gross", "net") for name, df in named.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mean_of(*series: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from folioframe.operators.filters import Bounds, add_filtered, in_rating, in_uni
 from folioframe.operators.inference import hac_alpha
 from folioframe.operators.quantiles import FEW_GROUPS, add_bin, counted_percentiles
 from folioframe.operators.signals import add_signal
+from folioframe.sources.files import written
 from folioframe.spec import SortSpec
 
 
@@ -155,6 +156,18 @@ class Strategy:
             held = band(held.withColumn("step", step).drop("_nth"), s.portfolios, s.banding).drop("step")
         return held
 
+    def stored(self) -> Strategy:
+        """The same strategy with its members, and their cohorts' returns, written to the shared folder now.
+
+        All its frames are then made from these two tables: the panel is sorted once, however many are
+        asked for, and a lost executor costs a part of a table.
+        """
+        out = Strategy(self.panel, self.spec, self._bounds)
+        out.__dict__["_dates"] = self._dates
+        out.__dict__["members"] = written(self.members, "members")
+        out.__dict__["cohort_returns"] = written(out.cohort_returns, "cohort-returns")
+        return out
+
     # ------------------------------------------------------------------ returns
 
     @cached_property

@@ -27,8 +27,10 @@ def summary(strategy: Strategy, lag: int = 0) -> DataFrame:
     """Mean (in percent), standard error, t and p of every series, and each portfolio's mean turnover (in percent)
     and mean characteristics (``char_<name>``), for both regimes and weightings.
 
-    Works with and without turnover, characteristics, and a filter.
+    Works with and without turnover, characteristics, and a filter. The strategy's members are written when
+    this is called, and all columns come from them.
     """
+    strategy = strategy.stored()
     tests = with_normal_p(hac_mean(series(strategy), ["series", "regime", "weighting"], lag))
     tests = tests.withColumns({"mean": F.col("mean") * 100, "se": F.col("se") * 100})
     name = F.concat(F.lit("ptf_"), F.col("ptf").cast("string"))
@@ -44,10 +46,14 @@ def summary(strategy: Strategy, lag: int = 0) -> DataFrame:
     return tests
 
 
-def mean_turnover(strategy: Strategy) -> DataFrame:
-    """(ptf, regime, weighting, turnover): mean over dates, in percent."""
+def mean_turnover(strategy: Strategy, last: bool = True) -> DataFrame:
+    """(ptf, regime, weighting, turnover): mean over dates, in percent.
+
+    Nothing is held any more on the last date, whose turnover is the exit alone, about one: it can be left out.
+    """
     both = F.explode(F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("x")) for w in ("ew", "vw")]))
-    rows = strategy.turnover.select("ptf", "regime", both.alias("_x")).select("ptf", "regime", "_x.*")
+    turnover = strategy.turnover if last else strategy.turnover.where(F.col("date") < F.lit(max(strategy._dates)[0]))
+    rows = turnover.select("ptf", "regime", both.alias("_x")).select("ptf", "regime", "_x.*")
     return rows.groupBy("ptf", "regime", "weighting").agg((F.avg("x") * 100).alias("turnover"))
 
 

@@ -428,3 +428,14 @@ def test_alphas_are_those_of_the_regression(spark, lag):
         mean, se = ols_hac(y[s][used], np.ones((len(used), 1)), lag)
         assert (got[s].n, got[s].mean, got[s].t) == pytest.approx((len(used), mean, mean / se))
     assert got["r"].n == 4 and got["r"].alpha is None and got["r"].mean is not None
+
+
+def test_a_summary_sorts_the_panel_once(spark):
+    panel = random_panel(spark).withColumn("qty", F.col("x") + 1)
+    s = Strategy(panel, SortSpec("x", 3, 2, filter=FilterSpec("trim", 0.3), chars=("qty",), turnover=True))
+    kept = s.stored()
+    for of in (lambda s: s.long_short, lambda s: s.turnover, lambda s: s.characteristics, lambda s: s.weights):
+        rows = [sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in of(x).collect()), key=str) for x in (s, kept)]
+        assert rows[0] == rows[1] and rows[0]
+    plan = summary.summary(s)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_ret1") == 0  # what a holding period needs from later dates is looked up in the stored members' plan alone
