@@ -38,10 +38,8 @@ WORDS = (
 STEP = 2_048
 #: Characters of a text that are split into words at once.
 WINDOW = 1 << 16
-#: Blanks and what follows up to the next blank: words never cross its ends, and it comes again more often than not.
-CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Words, and chunks, whose tokens a worker remembers, and bytes of the longest of them.
-KNOWN, KNOWN_BYTES = 1 << 17, 64
+#: Words whose tokens a worker remembers, and characters of the longest of them.
+KNOWN, KNOWN_LENGTH = 1 << 19, 64
 
 
 def byte_letters() -> list[str]:
@@ -160,14 +158,14 @@ class Transducer:
 
 
 class _Known(dict):
-    """Packed ids of words or chunks; those of short ones are remembered."""
+    """Packed ids of words; those of short ones are remembered."""
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         self.make = make
 
     def __missing__(self, part: str) -> bytes:
         found = self.make(part)
-        if len(part) <= KNOWN_BYTES:
+        if len(part) <= KNOWN_LENGTH:
             if len(self) >= KNOWN:
                 self.clear()
             self[part] = found
@@ -192,31 +190,16 @@ class Encoder:
     def __init__(self, merges: Merges) -> None:
         self.merges, self.split = merges, regex.compile(WORDS)
         self.words = _Known(lambda word: b"".join(streamed(merges, [word])))
-        self.chunks = _Known(lambda chunk: b"".join(self._words(chunk, 0, len(chunk))))
         longest_first = sorted(merges.special, key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
     def encode(self, text: str) -> Iterator[bytes]:
         at = 0
         for m in self.specials.finditer(text) if self.specials else ():
-            yield from self._plain(text, at, m.start())
+            yield from self._words(text, at, m.start())
             yield _packed([self.merges.special[m[0]]])
             at = m.end()
-        yield from self._plain(text, at, len(text))
-
-    def _plain(self, text: str, at: int, stop: int) -> Iterator[bytes]:
-        while at < stop:
-            end = min(stop, at + WINDOW)
-            found = CHUNKS.findall(text, at, end)
-            if end < stop:
-                if len(found) == 1:  # a chunk longer than the window
-                    end = CHUNKS.match(text, at, stop).end()
-                    yield from self._words(text, at, end)
-                    at = end
-                    continue
-                end -= len(found.pop())  # it may go on
-            yield b"".join(map(self.chunks.__getitem__, found))
-            at = end
+        yield from self._words(text, at, len(text))
 
     def _words(self, text: str, at: int, stop: int) -> Iterator[bytes]:
         while at < stop:
