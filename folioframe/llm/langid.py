@@ -23,6 +23,8 @@ GRAM = 3
 UNKNOWN = "und"
 #: Rows of labelled text that training takes at most (one of each label, if there are more labels).
 TRAIN_ROWS = 20_000
+#: Labels that can be learnt: each has a prototype on the driver and on every executor.
+MOST_LABELS = 1_000
 _SLOTS = 1 << 12  # letters share a vector if their code points agree modulo this
 _GROUP = 64  # texts whose n-gram counts are multiplied at once
 _CHUNK = 1 << 19  # letters counted at once
@@ -157,14 +159,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
 
     All are taken if they are so few; else every label gives its lowest hashes, the same number of
     each label that has so many and at least one, so that a rare label is learnt from a table of any
-    size. What reaches the driver has the size of the prototypes.
+    size. What reaches the driver has the size of the prototypes; more than ``MOST_LABELS`` different labels
+    (free text instead of languages) are refused.
     """
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(
         "_text IS NOT NULL AND _lang IS NOT NULL"
     )
     rows = rows.where(F.col("_text").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("_lang", "_text"))
     hashes = stash(rows.select("_lang", "_hash").distinct(), "hashes")
-    sizes = {r["_lang"]: r["n"] for r in hashes.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["_lang"]: r["n"] for r in hashes.groupBy("_lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"{lang_col} has more than {MOST_LABELS} different labels")
     quota = _quota(list(sizes.values()), max_rows)
     # hashes are spread evenly: those below the bound hold the quota's, and few more are sorted
     part = {k: min(1.0, (quota + 10 * quota**0.5 + 20) / n) for k, n in sizes.items()}
@@ -188,8 +193,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
 
     summed = in_batches(rows, run, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     table: dict[str, np.ndarray] = {}
-    for r in summed.collect():
-        table.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["i"]] = r["x"]
+    for batch in summed.toArrow().to_batches():  # at most labels x DIMENSIONS rows
+        for lang, i, x in zip(*[c.to_pylist() for c in batch.columns]):
+            table.setdefault(lang, np.zeros(DIMENSIONS))[i] = x
     langs = tuple(sorted(k for k, v in table.items() if v.any()))
     protos = np.array([table[k] / np.linalg.norm(table[k]) for k in langs]).reshape(len(langs), DIMENSIONS)
     return Profiles(langs, protos)

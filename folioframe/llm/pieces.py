@@ -68,9 +68,12 @@ class Vocabulary:
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
+        """The pieces of a model; one that changes texts before it cuts them, or cuts them by other rules, is refused."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if odd := _unknown_rules(model.serialized_model_proto()):
+            raise ValueError(f"{model_file}: {', '.join(odd)}")
         n = model.get_piece_size()
         pieces = tuple(model.id_to_piece(i) for i in range(n))
         scores = tuple(model.get_score(i) for i in range(n))
@@ -90,6 +93,27 @@ class Vocabulary:
         )
 
 
+def _unknown_rules(model: bytes) -> list[str]:
+    """What a model asks for that this segmenter doesn't do: it would give other pieces without an error."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto.FromString(model)
+    rules, kinds = spec.normalizer_spec, proto.ModelProto.SentencePiece
+    return [
+        what
+        for what, found in (
+            ("texts are normalised", bool(rules.precompiled_charsmap or rules.normalization_rule_tsv)),
+            ("repeated blanks are removed", rules.remove_extra_whitespaces),
+            ("no blank is put in front", not rules.add_dummy_prefix),
+            ("blanks are no pieces' marks", not rules.escape_whitespaces),
+            ("blanks end pieces", spec.trainer_spec.treat_whitespace_as_suffix),
+            ("pieces are set by the user", any(p.type == kinds.USER_DEFINED for p in spec.pieces)),
+            ("pieces are whole words or characters", spec.trainer_spec.model_type not in (1, 2)),
+        )
+        if found
+    ]
+
+
 Path = tuple[float, tuple[int, ...]]
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, shuffle_partitions, stash, text_or_empty
@@ -37,13 +37,15 @@ DATE = "2000-01-01T00:00:00Z"
 def train_dictionary(
     pages: DataFrame, html_col: str = "html", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES
 ) -> bytes:
-    """A dictionary from a bounded sample of whole records, those with the lowest payload hashes.
+    """A dictionary from a bounded sample of records, those with the lowest payload hashes.
 
-    Empty if there is too little to learn from.
+    Of a payload longer than a 32nd of ``limit`` the sample takes so many bytes from its start: pages of any
+    size are learnt from. Empty if there is too little to learn from.
     """
-    sized = pages.select(text_or_empty(html_col).alias("p")).select(
-        "p", F.xxhash64("p").alias("h"), F.octet_length("p").alias("n")
-    ).where(F.col("n").between(1, limit // 32))
+    html = text_or_empty(html_col)
+    sized = pages.select(F.substring(html.cast("binary"), 1, limit // 32).alias("p"), F.xxhash64(html).alias("h")).select(
+        "p", "h", F.octet_length("p").alias("n")
+    ).where("n > 0")
     total, bound = 0, None
     for r in sized.select("h", "n").distinct().orderBy("h").limit(rows).collect():
         total += r["n"]
@@ -52,7 +54,7 @@ def train_dictionary(
         bound = r["h"]
     if bound is None:
         return b""
-    samples = [r["p"].encode() for r in sized.where(F.col("h") <= bound).select("p").distinct().orderBy("p").collect()]
+    samples = [bytes(r["p"]) for r in sized.where(F.col("h") <= bound).select("p").distinct().orderBy("p").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -83,12 +85,40 @@ def _info(name: str) -> bytes:
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
+#: Folder of what attempts of tasks have begun; it goes when all archives are written.
+ATTEMPTS = "_attempts"
+
+
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path there of a URI as Spark writes it."""
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def _made(spark: SparkSession, folder: str) -> str:
+    """``folder``, made by Spark's own file system, with the name that tasks reach it by.
+
+    A path without a scheme is in Spark's default file system; a view becomes what it stands for.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{ATTEMPTS}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    at = system.resolvePath(path.getParent()).toString()
+    return "/" + at.removeprefix("file:").lstrip("/") if at.startswith("file:") else at
+
+
+def _clear_attempts(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{ATTEMPTS}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class _Archive:
     """One archive: written under a name of the attempt, moved to its own name at the end."""
 
     def __init__(self, folder: str, name: str, attempt: int, dictionary: bytes) -> None:
-        self.system, root = fs.FileSystem.from_uri(folder)
-        self.path, self.part = f"{root}/{name}", f"{root}/.{name}.{attempt}"
+        self.system, root = _system(folder)
+        self.path, self.part = f"{root}/{name}", f"{root}/{ATTEMPTS}/{name}.{attempt}"
         self.uri = f"{folder}/{name}"
         self.out = self.system.open_output_stream(self.part, compression=None)
         self.out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
@@ -120,8 +150,13 @@ def write_archives(
     The payload is the HTML in UTF-8 (null: empty). Of records with equal payloads of at least
     ``REVISIT_BYTES`` bytes the smallest id is a response and the others are revisits of it. Rows
     repeated with the smallest id are all responses, and so is a row of null id. ``folder`` must be
-    one that all executors reach. An empty table writes no archive.
+    one that all executors reach: a shared local one, or one that pyarrow has a file system for (``hdfs``,
+    ``s3`` also as ``s3a``, ``gs``, ``abfs``), alone or behind ``viewfs``; others are refused before anything is written.
+    What attempts that were lost have begun is deleted. An empty table writes no archive.
     """
+    spark = pages.sparkSession
+    folder = _made(spark, folder)
+    _system(folder)
     keyed = pages.select(
         F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), text_or_empty(html_col).alias("_payload")
     ).withColumn("_digest", F.sha2("_payload", 256))
@@ -133,8 +168,6 @@ def write_archives(
     revisits = digests.join(firsts, "_digest").where(F.col("_id") != F.col("_first")).distinct()
     rows = keyed.join(stash(revisits, "revisits"), ["_id", "_digest"], "left")
     dictionary = train_dictionary(pages, html_col)
-    system, root = fs.FileSystem.from_uri(folder)
-    system.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -157,15 +190,17 @@ def write_archives(
             ["path", "records", "bytes"],
         )
 
-    return stash(
+    out = stash(
         in_batches(rows.select("_id", "_digest", "_url", "_payload", "_first"), run, "path string, records long, bytes long"),
         "archives",
     )
+    _clear_attempts(spark, folder)
+    return out
 
 
 def _records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, read as a stream."""
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = _system(path)
     with system.open_input_stream(name, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != SKIPPABLE:

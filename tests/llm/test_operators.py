@@ -585,6 +585,30 @@ def test_n_best_pieces(text):
         assert (score, tuple(ids.tolist())) in want and len(ids) == n and pieces.decode_ids(ids, v) == text
 
 
+def test_models_with_rules_of_their_own_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    plain = proto.ModelProto.FromString(open(MODEL, "rb").read())
+    assert not pieces._unknown_rules(plain.SerializeToString())
+    for change, said in (
+        (lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"map"), "normalised"),
+        (lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), "in front"),
+        (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), "repeated blanks"),
+        (lambda m: setattr(m.trainer_spec, "treat_whitespace_as_suffix", True), "end pieces"),
+        (lambda m: setattr(m.pieces[500], "type", proto.ModelProto.SentencePiece.USER_DEFINED), "by the user"),
+        (lambda m: setattr(m.trainer_spec, "model_type", 3), "whole words"),
+    ):
+        model = proto.ModelProto.FromString(plain.SerializeToString())
+        change(model)
+        assert said in " ".join(pieces._unknown_rules(model.SerializeToString()))
+    model.trainer_spec.model_type = 2
+    model.normalizer_spec.remove_extra_whitespaces = True
+    odd = tmp_path / "odd.model"
+    odd.write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="repeated blanks"):
+        pieces.Vocabulary.load(str(odd))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_n_best_pieces_of_a_stretch_without_blanks(seed):
     """Few letters and whole-number scores: many ties, all segmentations counted."""
@@ -777,6 +801,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(r.record_type == "revisit" for r in got) == 19
     nothing = warc.write_archives(pages.limit(0), str(tmp_path / "e"))
     assert warc.read_archives(nothing).count() == 0
+    assert all(x.name.endswith((".zst", ".crc")) for x in (tmp_path / "w").iterdir()) and not list((tmp_path / "e").iterdir())
+
+
+def test_warc_folders_as_spark_names_them(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>page {i}") for i in range(5)], "page_id long, url string, html string")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shared.link./store", f"file://{tmp_path}")
+    for folder in (f"file:{tmp_path}/a", f"file://{tmp_path}/b/", "viewfs://shared/store/c"):
+        archives = warc.write_archives(pages, folder)
+        assert sorted(r.page_id for r in warc.read_archives(archives).collect()) == list(range(5))
+    assert {x.name for x in tmp_path.iterdir()} == {"a", "b", "c"}
+    assert type(warc._system("s3a://bucket/x?region=us-east-1")[0]).__name__ == "S3FileSystem"
+    assert warc._system("s3a://bucket/x?region=us-east-1")[1] == "bucket/x"
+    with pytest.raises(Exception, match="(?i)scheme|filesystem|unrecognized"):
+        warc.write_archives(pages, "nowhere://host/x")
+
+
+def test_warc_dictionary_from_long_pages_only(spark):
+    words = [f"<li class='item'>word {i * 7919 % 1000}</li>" for i in range(6000)]
+    pages = spark.createDataFrame([(i, "u", f"<h1>{i}</h1>" + "".join(words[i * 100 :] + words[: i * 100])) for i in range(40)], "page_id long, url string, html string")
+    assert pages.selectExpr("min(length(html))").first()[0] > warc.SAMPLE_BYTES // 32
+    assert warc.train_dictionary(pages)
+    assert warc.train_dictionary(pages.limit(0)) == b""
 
 
 # ------------------------------------------------------------------ URL filters
@@ -903,6 +950,15 @@ def test_bundles_are_those_of_brute_force(monkeypatch):
     assert np.allclose(langid.bundle(texts), want, atol=1e-6)
 
 
+def test_free_text_for_labels_is_refused(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"some words {i}", f"label {i}") for i in range(9)], "text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LABELS", 9)
+    assert len(langid.fit(rows).languages) == 9
+    monkeypatch.setattr(langid, "MOST_LABELS", 8)
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit(rows)
+
+
 def test_language_edge_cases(spark, docs, none):
     profiles = langid.fit(docs)
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs, profiles).collect()}
