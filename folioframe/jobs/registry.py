@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.jobs import oracles as sql
-from folioframe.jobs.grids import rating_grid
+from folioframe.jobs.grids import momentum_grid, rating_grid
 from folioframe.operators import factors, inference, summary
 from folioframe.operators.filters import add_filtered, expanding_bounds
 from folioframe.operators.grid import long_short_grid
@@ -688,6 +688,16 @@ def grid_rating_120(spark, sf_dir):
     return rounded(long_short_grid(demo_panel.load(spark, sf_dir), RATING_GRID))
 
 
+#: A study's momentum sorts: deciles, two windows, held as long, under each of 120 cleanings.
+STUDY = momentum_grid()
+
+
+@register("grid_momentum_240")
+def grid_momentum_240(spark, sf_dir):
+    """240 momentum strategies. Their SQL sums the order lines up once a strategy: it is run on the smallest tables only."""
+    return rounded(long_short_grid(demo_panel.load(spark, sf_dir), STUDY))
+
+
 #: Ratings, horizons, bands and second signals.
 MIXED = (
     *[SortSpec("RATING_NUM", 3, K, filter=f) for K in (1, 2) for f in (None, FilterSpec("trim", 0.5))],
