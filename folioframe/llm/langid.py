@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, in_batches, stash
+from .common import bound_batches, give_back, in_batches, stash
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -221,6 +221,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
             cosine = np.round(vectors @ protos.T, 12) if len(protos) else np.zeros((len(vectors), 1))
             best.append(np.where(known, cosine.argmax(axis=1), len(langs) - 1))
             score.append(np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0))
+        give_back()
         return pd.DataFrame({"lang_pred": langs[np.concatenate(best)], "score": np.concatenate(score)})
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]

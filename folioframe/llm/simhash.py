@@ -9,7 +9,8 @@ pairs that meet are discarded if their rows differ by more than the radius in an
 pair that is left is compared in full.
 
 Texts that only resemble each other differ in more bits than such a table can tell apart. They are
-found by bands of min-hashes and compared shingle by shingle; see :func:`similar_groups`.
+found by bands of min-hashes and compared shingle by shingle; see :func:`similar_groups`. Near copies
+(:func:`drop_near_copies`) are linked by both.
 """
 
 from __future__ import annotations
@@ -283,26 +284,28 @@ def band_values(found: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
-def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, node, size, bands)`` of each row with an id; equal sets of shingles are one node, ``key`` is the text's hash."""
+def _marks(docs: DataFrame, words: int, id_col: str, text_col: str, prints: bool) -> DataFrame:
+    """``(id, key, fp, node, size, bands)`` of each row with an id; equal sets of shingles are one node, ``key`` is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, bands = [], [], []
+            fp, node, size, bands = [], [], [], []
             for x in batch.column(2):
-                found = shingles(x.as_py(), words)
+                text = x.as_py()
+                found = shingles(text, words)
+                fp.append(fingerprint(text) if prints else None)
                 node.append(_number(found))
                 size.append(len(found))
                 bands.append(band_values(found))
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *bands]), pa.int64())
             lists = pa.FixedSizeListArray.from_arrays(flat, BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], ["id", "key", "node", "size", "bands"]
+                [*batch.columns[:2], *[pa.array(x, pa.int64()) for x in (fp, node, size)], lists], ["id", "key", "fp", "node", "size", "bands"]
             )
 
     text = text_or_empty(text_col)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("_text"))
-    return in_batches(rows, run, "id long, key long, node long, size long, bands array<long>")
+    return in_batches(rows, run, "id long, key long, fp long, node long, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -428,7 +431,18 @@ def _candidates(meets: DataFrame, rooted: DataFrame | None, sets: DataFrame, tur
     return few.join(some, "cell").where((F.col("root") != F.col("other")) & alike).select("a", F.col("node").alias("b")).union(crowded)
 
 
-def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def _close(marks: DataFrame, radius: int) -> DataFrame:
+    """Edges ``(a, b)`` between the nodes whose texts have fingerprints that :func:`links` connects, or the same one."""
+    prints = stash(marks.select("fp", "node").distinct(), "prints")
+    homes = prints.groupBy("fp").agg(F.min("node").alias("home"))
+    same = apart(prints, "fp").join(apart(homes, "fp"), "_fp").select(F.col("node").alias("a"), F.col("home").alias("b"))
+    near = links(prints, radius).join(homes.toDF("a", "x"), "a").join(homes.toDF("b", "y"), "b")
+    close = stash(same.union(near.select("x", "y")).where("a <> b").distinct(), "close")
+    discard(prints)
+    return close
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, radius: int | None = None) -> DataFrame:
     """``(id, key, first)``: each row's id, its text's hash, and the same two of the first row of its group.
 
     Groups of texts whose sets of word shingles are similar.
@@ -440,9 +454,12 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     cell that are still in different groups; in a cell of more than ``CROWD`` rows those of them that
     :func:`prefix_pairs` can't exclude.
 
+    With a ``radius`` texts whose fingerprints are linked at so many bits are in one group, too, as in
+    :func:`near_groups`; chains go through links of both kinds.
+
     Texts without words are alike. Rows without an id take no part.
     """
-    marks = stash(_marks(docs, words, id_col, text_col), "marks")
+    marks = stash(_marks(docs, words, id_col, text_col, radius is not None), "marks")
     nodes = marks.groupBy("node").agg(F.min(F.struct("id", "key")).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stash(nodes, "nodes")
     cells = nodes.select("node", "size", F.explode("bands").alias("cell"))
@@ -452,8 +469,9 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     met = nodes.join(meets, "node", "left_semi").select(F.col("least.id").alias("id"))
     sets = stash(_sets(docs, met, words, id_col, text_col), "sets")
     sizes = nodes.select("node", "size")
-    tried = edges = rooted = None
-    made: list[DataFrame] = [meets, sets]
+    tried = rooted = None
+    edges = None if radius is None else _close(marks, radius)
+    made: list[DataFrame] = [meets, sets, *([] if edges is None else [edges])]
     for turn in range(3):
         pairs = _candidates(meets, rooted, sets, turn, similarity, made).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if tried is not None:
@@ -486,14 +504,18 @@ def similar_groups(
 
 
 def drop_near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2
 ) -> DataFrame:
-    """``docs`` with only the first row of each group of similar texts, by smallest id, all columns kept.
+    """``docs`` with only the first row of each group of near copies, by smallest id, all columns kept.
+
+    Near copies are texts whose fingerprints are linked through the tables of distances at ``radius`` or
+    fewer bits, as in :func:`near_groups`, and texts too far apart for them whose shingles have the
+    ``similarity``; groups are the components of all these links.
 
     Rows are told apart by id and text: of an id with several texts only those go that are like an
     earlier one. Rows alike in both stay or go together. A row without id stays.
     """
-    groups = _grouped(docs, words, similarity, id_col, text_col)
+    groups = _grouped(docs, words, similarity, id_col, text_col, radius)
     lost = groups.where(F.struct("id", "key") != F.col("first")).select("id", "key").distinct()
     same = (docs[id_col] == lost["id"]) & (F.xxhash64(text_or_empty(text_col)) == lost["key"])
     return docs.join(lost, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

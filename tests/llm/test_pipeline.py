@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from folioframe.llm import queries
 from folioframe.llm.packing import Tokenizer
-from folioframe.llm.simhash import similar_groups
+from folioframe.llm.simhash import near_groups, similar_groups
 from folioframe.llm.substring import kept_words
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +120,22 @@ def test_same_as_sql(spark, name):
     assert sorted(got.columns) == sorted(names)
     order = lambda rows: sorted(rows, key=lambda r: [(x is None, str(x)) for x in r])
     assert order(tuple(r[c] for c in names) for r in got.collect()) == order(cursor.fetchall())
+
+
+def test_near_copies_are_linked_by_fingerprints(spark):
+    """No two documents stay whose fingerprints are linked: one line a hundred times, and few words of their own around it."""
+    line = "the same line of a dozen words that comes again and again here"
+    rows = [(i, " ".join([f"a{i}", f"b{i}", *[line] * 100]), "en", "web", 0) for i in range(5)]
+    rows.append((9, " ".join(f"own{i}" for i in range(300)), "en", "web", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    fps = near_groups(docs)
+    assert {r.doc_id for r in fps.where("doc_id = component_id").collect()} == {0, 9}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()} == {0, 9}
+
+
+def test_near_copies_chain_over_both_kinds_of_links(spark):
+    """A middle text is linked to one by its fingerprint and to another by its shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left = corpus_pipeline.near_copies(spark, docs, SF)
+    assert left.join(near_groups(docs).where("doc_id <> component_id"), "doc_id").count() == 0
+    assert left.join(similar_groups(docs).where("doc_id <> component_id"), "doc_id").count() == 0
