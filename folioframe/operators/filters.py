@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.quantiles import expanding_percentiles, full_percentiles
+from folioframe.operators.quantiles import expanding_percentiles, pool_percentiles
 from folioframe.operators.signals import by_id
 from folioframe.spec import RATINGS, FilterSpec
 
@@ -49,14 +49,15 @@ def _level(x: float) -> str:
 
 def find_bounds(pool: DataFrame, filters: Iterable[FilterSpec]) -> Bounds:
     """Bounds of all winsorising ``filters`` at once. Runs here and now: two passes over the returns of ``pool``,
-    whatever the number of filters; only dates x levels numbers come back."""
+    whatever the number of filters, which are written first; only dates x levels numbers come back."""
     filters = [f for f in filters if f.adj == "wins"]
     ends = {_level(x): x / 100 for f in filters for x in (100 - f.level, f.level)}
     own = {_level(x): x / 100 for f in filters if f.thresholds is None for x in (100 - f.level, f.level)}
-    returns = pool.select("date", "ret")
-    dated = expanding_percentiles(returns, "ret", own) if own else returns.select("date").distinct()
+    dated, full = pool_percentiles(pool, "ret", own, ends)
+    if dated is None:
+        return Bounds(pool.sparkSession.createDataFrame([], "date date"), full)
     # Collected once, instead of being found again in each frame that the filter feeds.
-    return Bounds(pool.sparkSession.createDataFrame(dated.collect(), dated.schema), full_percentiles(returns, "ret", ends))
+    return Bounds(pool.sparkSession.createDataFrame(dated.collect(), dated.schema), full)
 
 
 def add_bounce(panel: DataFrame) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.sources.files import written
+
 #: Ranges of values that an expanding pool is counted in: COARSE groups of FINE.
 COARSE, FINE = 32, 32
 
@@ -48,14 +52,19 @@ def range_marks(rows: DataFrame) -> DataFrame:
     return rows.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 8 * n).alias("_m"))
 
 
-def in_ranges(rows: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """``rows`` with the number of the range that ``x`` falls into, by ``marks`` (one row), or marks of their own."""
-    every = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_m", i * FINE))
-    coarse = F.size(F.filter(every, lambda e: e < F.col("x")))
-    fine = F.size(F.filter(F.slice("_m", F.col("_c") * FINE + 1, FINE - 1), lambda e: e < F.col("x")))
-    placed = rows.join(F.broadcast(range_marks(rows) if marks is None else marks)).withColumn("_c", coarse)
-    # Without marks (there were no values to make them of) all values are in the first range.
-    return placed.select(*rows.columns, F.when(F.col("_m").isNull(), 0).otherwise(F.col("_c") * FINE + fine).alias("range"))
+def in_ranges(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with the number of the ``range`` that ``x`` falls into: how many of the ``marks`` are below it.
+
+    The marks (one row of a thousand numbers) are read here and now, and searched for a batch of values at a time.
+    """
+    ends = np.array(marks.first()[0] or [], np.float64)  # none, if there were no values to make them of
+
+    @F.pandas_udf("int")
+    def number(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, x.to_numpy(np.float64)).astype(np.int32))
+
+    # Not said to be deterministic: a filter on its result would have it worked out twice.
+    return rows.withColumn("range", number.asNondeterministic()("x"))
 
 
 def _wanted(pool: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
@@ -87,17 +96,24 @@ def _values(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ends.select(*keys, "name", value.alias("value"))
 
 
-def counted_percentiles(df: DataFrame, keys: Sequence[str], x: str, levels: dict[str, float]) -> DataFrame:
+def counted_percentiles(df: DataFrame, keys: Sequence[str], x: str, levels: dict[str, float], kept: bool = False) -> DataFrame:
     """``keys, name, value``: exact percentiles of each group, without gathering a group in one place.
 
     Values are counted by group and range; the counts tell in which range, and where in it, each order
     statistic lies. Only the values of these ranges are counted one by one and sorted, so that a value
-    which many rows share is one row.
+    which many rows share is one row. The values are written first, unless ``df`` is ``kept`` in storage
+    already, and read twice.
     """
-    rows = in_ranges(df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x")))
-    counts = rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("k"))
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"))
+    rows = rows if kept else written(rows, "values")
+    rows = in_ranges(rows, range_marks(rows))
+    return _placed_percentiles(rows, written(rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("k")), "range-counts"), keys, levels)
+
+
+def _placed_percentiles(rows: DataFrame, counts: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
+    """:func:`counted_percentiles` of ``rows`` (keys, x, range) with their ``counts`` (keys, range, k)."""
     up = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    hits = _wanted(counts.withColumn("upto", F.sum("k").over(up)), keys, levels)
+    hits = written(_wanted(counts.withColumn("upto", F.sum("k").over(up)), keys, levels), "hits")
     values = rows.join(hits.select(*keys, "range").distinct(), [*keys, "range"]).groupBy(*keys, "range", "x").agg(F.count(F.lit(1)).alias("c"))
     return _values(values.join(hits, [*keys, "range"]), keys)
 
@@ -111,8 +127,11 @@ def counted_edges(df: DataFrame, keys: Sequence[str], x: str, n: int) -> DataFra
 
 def full_percentiles(df: DataFrame, x: str, levels: dict[str, float]) -> dict[str, float | None]:
     """Exact percentiles of all rows, by name; a few numbers for the driver."""
-    rows = counted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, levels).collect()
-    return dict.fromkeys(levels) | {r["name"]: r["value"] for r in rows}
+    return _by_name(counted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, levels), levels)
+
+
+def _by_name(percentiles: DataFrame, levels: dict[str, float]) -> dict[str, float | None]:
+    return dict.fromkeys(levels) | {r["name"]: r["value"] for r in percentiles.collect()}
 
 
 def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) -> DataFrame:
@@ -121,12 +140,30 @@ def expanding_percentiles(panel: DataFrame, x: str, levels: dict[str, float]) ->
     Exact: every value is put into one of a thousand ranges; running counts by date and range tell in
     which range, and where in it, the order statistics of each date lie; only values of these ranges
     are then compared, each with the number of its rows. Work is a small multiple of the rows, not rows
-    times dates.
+    times dates. The dates and values are written here and now, and read three times.
     """
-    ranged = in_ranges(panel.where(F.col(x).isNotNull()).select("date", F.col(x).alias("x")))
-    counts = ranged.groupBy("date", "range").agg(F.count(F.lit(1)).alias("k"))
-    values = ranged.groupBy("range", "date", "x").agg(F.count(F.lit(1)).alias("c"))
-    return ranged_percentiles(counts, values, panel.select("date").distinct(), levels)
+    return pool_percentiles(panel, x, levels, {})[0]
+
+
+def pool_percentiles(
+    panel: DataFrame, x: str, levels: dict[str, float], full: dict[str, float]
+) -> tuple[DataFrame | None, dict[str, float | None]]:
+    """:func:`expanding_percentiles` at ``levels`` (none for no levels) and :func:`full_percentiles` at ``full``, from the same counts."""
+    stored = written(panel.select("date", F.col(x).cast("double").alias("x")), "values")
+    there = stored.where("x IS NOT NULL")
+    ranged = in_ranges(there, range_marks(there))
+    counts = written(ranged.groupBy("date", "range").agg(F.count(F.lit(1)).alias("k")), "range-counts")
+    whole: dict[str, float | None] = {}
+    if full:
+        total = counts.groupBy(F.lit(0).alias("_all"), "range").agg(F.sum("k").alias("k"))
+        whole = _by_name(_placed_percentiles(ranged.withColumn("_all", F.lit(0)), total, ["_all"], full), full)
+    if not levels:
+        return None, whole
+
+    def read(ranges: set[int]) -> DataFrame:
+        return ranged.where(F.col("range").isin(sorted(ranges))).groupBy("range", "date", "x").agg(F.count(F.lit(1)).alias("c"))
+
+    return ranged_percentiles(counts, read, stored.select("date").distinct(), levels), whole
 
 
 def ranged_percentiles(
@@ -145,7 +182,7 @@ def ranged_percentiles(
     before = Window.partitionBy("range").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     up = Window.partitionBy("date").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     pool = grid.withColumn("k", F.coalesce(F.sum("k").over(before), F.lit(0))).where("_asked").withColumn("upto", F.sum("k").over(up))
-    hits = _wanted(pool.select("date", "range", "k", "upto"), ["date"], levels).withColumnRenamed("date", "on")
+    hits = written(_wanted(pool.select("date", "range", "k", "upto"), ["date"], levels).withColumnRenamed("date", "on"), "hits")
     if callable(values):
         values = values({r[0] for r in hits.select("range").distinct().collect()})
     else:

@@ -333,13 +333,14 @@ def excluded_stats(filtered: DataFrame, chars: tuple[str, ...] = (), by_rating:
     """
     every = [F.when(F.col("RATING_NUM") > 10, "NIG").otherwise("IG"), F.lit("ALL")] if by_rating else [F.lit("ALL")]
     rows = filtered.where("out").select("ret", *chars, F.explode(F.array(*every)).alias("category"))
+    rows = written(rows, "excluded")  # read for the moments and for the quartiles
     stats = [
         F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.min("ret").alias("min"),
         F.max("ret").alias("max"), *[F.avg(c).alias(f"avg_{c}") for c in chars],
     ]
     table = rows.groupBy("category").agg(*stats)
     levels = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    quartiles = counted_percentiles(rows, ["category"], "ret", levels).groupBy("category").pivot("name", [*levels]).agg(F.first("value"))
+    quartiles = counted_percentiles(rows, ["category"], "ret", levels, kept=True).groupBy("category").pivot("name", [*levels]).agg(F.first("value"))
     table = table.join(F.broadcast(quartiles), "category", "left")
     total = F.max(F.when(F.col("category") == "ALL", F.col("n"))).over(Window.partitionBy(F.lit(1)))  # three rows
     return table.withColumn("share", F.try_divide(F.col("n"), total))

@@ -439,3 +439,17 @@ def test_a_summary_sorts_the_panel_once(spark):
         assert rows[0] == rows[1] and rows[0]
     plan = summary.summary(s)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("_ret1") == 0  # what a holding period needs from later dates is looked up in the stored members' plan alone
+
+
+def test_ranges_are_found_by_halving(spark):
+    """A value's range is the number of marks below it, for values on a mark, beyond all and repeated ones, without a lambda for each row."""
+    from folioframe.operators.quantiles import in_ranges
+
+    ends = sorted([*np.linspace(-1, 1, 1000).tolist(), *[0.5] * 23])
+    xs = [-5.0, -1.0, 0.5, 0.5000001, 1.0, 7.0, *ends[::97], float("nan")]
+    marks = spark.createDataFrame([(ends,)], "_m array<double>")
+    got = in_ranges(spark.createDataFrame([(x,) for x in xs], "x double"), marks)
+    assert [r.range for r in got.collect()] == [1023 if x != x else int(np.searchsorted(ends, x)) for x in xs]
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([(None,)], "_m array<double>")
+    assert [r.range for r in in_ranges(spark.createDataFrame([(1.0,)], "x double"), empty).collect()] == [0]
