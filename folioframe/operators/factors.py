@@ -73,6 +73,7 @@ def corner_factors(sorts: Mapping[str, Strategy], first: str, cost: float = 19 /
     rows, rows_turnover = [], []
     for name, s in sorts.items():
         n1, n2 = s.spec.nport, s.spec.nport2
+        s = s.stored()  # the panel is sorted and banded once: returns, and weights on both sides of the turnover, read its members
         # Read twice each: two small tables instead of two more plans of the sort.
         returns, turnover = written(s.get_ptf(), "corner-returns"), written(s.get_ptf_turnover(), "corner-turnover")
         named[name] = net_of_cost(column_factor(returns, n2), column_turnover(turnover, n2), cost)
