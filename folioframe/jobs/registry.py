@@ -363,9 +363,10 @@ SOURCES = {"raw": None, "trim": FilterSpec("trim", 0.5), "price": FilterSpec("pr
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
+    panel = files.written(demo_panel.load(spark, sf_dir), "source-panel")  # six sorts read it
     for name, flt in SOURCES.items():
         for n in (3, 5):
-            series = strategy(spark, sf_dir, SortSpec("disc", n, filter=flt)).get_long_short()
+            series = Strategy(panel, SortSpec("disc", n, filter=flt)).get_long_short()
             part = series.select(F.lit(name).alias("source"), F.lit(f"disc_{n}").alias("series"), "date", F.col("ew").alias("value"))
             out = part if out is None else out.unionByName(part)
     return out
