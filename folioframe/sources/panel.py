@@ -73,12 +73,13 @@ def merge_panels(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("ID",
     return left.join(right.select(*extra), list(on))
 
 
-def valid_rows(facts: DataFrame, history: DataFrame, key: str, date: str, start: str, end: str, period: int = 366) -> DataFrame:
+def valid_rows(facts: DataFrame, history: DataFrame, key: str, date: str, start: str, end: str, period: int = 366, parts: int | None = None) -> DataFrame:
     """Facts with the rows of ``history`` that are valid on their date, first and last day included.
 
     Intervals are cut into periods of so many days and meet the facts of their key and period alone, so
     that a key with a long history and many facts is many groups, not one. Intervals are clipped to the
     dates that the facts span, found in a pass of their own. A null date, start or end matches nothing.
+    With ``parts`` both sides are dealt into so many partitions, instead of the session's number.
     """
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / period)
     span = facts.agg(F.min(date).alias("_first"), F.max(date).alias("_last"))  # one row
@@ -86,6 +87,8 @@ def valid_rows(facts: DataFrame, history: DataFrame, key: str, date: str, start:
     opens, closes = F.greatest(F.col(start), F.col("_first")), F.least(F.col(end), F.col("_last"))
     pieces = pieces.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (opens <= closes)).withColumn("_period", F.explode(F.sequence(number(opens), number(closes)))).drop("_first", "_last")
     dated = facts.withColumn("_at", number(F.col(date)))
+    if parts is not None:
+        pieces, dated = pieces.repartition(parts, "_key", "_period"), dated.repartition(parts, key, "_at")
     valid = (pieces[start] <= dated[date]) & (dated[date] <= pieces[end])
     return dated.join(pieces, (dated[key] == pieces["_key"]) & (dated["_at"] == pieces["_period"]) & valid).drop("_key", "_at", "_period")
 
