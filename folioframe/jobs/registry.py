@@ -12,6 +12,7 @@ from folioframe.jobs.grids import momentum_grid, rating_grid
 from folioframe.operators import factors, inference, summary
 from folioframe.operators.filters import add_filtered, expanding_bounds
 from folioframe.operators.grid import long_short_grid
+from folioframe.operators.quantiles import counted_percentiles
 from folioframe.operators.signals import add_momentum, add_reversal, add_running_sum, add_wealth
 from folioframe.operators.strategy import Strategy
 from folioframe.sources import demo_panel, panel as panels
@@ -158,8 +159,8 @@ def wins_returns(spark, sf_dir):
     SELECT "ID", date, round(CASE WHEN ret > hi THEN hi ELSE ret END, 8) + 0.0 AS ret_adj FROM panel LEFT JOIN th USING (date)""")
 def wins_from_table(spark, sf_dir):
     part = demo_panel.load(spark, sf_dir, "part")
-    levels = part.groupBy("date").agg(F.percentile("ret", 0.02).alias("2"), F.percentile("ret", 0.98).alias("98"))
-    table = levels.unpivot("date", ["`2`", "`98`"], "level", "value").withColumn("level", F.regexp_replace("level", "`", "").cast("double"))
+    levels = counted_percentiles(part, ["date"], "ret", {"2": 0.02, "98": 0.98})  # no task gathers a date
+    table = levels.select("date", F.col("name").cast("double").alias("level"), "value")
     out = add_filtered(demo_panel.load(spark, sf_dir), FilterSpec("wins", 98, "right", thresholds=table))
     return rounded(out.select("ID", "date", "ret_adj"))
 
