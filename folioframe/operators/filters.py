@@ -35,6 +35,11 @@ def _high(f: FilterSpec, match: bool = False) -> bool:
     return f.level >= 0
 
 
+def passes(f: FilterSpec) -> Column:
+    """Whether the row has a return that trimming, price or bounce-back exclusion leaves."""
+    return F.col("ret").isNotNull() & ~_outside(_watched(f), f.level, _high(f))
+
+
 @dataclass(frozen=True)
 class Bounds:
     """Winsorising bounds of several levels: one row for each date, and a number each for the whole sample."""

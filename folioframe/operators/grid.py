@@ -10,18 +10,21 @@ found for all specs at once. The number of plans follows the shapes of the sorts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators.banding import band
-from folioframe.operators.filters import Bounds, add_filtered, find_bounds, in_rating, in_universe, made_ready
+from folioframe.operators.filters import Bounds, add_filtered, find_bounds, in_rating, in_universe, made_ready, passes
 from folioframe.operators.quantiles import FEW_GROUPS, add_bin
-from folioframe.operators.signals import add_signals
+from folioframe.operators.signals import add_signals, by_id
 from folioframe.operators.strategy import add_second, all_or_null, at_offset
 from folioframe.sources.files import written
-from folioframe.spec import FilterSpec, SortSpec
+from folioframe.spec import FilterSpec, Momentum, Reversal, SortSpec
 
+#: Exclusions whose bits go into one long.
+WORD = 62
 #: Specs in one plan at most: each holds a few columns of the widened panel.
 CHUNK = 64
 
@@ -54,6 +57,44 @@ def _key(f: FilterSpec | None) -> tuple | None:
     return f and (f, id(f.thresholds))
 
 
+class _Masks:
+    """Exclusions of a plan as bits of a few longs, ``_k0`` and so on: bit set, the row has a return that the filter leaves.
+
+    An excluded return is null and any other is as it was. So the signal of past returns under a filter is
+    the one without it, or null if a row in its frame is excluded, and the same two columns and a window
+    over the longs serve all exclusions. Winsorised returns, and signals of the user's own, are not of this kind.
+    """
+
+    def __init__(self, specs: Sequence[SortSpec]) -> None:
+        own = {_key(s.filter) for s in specs if not isinstance(s.signal, (str, Momentum, Reversal))}
+        some = {_key(s.filter): s.filter for s in specs if s.filter and s.filter.adj != "wins" and _key(s.filter) not in own}
+        self.filters, self.place = list(some.values()), {k: i for i, k in enumerate(some)}
+        self.words = -(-len(some) // WORD)
+
+    def has(self, s: SortSpec) -> bool:
+        return _key(s.filter) in self.place
+
+    def test(self, s: SortSpec, name: str = "_k{}") -> Column:
+        word, bit = divmod(self.place[_key(s.filter)], WORD)
+        return F.col(name.format(word)).bitwiseAND(F.lit(1 << bit).cast("long")) != 0
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        bits = [F.when(passes(f), F.lit(1 << i % WORD).cast("long")).otherwise(F.lit(0).cast("long")) for i, f in enumerate(self.filters)]
+        return rows.withColumns({f"_k{w}": reduce(Column.bitwiseOR, bits[w * WORD : (w + 1) * WORD]) for w in range(self.words)})
+
+    def framed(self, rows: DataFrame, signals: Sequence[Momentum | Reversal]) -> DataFrame:
+        """``rows`` with ``_k<signal>_<word>``: the bits that all rows in a signal's frame have."""
+        every, before = {}, {}
+        for m, s in enumerate(signals):
+            span = s.window if isinstance(s, Momentum) else max(s.window, s.skip)
+            for w in range(self.words):
+                every[f"_k{m}_{w}"] = F.bit_and(f"_k{w}").over(by_id().rowsBetween(-(span - 1), 0))
+                if isinstance(s, Momentum) and s.skip:
+                    before[f"_k{m}_{w}"] = F.lag(f"_k{m}_{w}", s.skip).over(by_id())
+        rows = rows.withColumns(every) if every else rows
+        return rows.withColumns(before) if before else rows
+
+
 def _chunk(panel: DataFrame, specs: Sequence[SortSpec], sizes: dict, bounds: Bounds | None) -> DataFrame:
     one = specs[0]  # what they are alike in
     n, K, dynamic = one.nport, one.holding, one.dynamic_weights
@@ -61,29 +102,42 @@ def _chunk(panel: DataFrame, specs: Sequence[SortSpec], sizes: dict, bounds: Bou
     calendar = panel.sparkSession.createDataFrame(list(zip(dates, range(len(dates)))), "date date, t int")
     rows = panel.join(F.broadcast(calendar), "date")
     rows = made_ready(rows, [s.filter for s in specs if s.filter], bounds)
+    masks = _Masks(specs)
+    rows = masks.add(rows) if masks.words else rows
     number: dict = {None: None}
-    for s in specs:  # filtered returns, once for each filter
-        if _key(s.filter) not in number:
+    for s in specs:  # filtered returns, once for each filter that the masks don't have
+        if _key(s.filter) not in number and not masks.has(s):
             i = number[_key(s.filter)] = len(number)
             before = rows.columns
             rows = add_filtered(rows, s.filter, bounds=bounds, ready=True)
             rows = rows.select(*before, F.col("ret_adj").alias(f"_a{i}"), F.col("ret_adj_ep").alias(f"_e{i}"))
     of = lambda s: number[_key(s.filter)]
-    rows = add_signals(rows, {f"_s{j}": (s, f"_a{of(s)}" if s.filter else "ret") for j, s in enumerate(specs)})
-    later = {}
+    shared = list(dict.fromkeys(s.signal for s in specs if masks.has(s) and not isinstance(s.signal, str)))
+    framed = lambda s: masks.has(s) and not isinstance(s.signal, str)
+    wanted = {f"_s{j}": (s, f"_a{of(s)}" if s.filter and not masks.has(s) else "ret") for j, s in enumerate(specs) if not framed(s)}
+    for m, x in enumerate(shared):
+        wanted[f"_x{m}"] = next(s for s in specs if s.signal == x), "ret"
+    rows = masks.framed(add_signals(rows, wanted), shared)
+    signal = {
+        j: F.when(masks.test(s, f"_k{shared.index(s.signal)}_{{}}"), F.col(f"_x{shared.index(s.signal)}")) if framed(s) else F.col(f"_s{j}")
+        for j, s in enumerate(specs)
+    }
+    ahead_of = lambda s, h: F.when(masks.test(s, f"_later{h}_{{}}"), F.col(f"_ret{h}")) if masks.has(s) else F.col(f"_e{of(s)}_{h}")
+    later, bits = {}, {}
     for h in range(1, K + 1):
         later[f"_ret{h}"] = at_offset("ret", h)
+        bits |= {f"_later{h}_{w}": at_offset(f"_k{w}", h) for w in range(masks.words)}
         later |= {f"_e{i}_{h}": at_offset(f"_e{i}", h) for i in number.values() if i}
         if h > 1 and dynamic:
             later[f"_vw{h - 1}"] = at_offset("VW", h - 1)
-    rows = rows.withColumns(later).where(F.col("t") < len(dates) - K)
+    rows = rows.withColumns(later | bits).where(F.col("t") < len(dates) - K)
     entries = []
     second = lambda s: [F.col(s.signal2).cast("double").alias("y")] if s.signal2 else []
     for j, s in enumerate(specs):
         ok = F.lit(True) if s.signal2 is None else F.col(s.signal2).isNotNull()
-        ok &= F.col(f"_s{j}").isNotNull() & in_rating(s.rating) & in_universe(s.filter)
-        ahead = F.array(*[F.col(f"_e{of(s)}_{h}") if s.filter else F.lit(None).cast("double") for h in range(1, K + 1)])
-        entries.append(F.when(ok, F.struct(F.lit(j).alias("j"), F.col(f"_s{j}").cast("double").alias("x"), ahead.alias("ep"), *second(s))))
+        ok &= signal[j].isNotNull() & in_rating(s.rating) & in_universe(s.filter)
+        ahead = F.array(*[ahead_of(s, h) if s.filter else F.lit(None).cast("double") for h in range(1, K + 1)])
+        entries.append(F.when(ok, F.struct(F.lit(j).alias("j"), signal[j].cast("double").alias("x"), ahead.alias("ep"), *second(s))))
     kept = ["ID", "t", "VW", *[c for c in later if not c.startswith("_e")]]
     long = rows.select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_x")).select(*kept, "_x.*")
     groups, largest = len(dates) * len(specs), max(sizes.values(), default=0)

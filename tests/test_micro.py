@@ -453,3 +453,15 @@ def test_ranges_are_found_by_halving(spark):
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
     empty = spark.createDataFrame([(None,)], "_m array<double>")
     assert [r.range for r in in_ranges(spark.createDataFrame([(1.0,)], "x double"), empty).collect()] == [0]
+
+
+def test_grid_windows_do_not_follow_the_filters(spark):
+    """Exclusions share a signal's window, the bits of the rows in it, and the look-ups of later dates."""
+    rows = [(i, datetime.date(2000 + m // 12, m % 12 + 1, 1), ((i * 7 + m * 5) % 23 - 11) / 20, 5.0, 1.0 + i, 50.0 + (i * m) % 60) for i in range(12) for m in range(14)]
+    panel = spark.createDataFrame(rows, "ID long, date date, ret double, RATING_NUM double, VW double, PRICE double")
+    windows = lambda n: long_short_grid(panel, [SortSpec(Momentum(3, 1), 2, 2, filter=FilterSpec("trim", 0.2 + i / 100)) for i in range(n)])._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition")
+    assert windows(3) == windows(30)
+    for spec in (SortSpec(Reversal(4, 2), 2, 2, filter=FilterSpec("bounce", -0.05)), SortSpec(Momentum(3, 0), 2, filter=FilterSpec("price", (55, 100)))):
+        one = {(r.date, r.regime): (r.ew, r.vw) for r in Strategy(panel, spec).long_short.collect()}
+        got = {(r.date, r.regime): (r.ew, r.vw) for r in long_short_grid(panel, [spec]).collect()}
+        assert got.keys() == one.keys() and all(got[k] == pytest.approx(one[k], nan_ok=True) if None not in one[k] else got[k] == one[k] for k in one)
