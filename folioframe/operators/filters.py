@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,16 @@ def passes(f: FilterSpec) -> Column:
     return F.col("ret").isNotNull() & ~_outside(_watched(f), f.level, _high(f))
 
 
+def truths(f: FilterSpec, there: np.ndarray, x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`passes` and :func:`in_universe` of many rows at once: ``there`` tells who has a return, ``x`` is what the
+    filter watches, ``known`` where it is not null. NaN is above all numbers, as in Spark."""
+    low, high = f.level if isinstance(f.level, tuple) else (f.level, f.level)
+    above, below = known & ~(x <= high), known & (x < low)
+    sides = {"pair": above | below, "high": above, "low": below}
+    side = lambda match: sides["pair" if isinstance(f.level, tuple) else "high" if _high(f, match) else "low"]
+    return there & ~side(False), np.ones(len(x), bool) if f.level == 0 else known & ~side(True)
+
+
 @dataclass(frozen=True)
 class Bounds:
     """Winsorising bounds of several levels: one row for each date, and a number each for the whole sample."""
@@ -70,12 +81,9 @@ def add_bounce(panel: DataFrame) -> DataFrame:
     return panel.withColumn("bounce", F.col("ret") * F.lag("ret").over(by_id()))
 
 
-def made_ready(panel: DataFrame, filters: Iterable[FilterSpec], bounds: Bounds | None) -> DataFrame:
-    """The panel with the bounce column and the dated bounds that ``filters`` need, each once."""
-    kinds = {(f.adj, f.thresholds is None) for f in filters}
-    if any(adj == "bounce" for adj, _ in kinds):
-        panel = add_bounce(panel)
-    return panel.join(F.broadcast(bounds.dated), "date", "left") if ("wins", True) in kinds else panel
+def with_bounds(panel: DataFrame, filters: Iterable[FilterSpec], bounds: Bounds | None) -> DataFrame:
+    """The panel with the dated bounds that ``filters`` need, once for all of them."""
+    return panel.join(F.broadcast(bounds.dated), "date", "left") if any(f.adj == "wins" and f.thresholds is None for f in filters) else panel
 
 
 def add_filtered(
@@ -86,7 +94,7 @@ def add_filtered(
     Rows that trimming, price or bounce-back exclusion take out have a null ``ret_adj``; ``out`` tells
     them, or, for winsorising, the rows that sit at a full-sample bound. Winsorising takes ``bounds``, or
     has them found (at once) in ``pool``, a frame of the same returns that is cheaper to read, or ``panel``.
-    ``ready`` tells that the panel has what several filters share already: see :func:`made_ready`.
+    ``ready`` tells that the panel has what several filters share already: :func:`add_bounce`, :func:`with_bounds`.
     """
     if f.adj == "bounce" and not ready:
         panel = add_bounce(panel)
@@ -111,6 +119,12 @@ def add_filtered(
     return both.withColumn("out", out).drop("_lo", "_hi", "_lo_ep", "_hi_ep")
 
 
+def full_bounds(f: FilterSpec, bounds: Bounds) -> tuple[float | None, float | None]:
+    """Full-sample bounds (low, high) of winsorising: none on a side that is left as it is."""
+    low, high = bounds.full[_level(100 - f.level)], bounds.full[_level(f.level)]
+    return low if f.location in ("left", "both") else None, high if f.location in ("right", "both") else None
+
+
 def _clipped(location: str | None, lo: str, hi: str) -> Column:
     x = F.col("ret")
     if location in ("right", "both"):

@@ -43,20 +43,22 @@ def add_signal(panel: DataFrame, spec: SortSpec, ret: str = "ret") -> DataFrame:
     return s(panel, ret, spec.signal_name)
 
 
-def add_signals(panel: DataFrame, wanted: dict[str, tuple[SortSpec, str]]) -> DataFrame:
+def add_signals(panel: DataFrame, wanted: dict[str, tuple[SortSpec, str]], over: WindowSpec | None = None) -> DataFrame:
     """The panel with a column for each name: the signal of a sort from a return column.
 
-    The windows of all momentum and reversal signals go into three steps, however many there are.
+    The windows of all momentum and reversal signals go into three steps, however many there are; ``over`` can
+    give an ID's rows in another order that is the one by date.
     """
+    over = over or by_id()
     first, second, third = {}, {}, {}
     for name, (spec, ret) in wanted.items():
         s = spec.signal
         if isinstance(s, Momentum):
             first[f"_log_{name}"] = F.when(F.col(ret) > -1, F.log(1 + F.col(ret)))
-            second[f"_raw_{name}"] = F.exp(_full(F.col(f"_log_{name}"), s.window)) - 1
-            third[name] = F.lag(f"_raw_{name}", s.skip).over(by_id()) if s.skip else F.col(f"_raw_{name}")
+            second[f"_raw_{name}"] = F.exp(_full(F.col(f"_log_{name}"), s.window, over)) - 1
+            third[name] = F.lag(f"_raw_{name}", s.skip).over(over) if s.skip else F.col(f"_raw_{name}")
         elif isinstance(s, Reversal):
-            second[name] = _full(F.col(ret), s.window) - _full(F.col(ret), s.skip)
+            second[name] = _full(F.col(ret), s.window, over) - _full(F.col(ret), s.skip, over)
         elif isinstance(s, str):
             third[name] = F.col(s)
         else:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.tails import normal_two_sided, t_two_sided
 from folioframe.jobs.grids import momentum_grid, rating_grid
-from folioframe.operators import grid, inference, summary
+from folioframe.operators import blocks, grid, inference, summary
 from folioframe.operators.banding import _closed, _folded
-from folioframe.operators.filters import add_filtered
+from folioframe.operators.filters import add_filtered, in_universe, passes, truths
 from folioframe.operators.quantiles import counted_edges, expanding_percentiles, full_percentiles, inner_edges
 from folioframe.operators.grid import long_short_grid
 from folioframe.operators.signals import add_momentum, add_wealth
@@ -465,3 +465,47 @@ def test_grid_windows_do_not_follow_the_filters(spark):
         one = {(r.date, r.regime): (r.ew, r.vw) for r in Strategy(panel, spec).long_short.collect()}
         got = {(r.date, r.regime): (r.ew, r.vw) for r in long_short_grid(panel, [spec]).collect()}
         assert got.keys() == one.keys() and all(got[k] == pytest.approx(one[k], nan_ok=True) if None not in one[k] else got[k] == one[k] for k in one)
+
+
+def test_filters_in_batches_are_those_in_columns(spark):
+    values = [None, float("nan"), float("inf"), -float("inf"), -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 20.0, 25.0, 150.0]
+    rows = [(r, p, b) for i, r in enumerate(values) for p in values for b in (values[i], values[-1 - i], None)]
+    df = spark.createDataFrame(rows, "ret double, PRICE double, bounce double")
+    levels = (0.2, -0.2, 0.0, 25.0, 150.0, 20.0, (-0.2, 0.2), (20.0, 150.0))
+    filters = [FilterSpec(adj, x) for adj in ("trim", "price", "bounce") for x in levels] + [FilterSpec("price", 20.0, price_threshold=20.0)]
+    got = df.select(*[F.struct(passes(f).alias("a"), in_universe(f).alias("b")) for f in filters]).collect()
+    column = {c: np.array([np.nan if r[i] is None else r[i] for r in rows]) for i, c in enumerate(("ret", "PRICE", "bounce"))}
+    known = {c: np.array([r[i] is not None for r in rows]) for i, c in enumerate(column)}
+    for j, f in enumerate(filters):
+        c = {"trim": "ret", "price": "PRICE", "bounce": "bounce"}[f.adj]
+        a, b = truths(f, known["ret"], np.where(known[c], column[c], 0), known[c])
+        assert [(bool(x), bool(y)) for x, y in zip(a, b)] == [(r[j].a, r[j].b) for r in got], f
+
+
+def odd_panel(spark):
+    rng = np.random.default_rng(11)
+    some = lambda x, p: None if rng.random() < p else float("nan") if rng.random() < p / 2 else x
+    rows = [
+        (i, DAY[m], some(float(np.round(rng.normal() / 4, 2)), 0.06), float(1 + (i * 5 + m) % 22), some(float(1 + i % 5), 0.1), some(float(rng.integers(0, 5)), 0.1), float(40 + rng.integers(0, 150)))
+        for i in range(60) for m in range(12) if rng.random() > 0.05
+    ]
+    return spark.createDataFrame(rows, "ID long, date date, ret double, RATING_NUM double, VW double, x double, PRICE double")
+
+
+def test_blocks_of_dates_are_as_a_row_for_each_spec(spark, monkeypatch):
+    """Nulls, NaN, ties, gaps; a date that is too large for a block, and one that has room for a signal at a time."""
+    panel, cleaned = odd_panel(spark), (None, FilterSpec("trim", 0.3), FilterSpec("bounce", (-0.05, 0.05)), FilterSpec("price", (50, 150)), FilterSpec("wins", 90, "both"), FilterSpec("wins", 95, "left"))
+    specs = [SortSpec(x, 3, 2, rating=r, filter=f, dynamic_weights=d) for x in ("x", Momentum(2, 1), Reversal(3, 1)) for f in cleaned for r, d in ((None, False), ("NIG", True))]
+    found = {}
+    for room in (blocks.BLOCK_BYTES, 8 * 60 * 14, 0):
+        monkeypatch.setattr(blocks, "BLOCK_BYTES", room)
+        out = long_short_grid(panel, specs)
+        assert ("Generate" in out._jdf.queryExecution().optimizedPlan().toString()) == (room == 0)
+        found[room] = {(r.spec, r.date, r.regime): tuple(None if v is None else round(v, 10) + 0.0 for v in (r.ew, r.vw)) for r in out.collect()}
+    whole = repr(sorted(found[0].items()))
+    assert len(whole) > 10_000 and all(repr(sorted(v.items())) == whole for v in found.values())
+
+
+def test_a_rating_grid_has_no_row_for_each_spec(spark):
+    """Rows that are sorted do not follow the number of cleanings."""
+    assert "Generate" not in long_short_grid(odd_panel(spark), rating_grid(3))._jdf.queryExecution().optimizedPlan().toString()
