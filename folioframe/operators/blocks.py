@@ -15,8 +15,8 @@ import pyarrow as pa
 
 #: Bits in a word, which is a long.
 WORD = 62
-#: What a block's columns may take in memory: about a third of what a task needs for it.
-BLOCK_BYTES = 160_000_000
+#: What a block's columns may take in memory: a worker needs about three times as much.
+BLOCK_BYTES = 120_000_000
 #: Of each cohort's portfolio at each horizon: what :func:`cohorts` gives.
 SCHEMA = "j int, regime string, ptf int, t int, h int, ew double, vw double"
 

@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -509,3 +510,10 @@ def test_blocks_of_dates_are_as_a_row_for_each_spec(spark, monkeypatch):
 def test_a_rating_grid_has_no_row_for_each_spec(spark):
     """Rows that are sorted do not follow the number of cleanings."""
     assert "Generate" not in long_short_grid(odd_panel(spark), rating_grid(3))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_momentum_grid_has_no_row_for_each_spec(spark):
+    """Both windows, each dealt by ID once and by date once, and put in order by ID once, whatever the number of cleanings."""
+    plan = long_short_grid(odd_panel(spark), momentum_grid((2, 3), 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("RepartitionByExpression") == 4
+    assert "date#" not in "".join(re.findall(r"windowspecdefinition\([^)]*", plan))
