@@ -89,8 +89,8 @@ class _Masks:
         return F.col(name.format(word)).bitwiseAND(F.lit(bit).cast("long")) != 0
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with both kinds of longs, worked out for a batch of rows at a time: as one expression a hundred filters
-        are more than a JVM compiles."""
+        """``rows`` with both kinds of longs, worked out for a batch of rows at a time: as expressions of Spark a hundred
+        filters took longer than all windows together."""
         filters, words = self.filters, self.words
         watched = [c for c, adj in (("ret", "trim"), ("PRICE", "price"), ("bounce", "bounce")) if c == "ret" or any(f.adj == adj for f in filters)]
         names = [f"_{kind}{w}" for kind in "ku" for w in range(words)]
